@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from loomfield.llm import oracles
 from loomfield.llm.ann import nearest_neighbours
+from loomfield.llm.bpe import token_digests
 from loomfield.llm.chat import render_conversations
+from loomfield.llm.packing import pack_documents
 from loomfield.llm.tables import table
 from loomfield.llm.topk import exact_top_k
 from loomfield.llm.url_filter import filter_urls
@@ -49,8 +52,17 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return token_digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_url_filters, op4_exact_top_k, op6_nearest_neighbours]
+    found = [op1_chat_formatting, op2_url_filters, op4_exact_top_k, op6_nearest_neighbours, op7_byte_bpe, op8_packing]
     return {f.__name__: f for f in found}
 
 

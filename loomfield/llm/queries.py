@@ -11,9 +11,12 @@ from loomfield.llm import oracles
 from loomfield.llm.ann import nearest_neighbours
 from loomfield.llm.bpe import token_digests
 from loomfield.llm.chat import render_conversations
+from loomfield.llm.langid import predict_languages
 from loomfield.llm.packing import pack_documents
+from loomfield.llm.secrets import scan_secrets
 from loomfield.llm.tables import table
 from loomfield.llm.topk import exact_top_k
+from loomfield.llm.toxicity import with_toxicity
 from loomfield.llm.url_filter import filter_urls
 
 #: Url rules with their verdicts.
@@ -44,6 +47,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES, listed)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -61,8 +68,20 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = with_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "p_low_quality", "p_toxic", "is_toxic")
+
+
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_url_filters, op4_exact_top_k, op6_nearest_neighbours, op7_byte_bpe, op8_packing]
+    found = [
+        op1_chat_formatting, op2_url_filters, op3_language_id, op4_exact_top_k, op6_nearest_neighbours, op7_byte_bpe,
+        op8_packing, op9_toxicity, op10_secret_scans,
+    ]
     return {f.__name__: f for f in found}
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,7 @@ def word_buckets(texts: pa.Array) -> list[np.ndarray]:
 
 def _bare(texts: pa.Array) -> pa.Array:
     """Texts with ASCII punctuation and digits as spaces, so that a word counts alike before a comma."""
-    return pa.compute.replace_substring_regex(texts, r"[!-@\[-`{-~]+", " ")
+    return pc.replace_substring_regex(texts, r"[!-@\[-`{-~]+", " ")
 
 
 class _Rows:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer word extends its window.
 WINDOW = 1 << 20
@@ -65,7 +66,7 @@ def word_hashes(texts: pa.Array, first: tuple[int, ...] = ()) -> tuple[np.ndarra
 
     With ``first``, hashes has a row of whole words and one of the words' first n bytes for each n.
     """
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
     buffers = texts.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)

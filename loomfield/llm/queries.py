@@ -11,6 +11,7 @@ from loomfield.llm import oracles
 from loomfield.llm.ann import nearest_neighbours
 from loomfield.llm.bpe import token_digests
 from loomfield.llm.chat import render_conversations
+from loomfield.llm.jaccard import similar_documents
 from loomfield.llm.langid import predict_languages
 from loomfield.llm.packing import pack_documents
 from loomfield.llm.secrets import scan_secrets
@@ -55,6 +56,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
@@ -79,7 +84,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_chat_formatting, op2_url_filters, op3_language_id, op4_exact_top_k, op6_nearest_neighbours, op7_byte_bpe,
+        op1_chat_formatting, op2_url_filters, op3_language_id, op4_exact_top_k, op5_ngram_jaccard, op6_nearest_neighbours, op7_byte_bpe,
         op8_packing, op9_toxicity, op10_secret_scans,
     ]
     return {f.__name__: f for f in found}

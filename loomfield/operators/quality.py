@@ -132,7 +132,7 @@ def visual_violations(refs: DataFrame, frames: DataFrame, steps: DataFrame) -> D
 
 def section_violations(docs: DataFrame, headings: Sequence[str], least: int = 8, body: int = 600) -> DataFrame:
     """Sections missing or too short, a short body, a first heading unlike the title (job_id, title, text)."""
-    sections = [F.length(F.trim(F.regexp_extract("text", rf"(?ms)^## \Q{h}\E[ \t]*$(.*?)(?=^## |\z)", 1))) for h in headings]
+    sections = [F.length(F.trim(F.regexp_extract("text", rf"(?ms)^## \Q{h}\E[ \t]*$(.*?)(?=^## |\z)", 1), F.lit(" \t\r\n"))) for h in headings]
     rules = [(n < least, "short_section", h) for n, h in zip(sections, headings, strict=True)]
     first = F.regexp_extract("text", r"(?m)^# (.+)$", 1)
     return _violations(docs, *rules, (F.length("text") < body, "short_body", ""), (F.trim(first) != F.trim("title"), "title_mismatch", "title"))

@@ -109,6 +109,9 @@ def sql(spark: SparkSession, sf_dir: str, statement: str) -> DataFrame:
     """A statement over logical and driver tables."""
     used = dict.fromkeys(re.findall(r"\b(?:v_\w+|" + "|".join(TABLES) + r")\b", statement))
     frames = {n: view(spark, sf_dir, n) for n in used if n in VIEWS or n in TABLES}
+    if not frames:
+        return spark.sql(translate(statement, "spark"))
+    statement = statement.replace("{", "{{").replace("}", "}}")
     for n in frames:
         statement = re.sub(rf"(?i)\b(FROM|JOIN)\s+{n}\b(?!\.)", rf"\1 {{{n}}}", statement)
     return spark.sql(translate(statement, "spark"), **{n: f for n, f in frames.items() if "{" + n + "}" in statement})
@@ -119,5 +122,5 @@ def oracle(statement: str) -> str:
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needs(statement))
     statement = statement.strip()
     if views and statement.upper().startswith("WITH "):
-        return translate(f"WITH {views}, {statement[5:]}", "duckdb")
+        return translate(f"WITH RECURSIVE {views}, {statement[5:]}", "duckdb")
     return translate(f"WITH {views} {statement}" if views else statement, "duckdb")

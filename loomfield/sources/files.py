@@ -60,7 +60,7 @@ def split_front_matter(docs: DataFrame, col: str = "text") -> DataFrame:
 
 def discover_entries(spark: SparkSession, root: str, note: str = "note.md", skip: str = "_index") -> DataFrame:
     """category, folder, title, tags of category/folder/note files with a title, a category and tags in their front matter."""
-    files = spark.read.option("wholetext", True).text(f"{root}/*/*/{note}").withColumn("path", F.input_file_name())
+    files = spark.read.text(f"{root}/*/*/{note}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     parts = F.split("path", "/")
     placed = files.withColumns({"category": F.url_decode(F.element_at(parts, -3)), "folder": F.url_decode(F.element_at(parts, -2))}).where(F.col("category") != skip)
     front = split_front_matter(placed, "value")

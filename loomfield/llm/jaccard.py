@@ -19,8 +19,9 @@ most D = (a + c) / 9 shingles.
 
 Sets that are equal are one vertex, so exact copies never meet as pairs. A
 bucket of many vertices is not expanded: its members are compared with one
-pivot, the member that is in most large buckets. Only members of different
-components whose distances to the pivot allow a link are then compared.
+pivot, the member that is in most large buckets. Members of different components
+are then joined only where their distances to the pivot and the distance of
+their folded sketches allow a link.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ RATIO = 1.75
 SINGLES = 64
 #: Buckets of at most so many vertices are expanded into pairs.
 EXPANDED = 12
-#: A shingle is common if in some stretch of documents at least this share, and so many, have it.
-COMMON_SHARE, COMMON_DOCS = 0.005, 8
+#: A shingle is common if in some stretch of a few thousand documents at least this share, and so many, have it.
+COMMON_SHARE, COMMON_DOCS = 0.0007, 2
 #: Common shingles that the order of segments heeds at most (2 MB to broadcast); the rest only cost time.
 COMMON_MOST = 1 << 18
 #: Bits of the filter, of fixed size, that tells which texts to hash again.
@@ -52,6 +53,9 @@ FILTER_BITS = 1 << 26
 #: Documents hashed at a time.
 STEP = 512
 WIDE = 1 << 32
+#: 64-bit words of the folded sketch that members of large buckets are compared by, and members in a block.
+FOLD = 32
+BLOCK = 4096
 
 
 @lru_cache
@@ -116,6 +120,12 @@ def dense_sketch(shingles: np.ndarray) -> bytes:
     return np.packbits((np.bincount((shingles & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def folded_sketch(shingles: np.ndarray) -> bytes:
+    """A parity sketch of FOLD words, whatever the size of the set."""
+    odd = np.bincount((shingles >> U(20) & U(64 * FOLD - 1)).astype(np.int64), minlength=64 * FOLD) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def sketch_distance(a: bytes, b: bytes) -> int:
     """Hamming distance; the longer sketch is folded to the shorter one's length, which parity allows."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -262,7 +272,7 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
 
 
 def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """v, sketch, shingles of the documents with the given ids (and of a few others), once for each vertex."""
+    """v, fold, sketch, shingles of the documents with the given ids (and of a few others), once for each vertex."""
     words = documents.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,12 +287,12 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
         for _, sets in _sets(chosen()):
             if sets:
                 yield pa.RecordBatch.from_arrays(
-                    [_long([identity(s)[0] for s in sets]), pa.array([dense_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["v", "sketch", "shingles"],
+                    [_long([identity(s)[0] for s in sets]), pa.array([folded_sketch(s) for s in sets], pa.binary()), pa.array([dense_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    ["v", "fold", "sketch", "shingles"],
                 )
 
     places = [F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(i)), F.lit(FILTER_BITS)).alias(f"p{i}") for i in range(2)]
-    found = documents.where("doc_id IS NOT NULL").select(*places, "text").mapInArrow(run, "v long, sketch binary, shingles binary")
+    found = documents.where("doc_id IS NOT NULL").select(*places, "text").mapInArrow(run, "v long, fold binary, sketch binary, shingles binary")
     return materialise(found, "sets").dropDuplicates(["v"])
 
 
@@ -325,6 +335,25 @@ def _ordered(a: str, b: str, na: str, nb: str) -> list:
     ]
 
 
+def _near(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs of a block of open members and a block of members, of different components, whose bounds allow a link."""
+    v1, n1, r1, l1, h1 = (left[c].to_numpy() for c in ("v", "n", "root", "low", "high"))
+    v2, n2, r2, l2, h2 = (right[c].to_numpy() for c in ("v", "n", "root", "low", "high"))
+    f1, f2 = (np.frombuffer(b"".join(t["fold"].to_pylist()), U).reshape(-1, FOLD) for t in (left, right))
+    settled = r2 == right["main"].to_numpy()
+    out: list[list[np.ndarray]] = [[], [], [], []]
+    for i in range(len(v1)):
+        may = (r2 != r1[i]) & (settled | (v2 > v1[i])) & _similar_size(n1[i], n2) & (l1[i] - h2 <= 0.2000001) & (l2 - h1[i] <= 0.2000001)
+        at = np.flatnonzero(may)
+        at = at[9 * np.bitwise_count(f1[i] ^ f2[at]).sum(1, dtype=np.int64) <= n1[i] + n2[at]]
+        if len(at):
+            turn = v1[i] > v2[at]
+            same = np.full(len(at), v1[i]), np.full(len(at), n1[i])
+            for part, column in zip(out, (np.where(turn, v2[at], same[0]), np.where(turn, same[0], v2[at]), np.where(turn, n2[at], same[1]), np.where(turn, same[1], n2[at])), strict=True):
+                part.append(column)
+    return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *part]).astype(np.int64)) for part in out], names=["a", "b", "na", "nb"])
+
+
 def _links(documents: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
     """a, b of linked vertices, enough of them to connect all that are linked. reps: v, id."""
     pairs = found.where("kind = 0").select("a", "b", "na", "nb")
@@ -343,20 +372,22 @@ def _links(documents: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
         return links
     roots = materialise(components(links), "roots")
     ends = verified.select(F.col("a").alias("v"), F.col("b").alias("pivot"), "low", "high").union(verified.select("b", "a", "low", "high"))
-    placed = large.join(pivots, "key").join(ends, ["v", "pivot"], "left").join(roots, "v", "left")
-    placed = placed.select(
-        "key", "v", "n", F.coalesce("root", "v").alias("root"),
+    placed = large.join(pivots, "key").select("pivot", "v", "n").distinct()
+    placed = placed.join(ends, ["v", "pivot"], "left").join(roots, "v", "left")
+    placed = placed.join(roots.select(F.col("v").alias("pivot"), F.col("root").alias("main")), "pivot", "left").select(
+        "pivot", "v", "n", F.coalesce("root", "v").alias("root"), F.coalesce("main", "pivot").alias("main"),
         F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(0.0)).alias("high"),
     )
-    groups = placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("key")
-    placed = materialise(placed.join(groups, "key", "left_semi"), "placed")
-    main = placed.groupBy("key").agg(F.max_by("root", F.struct(-F.col("high"), F.col("v"))).alias("main"))  # the pivot's own component
-    x = placed.join(main, "key").where("root <> main").select("key", *[F.col(c).alias(f"{c}1") for c in ("v", "n", "root", "low", "high")])
-    y = placed.select("key", *[F.col(c).alias(f"{c}2") for c in ("v", "n", "root", "low", "high")])
-    rest = x.join(y, "key").where(
-        "root1 <> root2 AND 100 * least(n1, n2) >= 80 * greatest(n1, n2) AND low1 - high2 <= 0.2000001 AND low2 - high1 <= 0.2000001"
-    )
-    second = rest.select(*_ordered("v1", "v2", "n1", "n2")).distinct().join(verified.select("a", "b"), ["a", "b"], "left_anti")
+    groups = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("root") != F.col("main")).alias("open")).where("open > 0")
+    placed = placed.join(groups.select("pivot", F.ceil(F.col("m") / BLOCK).alias("blocks")), "pivot").join(sets.select("v", "fold"), "v")
+    placed = materialise(placed.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks"))), "placed")
+    columns = ["v", "n", "root", "main", "low", "high", "fold"]
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = placed.where("root <> main").select("pivot", F.col("own").alias("i"), every.alias("j"), *columns)
+    y = placed.select("pivot", every.alias("i"), F.col("own").alias("j"), *columns)
+    keys = ["pivot", "i", "j"]
+    second = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(_near, "a long, b long, na long, nb long").distinct()
+    second = second.join(verified.select("a", "b"), ["a", "b"], "left_anti")
     second = materialise(second, "pairs")
     return links.union(_verify(second, sets).where("linked").select("a", "b"))
 

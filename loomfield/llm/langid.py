@@ -43,7 +43,7 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     letter = _is_letter()[points]
     line = np.where(letter, points, 0).astype(np.int64)
     line = line[letter | np.r_[True, letter[:-1]]] if len(line) else line
-    line = np.r_[0, line, 0]
+    line = np.r_[0, line, 0, 0]
     codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(line) - 2, WINDOW):
         a = line[at : at + WINDOW + 2]

@@ -28,9 +28,9 @@ WIDTH = 2
 #: Weight of parallel error follows from this threshold on the cosine.
 COSINE = 0.2
 #: Rows of each Arrow batch that are ranked again exactly for a query.
-RERANK = 96
+RERANK = 384
 #: Queries scored at a time.
-STEP = 256
+STEP = 128
 
 SCHEMA = "query_id long, vec_id long, score double"
 

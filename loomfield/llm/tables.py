@@ -30,3 +30,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/loomfield-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch of whole texts, and of slim rows or vectors.
+TEXT_ROWS, SLIM_ROWS = 1024, 10_000
+
+
+def arrow_rows(spark: SparkSession, rows: int) -> None:
+    """How many rows a Python worker is handed at a time from here on; long texts need few."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

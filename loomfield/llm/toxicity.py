@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.llm.tables import TEXT_ROWS, arrow_rows, materialise
 from loomfield.llm.words import mix, word_hashes
 
 #: The chain: each category with the condition on a row of labels that defines it.
@@ -90,17 +91,9 @@ def fit_logistic(x: _Rows, y: np.ndarray, features: int) -> tuple[np.ndarray, np
 class Chain:
     """The fitted chain; ``predict`` gives a probability for each document and category."""
 
-    def __init__(self, buckets: list[np.ndarray], labels: np.ndarray):
-        """labels: (documents, categories) of 0 and 1."""
-        every, docs = np.unique(np.concatenate(buckets) if buckets else np.zeros(0, np.int64), return_counts=True)
-        self.known = every[docs >= LEAST_DOCS]
-        columns = [self._columns(b) for b in buckets]
-        share, gain = np.bincount(np.concatenate(columns) if columns else [], minlength=len(self.known)) / max(1, len(buckets)), np.zeros(len(self.known))
-        for y in labels.T:
-            p = y.mean() if len(y) else 0
-            hits = _Rows(columns, np.zeros((len(columns), 0))).back(y, len(self.known))[0] / max(1, len(y))
-            gain = np.maximum(gain, np.abs(hits - share * p) / np.sqrt(share * (1 - share) * p * (1 - p) / max(1, len(y)) + 1e-12))
-        self.known = np.sort(self.known[np.argsort(-gain, kind="stable")[:FEATURES]])
+    def __init__(self, known: np.ndarray, buckets: list[np.ndarray], labels: np.ndarray):
+        """known: the sorted buckets that are features; labels: (documents, categories) of 0 and 1."""
+        self.known = known
         columns = [self._columns(b) for b in buckets]
         fold = np.arange(len(buckets)) % FOLDS
         dense = np.ones((len(buckets), 1))
@@ -143,10 +136,30 @@ def fit_chain(documents: DataFrame, labels: DataFrame) -> Chain | None:
 
     names = [name for name, _ in CATEGORIES]
     joined = documents.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("doc_id", "text", *names)
-    got = joined.mapInArrow(buckets, "doc_id long, buckets array<long>, " + ", ".join(f"{x} int" for x in names)).toArrow().sort_by("doc_id")
+    bucketed = materialise(joined.mapInArrow(buckets, "doc_id long, buckets array<long>, " + ", ".join(f"{x} int" for x in names)), "labelled")
+    known = telling_buckets(bucketed, names)
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.intersect1d(np.array(x.values, np.int64), known, assume_unique=True) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64())), *b.columns[2:]], b.schema.names)
+
+    got = bucketed.mapInArrow(features, bucketed.schema).toArrow().sort_by("doc_id")
     if not got.num_rows:
         return None
-    return Chain([np.array(x.values if hasattr(x, "values") else x, np.int64) for x in got["buckets"].combine_chunks()], np.stack([got[x].to_numpy() for x in names], 1))
+    return Chain(known, [np.array(x.values, np.int64) for x in got["buckets"].combine_chunks()], np.stack([got[x].to_numpy() for x in names], 1))
+
+
+def telling_buckets(bucketed: DataFrame, names: list[str]) -> np.ndarray:
+    """The buckets, sorted, whose share of documents differs most from chance in some category."""
+    n, *positive = bucketed.agg(F.count(F.lit(1)), *[F.sum(x) for x in names]).first()
+    if not n:
+        return np.zeros(0, np.int64)
+    counts = bucketed.select(F.explode("buckets").alias("bucket"), *names).groupBy("bucket").agg(F.count(F.lit(1)).alias("docs"), *[F.sum(x).alias(x) for x in names])
+    share = F.col("docs") / n
+    gains = [F.abs(F.col(x) / n - share * (p / n)) / F.sqrt(share * (1 - share) * (p / n) * (1 - p / n) / n + 1e-12) for x, p in zip(names, positive, strict=True)]
+    best = counts.where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc(F.greatest(*gains)), "bucket").limit(FEATURES)
+    return np.sort(np.array([r["bucket"] for r in best.select("bucket").collect()], np.int64))
 
 
 def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -158,6 +171,7 @@ def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     documents are judged each; an empty table gives no rows; clashing columns are
     replaced.
     """
+    arrow_rows(documents.sparkSession, TEXT_ROWS)
     chain = documents.sparkSession.sparkContext.broadcast(fit_chain(documents, labels))
     names = [f"p_{name}" for name, _ in CATEGORIES]
 

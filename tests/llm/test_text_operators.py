@@ -167,7 +167,7 @@ def test_chain_feeds_probabilities_forward():
     rng = np.random.default_rng(3)
     y1 = rng.integers(0, 2, 300)
     buckets = [np.unique(np.r_[rng.integers(10, 40, 8), 1 if y else 2]) for y in y1]
-    chain = toxicity.Chain(buckets, np.stack([y1, y1], 1))
+    chain = toxicity.Chain(np.unique(np.concatenate(buckets)), buckets, np.stack([y1, y1], 1))
     p = chain.predict(buckets)
     assert ((p[:, 1] > 0.5) == y1).mean() > 0.98 and len(chain.models[1][1]) == 2 and chain.models[1][1][1] > 0
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm.components import components
-from loomfield.llm.tables import materialise
+from loomfield.llm.tables import SLIM_ROWS, arrow_rows, materialise
 from loomfield.llm.words import U, mix, shingle_sets, word_hashes
 
 #: Sizes of a band reach from its least to this many times that.
@@ -91,17 +91,30 @@ def _places(shingles: np.ndarray, segments: int) -> np.ndarray:
     return np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
 
 
-def band_keys(shingles: np.ndarray, common: np.ndarray, wide: frozenset[int] = frozenset()) -> list[np.ndarray]:
+class Common:
+    """The common shingles; most others are told apart by their leading bits alone."""
+
+    def __init__(self, shingles: np.ndarray):
+        self.shingles = shingles
+        self.leading = np.zeros(1 << 22, bool)
+        self.leading[(shingles >> U(42)).astype(np.int64)] = True
+
+    def rare(self, shingles: np.ndarray) -> np.ndarray:
+        """1 for each shingle that is not common, else 0."""
+        out = np.ones(len(shingles), U)
+        maybe = np.flatnonzero(self.leading[(shingles >> U(42)).astype(np.int64)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.shingles, shingles[maybe]), len(self.shingles) - 1)
+            out[maybe[self.shingles[at] == shingles[maybe]]] = 0
+        return out
+
+
+def band_keys(shingles: np.ndarray, common: Common, wide: frozenset[int] = frozenset()) -> list[np.ndarray]:
     """For each band that a set joins, the 64-bit keys of the segments that it joins by."""
     out, named = [], None
     for band, high, most in _roles(len(shingles)):
         if named is None:
-            named = mix(shingles ^ U(0xA5A5A5A5A5A5A5A5))
-            if len(common) < 64 * len(shingles):
-                at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
-                rare = (common[at] != shingles).astype(U) if len(common) else np.ones(len(shingles), U)
-            else:
-                rare = np.isin(shingles, common, assume_unique=True, invert=True).astype(U)
+            named, rare = mix(shingles ^ U(0xA5A5A5A5A5A5A5A5)), common.rare(shingles)
         segments = _segments(band, high, wide)
         begin = _places(shingles, segments)
         value = np.bitwise_xor.reduceat(named, begin)
@@ -198,6 +211,7 @@ def _members(documents: DataFrame, common, wide: frozenset[int]) -> DataFrame:
     """key, v, n: the segments that each set joins by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Common(common.value)
         for _, sets in _sets(batches):
             keys, vertex, size, seen = [np.zeros(0, U)], [], [], set()
             for s in sets:
@@ -205,7 +219,7 @@ def _members(documents: DataFrame, common, wide: frozenset[int]) -> DataFrame:
                 if v is None or v in seen:
                     continue
                 seen.add(v)
-                for own in band_keys(s, common.value, wide):
+                for own in band_keys(s, known, wide):
                     keys.append(own)
                     vertex.append(np.full(len(own), v, np.int64))
                     size.append(np.full(len(own), len(s), np.int32))
@@ -402,6 +416,7 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     an empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
+    arrow_rows(spark, SLIM_ROWS)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = materialise(_survey(documents), "survey")
     docs = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("v"), F.col("d").alias("check"))

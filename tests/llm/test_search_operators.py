@@ -165,7 +165,7 @@ def test_linked_sets_share_a_key(a, data):
     if 100 * len(a & b) >= 80 * len(a | b) and a != b:
         wide = frozenset(range(60))
         for common in (np.zeros(0, np.uint64), x[::3]):
-            keys = [set(np.concatenate([np.zeros(0, np.uint64), *jaccard.band_keys(s, common, wide)]).tolist()) for s in (x, y)]
+            keys = [set(np.concatenate([np.zeros(0, np.uint64), *jaccard.band_keys(s, jaccard.Common(common), wide)]).tolist()) for s in (x, y)]
             assert keys[0] & keys[1]
 
 

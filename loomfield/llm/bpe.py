@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+
 #: Pieces and pairs that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 #: Matches handled at a time, whatever the length of a text.
@@ -191,6 +193,8 @@ def token_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     rows; an empty table gives no rows; other columns are ignored.
     """
 
+    arrow_rows(documents.sparkSession, TEXT_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+
 #: Length of a profile.
 PROFILE = 300
 #: Profiles of at most so many languages are broadcast (at most 80 MB); more are refused.
@@ -111,6 +113,7 @@ def with_languages(documents: DataFrame, size: int = PROFILE) -> DataFrame:
     judged each; an empty table gives no rows; clashing columns are replaced.
     """
     spark = documents.sparkSession
+    arrow_rows(spark, TEXT_ROWS)
     rows = language_profiles(documents, size).collect()
     langs = sorted({r["lang"] for r in rows})
     if len(langs) > MAX_LANGUAGES:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+
 #: The base patterns, their kinds in order, and the least lengths of what must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
@@ -181,6 +183,7 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 def learn_formats(documents: DataFrame) -> dict[str, Automaton]:
     """An automaton for each kind that occurs, and for the background under ``learned``."""
+    arrow_rows(documents.sparkSession, TEXT_ROWS)
     by_kind = defaultdict(list)
     for kind, value in sorted(map(tuple, labelled_sample(documents).collect())):
         by_kind[kind].append(classes(value))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.llm.tables import SLIM_ROWS, arrow_rows
+
 #: Queries that one job searches for; 64 dimensions of 8 bytes make 16 MB to broadcast.
 QUERY_BLOCK = 32_768
 
@@ -18,6 +20,7 @@ def valid_vectors(df: DataFrame, zero_ok: bool) -> DataFrame:
     fine = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     if not zero_ok:
         fine += " AND exists(embedding, x -> x <> 0)"
+    arrow_rows(df.sparkSession, SLIM_ROWS)
     return df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,23 +22,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+
 #: Ids that end each document.
 END_ID = 1
 #: Penalties, in ids of padding, of cuts at a sentence end and within a sentence.
 SENTENCE_CUT, TRUNCATION = 4.0, 12.0
-#: Distance of the grid places.
-GRID = 128
+#: Distance of the grid places, and cells of which each offers one sentence end at most.
+GRID, CELL = 128, 16
 #: Ids, at least, that are packed together; a task closes its sequences after each such block.
 BLOCK_IDS = 1 << 20
-#: Words that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Words, and runs between white space, that a worker remembers before it starts afresh, and documents whose new ones it encodes at once.
+REMEMBERED = 250_000
+STEP = 64
 
 #: The split pattern and the special tokens of the vocabulary file, and characters
 #: on which its normalisation is lower-casing alone.
 #: WORDS is the split pattern for texts of those characters in lower case.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 WORDS = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
-WORD_END = "</w>"
+WORD_END, SENTENCE_ENDS = "</w>", ".!?"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
 
@@ -47,40 +49,61 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordTokenizer:
-    """Ids of a vocabulary file by its library, with the ids of words remembered."""
+    """Ids of a vocabulary file by its library, with the ids of words and of runs between white space remembered."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.words: dict[str, tuple[bytes, int, bool]] = {}
+        self.ends_sentence = self.ends_word.copy()
+        for token, i in vocabulary.items():
+            if token.endswith(WORD_END):
+                core = token[: -len(WORD_END)]
+                self.ends_word[i] = True
+                self.ends_sentence[i] = any(c in SENTENCE_ENDS for c in core) and not any(map(str.isalnum, core))
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words in one call; the last id of each is one that ends a word."""
         if len(self.words) + len(words) > REMEMBERED:
             self.words.clear()
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        for w, part in zip(words, np.split(ids, ends[:-1]), strict=True):
-            self.words[w] = (part.tobytes(), len(part), not w[0].isalnum() and any(c in ".!?" for c in w))
-
-    def encode(self, text: str) -> tuple[bytes, np.ndarray]:
-        """Ids as little-endian unsigned 32-bit integers, and the places after sentence ends."""
-        if UNUSUAL.search(text) or any(s in text for s in SPECIAL):
-            encoded = self.library.encode(text, add_special_tokens=False)
-            ends = [n + 1 for n, (a, b) in enumerate(encoded.offsets) if b > a and text[b - 1 : b] in (".", "!", "?")]
-            return np.array(encoded.ids, "<u4").tobytes(), np.array(ends, np.int64)
-        words = WORDS.findall(text.lower())
-        if not words:
-            return b"", np.zeros(0, np.int64)
-        got = list(map(self.words.get, words))
-        if None in got:
-            self._learn(list(dict.fromkeys(w for w, g in zip(words, got, strict=True) if g is None)))
-            get = self.words.get
-            got = [g or get(w) for w, g in zip(words, got, strict=True)]
-        ids, sizes, final = zip(*got, strict=True)
-        return b"".join(ids), np.cumsum(sizes)[np.array(final)]
+        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        self.words.update({w: data[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)})
+
+    def _compose(self, runs: list[str]) -> None:
+        """Put new runs of characters between white space together from their words, which never cross white space."""
+        if len(self.runs) + len(runs) > REMEMBERED:
+            self.runs.clear()
+        split = list(map(WORDS.findall, runs))
+        known = {w: self.words.get(w) for words in split for w in words}
+        new = [w for w, ids in known.items() if ids is None]
+        if new:
+            self._learn(new)
+            known.update({w: self.words[w] for w in new})
+        self.runs.update({r: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for r, words in zip(runs, split, strict=True)})
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        usual = [not (UNUSUAL.search(t) or any(s in t for s in SPECIAL)) for t in texts]
+        runs = [t.lower().split() if u else [] for t, u in zip(texts, usual, strict=True)]
+        found = [list(map(self.runs.get, r)) for r in runs]
+        new = {r: None for own, got in zip(runs, found, strict=True) if None in got for r, g in zip(own, got, strict=True) if g is None}
+        if new:
+            self._compose(list(new))
+            get = self.runs.get
+            found = [[get(r) if g is None else g for r, g in zip(own, got, strict=True)] if None in got else got for own, got in zip(runs, found, strict=True)]
+        return [
+            b"".join(got) if own else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            for text, own, got in zip(texts, usual, found, strict=True)
+        ]
+
+    def sentence_places(self, ids: bytes) -> np.ndarray:
+        """The places after ids of punctuation that ends sentences."""
+        places = np.flatnonzero(self.ends_sentence[np.frombuffer(ids, "<u4")]) + 1
+        return places[np.r_[places[1:] // CELL != places[:-1] // CELL, True]] if len(places) else places
 
 
 def cut_places(sizes: list[int], sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,26 +124,28 @@ def cut_places(sizes: list[int], sentences: list[np.ndarray]) -> tuple[np.ndarra
 def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """The places, from first to last, that minimise padding plus penalties. Places lie at most ``size`` apart."""
     at, fee = places.tolist(), penalty.tolist()
-    powers = [1 << n for n in range(size.bit_length()) if 1 << n <= size]
-    index = {p: i for i, p in enumerate(at)}
-    cost, back = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int]] = deque()
-    seek = index.get
+    exact: dict[int, list[int]] = {}
+    for power in [1 << n for n in range(size.bit_length()) if 1 << n <= size]:
+        found = np.minimum(np.searchsorted(places, places - power), len(at) - 1)
+        for i in np.flatnonzero(places[found] == places - power).tolist():
+            exact.setdefault(i, []).append(int(found[i]))
+    # reach[i] is the cost of the best cuts up to place i, plus the place
+    reach, back, queue, head, tail = [0.0] * len(at), [0] * len(at), [0] * len(at), 0, 0
     for i in range(1, len(at)):
-        value, b = cost[i - 1] + at[i - 1], at[i]
-        while queue and queue[-1][0] >= value:
-            queue.pop()
-        queue.append((value, i - 1))
-        low = b - size
-        while at[queue[0][1]] < low:
-            queue.popleft()
-        least, start = queue[0]
-        least += size - b
-        for p in powers:
-            j = seek(b - p)
-            if j is not None and cost[j] < least:
-                least, start = cost[j], j
-        cost[i], back[i] = least + fee[i], start
+        value, b = reach[i - 1], at[i]
+        while tail > head and reach[queue[tail - 1]] >= value:
+            tail -= 1
+        queue[tail] = i - 1
+        tail += 1
+        while at[queue[head]] < b - size:
+            head += 1
+        start = queue[head]
+        least = reach[start] + size
+        if i in exact:
+            for j in exact[i]:
+                if reach[j] - at[j] + b < least:
+                    least, start = reach[j] - at[j] + b, j
+        reach[i], back[i] = least + fee[i], start
     cuts = [len(at) - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])
@@ -158,6 +183,8 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048) -> DataFra
     length are cut; an empty table gives no rows; other columns are ignored.
     """
 
+    arrow_rows(documents.sparkSession, TEXT_ROWS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizers.setdefault(path, None) or WordTokenizer(path)
         _tokenizers[path] = own
@@ -174,13 +201,15 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids, sentences = own.encode(text.as_py() or "")
-                docs.append((doc_id, ids + end, sentences))
-                held += len(ids) // 4 + 1
-                if held >= BLOCK_IDS:
-                    yield close()
-                    held = 0
+            for at in range(0, b.num_rows, STEP):
+                part = b.slice(at, STEP)
+                encoded = own.encode([t or "" for t in part.column(1).to_pylist()])
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
+                    docs.append((doc_id, ids + end, own.sentence_places(ids)))
+                    held += len(ids) // 4 + 1
+                    if held >= BLOCK_IDS:
+                        yield close()
+                        held = 0
         if docs:
             yield close()
 

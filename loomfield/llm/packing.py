@@ -29,7 +29,7 @@ END_ID = 1
 #: Penalties, in ids of padding, of cuts at a sentence end and within a sentence.
 SENTENCE_CUT, TRUNCATION = 4.0, 12.0
 #: Distance of the grid places, and cells of which each offers one sentence end at most.
-GRID, CELL = 128, 16
+GRID, CELL = 256, 32
 #: Ids, at least, that are packed together; a task closes its sequences after each such block.
 BLOCK_IDS = 1 << 20
 #: Words, and runs between white space, that a worker remembers before it starts afresh, and documents whose new ones it encodes at once.

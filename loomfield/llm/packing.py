@@ -28,8 +28,8 @@ from loomfield.llm.tables import TEXT_ROWS, arrow_rows
 END_ID = 1
 #: Penalties, in ids of padding, of cuts at a sentence end and within a sentence.
 SENTENCE_CUT, TRUNCATION = 4.0, 12.0
-#: Distance of the grid places, and cells of which each offers one sentence end at most.
-GRID, CELL = 256, 32
+#: Distance of the grid places.
+GRID = 128
 #: Ids, at least, that are packed together; a task closes its sequences after each such block.
 BLOCK_IDS = 1 << 20
 #: Words, and runs between white space, that a worker remembers before it starts afresh, and documents whose new ones it encodes at once.
@@ -55,12 +55,10 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_sentence = self.ends_word.copy()
+        self.marks = self.ends_word.copy()
         for token, i in vocabulary.items():
-            if token.endswith(WORD_END):
-                core = token[: -len(WORD_END)]
-                self.ends_word[i] = True
-                self.ends_sentence[i] = any(c in SENTENCE_ENDS for c in core) and not any(map(str.isalnum, core))
+            self.ends_word[i] = token.endswith(WORD_END)
+            self.marks[i] = any(c in SENTENCE_ENDS for c in token)
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -101,9 +99,14 @@ class WordTokenizer:
         ]
 
     def sentence_places(self, ids: bytes) -> np.ndarray:
-        """The places after ids of punctuation that ends sentences."""
-        places = np.flatnonzero(self.ends_sentence[np.frombuffer(ids, "<u4")]) + 1
-        return places[np.r_[places[1:] // CELL != places[:-1] // CELL, True]] if len(places) else places
+        """The places after all words of punctuation that ends sentences."""
+        found = np.frombuffer(ids, "<u4")
+        marks = np.flatnonzero(self.marks[found])
+        if not len(marks):
+            return marks
+        ends = np.append(np.flatnonzero(self.ends_word[found]), len(found) - 1)
+        places = ends[np.searchsorted(ends, marks)] + 1
+        return places[np.r_[True, places[1:] != places[:-1]]]
 
 
 def cut_places(sizes: list[int], sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

@@ -72,6 +72,26 @@ def test_word_ids_equal_the_library():
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [library_.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_every_sentence_end_is_offered():
+    own = packing.WordTokenizer(VOCABULARY)
+    texts = ["Yes. No! Why? " * 50, "no end", "", "- one.\n- two.\n- three", 'she said "go.") .]}> then left?!.;', "tail ?"]
+    for text, ids in zip(texts, own.encode(texts), strict=True):
+        held = [own.library.id_to_token(i) for i in np.frombuffer(ids, "<u4").tolist()]
+        want, marked = [], False
+        for place, token in enumerate(held, 1):
+            marked |= any(c in ".!?" for c in token)
+            if marked and token.endswith("</w>"):
+                want.append(place)
+                marked = False
+        assert own.sentence_places(ids).tolist() == want
+    sizes = [len(i) // 4 + 1 for i in own.encode(texts)]
+    inner = [own.sentence_places(i) for i in own.encode(texts)]
+    places, penalty = packing.cut_places(sizes, inner)
+    offered = dict(zip(places.tolist(), penalty.tolist(), strict=True))
+    starts = np.cumsum([0, *sizes[:-1]])
+    assert all(offered[int(a + s)] <= packing.SENTENCE_CUT for a, own_places in zip(starts, inner, strict=True) for s in own_places)
+
+
 def cost(places, penalty, cuts, size):
     fee = dict(zip(places.tolist(), penalty.tolist(), strict=True))
     pad = lambda n: 0 if n & (n - 1) == 0 else size - n

@@ -4,9 +4,10 @@ Nearness |q - x|^2 = |q|^2 - 2 (q.x - |x|^2 / 2), so the search is for large
 q.x - |x|^2 / 2. The index keeps |x|^2 / 2 exactly and x as one of 16 codewords
 per subspace. Codewords and codes minimise |r|^2 + (eta - 1) (r.u)^2, where r is
 the residual and u the direction of x: error parallel to x changes large inner
-products most and is penalised. A query makes a table of 16 entries per
-subspace; tasks add table entries over all rows and rank the leaders again by
-the exact distance on the original vectors.
+products most and is penalised. Equal vectors are one row of the index with the smallest
+of their ids. A query makes a table of 16 entries per subspace; tasks add table
+entries over all rows and rank the leaders, with all that tie with the last one,
+again by the exact distance on the original vectors.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.tables import materialise
@@ -27,10 +28,10 @@ TRAIN_ROWS = 16_384
 WIDTH = 2
 #: Weight of parallel error follows from this threshold on the cosine.
 COSINE = 0.2
-#: Rows of each Arrow batch that are ranked again exactly for a query.
+#: Rows of each Arrow batch, at least, that are ranked again exactly for a query.
 RERANK = 384
-#: Queries scored at a time.
-STEP = 128
+#: Queries scored at a time, and pairs whose exact distance is taken at a time.
+STEP, PAIRS = 128, 65_536
 
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -87,8 +88,21 @@ def fit_codebooks(rows: np.ndarray, eta: float, rounds: int = 6, seed: int = 7)
     return books
 
 
+def distinct_vectors(vectors: DataFrame, dim: int, most: int) -> DataFrame:
+    """vec_id, embedding, vec_ids: each vector once, padded with zeros, with its smallest id and its ``most`` smallest ids in order."""
+    padded = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("embedding")))
+    rows = vectors.select("vec_id", padded.alias("embedding")).distinct()
+    # the limit on the rank holds before the shuffle too, so a common vector sends few rows to one task
+    place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
+    few = rows.withColumn("place", place).where(F.col("place") <= most)
+    grouped = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
+    # as many partitions as before, since each batch of each has its own leaders
+    spread = grouped.repartition(vectors.rdd.getNumPartitions(), "embedding")
+    return materialise(spread.select(F.col("vec_ids")[0].alias("vec_id"), "embedding", "vec_ids"), "vectors")
+
+
 def build_index(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
-    """All rows with packed 4-bit codes, as a table in the shared folder, and the codebooks."""
+    """All rows of distinct vectors with packed 4-bit codes, as a table in the shared folder, and the codebooks."""
     n = vectors.count()
     train = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(n // TRAIN_ROWS + 1)) == 0).toArrow().combine_chunks()
     if not train.num_rows:
@@ -104,11 +118,11 @@ def build_index(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array((x * x).sum(1) / 2)],
-                    ["vec_id", "embedding", "codes", "half"],
+                    [b.column(2), b.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array((x * x).sum(1) / 2)],
+                    ["vec_ids", "embedding", "codes", "half"],
                 )
 
-    return materialise(vectors.mapInArrow(index, "vec_id long, embedding array<double>, codes binary, half double"), "ann"), books
+    return materialise(vectors.mapInArrow(index, "vec_ids array<long>, embedding array<double>, codes binary, half double"), "ann"), books
 
 
 def _searcher(block, books, dim: int, k: int, rerank: int):
@@ -119,7 +133,11 @@ def _searcher(block, books, dim: int, k: int, rerank: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, x = dense(b.column(0), b.column(1), dim)
+            ids = b.column(0).flatten().to_numpy()
+            sizes = np.diff(b.column(0).offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            first, single = ids[starts], sizes == 1
+            x = dense(pa.array(first), b.column(1), dim)[1]
             packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(x), -1)
             codes = np.empty((len(x), 2 * packed.shape[1]), np.uint8)
             codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
@@ -128,15 +146,20 @@ def _searcher(block, books, dim: int, k: int, rerank: int):
                 near = -np.broadcast_to(half, (len(q[at : at + STEP]), len(x))).copy()
                 for m in range(len(books)):
                     near += tables[m, at : at + STEP][:, codes[:, m]]
-                near[qid[at : at + STEP, None] == ids] = -np.inf
-                top = np.argpartition(-near, min(rerank, len(x)) - 1, axis=1)[:, : min(rerank, len(x))]
-                qi, ci = np.repeat(np.arange(at, at + len(top)), top.shape[1]), top.ravel()
-                other = qid[qi] != ids[ci]
-                qi, ci = qi[other], ci[other]
-                exact = np.sqrt(((q[qi] - x[ci]) ** 2).sum(1))
-                held = [np.r_[h, n] for h, n in zip(held, (qi, ids[ci], exact), strict=True)]
-                keep = best(*held, k)
-                held = [h[keep] for h in held]
+                near[(qid[at : at + STEP, None] == first) & single] = -np.inf
+                last = len(x) - min(rerank, len(x))
+                cut = np.partition(near, last, axis=1)[:, last, None]
+                leaders = np.nonzero((near >= cut) & (near > -np.inf))
+                for some in range(0, len(leaders[0]), PAIRS):
+                    qi, ci = leaders[0][some : some + PAIRS] + at, leaders[1][some : some + PAIRS]
+                    exact = np.sqrt(((q[qi] - x[ci]) ** 2).sum(1))
+                    each = sizes[ci]
+                    own = np.repeat(starts[ci] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                    qi, vec, exact = np.repeat(qi, each), ids[own], np.repeat(exact, each)
+                    other = qid[qi] != vec
+                    held = [np.r_[h, n[other]] for h, n in zip(held, (qi, vec, exact), strict=True)]
+                    keep = best(*held, k)
+                    held = [h[keep] for h in held]
         yield pa.RecordBatch.from_arrays([pa.array(qid[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2])], ["query_id", "vec_id", "score"])
 
     return search
@@ -157,7 +180,7 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rer
     spark, dim = vectors.sparkSession, dimension(vectors)
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    indexed, books = build_index(vectors, dim)
+    indexed, books = build_index(distinct_vectors(vectors, dim, k + 1), dim)
     found = [
         indexed.mapInArrow(_searcher(spark.sparkContext.broadcast((qid, q)), books, dim, k, rerank), SCHEMA)
         for qid, q in query_blocks(vectors, every, dim)

@@ -2,8 +2,10 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,6 +77,34 @@ def test_neighbours_recall_and_scores(spark):
     assert hits >= 0.9 * total and ann.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_of_a_very_common_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(3000)]
+    rows = [(i, [1.0, 2.0] if i % 3 == 0 else v) for i, v in rows] + [(7, [1.0, 2.0]), (2999, [1.0, 2.0])]
+    close = {3001 + i: [1.0, 2.0, 0.001 * (i + 1)] for i in range(4)}
+    df = spark.createDataFrame(rows + list(close.items()), "vec_id long, embedding array<double>").repartition(4)
+    found = {}
+    for r in ann.nearest_neighbours(df, every=60, rerank=16).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    copies = sorted({i for i, v in rows if v == [1.0, 2.0]})
+    for q in range(0, 3000, 60):
+        assert sorted(found[q]) == [(n + 1, i, 0.0) for n, i in enumerate([i for i in copies if i != q][:10])]
+    got = sorted((r.rank, r.vec_id) for r in ann.nearest_neighbours(df, every=3001, rerank=16).where("query_id = 3001").collect())
+    points = {i: np.array([*v, *[0.0] * (8 - len(v))]) for i, v in [*((i, [1.0, 2.0]) for i in copies), *close.items()]}
+    want = sorted((float(np.sqrt(((points[3001] - p) ** 2).sum())), i) for i, p in points.items() if i != 3001)[:10]
+    assert [i for _, i in got] == [i for _, i in want]
+    assert ann.distinct_vectors(df, 8, 11).where("vec_id = 0").first().vec_ids == copies[:11]
+
+
+def test_neighbours_keep_ties_with_the_last_leader():
+    x = np.array([[3.0, 4.0], [4.0, 3.0], [-3.0, 4.0], [3.0, -4.0], [5.0, 0.0], [0.0, -5.0]])
+    batch = pa.RecordBatch.from_arrays([pa.array([[i + 10] for i in range(6)], pa.list_(pa.int64())), pa.array(x.tolist()), pa.array([b"\0"] * 6, pa.binary()), pa.array((x * x).sum(1) / 2)], ["vec_ids", "embedding", "codes", "half"])
+    block = SimpleNamespace(value=(np.array([1]), np.array([[3.5, 3.5]])))
+    got = next(ann._searcher(block, np.zeros((1, 16, 2)), 2, 3, 1)(iter([batch])))
+    want = sorted((float(np.linalg.norm(v - 3.5)), i + 10) for i, v in enumerate(x))[:3]
+    assert sorted((r["score"], r["vec_id"]) for r in got.to_pylist()) == want
+
+
 def test_anisotropic_codes_weigh_parallel_error():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 16))

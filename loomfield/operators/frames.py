@@ -5,9 +5,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Frames, about, of a block; a task compares two blocks of a job at a time.
+BLOCK = 1024
+
 
 def bit_signature(vec: Column) -> Column:
     """Array of 64-bit words with a bit per component: whether it reaches the mean."""
@@ -119,14 +123,56 @@ def select_frames(frames: DataFrame, most: int = 40, apart: float = 0.08, least:
     return _per_job(frames.select("job_id", "frame_id", "t", "scene_score", "signature"), pick, "job_id long, frame_id long, t double, reason string")
 
 
+def _blocks(frames: DataFrame) -> DataFrame:
+    """job_id, words, blocks, own, frame_id, t, signature, bits: each frame with its block of those of its job and length."""
+    rows = frames.where("job_id IS NOT NULL AND signature IS NOT NULL").withColumn("words", F.size("signature"))
+    sizes = rows.groupBy("job_id", "words").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("frame_id", "t"), F.col("blocks"))
+    return rows.join(sizes, ["job_id", "words"]).select("job_id", "words", "blocks", own.alias("own"), "frame_id", "t", "signature", "bits")
+
+
+def _differing(x: pa.Table, y: pa.Table) -> np.ndarray:
+    """(frames of x, frames of y) numbers of differing bits."""
+    a, b = (np.asarray(z["signature"].combine_chunks().flatten()).view(np.uint64).reshape(z.num_rows, -1) for z in (x, y))
+    out = np.zeros((len(a), len(b)), np.int64)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[:, w])
+    return out
+
+
+def _in_pairs(x: DataFrame, y: DataFrame, function, schema: str) -> DataFrame:
+    """The function of the two Arrow tables of each pair of blocks (i, j)."""
+    keys = ["job_id", "words", "i", "j"]
+    y = y.select(*[F.col(c).alias(c) for c in y.columns])  # columns of its own, as both come from the same rows
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(function, schema)
+
+
 def nearest_distance(frames: DataFrame) -> DataFrame:
-    """job_id, frame_id, nearest: smallest Hamming ratio to an earlier frame of the job, 1 for the first."""
-    a = frames.select("job_id", "frame_id", "t", "signature", "bits").alias("a")
-    b = frames.select("job_id", F.col("frame_id").alias("other"), F.col("t").alias("tb"), F.col("signature").alias("sb")).alias("b")
-    earlier = (F.col("b.tb") < F.col("a.t")) | ((F.col("b.tb") == F.col("a.t")) & (F.col("b.other") < F.col("a.frame_id")))
-    joined = a.join(b, (F.col("a.job_id") == F.col("b.job_id")) & earlier, "left")
-    ratio = hamming_ratio(F.col("signature"), F.col("sb"), F.col("bits"))
-    return joined.groupBy("a.job_id", "a.frame_id").agg(F.coalesce(F.round(F.min(ratio), 6), F.lit(1.0)).alias("nearest"))
+    """job_id, frame_id, nearest: smallest Hamming ratio to an earlier frame of the job, 1 for the first.
+
+    Each pair of blocks of a job gives a minimum for each frame of the first.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    schema = f"job_id {kinds['job_id']}, frame_id {kinds['frame_id']}, ratio double"
+    least, largest = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+    def minima(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not x.num_rows or not y.num_rows:
+            return pa.table([x["job_id"][:0], x["frame_id"][:0], pa.array([], pa.float64())], ["job_id", "frame_id", "ratio"])
+        ta, tb = (z["t"].to_numpy().astype(float) for z in (x, y))
+        ia, ib = (z["frame_id"].fill_null(fill).to_numpy() for z, fill in ((x, least), (y, largest)))
+        earlier = (tb < ta[:, None]) | ((tb == ta[:, None]) & (ib < ia[:, None]))
+        bits = x["bits"].to_numpy()
+        found = np.where(earlier, _differing(x, y), largest).min(1)
+        hit = np.flatnonzero(found < largest)
+        return pa.table([x["job_id"].take(hit), x["frame_id"].take(hit), pa.array(found[hit] / bits[hit])], ["job_id", "frame_id", "ratio"])
+
+    rows = _blocks(frames)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    x = rows.select("job_id", "words", F.col("own").alias("i"), every.alias("j"), "frame_id", "t", "signature", "bits")
+    y = rows.select("job_id", "words", every.alias("i"), F.col("own").alias("j"), "frame_id", "t", "signature")
+    found = frames.select("job_id", "frame_id", F.lit(None).cast("double").alias("ratio")).unionByName(_in_pairs(x, y, minima, schema))
+    return found.groupBy("job_id", "frame_id").agg(F.coalesce(F.round(F.min("ratio"), 6), F.lit(1.0)).alias("nearest"))
 
 
 def pick_evenly(times: np.ndarray, scores: np.ndarray, k: int) -> list[int]:
@@ -170,24 +216,51 @@ def frame_coverage(selected: DataFrame, meta: DataFrame) -> DataFrame:
 def near_duplicate_frames(frames: DataFrame, ratio: float) -> DataFrame:
     """job_id, a, b (a < b), ratio of frames of a job whose signatures differ in at most that share of bits.
 
-    Blocking keeps a large job from pairing all its frames: with d the most bits
-    that may differ, one of the signature's d + 1 equal strips must be the same
-    in both where d + 1 strips of at least 8 bits exist; a pair is reported once.
-    Without such strips the job is the only key, with the test as its residual.
+    With d the most bits that may differ, one of d + 1 strips of the signature
+    must be the same in both, so strips are join keys where they have at least 8
+    bits; a pair is reported once. Otherwise blocks of a job are compared two at
+    a time, and only hits leave the task: every frame still meets every other.
     """
-    a = frames.select("job_id", F.col("frame_id").alias("a"), F.col("signature").alias("sa"), "bits")
-    b = frames.select("job_id", F.col("frame_id").alias("b"), F.col("signature").alias("sb"))
-    bits = frames.select("bits").first()
-    strips = int(bits[0] * ratio) + 1 if bits else 1
-    if bits and bits[0] // strips >= 8 and bits[0] % 64 == 0 and 64 % (bits[0] // strips) == 0:
-        size = bits[0] // strips
-        strip = lambda s: F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(s[i * size // 64], i * size % 64).bitwiseAND(F.lit((1 << size) - 1)).alias("v")) for i in range(strips)]))
+    frames = frames.where("frame_id IS NOT NULL")
+    shape = frames.agg(F.max("bits"), F.max(F.size("signature"))).first()
+    bits, words = shape[0] or 0, shape[1] or 0
+    strips = int(bits * (ratio + 1e-6)) + 1  # the ratio is compared when rounded to six places
+    if bits // strips >= 8:
+        a = frames.select("job_id", F.col("frame_id").alias("a"), F.col("signature").alias("sa"), "bits")
+        b = frames.select("job_id", F.col("frame_id").alias("b"), F.col("signature").alias("sb"))
+
+        def strip(s: Column) -> Column:
+            """Strips of equal or nearly equal numbers of bits of all words; one over two words has both parts."""
+            edges, parts = [64 * words * n // strips for n in range(strips + 1)], []
+            for n, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                values = []
+                for w in range(low // 64, (high - 1) // 64 + 1):
+                    start, stop = max(low - 64 * w, 0), min(high - 64 * w, 64)
+                    word = F.shiftrightunsigned(F.coalesce(F.get(s, F.lit(w)), F.lit(0).cast("long")), start)
+                    values.append(word if stop - start == 64 else word.bitwiseAND(F.lit((1 << stop - start) - 1)))
+                parts.append(F.struct(F.lit(n).alias("i"), F.array(*values).alias("v")))
+            return F.explode(F.array(*parts))
+
         a, b = a.withColumn("strip", strip(F.col("sa"))), b.withColumn("strip", strip(F.col("sb")))
         pairs = a.join(b, ["job_id", "strip"]).where("a < b").dropDuplicates(["job_id", "a", "b"])
-    else:
-        pairs = a.join(b, "job_id").where("a < b")
-    found = hamming_ratio(F.col("sa"), F.col("sb"), F.col("bits"))
-    return pairs.select("job_id", "a", "b", F.round(found, 6).alias("ratio")).where(F.col("ratio") <= ratio)
-
-
+        found = hamming_ratio(F.col("sa"), F.col("sb"), F.col("bits"))
+        return pairs.select("job_id", "a", "b", F.round(found, 6).alias("ratio")).where(F.col("ratio") <= ratio)
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    schema = f"job_id {kinds['job_id']}, a {kinds['frame_id']}, b {kinds['frame_id']}, ratio double"
+
+    def hits(x: pa.Table, y: pa.Table) -> pa.Table:
+        names = ["job_id", "a", "b", "ratio"]
+        if not x.num_rows or not y.num_rows:
+            return pa.table([x["job_id"][:0], x["frame_id"][:0], x["frame_id"][:0], pa.array([], pa.float64())], names)
+        ia, ib = (z["frame_id"].to_numpy() for z in (x, y))
+        ascending = ia[:, None] < ib
+        own = x["i"][0].as_py() == x["j"][0].as_py()
+        share = _differing(x, y) / np.where(ascending, x["bits"].to_numpy()[:, None], y["bits"].to_numpy())
+        m, n = np.nonzero((share <= ratio + 1e-6) & (ascending if own else ia[:, None] != ib))
+        up = ascending[m, n]
+        return pa.table([x["job_id"].take(m), pa.array(np.where(up, ia[m], ib[n])), pa.array(np.where(up, ib[n], ia[m])), pa.array(share[m, n])], names)
+
+    rows = _blocks(frames)
+    x = rows.select("job_id", "words", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "frame_id", "signature", "bits")
+    y = rows.select("job_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), "frame_id", "signature", "bits")
+    return _in_pairs(x, y, hits, schema).withColumn("ratio", F.round("ratio", 6)).where(F.col("ratio") <= ratio)

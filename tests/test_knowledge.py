@@ -1,6 +1,9 @@
 """Evidence, frames, quality, ledgers and catalog on hand-written rows and against plain specifications."""
 
+import random
+
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -79,6 +82,25 @@ def test_strips_find_the_same_pairs(spark):
         assert frames.near_duplicate_frames(f, ratio).count() == every.where(F.col("r") <= ratio).count()
 
 
+@pytest.mark.parametrize("ratio", [0.08, 0.36])
+def test_large_jobs_meet_in_blocks(spark, monkeypatch, ratio):
+    monkeypatch.setattr(frames, "BLOCK", 16)
+    rng = random.Random(3)
+    base = [[rng.random() for _ in range(64)] for _ in range(12)]
+    vecs = [(n % 7 // 6, n, float(n // 2), [x if rng.random() > 0.05 else rng.random() for x in base[n % 12]]) for n in range(150)]
+    vecs += [(1, 500 + n, 1.0, base[n][:50] + base[n]) for n in range(3)]
+    f = frames.with_signatures(spark.createDataFrame(vecs, "job_id long, frame_id long, t double, vec array<double>"))
+    kept = [(r.job_id, r.frame_id, r.t, r.signature, r.bits) for r in f.collect()]
+    apart = lambda x, y: sum((p ^ q).bit_count() if (p < 0) == (q < 0) else ((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x[3], y[3], strict=True)) / x[4]
+    near = [(x[0], x[1], y[1], round(apart(x, y), 6)) for x in kept for y in kept if x[0] == y[0] and x[1] < y[1] and x[4] == y[4]]
+    pairs = frames.near_duplicate_frames(f, ratio)
+    assert rows(pairs, "job_id", "a", "b", "ratio") == sorted((p for p in near if p[3] <= ratio), key=repr)
+    first = [(x[0], x[1], min((round(apart(x, y), 6) for y in kept if x[0] == y[0] and x[4] == y[4] and (y[2], y[1]) < (x[2], x[1])), default=1.0)) for x in kept]
+    assert rows(frames.nearest_distance(f), "job_id", "frame_id", "nearest") == sorted(first, key=repr)
+    plan = frames.near_duplicate_frames(f, ratio)._jdf.queryExecution().toString()
+    assert ("FlatMapCoGroupsInArrow" in plan) == (ratio == 0.36) and ("strip" in plan) == (ratio == 0.08)
+
+
 def test_schema_rules(spark):
     df = spark.createDataFrame([(1, '{"a": "xx", "n": 3, "l": ["p", "q"]}'), (2, '{"a": "", "n": 30, "l": ["p", "p"], "z": 1}'), (3, '{"n": "no", "l": 4}'), (4, "[1]")], "job_id long, json string")
     rules = [{"path": "a", "required": True, "min_length": 1, "pattern": "x*"}, {"path": "n", "type": "number", "maximum": 9}, {"path": "l", "type": "array", "unique_items": True}]

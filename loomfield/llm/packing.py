@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
-from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+from loomfield.llm.tables import bound_batches, slices
 
 #: Ids that end each document.
 END_ID = 1
@@ -32,26 +35,47 @@ SENTENCE_CUT, TRUNCATION = 4.0, 12.0
 GRID = 128
 #: Ids, at least, that are packed together; a task closes its sequences after each such block.
 BLOCK_IDS = 1 << 20
-#: Words, and runs between white space, that a worker remembers before it starts afresh, and documents whose new ones it encodes at once.
-REMEMBERED = 250_000
-STEP = 64
+#: Words that a worker remembers twice over, and bytes of the longest of them (at most about 50 MB).
+REMEMBERED, LONGEST = 100_000, 40
+#: Characters encoded at a time, and documents of a slice.
+WINDOW, STEP = 1 << 21, 512
 
-#: The split pattern and the special tokens of the vocabulary file, and characters
-#: on which its normalisation is lower-casing alone.
-#: WORDS is the split pattern for texts of those characters in lower case.
+#: Kinds of characters and word endings in the split pattern, the special tokens of the
+#: vocabulary file, and the characters on which its normalisation is lower-casing alone.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
-WORDS = re.compile(f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 WORD_END, SENTENCE_ENDS = "</w>", ".!?"
 SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ÿ]")
+BLANK = re.compile(r"[\t\n\r\x20]")
+LETTER, NUMBER, OTHER = 1, 2, 3
+KINDS = np.array(
+    [0 if chr(c).isspace() else LETTER if re.match(f"[{LETTERS}]", chr(c)) else NUMBER if re.match(f"[{NUMBERS}]", chr(c)) else OTHER for c in range(256)], np.uint8
+)
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _windows(text: str) -> list[str]:
+    """The text in parts of about WINDOW characters that end after white space, across which no word reaches."""
+    out, at = [], 0
+    while len(text) - at > WINDOW:
+        space = BLANK.search(text, at + WINDOW)
+        if not space:
+            break
+        out.append(text[at : space.end()])
+        at = space.end()
+    return [*out, text[at:]]
+
+
 class WordTokenizer:
-    """Ids of a vocabulary file by its library, with the ids of words and of runs between white space remembered."""
+    """Ids of a vocabulary file by its library, each distinct word of a slice of texts looked up or merged once.
 
-    def __init__(self, path: str):
+    Texts are split into words by array operations on their Latin-1 bytes; texts
+    with other characters go to the library whole.
+    """
+
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -59,47 +83,74 @@ class WordTokenizer:
         for token, i in vocabulary.items():
             self.ends_word[i] = token.endswith(WORD_END)
             self.marks[i] = any(c in SENTENCE_ENDS for c in token)
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words in one call; the last id of each is one that ends a word."""
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words.clear()
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-        data = ids.tobytes()
-        self.words.update({w: data[a:b] for w, a, b in zip(words, [0, *ends[:-1]], ends, strict=True)})
-
-    def _compose(self, runs: list[str]) -> None:
-        """Put new runs of characters between white space together from their words, which never cross white space."""
-        if len(self.runs) + len(runs) > REMEMBERED:
-            self.runs.clear()
-        split = list(map(WORDS.findall, runs))
-        known = {w: self.words.get(w) for words in split for w in words}
-        new = [w for w, ids in known.items() if ids is None]
-        if new:
-            self._learn(new)
-            known.update({w: self.words[w] for w in new})
-        self.runs.update({r: known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words]) for r, words in zip(runs, split, strict=True)})
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
+        # two generations: when the newer one is full it becomes the older one, and words met again come back from there
+        self.remembered, self.newer, self.older = remembered, {}, {}
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words."""
+        found = list(map(self.newer.get, words))
+        for n, ids in enumerate(found):
+            if ids is None:
+                word = words[n]
+                found[n] = ids = self.older.get(word) or self._merged(word)
+                if len(word) <= LONGEST:
+                    self.newer[word] = ids
+        if len(self.newer) > self.remembered:
+            self.older, self.newer = self.newer, {}
+        return found
+
+    def _merged(self, word: bytes) -> bytes:
+        text = word.decode("latin-1")
+        return array("I", [t.id for t in self.library.model.tokenize(text if text.isascii() else text.translate(self.spelling))]).tobytes()
+
+    def _usual(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts of usual characters."""
+        data = np.frombuffer("\n".join([*texts, ""]).lower().encode("latin-1"), np.uint8)
+        kind = KINDS[data]
+        begins = kind > 0
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        mark = np.flatnonzero(begins & (data == ord("'")))
+        after = data[np.minimum(mark[:, None] + [1, 2, 3], len(data) - 1)]
+        for ending in ENDINGS:
+            n = len(ending)
+            at = mark[(after[:, :n] == np.frombuffer(ending, np.uint8)).all(1)]
+            begins[at + 1] = False
+            begins[at + 1 + n] = kind[at + 1 + n] > 0
+        filled = kind > 0
+        starts = np.flatnonzero(begins)
+        offsets = np.append(np.cumsum(filled, dtype=np.int32)[starts] - 1, np.count_nonzero(filled)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[filled])]).dictionary_encode()
+        ids = self._ids_of(words.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = np.cumsum(sizes) - sizes
+        code = words.indices.to_numpy()
+        each = sizes[code]
+        ends = np.cumsum(each)
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place[code] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        lines = np.cumsum([len(t) + 1 for t in texts])
+        return np.split(out, np.append(0, ends)[np.searchsorted(starts, lines[:-1])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        usual = [not (UNUSUAL.search(t) or any(s in t for s in SPECIAL)) for t in texts]
-        runs = [t.lower().split() if u else [] for t, u in zip(texts, usual, strict=True)]
-        found = [list(map(self.runs.get, r)) for r in runs]
-        new = {r: None for own, got in zip(runs, found, strict=True) if None in got for r, g in zip(own, got, strict=True) if g is None}
-        if new:
-            self._compose(list(new))
-            get = self.runs.get
-            found = [[get(r) if g is None else g for r, g in zip(own, got, strict=True)] if None in got else got for own, got in zip(runs, found, strict=True)]
-        return [
-            b"".join(got) if own else np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            for text, own, got in zip(texts, usual, found, strict=True)
-        ]
+        parts = [_windows(t) for t in texts]
+        flat = [p for own in parts for p in own]
+        usual = [not (UNUSUAL.search(t) or any(s in t for s in SPECIAL)) for t in flat]
+        found: list[np.ndarray] = []
+        some = [t for t, u in zip(flat, usual, strict=True) if u]
+        held, at = 0, 0
+        for n, t in enumerate(some):
+            held += len(t)
+            if held >= WINDOW or n + 1 == len(some):
+                found += self._usual(some[at : n + 1])
+                at, held = n + 1, 0
+        easy = iter(found)
+        ids = iter([(next(easy) if u else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4")).tobytes() for t, u in zip(flat, usual, strict=True)])
+        return [b"".join([next(ids) for _ in own]) for own in parts]
 
     def sentence_places(self, ids: bytes) -> np.ndarray:
-        """The places after all words of punctuation that ends sentences."""
+        """The places after all words of punctuation that ends sentences; ids of one text, or of many, one after the other."""
         found = np.frombuffer(ids, "<u4")
         marks = np.flatnonzero(self.marks[found])
         if not len(marks):
@@ -110,12 +161,16 @@ class WordTokenizer:
 
 
 def cut_places(sizes: list[int], sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted places of a line of documents where a cut may fall, and their penalties."""
+    """Sorted places of a line of documents where a cut may fall, and their penalties; sentence ends count within each document."""
     ends = np.cumsum(sizes)
+    return line_places(ends, np.concatenate([s + (e - n) for s, e, n in zip(sentences, ends, sizes, strict=True)]) if sentences else ends[:0])
+
+
+def line_places(ends: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``cut_places`` for sentence ends counted in the whole line."""
     total = int(ends[-1])
     grid = np.arange(GRID, total, GRID)
     tail = np.array([total - total % (1 << n) for n in range(12)])  # powers of two that use up the rest
-    inner = np.concatenate([s + (e - n) for s, e, n in zip(sentences, ends, sizes, strict=True)]) if sentences else grid[:0]
     places = np.concatenate([[0], ends, inner, grid, tail[tail > 0]]).astype(np.int64)
     penalty = np.concatenate([[0.0], np.zeros(len(ends)), np.full(len(inner), SENTENCE_CUT), np.full(len(grid) + int((tail > 0).sum()), TRUNCATION)])
     order = np.lexsort((penalty, places))
@@ -127,49 +182,50 @@ def cut_places(sizes: list[int], sentences: list[np.ndarray]) -> tuple[np.ndarra
 def best_cuts(places: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
     """The places, from first to last, that minimise padding plus penalties. Places lie at most ``size`` apart."""
     at, fee = places.tolist(), penalty.tolist()
-    exact: dict[int, list[int]] = {}
+    ends, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for power in [1 << n for n in range(size.bit_length()) if 1 << n <= size]:
         found = np.minimum(np.searchsorted(places, places - power), len(at) - 1)
-        for i in np.flatnonzero(places[found] == places - power).tolist():
-            exact.setdefault(i, []).append(int(found[i]))
-    # reach[i] is the cost of the best cuts up to place i, plus the place
-    reach, back, queue, head, tail = [0.0] * len(at), [0] * len(at), [0] * len(at), 0, 0
+        ends.append(np.flatnonzero(places[found] == places - power))
+        starts.append(found[ends[-1]])
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    exact = np.concatenate(starts)[order].tolist()
+    first = np.searchsorted(np.concatenate(ends)[order], np.arange(len(at) + 1)).tolist()
+    # cost[i] is that of the best cuts up to place i; reach[i] adds the place
+    cost, reach, back, queue, head, value = [0.0], [0.0], [0], [], 0, 0.0
     for i in range(1, len(at)):
-        value, b = reach[i - 1], at[i]
-        while tail > head and reach[queue[tail - 1]] >= value:
-            tail -= 1
-        queue[tail] = i - 1
-        tail += 1
+        while len(queue) > head and reach[queue[-1]] >= value:
+            queue.pop()
+        queue.append(i - 1)
+        b = at[i]
         while at[queue[head]] < b - size:
             head += 1
         start = queue[head]
-        least = reach[start] + size
-        if i in exact:
-            for j in exact[i]:
-                if reach[j] - at[j] + b < least:
-                    least, start = reach[j] - at[j] + b, j
-        reach[i], back[i] = least + fee[i], start
+        least = reach[start] + size - b
+        for j in exact[first[i] : first[i + 1]]:
+            if cost[j] < least:
+                least, start = cost[j], j
+        least += fee[i]
+        value = least + b
+        cost.append(least)
+        reach.append(value)
+        back.append(start)
     cuts = [len(at) - 1]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])
     return [at[i] for i in reversed(cuts)]
 
 
-def _pieces(docs: list[tuple], size: int, first_sequence: int) -> tuple[list[tuple], int]:
-    """Rows of the pieces of a block of (doc_id, ids, sentence ends), and the number of sequences."""
-    sizes = [len(ids) // 4 for _, ids, _ in docs]
-    cuts = best_cuts(*cut_places(sizes, [s[s < n] for (_, _, s), n in zip(docs, sizes, strict=True)]), size)
-    rows, starts = [], [0, *np.cumsum(sizes).tolist()]
-    for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        d, at = bisect_right(starts, a) - 1, a
-        while at < b:
-            stop = min(b, starts[d + 1])
-            doc_id, ids, _ = docs[d]
-            own = at - starts[d]
-            crc = zlib.crc32(memoryview(ids)[4 * own : 4 * (own + stop - at)])
-            rows.append((doc_id, own, stop - at, crc, sizes[d], first_sequence + n, at - a))
-            at, d = stop, d + 1
-    return rows, len(cuts) - 1
+def _pieces(ids: list[int], line: bytes, ends: np.ndarray, sentences: np.ndarray, size: int, first_sequence: int) -> tuple[list[np.ndarray], int]:
+    """Columns of the pieces of a block of documents whose ids end, in the line, at ``ends``, and the number of sequences."""
+    cuts = np.array(best_cuts(*line_places(ends, sentences), size), np.int64)
+    starts = ends - np.diff(np.append(0, ends))
+    begin = np.union1d(cuts[:-1], starts)
+    length = np.diff(np.append(begin, ends[-1]))
+    doc, sequence = np.searchsorted(ends, begin, "right"), np.searchsorted(cuts, begin, "right") - 1
+    held = memoryview(line)
+    crc = np.array([zlib.crc32(held[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), length.tolist(), strict=True)], np.int64)
+    own = (ends - starts)[doc]
+    return [pa.array(ids).take(pa.array(doc)), begin - starts[doc], length, crc, own, first_sequence + sequence, begin - cuts[sequence]], len(cuts) - 1
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -186,34 +242,36 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048) -> DataFra
     length are cut; an empty table gives no rows; other columns are ignored.
     """
 
-    arrow_rows(documents.sparkSession, TEXT_ROWS)
+    bound_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizers.setdefault(path, None) or WordTokenizer(path)
         _tokenizers[path] = own
         sequence, end = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40, np.array([END_ID], "<u4").tobytes()
-        docs: list[tuple] = []
+        names = [f.split()[0] for f in SCHEMA.split(", ")]
+        doc_ids: list[int | None] = []
+        ids: list[bytes] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal sequence
-            rows, n = _pieces(docs, size, sequence)
+            line, ends = b"".join(ids), np.cumsum([len(i) // 4 for i in ids])
+            columns, n = _pieces(doc_ids, line, ends, own.sentence_places(line), size, sequence)
             sequence += n
-            docs.clear()
-            names = [f.split()[0] for f in SCHEMA.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+            doc_ids.clear()
+            ids.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
         for b in batches:
-            for at in range(0, b.num_rows, STEP):
-                part = b.slice(at, STEP)
-                encoded = own.encode([t or "" for t in part.column(1).to_pylist()])
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoded, strict=True):
-                    docs.append((doc_id, ids + end, own.sentence_places(ids)))
-                    held += len(ids) // 4 + 1
+            for part in slices(b, 1, STEP):
+                for doc_id, found in zip(part.column(0).to_pylist(), own.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                    doc_ids.append(doc_id)
+                    ids.append(found + end)
+                    held += len(found) // 4 + 1
                     if held >= BLOCK_IDS:
                         yield close()
                         held = 0
-        if docs:
+        if ids:
             yield close()
 
-    return documents.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)

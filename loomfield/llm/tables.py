@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,29 +19,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where none is, as in tests."""
+    """The cluster's shared folder; in local mode, as in tests, a temporary one where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def materialise(df: DataFrame, label: str, shuffled: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again.
 
-    The result survives the loss of any executor and is computed once.
+    The result survives the loss of any executor and is computed once. With
+    ``shuffled``, for what an exchange has just dealt, each core writes a few files
+    at most, however many partitions there are.
     """
     spark = df.sparkSession
+    df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if shuffled else df
     path = f"{shared_dir(spark)}/loomfield-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for the given tables; nothing that is still to run may read them."""
+    for table_ in tables:
+        path = _paths.pop(table_, None)
+        if path:
+            spark = table_.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Bytes of an Arrow batch that Spark hands to a Python worker, about, and of the slices that operators cut it into.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes; one setting for all operators, and one that is there already stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, column: int, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and, but for a single longer value, SLICE_BYTES of a string column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
-#: Rows of an Arrow batch of whole texts, and of slim rows or vectors.
 TEXT_ROWS, SLIM_ROWS = 1024, 10_000
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """How many rows a Python worker is handed at a time from here on; long texts need few."""
+    """How many rows a Python worker is handed at a time from here on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -6,8 +6,9 @@ per subspace. Codewords and codes minimise |r|^2 + (eta - 1) (r.u)^2, where r is
 the residual and u the direction of x: error parallel to x changes large inner
 products most and is penalised. Equal vectors are one row of the index with the smallest
 of their ids. A query makes a table of 16 entries per subspace; tasks add table
-entries over all rows and rank the leaders, with all that tie with the last one,
-again by the exact distance on the original vectors.
+entries over all rows and keep each query's leaders; the leaders of the whole table,
+with all that tie with the last one, are ranked again by the exact distance on the
+original vectors. So the result does not depend on how rows are dealt to tasks.
 """
 
 from __future__ import annotations
@@ -20,20 +21,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm.tables import materialise
-from loomfield.llm.vectors import best, dense, dimension, query_blocks, ranked, union_all, valid_vectors
+from loomfield.llm.vectors import dense, dimension, query_blocks, ranked, search_blocks, valid_vectors
 
 #: Rows, at most about, that the codebooks are fitted on (chosen by a hash of the id); every row is indexed.
 TRAIN_ROWS = 16_384
 #: Dimensions of a subspace.
-WIDTH = 2
+WIDTH = 1
 #: Weight of parallel error follows from this threshold on the cosine.
 COSINE = 0.2
-#: Rows of each Arrow batch, at least, that are ranked again exactly for a query.
-RERANK = 384
-#: Queries scored at a time, and pairs whose exact distance is taken at a time.
-STEP, PAIRS = 128, 65_536
+#: Rows of the whole table, at least, that are ranked again exactly for a query.
+RERANK = 200
+#: Queries that one job searches for, that are scored at a time, and pairs whose exact distance is taken at a time.
+QUERY_BLOCK, STEP, PAIRS = 4096, 128, 65_536
 
-SCHEMA = "query_id long, vec_id long, score double"
+SCHEMA = "query_id long, key long, near double, score double"
 
 
 def _padded(x: np.ndarray, width: int) -> np.ndarray:
@@ -89,24 +90,23 @@ def fit_codebooks(rows: np.ndarray, eta: float, rounds: int = 6, seed: int = 7)
 
 
 def distinct_vectors(vectors: DataFrame, dim: int, most: int) -> DataFrame:
-    """vec_id, embedding, vec_ids: each vector once, padded with zeros, with its smallest id and its ``most`` smallest ids in order."""
+    """key, vec_id, embedding, vec_ids: each vector once, padded with zeros, with a number, its smallest id and its ``most`` smallest ids in order."""
     padded = F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(dim) - F.size("embedding")))
     rows = vectors.select("vec_id", padded.alias("embedding")).distinct()
     # the limit on the rank holds before the shuffle too, so a common vector sends few rows to one task
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = rows.withColumn("place", place).where(F.col("place") <= most)
     grouped = few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("vec_ids"))
-    # as many partitions as before, since each batch of each has its own leaders
-    spread = grouped.repartition(vectors.rdd.getNumPartitions(), "embedding")
-    return materialise(spread.select(F.col("vec_ids")[0].alias("vec_id"), "embedding", "vec_ids"), "vectors")
+    return materialise(grouped.select(F.monotonically_increasing_id().alias("key"), F.col("vec_ids")[0].alias("vec_id"), "embedding", "vec_ids"), "vectors", True)
 
 
 def build_index(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
     """All rows of distinct vectors with packed 4-bit codes, as a table in the shared folder, and the codebooks."""
     n = vectors.count()
-    train = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(n // TRAIN_ROWS + 1)) == 0).toArrow().combine_chunks()
+    slim = vectors.select("vec_id", "embedding")
+    train = slim.where(F.pmod(F.xxhash64("vec_id"), F.lit(n // TRAIN_ROWS + 1)) == 0).orderBy("vec_id", "embedding").toArrow().combine_chunks()
     if not train.num_rows:
-        train = vectors.limit(TRAIN_ROWS).toArrow().combine_chunks()
+        train = slim.orderBy("vec_id", "embedding").limit(TRAIN_ROWS).toArrow().combine_chunks()
     eta = max(1.0, (dim - 1) * COSINE**2 / (1 - COSINE**2))
     books = fit_codebooks(dense(train["vec_id"].combine_chunks(), train["embedding"], dim)[1], eta)
 
@@ -118,49 +118,58 @@ def build_index(vectors: DataFrame, dim: int) -> tuple[DataFrame, np.ndarray]:
                 codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
                 packed = codes[:, ::2] | codes[:, 1::2] << 4
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(2), b.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array((x * x).sum(1) / 2)],
-                    ["vec_ids", "embedding", "codes", "half"],
+                    [b.column(0), b.column(1), pa.array([r.tobytes() for r in packed], pa.binary()), pa.array((x * x).sum(1) / 2)],
+                    ["key", "embedding", "codes", "half"],
                 )
 
-    return materialise(vectors.mapInArrow(index, "vec_ids array<long>, embedding array<double>, codes binary, half double"), "ann"), books
+    coded = vectors.select("key", "embedding").mapInArrow(index, "key long, embedding array<double>, codes binary, half double")
+    return materialise(coded, "ann"), books
 
 
-def _searcher(block, books, dim: int, k: int, rerank: int):
+def leading(query: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
+    """Places of each query's ``most`` largest values, and of all that equal the last of them, sorted by query."""
+    order = np.lexsort((-near, query))
+    q, v = query[order], near[order]
+    starts = np.searchsorted(q, q, "left")
+    last = np.minimum(starts + most, np.searchsorted(q, q, "right")) - 1
+    return order[v >= v[last]]
+
+
+def _searcher(block, books, dim: int, rerank: int):
+    """A task that emits its rows that lead a query by their codes, with that value and the exact distance."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = block.value
         tables = np.einsum("qmw,mcw->mqc", _padded(q, WIDTH), books).astype(np.float32)
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        tables = np.pad(tables, ((0, len(tables) % 2), (0, 0), (0, 0)))
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0)]
+        cut = np.full(len(q), -np.inf, np.float32)
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).flatten().to_numpy()
-            sizes = np.diff(b.column(0).offsets.to_numpy())
-            starts = np.cumsum(sizes) - sizes
-            first, single = ids[starts], sizes == 1
-            x = dense(pa.array(first), b.column(1), dim)[1]
-            packed = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(x), -1)
-            codes = np.empty((len(x), 2 * packed.shape[1]), np.uint8)
-            codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
+            ids, x = dense(b.column(0), b.column(1), dim)
+            packed = np.ascontiguousarray(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(x), -1).T)
             half = b.column(3).to_numpy().astype(np.float32)
             for at in range(0, len(q), STEP):
                 near = -np.broadcast_to(half, (len(q[at : at + STEP]), len(x))).copy()
-                for m in range(len(books)):
-                    near += tables[m, at : at + STEP][:, codes[:, m]]
-                near[(qid[at : at + STEP, None] == first) & single] = -np.inf
+                for m, pair in enumerate(packed):  # two codes in a byte, and a table of both
+                    own = tables[2 * m : 2 * m + 2, at : at + STEP]
+                    near += (own[1][:, :, None] + own[0][:, None, :]).reshape(len(near), 256)[:, pair]
                 last = len(x) - min(rerank, len(x))
-                cut = np.partition(near, last, axis=1)[:, last, None]
-                leaders = np.nonzero((near >= cut) & (near > -np.inf))
+                least = np.maximum(np.partition(near, last, axis=1)[:, last], cut[at : at + STEP])
+                leaders = np.nonzero(near >= least[:, None])
                 for some in range(0, len(leaders[0]), PAIRS):
-                    qi, ci = leaders[0][some : some + PAIRS] + at, leaders[1][some : some + PAIRS]
-                    exact = np.sqrt(((q[qi] - x[ci]) ** 2).sum(1))
-                    each = sizes[ci]
-                    own = np.repeat(starts[ci] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-                    qi, vec, exact = np.repeat(qi, each), ids[own], np.repeat(exact, each)
-                    other = qid[qi] != vec
-                    held = [np.r_[h, n[other]] for h, n in zip(held, (qi, vec, exact), strict=True)]
-                    keep = best(*held, k)
-                    held = [h[keep] for h in held]
-        yield pa.RecordBatch.from_arrays([pa.array(qid[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2])], ["query_id", "vec_id", "score"])
+                    qi, ci = leaders[0][some : some + PAIRS], leaders[1][some : some + PAIRS]
+                    exact = np.sqrt(((q[qi + at] - x[ci]) ** 2).sum(1))
+                    held = [np.r_[h, n] for h, n in zip(held, (qi + at, ids[ci], near[qi, ci], exact), strict=True)]
+            keep = leading(held[0], held[2], rerank)
+            held = [h[keep] for h in held]
+            who, n = np.unique(held[0], return_counts=True)
+            full, ends = n >= rerank, np.cumsum(n) - 1
+            cut[who[full]] = held[2][ends[full]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(qid[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2].astype(np.float64)), pa.array(held[3])], ["query_id", "key", "near", "score"]
+        )
 
     return search
 
@@ -180,9 +189,18 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rer
     spark, dim = vectors.sparkSession, dimension(vectors)
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    indexed, books = build_index(distinct_vectors(vectors, dim, k + 1), dim)
-    found = [
-        indexed.mapInArrow(_searcher(spark.sparkContext.broadcast((qid, q)), books, dim, k, rerank), SCHEMA)
-        for qid, q in query_blocks(vectors, every, dim)
-    ]
-    return ranked(union_all(found, spark.createDataFrame([], SCHEMA)), k, largest_first=False)
+    distinct = distinct_vectors(vectors, dim, k + 1)
+    indexed, books = build_index(distinct, dim)
+    of_query = Window.partitionBy("query_id")
+
+    def search(block) -> DataFrame:
+        found = indexed.mapInArrow(_searcher(block, books, dim, rerank), SCHEMA)
+        led = found.withColumn("place", F.rank().over(of_query.orderBy(F.desc("near")))).where(F.col("place") <= rerank)
+        # a vector stands for up to k + 1 ids, of which one can be the query's own
+        return led.withColumn("place", F.rank().over(of_query.orderBy("score"))).where(F.col("place") <= k + 1).select("query_id", "key", "score")
+
+    found = search_blocks(spark, query_blocks(vectors, every, dim, QUERY_BLOCK), search, "leaders")
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    each = found.join(distinct.select("key", "vec_ids"), "key").select("query_id", F.explode("vec_ids").alias("vec_id"), "score")
+    return ranked(each.where("vec_id <> query_id"), k, largest_first=False)

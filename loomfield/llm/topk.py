@@ -1,6 +1,6 @@
 """Exact top-k inner products: norm-sorted candidates, SVD-rotated partial sums.
 
-Vectors become integers floor(scale * x). A rotation from the singular vectors
+Vectors become integers floor(scale * x). A rotation to the leading singular vectors
 of all rows moves most of the length into the first coordinates. Each task
 walks its candidates by descending length and stops for a query once
 |q| * |c| cannot reach the query's k-th score; before the full product it adds
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.vectors import best, dense, dimension, query_blocks, ranked, union_all, valid_vectors
+from loomfield.llm.vectors import best, dense, dimension, query_blocks, ranked, search_blocks, valid_vectors
 
 #: Longest vectors that give each query its first k-th score.
 SEEDS = 1024
@@ -26,8 +26,12 @@ SEEDS = 1024
 LEADING = 16
 #: Candidates bounded at a time.
 STEP = 512
-#: The rotation is found for at most so many dimensions; beyond, coordinates stay as they are.
-MAX_ROTATED = 512
+#: Up to so many dimensions the singular vectors come from the whole Gram matrix, beyond from its product with random columns.
+GRAM_MOST, RANDOM_COLUMNS = 512, 64
+#: Queries that one job searches for; 64 dimensions of 8 bytes make 16 MB to broadcast.
+QUERY_BLOCK = 32_768
+#: Share of |q| * |c| by which bounds in floating point are raised.
+SLACK = 1e-6
 
 SCHEMA = "query_id long, vec_id long, score long"
 
@@ -37,22 +41,31 @@ def _integers(x: np.ndarray, scale: float) -> np.ndarray:
 
 
 def _rotation(vectors: DataFrame, dim: int, scale: float) -> np.ndarray:
-    """Right singular vectors of the whole table, by its Gram matrix summed over all tasks."""
-    if dim > MAX_ROTATED:
-        return np.eye(dim)
-
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim, dim))
+    """(dim, LEADING or fewer) leading right singular vectors of the whole table, from products summed over all tasks."""
+    if dim <= GRAM_MOST:
+        sketch = np.eye(dim)
+    else:
+        sketch = np.linalg.qr(np.random.default_rng(3).standard_normal((dim, RANDOM_COLUMNS)))[0]
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(sketch.shape)
         for b in batches:
             x = _integers(dense(b.column(0), b.column(1), dim)[1], scale).astype(np.float64)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["cell", "value"])
+            total += x.T @ (x @ sketch)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "value"])
+
+    cells = vectors.mapInArrow(product, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    got = np.zeros(sketch.size)
+    got[cells["cell"].to_numpy()] = cells["value"].to_numpy()
+    return np.linalg.svd(got.reshape(sketch.shape), full_matrices=False)[0][:, :LEADING]
 
-    cells = vectors.mapInArrow(gram, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
-    g = np.zeros(dim * dim)
-    for cell, value in cells:
-        g[cell] = value
-    return np.linalg.svd(g.reshape(dim, dim))[2].T
+
+def _split(x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leading rotated coordinates, length, and length of the rest, of integer rows."""
+    wide = x.astype(np.float64)
+    lead = wide @ v
+    squares = (wide**2).sum(1)
+    return lead, np.sqrt(squares), np.sqrt(np.maximum(0, squares - (lead**2).sum(1)))
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -62,23 +75,21 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def _searcher(block, dim: int, k: int, scale: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, q_rot, q_len, q_rest, start, v = block.value
+        qid, q, q_lead, q_len, q_rest, start, v = block.value
         kth = start.copy()
         held = [np.zeros(0, np.int64)] * 3
         for b in batches:
             ids, rows = dense(b.column(0), b.column(1), dim)
             x = _integers(rows, scale)
-            x_rot = x @ v
-            length = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-            rest = np.sqrt(np.maximum(0, (x_rot[:, LEADING:] ** 2).sum(1)))
+            lead, length, rest = _split(x, v)
             order = np.argsort(-length, kind="stable")
             for at in range(0, len(order), STEP):
                 c = order[at : at + STEP]
-                slack = 1e-9 * (1 + q_len * length[c[0]])
+                slack = SLACK * (1 + q_len * length[c[0]])
                 on = np.flatnonzero(q_len * length[c[0]] + slack >= kth)
                 if not len(on):
                     break  # the following candidates are no longer
-                bound = q_rot[on, :LEADING] @ x_rot[c, :LEADING].T + np.outer(q_rest[on], rest[c])
+                bound = q_lead[on] @ lead[c].T + np.outer(q_rest[on], rest[c])
                 qi, ci = np.nonzero(bound + slack[on, None] >= kth[on, None])
                 qi, ci = on[qi], c[ci]
                 for part in range(0, len(qi), 1 << 18):
@@ -105,28 +116,36 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: flo
     padded with zeros; ties go to the smaller vec_id; of rows that repeat an id,
     the best counts, and as a query the smallest vector; with fewer candidates
     than k all are returned; an empty table gives no rows; other columns are
-    ignored. Sums must stay below 2**53.
+    ignored. A vector whose integer components have squares that add up to 2**62 or
+    more would make scores beyond a long, and is refused with OverflowError.
     """
     vectors = valid_vectors(embeddings, zero_ok=True)
     spark, dim = vectors.sparkSession, dimension(vectors)
+    empty = "query_id long, rank int, vec_id long, score long"
+    if not dim:
+        return spark.createDataFrame([], empty)
+    largest = vectors.agg(F.max(F.expr(f"aggregate(embedding, 0D, (s, x) -> s + pow(floor({scale}D * x), 2))"))).first()[0]
+    if largest >= 2.0**62:
+        raise OverflowError("a vector's integer components have squares that add up to 2**62 or more")
     v = _rotation(vectors, dim, scale)
     longest = vectors.withColumn("squares", F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"))
     seeds = longest.orderBy(F.desc("squares"), "vec_id").limit(SEEDS).drop("squares").toArrow().combine_chunks()
-    s_id, s = dense(seeds["vec_id"].combine_chunks(), seeds["embedding"], dim) if seeds.num_rows else (np.zeros(0, np.int64), np.zeros((0, dim)))
+    s_id, s = dense(seeds["vec_id"].combine_chunks(), seeds["embedding"], dim)
     s_id, first = np.unique(s_id, return_index=True)
-    s = _integers(s[first], scale)
+    s = _integers(s[first], scale).astype(np.float64)
     ordered = longest.sortWithinPartitions(F.desc("squares")).drop("squares")
-    found = []
-    for qid, rows in query_blocks(vectors, every, dim):
-        q = _integers(rows, scale)
-        start = np.full(len(q), -np.inf)
-        for at in range(0, len(q), 4096):
-            scores = np.where(qid[at : at + 4096, None] == s_id, -np.inf, (q[at : at + 4096].astype(np.float64) @ s.T.astype(np.float64)))
-            if scores.shape[1] > k:
-                start[at : at + 4096] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-        q_rot = q @ v
-        length = np.sqrt((q.astype(np.float64) ** 2).sum(1))
-        rest = np.sqrt(np.maximum(0, (q_rot[:, LEADING:] ** 2).sum(1)))
-        block = spark.sparkContext.broadcast((qid, q, q_rot, length, rest, start, v))
-        found.append(ordered.mapInArrow(_searcher(block, dim, k, scale), SCHEMA))
-    return ranked(union_all(found, spark.createDataFrame([], SCHEMA)), k, largest_first=True)
+
+    def prepared() -> Iterator[tuple]:
+        for qid, rows in query_blocks(vectors, every, dim, QUERY_BLOCK):
+            q = _integers(rows, scale)
+            lead, length, rest = _split(q, v)
+            start = np.full(len(q), -(1 << 63), np.int64)
+            for at in range(0, len(q), 4096):
+                scores = np.where(qid[at : at + 4096, None] == s_id, -np.inf, q[at : at + 4096].astype(np.float64) @ s.T)
+                if scores.shape[1] > k:
+                    sure = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - SLACK * length[at : at + 4096] * np.sqrt(largest)
+                    start[at : at + 4096] = np.floor(sure)
+            yield qid, q, lead, length, rest, start, v
+
+    found = search_blocks(spark, prepared(), lambda block: ordered.mapInArrow(_searcher(block, dim, k, scale), SCHEMA), "products")
+    return spark.createDataFrame([], empty) if found is None else ranked(found, k, largest_first=True)

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomfield.llm.tables import SLIM_ROWS, arrow_rows
-
-#: Queries that one job searches for; 64 dimensions of 8 bytes make 16 MB to broadcast.
-QUERY_BLOCK = 32_768
+from loomfield.llm.tables import bound_batches, materialise
 
 
 def valid_vectors(df: DataFrame, zero_ok: bool) -> DataFrame:
@@ -20,7 +17,7 @@ def valid_vectors(df: DataFrame, zero_ok: bool) -> DataFrame:
     fine = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     if not zero_ok:
         fine += " AND exists(embedding, x -> x <> 0)"
-    arrow_rows(df.sparkSession, SLIM_ROWS)
+    bound_batches(df.sparkSession)
     return df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
 
 
@@ -43,17 +40,26 @@ def dense(ids: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndar
     return ids.to_numpy(zero_copy_only=False), out
 
 
-def query_blocks(vectors: DataFrame, every: int, dim: int, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows whose id is divisible by ``every``, in blocks of about ``block``; an id counts once."""
+def query_blocks(vectors: DataFrame, every: int, dim: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows whose id is divisible by ``every``, in blocks of about ``block`` ids by hash; an id counts once, with its smallest vector."""
     wanted = vectors.where(F.col("vec_id") % every == 0)
     blocks = -(-wanted.count() // block)
     for b in range(blocks):
-        got = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()
-        ids, dense_rows = dense(got["vec_id"].combine_chunks(), got["embedding"], dim)
-        order = np.lexsort([*dense_rows.T[::-1], ids])
-        order = order[np.r_[True, np.diff(ids[order]) != 0]] if len(order) else order
-        if len(order):
-            yield ids[order], dense_rows[order]
+        mine = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)
+        got = mine.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").toArrow().combine_chunks()
+        if got.num_rows:
+            yield dense(got["vec_id"].combine_chunks(), got["embedding"], dim)
+
+
+def search_blocks(spark: SparkSession, blocks: Iterator[tuple], search: Callable[[object], DataFrame], label: str) -> DataFrame | None:
+    """What ``search`` finds for each block, one after the other, so that the driver and the executors hold one block of queries at a time."""
+    found = None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        part = materialise(search(shared), label, True)
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -74,10 +80,3 @@ def ranked(found: DataFrame, k: int, largest_first: bool) -> DataFrame:
     order = F.col("score").desc() if largest_first else F.col("score").asc()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def union_all(frames: list[DataFrame], empty: DataFrame) -> DataFrame:
-    out = frames[0] if frames else empty
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out

@@ -56,10 +56,25 @@ def test_exact_top_k(spark):
     for partitions in (1, 5):
         assert sorted(map(tuple, topk.exact_top_k(df.repartition(partitions), every=20).collect())) == sorted(want)
     assert topk.exact_top_k(df.limit(0)).count() == 0
+    with pytest.raises(OverflowError):
+        topk.exact_top_k(spark.createDataFrame([(0, [1e17]), (1, [1.0])], "vec_id long, embedding array<double>"))
     few = df.where("vec_id IN (0, 1, 2)")
     assert sorted((r.query_id, r.vec_id) for r in topk.exact_top_k(few, every=2).collect()) == [(0, 1), (0, 2), (2, 0), (2, 1)]
 
 
+def test_exact_top_k_of_large_components_and_many_dimensions(spark):
+    rng = np.random.default_rng(8)
+    for dim, scale in ((3, 2.0**18), (600, 1.0)):
+        rows = [(i, [float(x) for x in rng.normal(size=dim) * scale]) for i in range(200)]
+        ints = np.floor(1024 * np.array([v for _, v in rows])).astype(np.int64).astype(object)
+        want = []
+        for q in range(0, 200, 20):
+            best = sorted((-int(ints[q] @ ints[i]), i) for i in range(200) if i != q)[:10]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+        assert sorted(map(tuple, topk.exact_top_k(df, every=20).collect())) == sorted(want)
+
+
 def test_neighbours_recall_and_scores(spark):
     rows, df = vectors(spark, 1500, 16)
     good = usable(rows, False)
@@ -96,13 +111,23 @@ def test_neighbours_of_a_very_common_vector(spark):
     assert ann.distinct_vectors(df, 8, 11).where("vec_id = 0").first().vec_ids == copies[:11]
 
 
-def test_neighbours_keep_ties_with_the_last_leader():
+def test_leaders_keep_ties_with_the_last_one():
     x = np.array([[3.0, 4.0], [4.0, 3.0], [-3.0, 4.0], [3.0, -4.0], [5.0, 0.0], [0.0, -5.0]])
-    batch = pa.RecordBatch.from_arrays([pa.array([[i + 10] for i in range(6)], pa.list_(pa.int64())), pa.array(x.tolist()), pa.array([b"\0"] * 6, pa.binary()), pa.array((x * x).sum(1) / 2)], ["vec_ids", "embedding", "codes", "half"])
+    columns = [pa.array(range(10, 16)), pa.array(x.tolist()), pa.array([b"\0"] * 6, pa.binary()), pa.array((x * x).sum(1) / 2)]
+    batch = pa.RecordBatch.from_arrays(columns, ["key", "embedding", "codes", "half"])
     block = SimpleNamespace(value=(np.array([1]), np.array([[3.5, 3.5]])))
-    got = next(ann._searcher(block, np.zeros((1, 16, 2)), 2, 3, 1)(iter([batch])))
-    want = sorted((float(np.linalg.norm(v - 3.5)), i + 10) for i, v in enumerate(x))[:3]
-    assert sorted((r["score"], r["vec_id"]) for r in got.to_pylist()) == want
+    for parts in ([batch], [batch.slice(0, 2), batch.slice(2, 4)]):
+        got = next(ann._searcher(block, np.zeros((2, 16, 1)), 2, 1)(iter(parts)))
+        want = sorted((float(np.linalg.norm(v - 3.5)), i + 10) for i, v in enumerate(x))
+        assert sorted((r["score"], r["key"]) for r in got.to_pylist()) == want
+    query, near = np.array([1, 0, 0, 0, 1, 0]), np.array([2.0, 5, 3, 3, 1, 1])
+    assert sorted(ann.leading(query, near, 2).tolist()) == [0, 1, 2, 3, 4]
+
+
+def test_neighbours_do_not_depend_on_how_rows_are_dealt(spark):
+    _, df = vectors(spark, 1500, 16)
+    found = [sorted(map(tuple, ann.nearest_neighbours(df.repartition(n), every=50, rerank=24).collect())) for n in (1, 7)]
+    assert found[0] == found[1]
 
 
 def test_anisotropic_codes_weigh_parallel_error():

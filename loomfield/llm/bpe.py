@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+from loomfield.llm.tables import bound_batches
 
 #: Pieces and pairs that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
@@ -193,7 +193,7 @@ def token_digests(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     rows; an empty table gives no rows; other columns are ignored.
     """
 
-    arrow_rows(documents.sparkSession, TEXT_ROWS)
+    bound_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)

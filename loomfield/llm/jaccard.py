@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm.components import components
-from loomfield.llm.tables import SLIM_ROWS, arrow_rows, materialise
+from loomfield.llm.tables import bound_batches, materialise, slices
 from loomfield.llm.words import U, mix, shingle_sets, word_hashes
 
 #: Sizes of a band reach from its least to this many times that.
@@ -48,14 +48,14 @@ EXPANDED = 12
 COMMON_SHARE, COMMON_DOCS = 0.0007, 2
 #: Common shingles that the order of segments heeds at most (2 MB to broadcast); the rest only cost time.
 COMMON_MOST = 1 << 18
-#: Bits of the filter, of fixed size, that tells which texts to hash again.
-FILTER_BITS = 1 << 26
+#: Bits for each id, and at most in all, of the filter that tells which texts to hash again; more ids are joined instead.
+FILTER_SHARE, FILTER_MOST = 16, 1 << 29
 #: Documents hashed at a time.
 STEP = 512
 WIDE = 1 << 32
 #: 64-bit words of the folded sketch that members of large buckets are compared by, and members in a block.
 FOLD = 32
-BLOCK = 4096
+BLOCK = 1024
 
 
 @lru_cache
@@ -160,8 +160,7 @@ def identity(shingles: np.ndarray) -> tuple[int, int]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of batches whose last column is text, with their shingle sets."""
     for b in batches:
-        for at in range(0, b.num_rows, STEP):
-            part = b.slice(at, STEP)
+        for part in slices(b, b.num_columns - 1, STEP):
             yield part, shingle_sets(*word_hashes(part.column(part.num_columns - 1)))
 
 
@@ -170,25 +169,25 @@ def _long(x) -> pa.Array:
 
 
 def _survey(documents: DataFrame) -> DataFrame:
-    """kind 0: a document (a id, b size, c and d its set's names); 1: a common shingle a and b documents that have it; 2: a band a that needs single shingles."""
+    """kind 0: a document (a id, b size, c and d its set's names, t its text's hash); 1: a common shingle a and b documents that have it; 2: a band a that needs single shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        names = ["kind", "a", "b", "c", "d"]
+        names = ["kind", "a", "b", "c", "d", "t"]
 
         def common() -> pa.RecordBatch:
             every, docs = np.unique(np.concatenate(list(held.values())), return_counts=True)
             often = docs >= max(COMMON_DOCS, COMMON_SHARE * len(held))
             held.clear()
             n = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), _long(every[often]), _long(docs[often]), _long([0] * n), _long([0] * n)], names)
+            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), _long(every[often]), _long(docs[often]), *[_long([0] * n)] * 3], names)
 
         thin: set[int] = set()
         size = 0
         for part, sets in _sets(batches):
             ids = [identity(s) for s in sets]
             n = part.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), part.column(0), _long([len(s) for s in sets]), _long([i[0] for i in ids]), _long([i[1] for i in ids])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), part.column(0), _long([len(s) for s in sets]), _long([i[0] for i in ids]), _long([i[1] for i in ids]), part.column(1)], names)
             for s, (v, _) in zip(sets, ids, strict=True):
                 if len(s) and v not in held:
                     held[v] = s
@@ -202,9 +201,9 @@ def _survey(documents: DataFrame) -> DataFrame:
         if held:
             yield common()
         bands = sorted(thin)
-        yield pa.RecordBatch.from_arrays([pa.array([2] * len(bands), pa.int32()), *[_long(c) for c in (bands, bands, bands, bands)]], names)
+        yield pa.RecordBatch.from_arrays([pa.array([2] * len(bands), pa.int32()), *[_long(bands)] * 5], names)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "kind int, a long, b long, c long, d long")
+    return documents.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "kind int, a long, b long, c long, d long, t long")
 
 
 def _members(documents: DataFrame, common, wide: frozenset[int]) -> DataFrame:
@@ -273,41 +272,52 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done(True)
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over a column id, as 64-bit words; more ids only make it less selective."""
-    places = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)]
-    bits = ids.select(F.explode(F.array(*places)).alias("p")).select(
+def _filter_of(ids: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of so many bits over a column id, as 64-bit words."""
+    places = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(bits)) for i in range(2)]
+    set_bits = ids.select(F.explode(F.array(*places)).alias("p")).select(
         F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bit")
     )
-    got = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
+    got = set_bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
     words[got["word"].to_numpy()] = got["bits"].to_numpy()
     return words
 
 
+def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """text of the documents with the given ids, and of a few others: through a filter in each task, or a join if there are too many ids."""
+    documents = documents.where("doc_id IS NOT NULL")
+    n = ids.count()
+    bits = max(1 << 16, 1 << (FILTER_SHARE * n).bit_length())
+    if bits > FILTER_MOST:
+        return documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("text")
+    words = documents.sparkSession.sparkContext.broadcast(_filter_of(ids, bits))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            there = np.ones(b.num_rows, bool)
+            for column in (0, 1):
+                p = b.column(column).to_numpy()
+                there &= (words.value[p >> 6] >> (p & 63) & 1).astype(bool)
+            yield b.filter(pa.array(there)).select(["text"])
+
+    places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)).alias(f"p{i}") for i in range(2)]
+    return documents.select(*places, "text").mapInArrow(chosen, "text string")
+
+
 def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """v, fold, sketch, shingles of the documents with the given ids (and of a few others), once for each vertex."""
-    words = documents.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def chosen() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                there = np.ones(b.num_rows, bool)
-                for column in (0, 1):
-                    p = b.column(column).to_numpy()
-                    there &= (words.value[p >> 6] >> (p & 63) & 1).astype(bool)
-                yield b.filter(pa.array(there))
-
-        for _, sets in _sets(chosen()):
-            if sets:
-                yield pa.RecordBatch.from_arrays(
-                    [_long([identity(s)[0] for s in sets]), pa.array([folded_sketch(s) for s in sets], pa.binary()), pa.array([dense_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    ["v", "fold", "sketch", "shingles"],
-                )
-
-    places = [F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(i)), F.lit(FILTER_BITS)).alias(f"p{i}") for i in range(2)]
-    found = documents.where("doc_id IS NOT NULL").select(*places, "text").mapInArrow(run, "v long, fold binary, sketch binary, shingles binary")
-    return materialise(found, "sets").dropDuplicates(["v"])
+        for _, sets in _sets(batches):
+            columns = [
+                _long([identity(s)[0] for s in sets]), pa.array([folded_sketch(s) for s in sets], pa.binary()),
+                pa.array([dense_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["v", "fold", "sketch", "shingles"])
+
+    found = _texts_of(documents, ids).mapInArrow(run, "v long, fold binary, sketch binary, shingles binary")
+    return materialise(found.dropDuplicates(["v"]), "sets", True)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -337,9 +347,9 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield result(b, common, True)
 
     schema = "a long, b long, na long, nb long, linked boolean, low double, high double"
-    possible = materialise(attach(pairs, "sketch").mapInArrow(by_sketch, schema), "sketched")
+    possible = materialise(attach(pairs, "sketch").mapInArrow(by_sketch, schema), "sketched", True)
     exact = attach(possible.where("linked").select("a", "b", "na", "nb"), "shingles").mapInArrow(by_set, schema)
-    return materialise(exact.union(possible.where("NOT linked")), "verified")
+    return materialise(exact.union(possible.where("NOT linked")), "verified", True)
 
 
 def _ordered(a: str, b: str, na: str, nb: str) -> list:
@@ -374,17 +384,17 @@ def _links(documents: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
     large = found.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("v"), F.col("nb").alias("n"))
     degree = large.groupBy("v").agg(F.count(F.lit(1)).alias("degree"))
     pivots = large.join(degree, "v").groupBy("key").agg(F.max(F.struct("degree", "v", "n")).alias("p"))
-    pivots = materialise(pivots.select("key", F.col("p.v").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
+    pivots = materialise(pivots.select("key", F.col("p.v").alias("pivot"), F.col("p.n").alias("pn")), "pivots", True)
     stars = large.join(pivots, "key").where("v <> pivot").select("v", "pivot", "n", "pn").distinct()
     first = pairs.union(stars.select(*_ordered("v", "pivot", "n", "pn"))).distinct()
-    first = materialise(first, "pairs")
+    first = materialise(first, "pairs", True)
     vertices = first.select(F.col("a").alias("v")).union(first.select("b")).distinct()
     sets = _sets_of(documents, vertices.join(reps, "v").select("id"))
     verified = _verify(first, sets)
     links = verified.where("linked").select("a", "b")
     if large.isEmpty():
         return links
-    roots = materialise(components(links), "roots")
+    roots = materialise(components(links), "roots", True)
     ends = verified.select(F.col("a").alias("v"), F.col("b").alias("pivot"), "low", "high").union(verified.select("b", "a", "low", "high"))
     placed = large.join(pivots, "key").select("pivot", "v", "n").distinct()
     placed = placed.join(ends, ["v", "pivot"], "left").join(roots, "v", "left")
@@ -394,7 +404,7 @@ def _links(documents: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
     )
     groups = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("root") != F.col("main")).alias("open")).where("open > 0")
     placed = placed.join(groups.select("pivot", F.ceil(F.col("m") / BLOCK).alias("blocks")), "pivot").join(sets.select("v", "fold"), "v")
-    placed = materialise(placed.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks"))), "placed")
+    placed = materialise(placed.withColumn("own", F.pmod(F.xxhash64("v"), F.col("blocks"))), "placed", True)
     columns = ["v", "n", "root", "main", "low", "high", "fold"]
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     x = placed.where("root <> main").select("pivot", F.col("own").alias("i"), every.alias("j"), *columns)
@@ -402,28 +412,21 @@ def _links(documents: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame
     keys = ["pivot", "i", "j"]
     second = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(_near, "a long, b long, na long, nb long").distinct()
     second = second.join(verified.select("a", "b"), ["a", "b"], "left_anti")
-    second = materialise(second, "pairs")
+    second = materialise(second, "pairs", True)
     return links.union(_verify(second, sets).where("linked").select("a", "b"))
 
 
-def similar_documents(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document.
-
-    Words are runs of bytes other than space and \\t to \\r, A-Z as a-z. Defined
-    cases: fewer than five words make one shingle; a text that is null or has no
-    words is empty and linked with nothing; a row without doc_id is returned with
-    a null component_id and links nothing; repeated rows are returned each;
-    an empty table gives no rows; other columns are ignored.
-    """
+def _classes(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, t (hash of the text), root (of the class; null without one), component_id of every document."""
     spark = documents.sparkSession
-    arrow_rows(spark, SLIM_ROWS)
+    bound_batches(spark)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = materialise(_survey(documents), "survey")
-    docs = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("v"), F.col("d").alias("check"))
+    docs = survey.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), "t", F.col("c").alias("v"), F.col("d").alias("check"))
     reps = docs.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("v").agg(
         F.min("doc_id").alias("id"), F.min("check").alias("c1"), F.max("check").alias("c2")
     )
-    reps = materialise(reps, "vertices")
+    reps = materialise(reps, "vertices", True)
     if not reps.where("c1 <> c2").isEmpty():
         raise RuntimeError("two different sets have one 64-bit name; change the multiplier in words.py")
     common = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(COMMON_MOST).select("a").toArrow()
@@ -432,13 +435,44 @@ def similar_documents(documents: DataFrame) -> DataFrame:
     members = _members(documents, spark.sparkContext.broadcast(common), wide)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = members.repartition(partitions, "key").sortWithinPartitions("key", "n", "v")
-    found = materialise(dealt.mapInArrow(_scan, "kind int, a long, b long, na long, nb long").distinct(), "found")
-    links = _links(documents, reps, found)
-    roots = components(links)
+    found = materialise(dealt.mapInArrow(_scan, "kind int, a long, b long, na long, nb long").distinct(), "found", True)
+    roots = components(_links(documents, reps, found))
     placed = reps.join(roots, "v", "left").select("v", "id", F.coalesce("root", "v").alias("root"))
-    placed = materialise(placed, "placed")
+    placed = materialise(placed, "placed", True)
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_vertex = placed.join(least, "root").select("v", "component_id")
-    linked = docs.join(of_vertex, "v", "left")
+    of_vertex = placed.join(least, "root").select("v", "root", "component_id")
     own = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
-    return linked.select("doc_id", "n_shingles", own.alias("component_id"))
+    return docs.join(of_vertex, "v", "left").select("doc_id", "n_shingles", "t", "root", own.alias("component_id"))
+
+
+def similar_documents(documents: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) of every document.
+
+    Words are runs of bytes other than space and \\t to \\r, A-Z as a-z. Defined
+    cases: fewer than five words make one shingle; a text that is null or has no
+    words is empty and linked with nothing; a row without doc_id is returned with
+    a null component_id and links nothing; repeated rows are returned each;
+    an empty table gives no rows; other columns are ignored.
+    """
+    return _classes(documents).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_duplicates(documents: DataFrame) -> DataFrame:
+    """Of each class of linked documents the one with the smallest doc_id, with all its columns.
+
+    Defined cases: where the smallest doc_id stands on several texts of the class,
+    the text with the smallest hash stays; a doc_id on texts of different classes
+    stays once in each; rows that repeat both doc_id and text are one row; rows
+    without doc_id, and without words (but for repeated ones), all stay; an empty
+    table gives no rows.
+    """
+    classes = _classes(documents).where("doc_id IS NOT NULL")
+    chosen = classes.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct("doc_id", "t")).alias("kept")).select("kept.doc_id", "kept.t")
+    kept = chosen.union(classes.where("n_shingles = 0").select("doc_id", "t")).distinct()
+    name = "t_"
+    while name in documents.columns:
+        name += "_"
+    marked = documents.withColumn(name, F.xxhash64("text"))
+    same = (marked["doc_id"].cast("long") == kept["doc_id"]) & (marked[name] == kept["t"])
+    named = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", name]).select(*documents.columns)
+    return named.unionByName(documents.where("doc_id IS NULL"))

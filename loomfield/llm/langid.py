@@ -17,16 +17,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+from loomfield.llm.tables import bound_batches, materialise
 
 #: Length of a profile.
 PROFILE = 300
-#: Profiles of at most so many languages are broadcast (at most 80 MB); more are refused.
-MAX_LANGUAGES = 256
+#: Profiles of so many languages are broadcast at a time (at most 20 MB); more are compared one group after the other.
+GROUP = 4096
 #: Characters counted at a time.
-WINDOW = 1 << 20
+WINDOW = 1 << 17
 #: N-grams that a task holds before it adds up equal ones.
-HELD = 1 << 21
+HELD = 1 << 20
 UNKNOWN = "und"
 BITS, FILL = 21, (1 << 21) - 1
 
@@ -110,40 +110,68 @@ def with_languages(documents: DataFrame, size: int = PROFILE) -> DataFrame:
     ``und`` with score 0, as is any text when nothing can be learned; equal
     distances go to the language first in order; equal counts to the smaller
     code; a null doc_id is not trained on and not held out; repeated rows are
-    judged each; an empty table gives no rows; clashing columns are replaced.
+    judged each; texts of any length are counted whole; any number of languages is
+    compared; an empty table gives no rows; clashing columns are replaced.
     """
     spark = documents.sparkSession
-    arrow_rows(spark, TEXT_ROWS)
-    rows = language_profiles(documents, size).collect()
-    langs = sorted({r["lang"] for r in rows})
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; profiles of at most {MAX_LANGUAGES} are broadcast")
-    grams = np.unique(np.array([r["gram"] for r in rows], np.int64))
-    places = np.full((len(grams), len(langs)), -1, np.int32)
-    column = {lang: n for n, lang in enumerate(langs)}
-    for r in rows:
-        places[np.searchsorted(grams, r["gram"]), column[r["lang"]]] = r["place"]
-    shared = spark.sparkContext.broadcast((langs, grams, places))
-
-    def judge(text: str | None) -> tuple[str, float]:
-        names, known, table = shared.value
-        codes, counts = ngram_counts(text)
-        if not len(codes) or not names:
-            return UNKNOWN, 0.0
-        own = codes[np.lexsort((codes, -counts))[:size]]
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        there = np.where((known[at] == own)[:, None], table[at], -1)
-        distance = np.where(there >= 0, np.abs(there - np.arange(len(own))[:, None]), size).sum(0)
+    bound_batches(spark)
+    profiles = materialise(language_profiles(documents, size), "profiles")
+    langs = sorted(r["lang"] for r in profiles.select("lang").distinct().collect())
+    judged = documents.drop("lang_pred", "score", "held_out").withColumn("held_out", _held_out())
+    judged = judged.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    fields = T.StructType([T.StructField(f.name, f.dataType) for f in judged.schema])
+    for at in range(0, len(langs), GROUP):
+        own = langs[at : at + GROUP]
+        rows = profiles.where(F.col("lang").between(own[0], own[-1])).toArrow()
+        shared = spark.sparkContext.broadcast(Profiles(own, rows, size))
+        judged = judged.mapInArrow(_judge(shared), fields)
+    return judged
+
+
+class Profiles:
+    """The profiles of some languages as lists of (language, place) by n-gram."""
+
+    def __init__(self, langs: list[str], rows: pa.Table, size: int):
+        self.langs, self.size = langs, size
+        gram, place = rows["gram"].to_numpy(), rows["place"].to_numpy().astype(np.int64)
+        lang = np.searchsorted(np.array(langs, object), rows["lang"].to_numpy(zero_copy_only=False))
+        order = np.argsort(gram, kind="stable")
+        self.lang, self.place = lang[order].astype(np.int32), place[order].astype(np.int32)
+        self.gram, self.start = np.unique(gram[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(order)))
+
+    def nearest(self, codes: np.ndarray, counts: np.ndarray) -> tuple[str, float]:
+        """The language with the smallest out-of-place distance, the first in order of several, and its score."""
+        own = codes[np.lexsort((codes, -counts))[: self.size]]
+        at = np.minimum(np.searchsorted(self.gram, own), len(self.gram) - 1)
+        there = np.flatnonzero(self.gram[at] == own)
+        count = self.count[at[there]]
+        # every n-gram counts the greatest distance, less what languages that have it are nearer
+        entry = np.repeat(self.start[at[there]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        nearer = self.size - np.abs(self.place[entry] - np.repeat(there, count))
+        distance = self.size * len(own) - np.bincount(self.lang[entry], nearer, len(self.langs))
         low = int(distance.argmin())
-        return names[low], 1 - float(distance[low]) / (size * len(own))
+        return self.langs[low], 1 - float(distance[low]) / (self.size * len(own))
+
+
+def _judge(shared):
+    """A task that compares texts with a group of languages; a later group wins only with a larger score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = None
+        profiles = shared.value
         for b in batches:
-            at = b.schema.get_field_index("text") if at is None else at
-            found = [judge(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*b.schema.names, "lang_pred", "score"])
-
-    flagged = documents.drop("lang_pred", "score", "held_out").withColumn("held_out", _held_out())
-    fields = T.StructType([*flagged.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return flagged.mapInArrow(run, fields)
+            names = b.schema.names
+            before = [b.column(names.index(c)).to_pylist() for c in ("lang_pred", "score")]
+            found = []
+            for text, lang, score in zip(b.column(names.index("text")), *before, strict=True):
+                codes, counts = ngram_counts(text.as_py())
+                if len(codes):
+                    best = profiles.nearest(codes, counts)
+                    if best[1] > score or (lang, score) == (UNKNOWN, 0):
+                        lang, score = best
+                found.append((lang, score))
+            columns = dict(zip(names, b.columns, strict=True))
+            columns |= {"lang_pred": pa.array([f[0] for f in found], pa.string()), "score": pa.array([f[1] for f in found], pa.float64())}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    return run

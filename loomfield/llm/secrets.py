@@ -15,14 +15,16 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.llm.tables import TEXT_ROWS, arrow_rows
+from loomfield.llm.tables import bound_batches, materialise
 
 #: The base patterns, their kinds in order, and the least lengths of what must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,10 +33,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, as [0-9a-f]+ would take them
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
-#: Other tokens that are scored.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-#: Labelled strings of each kind, and background tokens, that the automata are fitted on at most (smallest hashes of all).
-SAMPLE = 1000
+#: Other tokens, or what base spans leave of them, are scored if they have at least so many characters.
+TOKEN, CANDIDATE_LEAST = re.compile(r"[A-Za-z0-9+/_.=-]+"), 16
+#: Labelled strings of each kind, and background tokens, that the automata are fitted on at most (smallest hashes of
+#: all that have at most so many characters; longer ones are scored, not learned).
+SAMPLE, LONGEST_FITTED = 1000, 256
+#: Ranges of hashes that labelled strings are counted by.
+RANGES = 1 << 12
 #: Confidence of the merge test, and bits per character by which a candidate must be likelier than the background.
 ALPHA, MARGIN = 0.05, 0.5
 FLOOR = 1e-4
@@ -51,17 +56,22 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, token) of long tokens that touch no base span."""
-    out, n = [], 0
+def candidates(text: str, taken: list[tuple[int, int, str, str]], least: int = CANDIDATE_LEAST) -> list[tuple[int, int, str]]:
+    """(start, end, token) of tokens, and of what base spans leave of tokens, of at least ``least`` characters."""
+    out, n, reach = [], 0, 0
     spans = sorted((s, e) for s, _, e, _ in taken)
-    reach = 0
-    for m in CANDIDATE.finditer(text):
+    for m in TOKEN.finditer(text):
+        if m.end() - m.start() < least:
+            continue
         while n < len(spans) and spans[n][0] < m.end():
+            start = max(m.start(), reach)
+            if spans[n][0] - start >= least:
+                out.append((start, spans[n][0], text[start : spans[n][0]]))
             reach = max(reach, spans[n][1])
             n += 1
-        if reach <= m.start():
-            out.append((m.start(), m.end(), m[0]))
+        start = max(m.start(), reach)
+        if m.end() - start >= least:
+            out.append((start, m.end(), text[start : m.end()]))
     return out
 
 
@@ -124,21 +134,17 @@ class Automaton:
                     self.next[a][c] = self.next[b][c]
 
     def _merge_all(self) -> None:
-        """States in breadth-first order merge into the first kept state that is compatible, else are kept."""
-        kept, queue = [0], [(0, c) for c in sorted(self.next[0])]
-        while queue:
-            queue.sort(key=lambda e: (-self.seen[self.next[e[0]][e[1]]], e))
-            parent, c = queue.pop(0)
+        """The most visited state next to a kept one merges into the first kept state that is compatible, else is kept."""
+        kept = {0: None}  # in order
+        while edge := [(-self.seen[t], k, c) for k in kept for c, t in self.next[k].items() if t not in kept]:
+            _, parent, c = min(edge)
             state = self.next[parent][c]
-            if state in kept:
-                continue
             into = next((k for k in kept if self._compatible(k, state)), None)
             if into is None:
-                kept.append(state)
+                kept[state] = None
             else:
                 self.next[parent][c] = into
                 self._fold(into, state)
-            queue = [(k, x) for k in kept for x in sorted(self.next[k]) if self.next[k][x] not in kept]
 
     def bits(self, token: str) -> float:
         """Log2 likelihood of a token's classes, per character; unseen moves have probability FLOOR."""
@@ -153,8 +159,13 @@ class Automaton:
         return (total + math.log2(stop)) / (len(token) + 1)
 
 
-def labelled_sample(documents: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """kind, value: of each kind's distinct values in all texts, those with the ``size`` smallest hashes."""
+def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LONGEST_FITTED) -> DataFrame:
+    """kind, value: of each kind's distinct values of at most ``longest`` characters in all texts, those with the ``size`` smallest hashes.
+
+    Equal hashes go by value. Each task keeps its own smallest; then values are
+    counted by ranges of hashes, so that only those up to the range that holds the
+    last one wanted are put in order, and no task gathers a kind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[str, int]] = {k: {} for k in KINDS}
@@ -167,9 +178,10 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE) -> DataFrame:
                 t = text.as_py() or ""
                 spans = base_spans(t)
                 for kind, value in [(KINDS[k], v) for _, k, _, v in spans] + [(KINDS[3], v) for _, _, v in candidates(t, spans)]:
-                    held[kind][value[:256]] = zlib.crc32(value.encode())
-                    if len(held[kind]) > 4 * size:
-                        cut(kind)
+                    if len(value) <= longest:
+                        held[kind][value] = zlib.crc32(value.encode())
+                        if len(held[kind]) > 4 * size:
+                            cut(kind)
         for kind in KINDS:
             cut(kind)
         rows = [(k, v, h) for k, values in held.items() for v, h in values.items()]
@@ -177,13 +189,23 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(hashes, pa.int64())], ["kind", "value", "h"])
 
     found = documents.select("text").mapInArrow(run, "kind string, value string, h long").distinct()
+    found = materialise(found.withColumn("range", F.expr(f"h div {2**32 // RANGES}")), "labelled")
+    counts = sorted(map(tuple, found.groupBy("kind", "range").count().collect()))
+    last: dict[str, int] = {}
+    for kind, own in groupby(counts, key=lambda c: c[0]):
+        ranges = list(own)
+        sums = list(accumulate(n for _, _, n in ranges))
+        last[kind] = ranges[min(bisect_left(sums, size), len(ranges) - 1)][1]
+    if not last:
+        return found.select("kind", "value")
+    near = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[F.col("kind")]
     rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= size).select("kind", "value")
+    return found.where(F.col("range") <= near).withColumn("rank", rank).where(F.col("rank") <= size).select("kind", "value")
 
 
 def learn_formats(documents: DataFrame) -> dict[str, Automaton]:
     """An automaton for each kind that occurs, and for the background under ``learned``."""
-    arrow_rows(documents.sparkSession, TEXT_ROWS)
+    bound_batches(documents.sparkSession)
     by_kind = defaultdict(list)
     for kind, value in sorted(map(tuple, labelled_sample(documents).collect())):
         by_kind[kind].append(classes(value))
@@ -231,7 +253,12 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
 
 
 def redact_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """Documents with every span replaced by ``mask`` (overlapping spans by one) and n_chars, if there, set anew."""
+    """Documents with every span replaced by ``mask`` (overlapping spans by one) and n_chars, if there, set anew.
+
+    Defined cases: a null text stays null, an empty one empty; repeated rows are
+    masked each; a very long text is masked whole; without labelled credentials
+    only base spans are masked; an empty table gives no rows; all columns stay.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(learn_formats(documents))
 
     def redact(text: str | None) -> str | None:

@@ -78,11 +78,3 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = 1024) -> Iterator[pa.
         stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
         yield batch.slice(at, stop - at)
         at = stop
-
-
-TEXT_ROWS, SLIM_ROWS = 1024, 10_000
-
-
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """How many rows a Python worker is handed at a time from here on."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.tables import TEXT_ROWS, arrow_rows, materialise
+from loomfield.llm.tables import bound_batches, materialise, slices
 from loomfield.llm.words import mix, word_hashes
 
 #: The chain: each category with the condition on a row of labels that defines it.
@@ -171,7 +171,7 @@ def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     documents are judged each; an empty table gives no rows; clashing columns are
     replaced.
     """
-    arrow_rows(documents.sparkSession, TEXT_ROWS)
+    bound_batches(documents.sparkSession)
     chain = documents.sparkSession.sparkContext.broadcast(fit_chain(documents, labels))
     names = [f"p_{name}" for name, _ in CATEGORIES]
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes hashed at a time; a longer word extends its window.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.functions.columns import canonical_id, filled, first_failure, stable_key
 
 #: The states of a registry item.
-STATUSES = ["new", "processing", "analyzed", "completed", "failed"]
+STATUSES = ["new", "processing", "downloaded", "analyzed", "completed", "failed", "incomplete"]
 
 
 def canonical_ids(df: DataFrame, first: str, second: str) -> DataFrame:
@@ -78,8 +78,9 @@ def snapshot_counts(items: DataFrame) -> DataFrame:
 
 
 def _merged(items: DataFrame, seen: DataFrame) -> DataFrame:
-    i, s = items.alias("i"), seen.select("source_id", "position", F.col("media_sha256").alias("new_sha256"), F.lit(True).alias("seen")).alias("s")
-    return i.join(s, F.col("i.source_id") == F.col("s.source_id"), "full_outer")
+    alt = F.col("alt_id") if "alt_id" in seen.columns else F.lit(None).cast("string")
+    s = seen.select("source_id", "position", F.col("media_sha256").alias("new_sha256"), alt.alias("new_alt"), F.lit(True).alias("seen")).alias("s")
+    return items.alias("i").join(s, F.col("i.source_id") == F.col("s.source_id"), "full_outer")
 
 
 def _reset(version: str) -> Column:
@@ -87,25 +88,35 @@ def _reset(version: str) -> Column:
     return F.col("seen") & (F.col("status") == "completed") & (~F.col("pipeline_version").eqNullSafe(F.lit(version)) | changed)
 
 
-def reconcile(items: DataFrame, seen: DataFrame, version: str, now: str, prefix: str = "item-") -> DataFrame:
-    """The registry after a completed snapshot.
+def reconcile(items: DataFrame, seen: DataFrame, snapshots: DataFrame, snapshot_id: str, version: str, now: str, prefix: str = "item-") -> DataFrame:
+    """The registry after a snapshot; one that is not completed changes nothing.
 
-    New ids are inserted; seen ones are collected at their new position; a
-    completed item starts anew when the pipeline version or the known media hash
-    changed; ids that were not seen are kept as no longer collected, since the
-    time that was first noticed.
+    New ids are inserted; seen ones are collected at their new position, keep an
+    alternative id or hash that the snapshot lacks, and are last seen now; a
+    completed item starts anew, without its error, when the pipeline version or
+    the known media hash changed; collected ids that were not seen are kept as no
+    longer collected, since the time that was first noticed.
     """
-    there, at = F.col("i.source_id").isNotNull(), F.to_timestamp_ntz(F.lit(now))
-    seen_now = F.coalesce("seen", F.lit(False))
-    return _merged(items, seen).select(
+    at, there = F.to_timestamp_ntz(F.lit(now)), F.col("i.source_id").isNotNull()
+    whole = snapshots.where("state = 'completed'").select(F.col("snapshot_id").alias("of"), F.lit(True).alias("whole")).distinct()
+    merged = _merged(items, seen.where(F.col("snapshot_id") == snapshot_id)).withColumn("of", F.lit(snapshot_id)).join(whole, "of", "left")
+    seen_now, missed = F.coalesce(F.col("whole") & F.col("seen"), F.lit(False)), F.col("whole") & F.col("seen").isNull()
+    fresh = seen_now & (~there | _reset(version))
+    lost = missed & F.col("currently_collected")
+    return merged.where("whole OR i.source_id IS NOT NULL").select(
         F.coalesce("i.source_id", "s.source_id").alias("source_id"),
+        F.coalesce(F.when(seen_now, F.col("new_alt")), "i.alt_id").alias("alt_id"),
         F.coalesce("job_id", stable_key(F.col("s.source_id"), prefix)).alias("job_id"),
-        seen_now.alias("currently_collected"),
-        F.when(seen_now, F.lit(None)).otherwise(F.coalesce("uncollected_at", at)).alias("uncollected_at"),
-        F.coalesce("position", "last_position").alias("last_position"),
-        F.when(~there | _reset(version), "new").otherwise(F.col("status")).alias("status"),
+        F.coalesce("first_seen_at", at).alias("first_seen_at"),
+        F.when(seen_now, at).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
+        F.when(seen_now, True).when(missed, False).otherwise(F.col("currently_collected")).alias("currently_collected"),
+        F.when(lost, F.coalesce("uncollected_at", at)).when(~seen_now, F.col("uncollected_at")).alias("uncollected_at"),
+        F.coalesce(F.when(seen_now, F.col("position")), "last_position").alias("last_position"),
+        F.when(fresh, "new").otherwise(F.col("status")).alias("status"),
         F.when(seen_now, F.lit(version)).otherwise(F.col("pipeline_version")).alias("pipeline_version"),
-        F.coalesce("new_sha256", "i.media_sha256").alias("media_sha256"),
+        F.coalesce(F.when(seen_now, F.col("new_sha256")), "i.media_sha256").alias("media_sha256"),
+        F.when(~fresh, F.col("error")).alias("error"),
+        F.when(seen_now, F.lit(snapshot_id)).otherwise(F.col("i.snapshot_id")).alias("snapshot_id"),
     )
 
 
@@ -139,12 +150,10 @@ def audit_registry(items: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 
 def needs_processing(items: DataFrame, version: str, artifacts: DataFrame) -> DataFrame:
-    """Adds needs: collected, and open, of another version, or without valid artifacts (source_id in ``artifacts``)."""
+    """Adds needs: collected, and not completed, of another version, or without valid artifacts (source_id in ``artifacts``)."""
     there = artifacts.select("source_id", F.lit(True).alias("valid")).distinct()
-    open_ = F.col("status").isin("new", "processing", "failed")
-    stale = ~F.col("pipeline_version").eqNullSafe(F.lit(version)) | F.col("valid").isNull()
-    needs = F.col("currently_collected") & (open_ | ((F.col("status") == "completed") & stale))
-    return items.join(there, "source_id", "left").withColumn("needs", F.coalesce(needs, F.lit(False))).drop("valid")
+    done = F.col("status").eqNullSafe("completed") & F.col("pipeline_version").eqNullSafe(F.lit(version)) & F.col("valid").isNotNull()
+    return items.join(there, "source_id", "left").withColumn("needs", F.coalesce("currently_collected", F.lit(False)) & ~done).drop("valid")
 
 
 def next_items(items: DataFrame, k: int = 1) -> DataFrame:
@@ -153,19 +162,32 @@ def next_items(items: DataFrame, k: int = 1) -> DataFrame:
     return items.where("needs").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def claim_decisions(items: DataFrame, observed: DataFrame, version: str) -> DataFrame:
-    """source_id, decision, for each wanted media observation (source_id, observed_sha256)."""
-    joined = items.join(observed, "source_id", "left")
+def claim_decisions(items: DataFrame, observed: DataFrame, artifacts: DataFrame, version: str) -> DataFrame:
+    """source_id, decision, process, new_status (null: as before) for each wanted media observation (source_id, observed_sha256).
+
+    Only a completed item of this version is checked against its media and its
+    artifacts (source_id in ``artifacts``); an item of another version starts
+    anew whatever its status; the rest are tried (again).
+    """
+    valid = artifacts.select("source_id", F.lit(True).alias("valid")).distinct()
+    joined = observed.join(items, "source_id", "left").join(valid, "source_id", "left")
+    seen = F.nullif(F.col("observed_sha256"), F.lit(""))
+    same = F.col("pipeline_version").eqNullSafe(F.lit(version))
+    current = same & (F.col("status") == "completed")
     decision = (
-        F.when(~F.col("currently_collected"), "not_collected")
-        .when(F.col("observed_sha256").isNull(), "media_missing")
-        .when(F.col("media_sha256").isNotNull() & (F.col("media_sha256") != F.col("observed_sha256")), "hash_changed")
-        .when((F.col("status") == "completed") & (F.col("pipeline_version") == version), "completed_current")
-        .when(F.col("status") == "completed", "version_changed")
-        .when(F.col("status") == "failed", "retry")
+        F.when(~F.coalesce("currently_collected", F.lit(False)), "not_collected")
+        .when(current & seen.isNull(), "media_missing")
+        .when(current & ~F.col("media_sha256").eqNullSafe(seen), "hash_changed")
+        .when(current & F.col("valid").isNotNull(), "completed_current")
+        .when(current, "artifacts_invalid")
+        .when(~same, "version_changed")
+        .when(F.col("status").isin("failed", "incomplete"), "retry")
         .otherwise(F.col("status"))
     )
-    return joined.select("source_id", decision.alias("decision"))
+    marked = joined.select("source_id", decision.alias("decision"))
+    process = ~F.col("decision").isin("not_collected", "completed_current")
+    status = F.when(F.col("decision").isin("media_missing", "hash_changed", "artifacts_invalid"), "incomplete").when(F.col("decision") == "version_changed", "new").otherwise("processing")
+    return marked.withColumns({"process": process, "new_status": F.when(process, status)})
 
 
 def select_fixed(wanted: DataFrame, items: DataFrame, seen: DataFrame) -> DataFrame:
@@ -192,15 +214,22 @@ def identity_conflicts(items: DataFrame, observed: DataFrame, prefix: str = "ite
 
 
 def apply_status(items: DataFrame, updates: DataFrame, keep_completed: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Items after updates (source_id, new_status, new_error), and the updates that no item or state allows."""
-    allowed = F.col("new_status").isin(STATUSES)
-    good = updates.where(allowed)
+    """Items after updates (source_id, new_status, new_error and, if there, new_media_sha256, new_library_path), and refused updates.
+
+    The error is set to the new one, also to none; the other fields change only
+    where a value is given. Completion needs an accepted publication and is
+    refused here, as are unknown states and items; with ``keep_completed`` a
+    completed item stays as it is.
+    """
+    allowed = F.col("new_status").isin(STATUSES) & (F.col("new_status") != "completed")
+    good = updates.where(allowed).withColumn("updated", F.lit(True))
     hold = (F.col("status") == "completed") if keep_completed else F.lit(False)
-    done = items.join(good, "source_id", "left").withColumns({
-        "status": F.when(hold, F.col("status")).otherwise(F.coalesce("new_status", "status")),
-        "error": F.coalesce("new_error", "error"),
-    }).drop("new_status", "new_error")
-    refused = updates.where(~allowed | F.col("new_status").isNull()).select("source_id", F.lit("bad_status").alias("reason"))
+    use = F.coalesce(F.col("updated") & ~hold, F.lit(False))
+    changed = {"status": F.when(use, F.col("new_status")).otherwise(F.col("status")), "error": F.when(use, F.col("new_error")).otherwise(F.col("error"))}
+    changed |= {f: F.when(use, F.coalesce(f"new_{f}", f)).otherwise(F.col(f)) for f in ("media_sha256", "library_path") if f"new_{f}" in updates.columns}
+    done = items.join(good, "source_id", "left").withColumns(changed).select(*items.columns)
+    reason = F.when(F.col("new_status") == "completed", "needs_acceptance").otherwise("bad_status")
+    refused = updates.where(~F.coalesce(allowed, F.lit(False))).select("source_id", reason.alias("reason"))
     missing = good.join(items, "source_id", "left_anti").select("source_id", F.lit("unknown_item").alias("reason"))
     return done, refused.union(missing)
 

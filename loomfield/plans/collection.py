@@ -27,6 +27,9 @@ HASHES_NOW = "SELECT o_orderkey AS job_id, SHA(CAST(o_orderkey + CASE WHEN o_ord
 CATALOG_PAGES = "SELECT entry_ref, category, title, CASE WHEN entry_ref % 3 = 0 THEN array('') ELSE array(category, 'page') END AS tags FROM v_entries"
 REJECTS = "SELECT user_id AS job_id, event_type AS body, CASE WHEN value > 50 THEN event_type END AS code FROM events"
 
+AUDITED = """SELECT source_id, job_id, alt_id, snapshot_id, last_position, CASE WHEN last_position % 97 = 5 THEN 'lost' ELSE status END AS status FROM v_items"""
+VALID = "SELECT source_id FROM v_items WHERE last_position % 4 <> 1"
+
 RESET = "s.source_id IS NOT NULL AND i.status = 'completed' AND (i.pipeline_version <> 'v1' OR (s.media_sha256 IS NOT NULL AND s.media_sha256 IS DISTINCT FROM i.media_sha256))"
 MERGE = "v_items i FULL OUTER JOIN v_seen s ON i.source_id = s.source_id"
 
@@ -55,9 +58,9 @@ def _updates(s, d):
     return sql(s, d, UPDATES)
 
 
-UPDATES = """SELECT source_id, CASE k % 4 WHEN 0 THEN 'processing' WHEN 1 THEN 'analyzed' WHEN 2 THEN 'lost' ELSE NULL END AS new_status, CASE WHEN k % 8 = 1 THEN 'late' END AS new_error
-    FROM v_src WHERE k % 6 = 0 OR k % 30 = 1"""
-NEEDS = """SELECT i.*, coalesce(currently_collected AND (status IN ('new', 'processing', 'failed') OR (status = 'completed' AND (pipeline_version <> 'v1' OR o.source_id IS NULL))), false) AS needs
+UPDATES = """SELECT source_id, CASE k % 8 WHEN 0 THEN 'processing' WHEN 1 THEN 'analyzed' WHEN 2 THEN 'lost' WHEN 3 THEN 'completed' WHEN 4 THEN 'downloaded' WHEN 5 THEN 'incomplete' WHEN 6 THEN 'failed' ELSE NULL END AS new_status,
+    CASE WHEN k % 7 = 1 THEN 'late' END AS new_error, CASE WHEN k % 5 = 1 THEN 'm' END AS new_media_sha256 FROM v_src WHERE k % 3 = 0 OR k % 30 = 1"""
+NEEDS = """SELECT i.*, currently_collected AND NOT (status = 'completed' AND pipeline_version = 'v1' AND o.source_id IS NOT NULL) AS needs
     FROM v_items i LEFT JOIN (SELECT source_id FROM v_observed WHERE observed_sha256 IS NOT NULL) o ON i.source_id = o.source_id"""
 
 
@@ -90,31 +93,47 @@ TESTS: dict = {
     "C-5": (lambda s, d: snapshot.page_conflicts(view(s, d, "v_replays")), """SELECT snapshot_id, page_cursor, count(*) AS deliveries, count(DISTINCT concat(next_cursor, CAST(has_more AS VARCHAR))) AS versions
         FROM v_replays GROUP BY 1, 2 HAVING count(DISTINCT concat(next_cursor, CAST(has_more AS VARCHAR))) > 1"""),
     "C-6": (lambda s, d: snapshot.snapshot_counts(view(s, d, "v_page_items")), "SELECT snapshot_id, count(*) AS item_count FROM v_page_items GROUP BY 1"),
-    "C-7": (lambda s, d: snapshot.reconcile(items(s, d), seen(s, d), "v1", NOW), f"""SELECT coalesce(i.source_id, s.source_id) AS source_id, coalesce(job_id, concat('item-', substr(SHA(s.source_id), 1, 20))) AS job_id,
-        s.source_id IS NOT NULL AS currently_collected, CASE WHEN s.source_id IS NULL THEN coalesce(uncollected_at, TIMESTAMP '{NOW}') END AS uncollected_at, coalesce(s.position, last_position) AS last_position,
-        CASE WHEN i.source_id IS NULL OR ({RESET}) THEN 'new' ELSE i.status END AS status, CASE WHEN s.source_id IS NOT NULL THEN 'v1' ELSE pipeline_version END AS pipeline_version,
-        coalesce(s.media_sha256, i.media_sha256) AS media_sha256 FROM {MERGE}"""),
+    "C-7": (
+        lambda s, d: snapshot.reconcile(items(s, d), seen(s, d), view(s, d, "v_snapshots"), "s2", "v1", NOW),
+        f"""SELECT coalesce(i.source_id, s.source_id) AS source_id, coalesce(s.alt_id, i.alt_id) AS alt_id,
+        coalesce(job_id, concat('item-', substr(SHA(s.source_id), 1, 20))) AS job_id, coalesce(first_seen_at, TIMESTAMP '{NOW}') AS first_seen_at,
+        CASE WHEN s.source_id IS NULL THEN last_seen_at ELSE TIMESTAMP '{NOW}' END AS last_seen_at, s.source_id IS NOT NULL AS currently_collected,
+        CASE WHEN s.source_id IS NOT NULL THEN NULL WHEN currently_collected THEN coalesce(uncollected_at, TIMESTAMP '{NOW}') ELSE uncollected_at END AS uncollected_at,
+        coalesce(s.position, last_position) AS last_position, CASE WHEN i.source_id IS NULL OR ({RESET}) THEN 'new' ELSE i.status END AS status,
+        CASE WHEN s.source_id IS NOT NULL THEN 'v1' ELSE pipeline_version END AS pipeline_version, coalesce(s.media_sha256, i.media_sha256) AS media_sha256,
+        CASE WHEN i.source_id IS NULL OR ({RESET}) THEN NULL ELSE error END AS error, coalesce(s.snapshot_id, i.snapshot_id) AS snapshot_id FROM {MERGE}""",
+    ),
     "C-8": (lambda s, d: snapshot.diff(items(s, d), seen(s, d), "v1").groupBy("change").agg(F.count(F.lit(1)).alias("n")), f"""SELECT CASE WHEN i.source_id IS NULL THEN 'new' WHEN s.source_id IS NULL THEN CASE WHEN currently_collected THEN 'uncollected' ELSE 'gone' END
         WHEN {RESET} THEN 'reset' WHEN NOT currently_collected THEN 'recollected' ELSE 'kept' END AS change, count(*) AS n FROM {MERGE} GROUP BY 1"""),
     "C-9": (lambda s, d: snapshot.completed_only(sql(s, d, "SELECT CASE WHEN k % 2 = 0 THEN 's2' ELSE 's3' END AS snapshot_id, source_id FROM v_src"), view(s, d, "v_snapshots")),
         "SELECT 's2' AS snapshot_id, source_id FROM v_src WHERE k % 2 = 0"),
-    "C-10": (lambda s, d: snapshot.audit_registry(items(s, d), view(s, d, "v_snapshots")), """SELECT 'repeated_job' AS code, job_id AS key FROM v_items GROUP BY job_id HAVING count(*) > 1
+    "C-10": (lambda s, d: snapshot.audit_registry(sql(s, d, AUDITED), view(s, d, "v_snapshots")), """SELECT 'bad_status' AS code, source_id AS key FROM v_items WHERE last_position % 97 = 5 UNION ALL SELECT 'repeated_job' AS code, job_id AS key FROM v_items GROUP BY job_id HAVING count(*) > 1
         UNION ALL SELECT 'repeated_alt', alt_id FROM v_items WHERE alt_id IS NOT NULL GROUP BY alt_id HAVING count(*) > 1
         UNION ALL SELECT 'repeated_position', concat(snapshot_id, '/', last_position) FROM v_items GROUP BY snapshot_id, last_position HAVING count(*) > 1
         UNION ALL SELECT 'unknown_snapshot', source_id FROM v_items WHERE snapshot_id NOT IN (SELECT snapshot_id FROM v_snapshots)"""),
     "C-11": (lambda s, d: _needs(s, d).select("source_id", "needs"), f"SELECT source_id, needs FROM ({NEEDS}) t"),
     "C-12": (lambda s, d: snapshot.next_items(_needs(s, d)).select("collection", "source_id", "last_position"), f"""SELECT collection, source_id, last_position FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY last_position, source_id) AS r
         FROM ({NEEDS}) t WHERE needs) q WHERE r = 1"""),
-    "C-13": (lambda s, d: snapshot.claim_decisions(items(s, d), observed(s, d).select("source_id", "observed_sha256"), "v1"), """SELECT i.source_id, CASE WHEN NOT currently_collected THEN 'not_collected' WHEN observed_sha256 IS NULL THEN 'media_missing'
-        WHEN media_sha256 <> observed_sha256 THEN 'hash_changed' WHEN status = 'completed' AND pipeline_version = 'v1' THEN 'completed_current' WHEN status = 'completed' THEN 'version_changed'
-        WHEN status = 'failed' THEN 'retry' ELSE status END AS decision FROM v_items i LEFT JOIN v_observed o ON i.source_id = o.source_id"""),
+    "C-13": (
+        lambda s, d: snapshot.claim_decisions(items(s, d), observed(s, d).select("source_id", "observed_sha256"), sql(s, d, VALID), "v1"),
+        f"""SELECT *, decision NOT IN ('not_collected', 'completed_current') AS process, CASE WHEN decision IN ('not_collected', 'completed_current') THEN NULL
+        WHEN decision IN ('media_missing', 'hash_changed', 'artifacts_invalid') THEN 'incomplete' WHEN decision = 'version_changed' THEN 'new' ELSE 'processing' END AS new_status
+        FROM (SELECT o.source_id, CASE WHEN NOT coalesce(currently_collected, false) THEN 'not_collected' WHEN pipeline_version <> 'v1' THEN 'version_changed'
+        WHEN status = 'completed' THEN CASE WHEN observed_sha256 IS NULL THEN 'media_missing' WHEN media_sha256 <> observed_sha256 THEN 'hash_changed'
+        WHEN a.source_id IS NULL THEN 'artifacts_invalid' ELSE 'completed_current' END WHEN status IN ('failed', 'incomplete') THEN 'retry' ELSE status END AS decision
+        FROM v_observed o LEFT JOIN v_items i ON i.source_id = o.source_id LEFT JOIN ({VALID}) a ON a.source_id = o.source_id) t""",
+    ),
     "C-14": (lambda s, d: snapshot.select_fixed(sql(s, d, "SELECT source_id FROM v_src WHERE k % 2 = 0"), items(s, d), seen(s, d)), """SELECT w.source_id, CASE WHEN i.source_id IS NULL THEN 'unknown' WHEN s.source_id IS NULL THEN 'not_in_snapshot'
         WHEN NOT currently_collected THEN 'not_collected' WHEN i.status = 'completed' THEN 'already_completed' ELSE 'ok' END AS reason
         FROM (SELECT source_id FROM v_src WHERE k % 2 = 0) w LEFT JOIN v_items i ON w.source_id = i.source_id LEFT JOIN v_seen s ON w.source_id = s.source_id"""),
     "C-15": (lambda s, d: snapshot.identity_conflicts(items(s, d).drop("alt_id"), observed(s, d)), """SELECT * FROM (SELECT i.source_id, CASE WHEN o.alt_id <> i.source_id THEN 'alt_id' WHEN i.author <> o.author THEN 'author'
         WHEN media_sha256 <> observed_sha256 THEN 'hash' END AS conflict FROM v_items i JOIN v_observed o ON i.source_id = o.source_id) t WHERE conflict IS NOT NULL"""),
-    "C-16": (lambda s, d: snapshot.apply_status(items(s, d), _updates(s, d))[0].select("source_id", "status", "error"), f"""SELECT i.source_id, CASE WHEN status = 'completed' THEN status ELSE coalesce(new_status, status) END AS status, coalesce(new_error, error) AS error
-        FROM v_items i LEFT JOIN (SELECT * FROM ({UPDATES}) t WHERE new_status IN ('new', 'processing', 'analyzed', 'completed', 'failed')) u ON i.source_id = u.source_id"""),
+    "C-16": (
+        lambda s, d: snapshot.apply_status(items(s, d), _updates(s, d))[0].select("source_id", "status", "error", "media_sha256"),
+        f"""SELECT i.source_id, CASE WHEN use THEN new_status ELSE status END AS status, CASE WHEN use THEN new_error ELSE error END AS error,
+        CASE WHEN use THEN coalesce(new_media_sha256, media_sha256) ELSE media_sha256 END AS media_sha256 FROM (SELECT i.*, u.* EXCLUDE (source_id), u.source_id IS NOT NULL AND status <> 'completed' AS use
+        FROM v_items i LEFT JOIN (SELECT * FROM ({UPDATES}) t WHERE new_status IN ('new', 'processing', 'downloaded', 'analyzed', 'failed', 'incomplete')) u ON i.source_id = u.source_id) i""",
+    ),
     "C-17": (lambda s, d: snapshot.status_counts(items(s, d)), "SELECT status, count(*) AS items, CAST(sum(CAST(currently_collected AS INT)) AS BIGINT) AS collected FROM v_items GROUP BY ROLLUP(status)"),
     "C-18": (lambda s, d: snapshot.position_drift(sql(s, d, "SELECT user_id AS source_id, event_id AS at, CAST(value AS INT) % 3 AS position FROM events")), """SELECT * FROM (SELECT user_id AS source_id, event_id AS at, CAST(trunc(value) AS INT) % 3 AS position,
         lag(CAST(trunc(value) AS INT) % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) t WHERE before IS NULL OR before <> position"""),

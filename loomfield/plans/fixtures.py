@@ -12,16 +12,19 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: SHA(x): hex SHA-256; EPOCH(x): seconds since 1970; CELL(html): the title of a page.
 VIEWS = {
     "v_src": """SELECT CAST(o_orderkey AS STRING) AS source_id, CAST(o_custkey AS STRING) AS collection, o_orderkey AS k, o_custkey,
-        CASE o_orderstatus WHEN 'O' THEN 'new' WHEN 'F' THEN 'completed' ELSE 'failed' END AS status FROM orders""",
+        CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'P' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'failed' ELSE 'incomplete' END
+            ELSE CASE o_orderkey % 5 WHEN 0 THEN 'processing' WHEN 1 THEN 'downloaded' WHEN 2 THEN 'analyzed' ELSE 'new' END END AS status FROM orders""",
     "v_items": """SELECT source_id, concat('item-', substr(SHA(source_id), 1, 20)) AS job_id, collection, status, k % 11 <> 0 AS currently_collected,
         CASE WHEN k % 11 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS uncollected_at, k AS last_position,
         CASE WHEN k % 17 = 0 THEN 'v0' ELSE 'v1' END AS pipeline_version, SHA(source_id) AS media_sha256,
         CASE WHEN k % 3 = 0 THEN NULL ELSE concat('alt', CAST(k % 9000 AS STRING)) END AS alt_id,
         CASE WHEN k % 23 = 0 THEN 's9' ELSE 's1' END AS snapshot_id, concat('author', CAST(o_custkey % 50 AS STRING)) AS author,
-        CASE WHEN k % 5 = 0 THEN 'e1' END AS error, concat('lib/', source_id) AS library_path
+        CASE WHEN k % 4 = 1 THEN 'e1' END AS error, concat('lib/', source_id) AS library_path,
+        TIMESTAMP '2023-12-01 00:00:00' AS first_seen_at, CASE WHEN k % 11 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIMESTAMP '2024-01-15 00:00:00' END AS last_seen_at
         FROM v_src WHERE k % 10 <> 0""",
     "v_seen": """SELECT 's2' AS snapshot_id, source_id, k AS position,
-        CASE WHEN k % 19 = 0 THEN NULL ELSE SHA(concat(source_id, CASE WHEN k % 13 = 0 THEN 'x' ELSE '' END)) END AS media_sha256
+        CASE WHEN k % 19 = 0 THEN NULL ELSE SHA(concat(source_id, CASE WHEN k % 13 = 0 THEN 'x' ELSE '' END)) END AS media_sha256,
+        CASE WHEN k % 9 = 0 THEN NULL ELSE concat('alt', CAST(k % 9000 AS STRING)) END AS alt_id
         FROM v_src WHERE k % 7 <> 0""",
     "v_snapshots": "SELECT * FROM (VALUES ('s1', 'completed'), ('s2', 'completed'), ('s3', 'failed')) AS t(snapshot_id, state)",
     "v_chain": """SELECT snapshot_id, rn AS page_seq, CAST(rn - 1 AS STRING) AS page_cursor, CASE WHEN rn < n THEN CAST(rn AS STRING) END AS next_cursor, rn < n AS has_more

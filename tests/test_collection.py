@@ -19,16 +19,24 @@ def test_reconcile_rules(spark):
     items = spark.sql("""SELECT * FROM VALUES
         ('a', 'ja', true, null, 1, 'completed', 'v1', 'h'), ('b', 'jb', true, null, 2, 'completed', 'v1', 'h'), ('c', 'jc', false, TIMESTAMP_NTZ'2024-01-01', 3, 'failed', 'v0', 'h'),
         ('d', 'jd', false, TIMESTAMP_NTZ'2023-01-01', 4, 'completed', 'v0', 'h'), ('e', 'je', true, null, 5, 'analyzed', 'v0', null)
-        AS t(source_id, job_id, currently_collected, uncollected_at, last_position, status, pipeline_version, media_sha256)""")
-    seen = spark.createDataFrame([("a", 9, None), ("b", 8, "other"), ("c", 7, "h"), ("n", 6, None)], "source_id string, position long, media_sha256 string")
-    out = {r.source_id: r for r in snapshot.reconcile(items, seen, "v1", "2024-02-01 00:00:00").collect()}
+        AS t(source_id, job_id, currently_collected, uncollected_at, last_position, status, pipeline_version, media_sha256)""").selectExpr(
+        "*", "concat('alt', source_id) AS alt_id", "'bad' AS error", "'s0' AS snapshot_id", "TIMESTAMP_NTZ'2022-01-01' AS first_seen_at", "TIMESTAMP_NTZ'2022-02-01' AS last_seen_at")
+    seen = spark.createDataFrame([("s", "a", 9, None), ("s", "b", 8, "other"), ("s", "c", 7, "h"), ("s", "n", 6, None), ("x", "e", 1, None)], "snapshot_id string, source_id string, position long, media_sha256 string")
+    snapshots = spark.createDataFrame([("s", "completed"), ("x", "failed")], "snapshot_id string, state string")
+    out = {r.source_id: r for r in snapshot.reconcile(items, seen, snapshots, "s", "v1", "2024-02-01 00:00:00").collect()}
+    assert (out["a"].alt_id, out["a"].error, out["b"].error, out["n"].error) == ("alta", "bad", None, None)
+    assert (out["a"].last_seen_at.year, out["d"].last_seen_at.year, out["a"].first_seen_at.year, out["n"].first_seen_at.year) == (2024, 2022, 2022, 2024)
+    assert (out["a"].snapshot_id, out["d"].snapshot_id) == ("s", "s0")
+    for inert in ("x", "unknown"):
+        same = snapshot.reconcile(items, seen, snapshots, inert, "v1", "2024-02-01 00:00:00").select(*items.columns)
+        assert same.exceptAll(items).isEmpty() and same.count() == 5
     assert (out["a"].status, out["a"].media_sha256, out["a"].last_position) == ("completed", "h", 9)  # an unknown hash is no change
     assert (out["b"].status, out["b"].media_sha256) == ("new", "other")
     assert (out["c"].status, out["c"].currently_collected, out["c"].uncollected_at, out["c"].pipeline_version) == ("failed", True, None, "v1")
     assert out["d"].uncollected_at.year == 2023 and not out["d"].currently_collected
     assert out["e"].uncollected_at.year == 2024 and out["e"].pipeline_version == "v0"
     assert out["n"].status == "new" and out["n"].job_id.startswith("item-")
-    changes = dict(map(tuple, snapshot.diff(items, seen, "v1").collect()))
+    changes = dict(map(tuple, snapshot.diff(items, seen.where("snapshot_id = 's'"), "v1").collect()))
     assert changes == {"a": "kept", "b": "reset", "c": "recollected", "d": "gone", "e": "uncollected", "n": "new"}
 
 
@@ -47,11 +55,25 @@ def test_positions_keep_the_first_occurrence(spark):
 
 
 def test_status_updates(spark):
-    items = spark.createDataFrame([("a", "completed", None), ("b", "new", "e")], "source_id string, status string, error string")
-    updates = spark.createDataFrame([("a", "failed", "x"), ("b", "analyzed", None), ("c", "failed", None), ("b2", "lost", None)], "source_id string, new_status string, new_error string")
+    items = spark.createDataFrame([("a", "completed", None), ("b", "new", "e"), ("d", "new", "e")], "source_id string, status string, error string")
+    updates = spark.createDataFrame([("a", "failed", "x"), ("b", "downloaded", None), ("c", "failed", None), ("b2", "lost", None), ("d", "completed", None)], "source_id string, new_status string, new_error string")
     done, refused = snapshot.apply_status(items, updates)
-    assert rows(done, "source_id", "status", "error") == [("a", "completed", "x"), ("b", "analyzed", "e")]
-    assert rows(refused, "source_id", "reason") == [("b2", "bad_status"), ("c", "unknown_item")]
+    assert rows(done, "source_id", "status", "error") == [("a", "completed", None), ("b", "downloaded", None), ("d", "new", "e")]
+    assert rows(refused, "source_id", "reason") == [("b2", "bad_status"), ("c", "unknown_item"), ("d", "needs_acceptance")]
+    assert ("a", "failed", "x") in rows(snapshot.apply_status(items, updates, keep_completed=False)[0], "source_id", "status", "error")
+
+
+def test_claims_and_open_items(spark):
+    items = spark.createDataFrame(
+        [("gone", "new", "v1", "h", False), ("media", "completed", "v1", "h", True), ("hash", "completed", "v1", "h", True), ("done", "completed", "v1", "h", True), ("off", "completed", "v1", "h", True),
+         ("old", "analyzed", "v0", "h", True), ("again", "incomplete", "v1", "h", True), ("open", "downloaded", "v1", None, True)],
+        "source_id string, status string, pipeline_version string, media_sha256 string, currently_collected boolean")
+    observed = spark.createDataFrame([(n, None if n == "media" else "i" if n == "hash" else "h") for n in ("gone", "media", "hash", "done", "off", "old", "again", "open", "none")], "source_id string, observed_sha256 string")
+    valid = spark.createDataFrame([("done",)], "source_id string")
+    assert rows(snapshot.claim_decisions(items, observed, valid, "v1"), "source_id", "decision", "process", "new_status") == [
+        ("again", "retry", True, "processing"), ("done", "completed_current", False, None), ("gone", "not_collected", False, None), ("hash", "hash_changed", True, "incomplete"),
+        ("media", "media_missing", True, "incomplete"), ("none", "not_collected", False, None), ("off", "artifacts_invalid", True, "incomplete"), ("old", "version_changed", True, "new"), ("open", "downloaded", True, "processing")]
+    assert rows(snapshot.needs_processing(items, "v1", valid).where("NOT needs"), "source_id") == [("done",), ("gone",)]
 
 
 def test_paged_dumps(spark, tmp_path):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loomfield.functions.columns import NAME_CHARS, first_failure, fold, one_line
 
 SOURCES = ["manifest", "checkpoint", "registry", "fingerprint"]
+#: Characters of a name that its number may take.
+NUMBER_CHARS = 12
 
 
 def index_all(entries: DataFrame) -> DataFrame:
@@ -41,18 +43,36 @@ def normalize_tags(entries: DataFrame) -> DataFrame:
 
 
 def assign_names(entries: DataFrame, registered: DataFrame) -> DataFrame:
-    """job_id, category, name without collisions: a job keeps its registered name, others get (2), (3), ... within 80 characters.
+    """job_id, category, name without collisions, within 80 characters.
 
-    entries: job_id, category, stem; registered: job_id, category, stem, name.
+    A job keeps its registered name. Of new jobs whose cut stems are equal the first
+    takes the stem itself if no name of the category is that; the others take the
+    smallest numbers from (2) on that no name of the category has. Stems are cut
+    further to make room for the number, and lose trailing spaces, dots and hyphens.
+    entries: job_id, category, stem; registered: job_id, category, name.
     """
-    held = registered.groupBy("category", "stem").agg(F.count(F.lit(1)).alias("taken"))
-    fresh = entries.join(registered.select("job_id"), "job_id", "left_anti")
-    i = F.row_number().over(Window.partitionBy("category", "stem").orderBy("job_id"))
-    placed = fresh.withColumn("i", i).join(held, ["category", "stem"], "left").withColumn("n", F.col("i") + F.coalesce("taken", F.lit(0)))
-    suffix = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise("")
-    name = F.concat(F.expr(f"left(stem, {NAME_CHARS} - length(suffix))"), F.col("suffix"))
+    end = r"[ .-]+$"
+    plain = F.regexp_replace(F.left("stem", F.lit(NAME_CHARS)), end, "")
+    fresh = entries.join(registered.select("job_id"), "job_id", "left_anti").withColumn("name", plain)
+    turn = F.row_number().over(Window.partitionBy("category", "name").orderBy("job_id"))
+    taken = registered.select("category", "name").distinct()
+    won = fresh.withColumn("turn", turn).where("turn = 1").join(taken, ["category", "name"], "left_anti").select("job_id", "category", "name")
+    # stems that are equal once there is room for a number are numbered together
+    key = F.regexp_replace(F.left("stem", F.lit(NAME_CHARS - NUMBER_CHARS)), end, "")
+    lost = fresh.join(won.select("job_id"), "job_id", "left_anti").withColumn("key", key)
+    order = Window.partitionBy("category", "key").orderBy("job_id")
+    lost = lost.withColumn("r", F.row_number().over(order))
+    numbered = r"^(.*) \(([0-9]{1,9})\)$"
+    names = taken.union(won.select("category", "name")).select("category", F.regexp_extract("name", numbered, 1).alias("stem"), F.regexp_extract("name", numbered, 2).try_cast("int").alias("n"))
+    held = names.where("n >= 2").select("category", key.alias("key"), "n").distinct()
+    ahead = F.col("n") - 1 - F.row_number().over(Window.partitionBy("category", "key").orderBy("n"))
+    held = held.select("category", "key", ahead.alias("r"))
+    line = lost.select("category", "key", "r", F.lit(0).alias("held"), "job_id", "stem").unionByName(held.withColumn("held", F.lit(1)), allowMissingColumns=True)
+    before = F.sum("held").over(Window.partitionBy("category", "key").orderBy("r", "held").rowsBetween(Window.unboundedPreceding, 0))
+    placed = line.withColumn("n", F.col("r") + 1 + before).where("held = 0").withColumn("suffix", F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
+    name = F.concat(F.regexp_replace(F.expr(f"left(stem, {NAME_CHARS} - length(suffix))"), end, ""), F.col("suffix"))
     kept = registered.join(entries.select("job_id"), "job_id", "left_semi").select("job_id", "category", "name")
-    return placed.withColumn("suffix", suffix).select("job_id", "category", name.alias("name")).union(kept)
+    return placed.select("job_id", "category", name.alias("name")).union(won).union(kept)
 
 
 def verify_entries(entries: DataFrame, artifacts: DataFrame, required: Sequence[str], frames: tuple[int, int] = (3, 8)) -> DataFrame:

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from loomfield.functions.columns import first_failure, one_line
 
-REQUIRED_CHECKS = ["content", "targets", "review"]
+#: The checks that an acceptance needs.
+REQUIRED_CHECKS = ["sqlite_integrity", "privacy", "content"]
 DIGEST = "^[0-9a-f]{64}$"
+#: Handles that are empty, absolute or climb up; a backslash counts as a slash.
+UNSAFE = r"^$|^/|(^|/)\.\.(/|$)"
 
 
 def request_hash(targets: DataFrame) -> DataFrame:
@@ -21,22 +24,41 @@ def request_hash(targets: DataFrame) -> DataFrame:
 
 
 def begin(requests: DataFrame, sagas: DataFrame, items: DataFrame) -> DataFrame:
-    """request_id, outcome of requests (request_id, job_ref, idempotency_key, request_sha256, draft_sha256, handle).
-
-    Of requests with one key in a batch the first is taken and the others are
-    judged against it. sagas: idempotency_key, request_sha256, draft_sha256.
+    """request_id, outcome of requests (request_id, job_ref, idempotency_key, request_sha256, draft_sha256, media_sha256, targets).
+
+    targets is a map from names to (handle, sha256); sagas have the same columns
+    but request_id, and state, with targets from names to (handle, status). A known
+    key with another request is retargeted only while it is an intent for the same
+    job, draft, media and target names, without digests, and if handles of targets
+    changed that are not verified. Of requests with one new key in a batch the first
+    is taken and the others are judged against it.
     """
-    first = Window.partitionBy("idempotency_key").orderBy("request_id")
-    r = requests.withColumns({"turn": F.row_number().over(first), "first_request": F.first("request_sha256").over(first), "first_draft": F.first("draft_sha256").over(first)})
-    r = r.join(sagas.select("idempotency_key", F.col("request_sha256").alias("known_request"), F.col("draft_sha256").alias("known_draft")), "idempotency_key", "left")
+    same = ["request_sha256", "job_ref", "draft_sha256", "media_sha256"]
+    held = F.struct(*same, F.col("state"), F.transform_values("targets", lambda _, t: F.struct(t["handle"].alias("handle"), t["status"].alias("status"))).alias("targets"))
+    lower = {c: F.lower(c) for c in ("draft_sha256", "media_sha256")}
+    lower["targets"] = F.transform_values("targets", lambda _, t: F.struct(F.replace(t["handle"], F.lit("\\"), F.lit("/")).alias("handle"), F.lower(t["sha256"]).alias("sha256")))
+    w = Window.partitionBy("idempotency_key").orderBy("request_id")
+    as_saga = F.struct(*same, F.lit("intent").alias("state"), F.transform_values("targets", lambda _, t: F.struct(t["handle"].alias("handle"), F.lit("pending").alias("status"))).alias("targets"))
+    r = requests.withColumns(lower)
+    r = r.withColumns({"turn": F.row_number().over(w), "first": F.first(as_saga).over(w)})
+    r = r.join(sagas.select("idempotency_key", held.alias("known")), "idempotency_key", "left").withColumn("was", F.coalesce("known", F.when(F.col("turn") > 1, F.col("first"))))
     r = r.join(items.select(F.col("job_id").alias("job_ref"), F.lit(True).alias("known_job")).distinct(), "job_ref", "left")
-    request, draft = (F.coalesce(f"known_{c}", F.when(F.col("turn") > 1, F.col(f"first_{c}"))) for c in ("request", "draft"))
-    outside = F.col("handle").startswith("/") | F.regexp_like("handle", F.lit(r"(^|/)\.\.(/|$)"))
+    now, names = F.map_values("targets"), F.array_sort(F.map_keys("targets"))
+    handles = F.transform(names, lambda n: F.struct(F.col("targets")[n]["handle"].alias("now"), F.col("was.targets")[n]["handle"].alias("was"), F.col("was.targets")[n]["status"].alias("status")))
+    changed = F.filter(handles, lambda h: h["now"] != h["was"])
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    bad = lambda c: ~F.coalesce(F.regexp_like(c, F.lit(DIGEST)), F.lit(False))
+    movable = (
+        (F.col("was.state") == "intent") & F.forall(F.array(*[F.col(f"was.{c}").eqNullSafe(F.col(c)) for c in same[1:]]), lambda x: x)
+        & (names == F.array_sort(F.map_keys("was.targets"))) & F.forall(now, lambda t: t["sha256"].isNull())
+        & (F.size(changed) > 0) & ~F.exists(changed, lambda h: h["status"] == "verified"))
     outcome = F.coalesce(
         first_failure(
-            (F.col("known_job").isNull(), "unknown_job"), (~F.regexp_like("draft_sha256", F.lit(DIGEST)), "bad_digest"), (outside, "bad_handle"),
-            (request.isNull(), "new"), (draft != F.col("draft_sha256"), "conflict"), (request != F.col("request_sha256"), "retargeted")),
-        F.lit("reused"))
+            (blank("job_ref") | blank("idempotency_key") | (F.coalesce(F.size("targets"), F.lit(0)) < 1) | F.exists(names, blank), "bad_request"),
+            (F.exists(now, lambda t: F.regexp_like(F.coalesce(t["handle"], F.lit("")), F.lit(UNSAFE))), "bad_handle"),
+            (F.exists(now, lambda t: t["sha256"].isNotNull() & bad(t["sha256"])) | bad("draft_sha256") | bad("media_sha256"), "bad_digest"),
+            (F.col("known_job").isNull(), "unknown_job"), (F.col("was").isNull(), "new"), (F.col("was.request_sha256") == F.col("request_sha256"), "reused"), (movable, "retargeted")),
+        F.lit("conflict"))
     return r.select("request_id", outcome.alias("outcome"))
 
 
@@ -75,26 +97,57 @@ def saga_states(sagas: DataFrame, targets: DataFrame) -> DataFrame:
     return j.select("saga_id", state.alias("state"))
 
 
-def backfill_superseded(sagas: DataFrame) -> DataFrame:
-    """saga_id, superseded_by, superseded_at: the earliest newer accepted saga of an accepted one's job."""
+def backfill_superseded(sagas: DataFrame, acceptances: DataFrame) -> DataFrame:
+    """saga_id, superseded_by, superseded_at: for accepted sagas without superseded_at, the earliest newer accepted one of the job.
+
+    The time is that of the newer one's acceptance (saga_id, accepted_at), or else of its last update.
+    """
     w = Window.partitionBy("job_ref").orderBy("created_at", "saga_id")
-    accepted = sagas.where("state = 'accepted'")
-    return accepted.select("saga_id", F.lead("saga_id").over(w).alias("superseded_by"), F.lead("created_at").over(w).alias("superseded_at")).where("superseded_by IS NOT NULL")
+    accepted = sagas.where("state = 'accepted'").join(acceptances.select("saga_id", "accepted_at"), "saga_id", "left")
+    at = F.lead(F.coalesce("accepted_at", "updated_at")).over(w)
+    marked = accepted.select("saga_id", F.col("superseded_at").isNull().alias("open"), F.lead("saga_id").over(w).alias("superseded_by"), at.alias("superseded_at"))
+    return marked.where("open AND superseded_by IS NOT NULL").drop("open")
 
 
-def accept(sagas: DataFrame, checks: DataFrame, required: Sequence[str] = REQUIRED_CHECKS) -> DataFrame:
-    """saga_id, outcome of acceptances (saga_id, checks map<string, boolean>): accepted or why not."""
+def accept(sagas: DataFrame, checks: DataFrame, items: DataFrame, required: Sequence[str] = REQUIRED_CHECKS) -> DataFrame:
+    """saga_id, outcome of acceptances (saga_id, checks map<string, boolean>): accepted or why not; a check that is null has failed."""
     newer = sagas.where("state = 'accepted'").groupBy("job_ref").agg(F.max(F.struct("created_at", "saga_id")).alias("top"))
     j = checks.join(sagas, "saga_id", "left").join(newer, "job_ref", "left")
-    missing = F.size(F.array_except(F.array(*map(F.lit, required)), F.map_keys("checks"))) > 0
+    j = j.join(items.select(F.col("job_id").alias("job_ref"), F.lit(True).alias("known_job")).distinct(), "job_ref", "left")
+    missing = F.coalesce(F.size(F.array_except(F.array(*map(F.lit, required)), F.map_keys("checks"))) > 0, F.lit(True))
+    passed = F.forall(F.map_values("checks"), lambda c: c.eqNullSafe(F.lit(True)))
     outcome = F.coalesce(
         first_failure(
             (F.col("state").isNull(), "unknown_saga"), (F.col("state") == "accepted", "already_accepted"), (F.col("state") != "published_unaccepted", "not_published"),
-            (F.col("top") > F.struct("created_at", "saga_id"), "superseded"), (missing, "missing_checks"), (F.exists(F.map_values("checks"), lambda c: ~c), "failed_checks")),
+            (F.col("top") > F.struct("created_at", "saga_id"), "superseded"), (missing, "missing_checks"), (~passed, "failed_checks"), (F.col("known_job").isNull(), "unknown_job")),
         F.lit("accepted"))
     return j.select("saga_id", outcome.alias("outcome"))
 
 
+def after_acceptance(sagas: DataFrame, items: DataFrame, outcomes: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Sagas and items after the outcomes of ``accept``.
+
+    An accepted saga is accepted and superseded by none; the job's other accepted
+    ones, unless superseded before, are superseded now, by the newest; the job's
+    item is completed.
+    """
+    at = F.to_timestamp_ntz(F.lit(now))
+    done = outcomes.where("outcome = 'accepted'").select("saga_id", F.lit(True).alias("now_accepted"))
+    j = sagas.join(done, "saga_id", "left")
+    top = j.where("now_accepted").groupBy("job_ref").agg(F.max(F.struct("created_at", "saga_id"))["saga_id"].alias("top"))
+    j = j.join(top, "job_ref", "left")
+    newest = F.col("saga_id").eqNullSafe(F.col("top"))
+    over = F.col("top").isNotNull() & ~newest & ((F.col("state") == "accepted") & F.col("superseded_at").isNull() | F.coalesce("now_accepted", F.lit(False)))
+    after = j.withColumns({
+        "superseded_by": F.when(over, F.col("top")).when(~newest, F.col("superseded_by")),
+        "superseded_at": F.when(over, at).when(~newest, F.col("superseded_at")),
+        "updated_at": F.when(F.col("now_accepted"), at).otherwise(F.col("updated_at")),
+        "state": F.when(F.col("now_accepted"), "accepted").otherwise(F.col("state")),
+    }).select(*sagas.columns)
+    completed = items.join(top.select(F.col("job_ref").alias("job_id"), "top"), "job_id", "left")
+    return after, completed.withColumn("status", F.when(F.col("top").isNotNull(), "completed").otherwise(F.col("status"))).select(*items.columns)
+
+
 def completed_without_acceptance(items: DataFrame, sagas: DataFrame) -> DataFrame:
     """Completed items without an accepted saga."""
     accepted = sagas.where("state = 'accepted'").select(F.col("job_ref").alias("job_id"))

@@ -13,6 +13,7 @@ from loomfield.functions.columns import JOB_NAME, LINK, LONG_DIGITS, PRIVATE_WOR
 GENERIC_CATEGORIES = ["misc", "other", "unknown", "general", ""]
 PLACEHOLDER_TAGS = ["tag", "todo", "none", "n/a"]
 VERDICTS = ["confirmed", "rejected", "uncertain"]
+REPORT_WORDS = r"(?i)\b(cookie|signature|request[_ -]?url)\b"
 REPAIRABLE = ["duplicate_text", "short_section", "unreviewed_number", "timeline_gap"]
 PRIVACY = [("link", LINK), ("secret_word", PRIVATE_WORDS), ("job_name", JOB_NAME), ("long_digits", LONG_DIGITS)]
 
@@ -201,9 +202,34 @@ def repair_routes(rejections: DataFrame, repairable: Sequence[str] = REPAIRABLE)
     return rejections.select("job_id", "code", route.alias("route"))
 
 
-def acceptance_matrix(checks: DataFrame) -> DataFrame:
-    """job_id, passed, checks, accepted of rows (job_id, check_name, ok)."""
-    return checks.groupBy("job_id").agg(F.count_if("ok").alias("passed"), F.count(F.lit(1)).alias("checks"), F.bool_and("ok").alias("accepted"))
+def acceptance_matrix(items: DataFrame, media: DataFrame, manifests: DataFrame, notes: DataFrame, projections: DataFrame, sections: Sequence[str], mode: str = "high") -> DataFrame:
+    """job_id, the nine checks, accepted (all of them) of items (job_id, media_sha256, status).
+
+    media: job_id, sha256 of the file there is; manifests: job_id, source_sha256;
+    notes: job_id, text, category, tags, mode; projections: job_id, text, of the
+    notes published elsewhere. Each table has at most one row for a job.
+    """
+    j = (
+        items.select("job_id", "media_sha256", "status").join(media.select("job_id", F.col("sha256").alias("found")), "job_id", "left")
+        .join(manifests.select("job_id", "source_sha256"), "job_id", "left")
+        .join(notes.select("job_id", F.col("text").alias("note"), "category", "tags", "mode"), "job_id", "left")
+        .join(projections.select("job_id", F.col("text").alias("projected")), "job_id", "left"))
+    note, tags = F.coalesce("note", F.lit("")), F.coalesce("tags", F.array().cast("array<string>"))
+    both = F.concat(note, F.lit("\n"), F.coalesce("projected", F.lit("")))
+    checks = {
+        "source_hash": F.col("found") == F.col("media_sha256"),
+        "manifest": F.col("source_sha256") == F.col("found"),
+        "structured_note": F.forall(F.array(*map(F.lit, sections)), lambda s: F.contains(note, s)),
+        "high_quality": F.col("mode") == mode,
+        "real_classification": (F.coalesce("category", F.lit("")) != "") & ~F.lower("category").isin(GENERIC_CATEGORIES) & (F.size(tags) >= 2)
+        & ~F.arrays_overlap(F.transform(tags, lambda t: F.lower(t)), F.array(*map(F.lit, PLACEHOLDER_TAGS))),
+        "privacy": ~F.regexp_like(both, F.lit(REPORT_WORDS)) & ~F.regexp_like(both, F.lit(f"(?i){JOB_NAME}")),
+        "library": F.col("note").isNotNull(),
+        "projection": F.col("projected").isNotNull(),
+        "registry": F.col("status") == "completed",
+    }
+    flags = [F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()]
+    return j.select("job_id", *flags).withColumn("accepted", F.forall(F.array(*checks), lambda c: c))
 
 
 def timecodes(points: DataFrame) -> DataFrame:

@@ -33,13 +33,26 @@ def overlap(wanted: DataFrame, claimed: DataFrame) -> DataFrame:
     return wanted.join(claimed, "job_id", "left_semi")
 
 
-def job_stages(jobs: DataFrame) -> DataFrame:
-    """job_id, stage of job flags: accepted, drifted, currently_collected, failed, published, approved, has_candidate, has_packet, started."""
+def job_stages(items: DataFrame, publications: DataFrame, checkpoints: DataFrame, candidates: DataFrame, drafts: DataFrame, packets: DataFrame, analyses: DataFrame, media: DataFrame) -> DataFrame:
+    """job_id, stage, error_code of items (job_id, status, currently_collected).
+
+    publications: the latest of a job (job_id, state, targets_verified);
+    checkpoints: job_id, paused, error; candidates: job_id, current, imported; the
+    others: job_id, one row for each job that has the artifact.
+    """
+    j = items.select("job_id", "status", "currently_collected")
+    for df in (publications, checkpoints, candidates):
+        j = j.join(df, "job_id", "left")
+    for name, df in (("drafted", drafts), ("packed", packets), ("analysed", analyses), ("fetched", media)):
+        j = j.join(df.select("job_id", F.lit(True).alias(name)).distinct(), "job_id", "left")
+    accepted = F.col("status").eqNullSafe("completed") & F.col("state").eqNullSafe("accepted")
+    whole, paused = F.coalesce("targets_verified", F.lit(False)), F.coalesce("paused", F.lit(False))
     stage = (
-        F.when(F.col("accepted") & ~F.col("drifted"), "accepted").when(F.col("accepted"), "failed").when(~F.col("currently_collected"), "failed").when(F.col("failed"), "failed")
-        .when(F.col("published"), "published").when(F.col("approved"), "approved").when(F.col("has_candidate"), "in_review").when(F.col("has_packet"), "packet")
-        .when(F.col("started"), "started").otherwise("planned"))
-    return jobs.select("job_id", stage.alias("stage"))
+        F.when(accepted & whole, "accepted").when(accepted, "failed").when(~F.coalesce("currently_collected", F.lit(True)), "failed")
+        .when(paused | F.col("status").isin("failed", "incomplete"), "failed").when(F.col("imported") & F.col("drafted"), "staged")
+        .when(F.col("current"), "semantic_ready").when(F.col("packed"), "packet_ready").when(F.col("analysed"), "analyzed").when(F.col("fetched"), "downloaded").otherwise("planned"))
+    code = F.when(accepted & ~whole, "publication_target_drift").when(~accepted & ~F.coalesce("currently_collected", F.lit(True)), "job_no_longer_collected").otherwise(F.col("error"))
+    return j.select("job_id", stage.alias("stage"), code.alias("error_code"))
 
 
 def job_spans(events: DataFrame, batches: DataFrame) -> DataFrame:
@@ -50,27 +63,52 @@ def job_spans(events: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def batch_rollup(stages: DataFrame) -> DataFrame:
-    """batch_id, jobs, accepted, failed, state: complete, blocked (only failures are left) or running."""
+    """batch_id, jobs, accepted, failed, state: complete, blocked (some job failed) or running."""
     per = stages.groupBy("batch_id").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("stage") == "accepted").alias("accepted"), F.count_if(F.col("stage") == "failed").alias("failed"))
-    state = F.when(F.col("accepted") == F.col("jobs"), "complete").when(F.col("accepted") + F.col("failed") == F.col("jobs"), "blocked").otherwise("running")
+    state = F.when(F.col("accepted") == F.col("jobs"), "complete").when(F.col("failed") > 0, "blocked").otherwise("running")
     return per.withColumn("state", state)
 
 
-def recommend(stages: DataFrame, assigned: DataFrame, capacity: int) -> DataFrame:
-    """stage, place, job_id: of each batch and stage the first ``capacity`` jobs that nobody works on."""
-    free = stages.join(assigned, "job_id", "left_anti")
-    place = F.row_number().over(Window.partitionBy("batch_id", "stage").orderBy("job_id"))
-    return free.withColumn("place", place.cast("long")).where(F.col("place") <= capacity)
+def recommend(stages: DataFrame, assigned: DataFrame, available: int, cpu_busy: bool = False) -> DataFrame:
+    """batch_id, kind, place, job_id: what to do next in each batch (batch_id, job_id, position, stage, active).
+
+    cpu: the first job that is planned, downloaded or analyzed, if none is active
+    and the processor is free; semantic: packets that nobody works on (assigned:
+    job_id), as many as places are available; import: all ready answers; publish:
+    the first staged job; failed: all of them.
+    """
+    taken = assigned.select("job_id", F.lit(True).alias("taken")).distinct()
+    busy = stages.where("active").select("batch_id", F.lit(True).alias("busy")).distinct()
+    stage = F.col("stage")
+    kind = (
+        F.when(stage.isin("planned", "downloaded", "analyzed") & F.col("busy").isNull() & F.lit(not cpu_busy), "cpu")
+        .when((stage == "packet_ready") & F.col("taken").isNull(), "semantic").when(stage == "semantic_ready", "import")
+        .when(stage == "staged", "publish").when(stage == "failed", "failed"))
+    j = stages.join(taken, "job_id", "left").join(busy, "batch_id", "left").withColumn("kind", kind).where("kind IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("batch_id", "kind").orderBy("position", "job_id")).cast("long")
+    most = F.when(F.col("kind").isin("cpu", "publish"), 1).when(F.col("kind") == "semantic", available).otherwise(F.lit(2**62))
+    return j.withColumn("place", place).where(F.col("place") <= most).select("batch_id", "kind", "place", "job_id")
 
 
 def stage_attempts(events: DataFrame) -> DataFrame:
-    """job_id, stage, attempt, at, outcome, gap_s, reused: each outcome with the time since the stage's one before."""
+    """job_id, stage, attempt, started_at, ended_at, status, duration_s, reused of events (job_id, stage, event_id, at, event, reused).
+
+    A start opens an attempt, which is running until the stage's next event ends it
+    (completed or failed) or starts another; an end without a start is an attempt
+    without start and duration.
+    """
     w = Window.partitionBy("job_id", "stage").orderBy("at", "event_id")
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    before, was = F.lag("at").over(w), F.lag("outcome").over(w)
-    return events.select(
-        "job_id", "stage", F.row_number().over(w).cast("long").alias("attempt"), "at", "outcome",
-        F.round((micros - F.unix_micros(before.cast("timestamp"))) / 1e6, 3).alias("gap_s"), F.coalesce(was == "completed", F.lit(False)).alias("reused"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    following = F.lead(F.struct("event", "at", "reused")).over(w)
+    marked = events.withColumns({"next": following, "before": F.lag("event").over(w)})
+    opens, ends = F.col("event") == "started", F.col("next.event") != "started"
+    rows = marked.where(opens | ~F.col("before").eqNullSafe("started")).select(
+        "job_id", "stage", "event_id", "at", F.when(opens, F.col("at")).alias("started_at"), F.when(~opens, F.col("at")).when(ends, F.col("next.at")).alias("ended_at"),
+        F.when(~opens, F.col("event")).when(ends, F.col("next.event")).otherwise("running").alias("status"),
+        F.coalesce(F.when(~opens, F.col("reused")).when(ends, F.col("next.reused")), F.lit(False)).alias("reused"))
+    duration = F.round(F.greatest(F.lit(0.0), (micros("ended_at") - micros("started_at")) / 1e6), 3)
+    lasted = F.when(F.col("started_at").isNotNull() & F.col("ended_at").isNotNull(), duration)
+    return rows.select("job_id", "stage", F.row_number().over(w).cast("long").alias("attempt"), "started_at", "ended_at", "status", lasted.alias("duration_s"), "reused")
 
 
 def failure_budget(events: DataFrame, limit: int = 2) -> DataFrame:
@@ -104,8 +142,19 @@ def assignment_mismatches(assignments: DataFrame, manifests: DataFrame, key: str
     return assignments.join(m, key, "left").select(key, F.explode(found).alias("field"))
 
 
-def run_report(before: DataFrame, after: DataFrame) -> DataFrame:
-    """outcome, jobs: completed in this run, still open, and new, of two states (job_id, status)."""
+def run_report(before: DataFrame, after: DataFrame, records: DataFrame) -> DataFrame:
+    """outcome, job_id, title, category, accepted, jobs: a row for each job completed in this run, and a count of each outcome.
+
+    before, after: job_id, status; records: job_id, title, category, accepted. The
+    outcomes are completed_now, completed_before, remaining, new and gone.
+    """
     j = before.select("job_id", F.col("status").alias("was")).join(after.select("job_id", F.col("status").alias("is")), "job_id", "full_outer")
-    outcome = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "gone").when((F.col("is") == "completed") & (F.col("was") != "completed"), "completed_now").when(F.col("is") == "completed", "completed_before").otherwise("remaining")
-    return j.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("jobs"))
+    done = F.col("is") == "completed"
+    outcome = (
+        F.when(F.col("is").isNull(), "gone").when(done & ~F.col("was").eqNullSafe("completed"), "completed_now").when(done, "completed_before")
+        .when(F.col("was").isNull(), "new").otherwise("remaining"))
+    marked = j.select("job_id", outcome.alias("outcome"))
+    counts = marked.groupBy("outcome").agg(F.count(F.lit(1)).alias("jobs"))
+    now = marked.where("outcome = 'completed_now'").join(records.select("job_id", "title", "category", "accepted"), "job_id", "left")
+    lines = now.withColumns({"title": F.coalesce("title", F.lit("untitled")), "accepted": F.coalesce("accepted", F.lit(False)), "jobs": F.lit(1).cast("long")})
+    return lines.unionByName(counts, allowMissingColumns=True).select("outcome", "job_id", "title", "category", "accepted", "jobs")

@@ -57,7 +57,8 @@ VIEWS = {
     "v_frames": """SELECT CAST(label AS BIGINT) AS job_id, vec_id AS frame_id, CAST(embedding AS ARRAYDOUBLE) AS vec,
         CAST(5 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS DOUBLE) AS t FROM embeddings""",
     "v_sagas": """SELECT CAST(o_orderkey AS STRING) AS saga_id, CAST(o_custkey AS STRING) AS job_ref, o_orderdate AS created_at,
-        CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'P' THEN 'published_unaccepted' ELSE 'intent' END AS state FROM orders""",
+        o_orderdate + INTERVAL '1' DAY AS updated_at, CASE WHEN o_orderkey % 8 = 5 AND o_orderstatus = 'F' THEN o_orderdate END AS superseded_at,
+        CASE WHEN o_orderstatus = 'F' THEN 'accepted' WHEN o_orderstatus = 'P' OR o_orderkey % 3 = 0 THEN 'published_unaccepted' ELSE 'intent' END AS state FROM orders""",
     "v_targets": """SELECT saga_id, concat('t', CAST(n AS STRING)) AS target_name, CASE WHEN pk % 11 = 0 THEN '' ELSE SHA(CAST(pk AS STRING)) END AS expected_sha256,
         CASE WHEN pk % 7 = 0 THEN NULL WHEN pk % 5 = 0 THEN SHA('drift') ELSE SHA(CAST(pk AS STRING)) END AS observed_sha256
         FROM (SELECT CAST(l_orderkey AS STRING) AS saga_id, l_partkey AS pk,

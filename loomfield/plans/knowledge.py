@@ -78,7 +78,14 @@ PACKETS = "SELECT o_orderkey AS job_id, SHA(CAST(o_orderkey % 100 + CASE WHEN o_
 CURRENT = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 1 THEN SHA(CAST(o_custkey AS STRING)) ELSE 'c' END AS candidate_sha256, CASE WHEN o_orderkey % 6 = 1 THEN 'p' ELSE SHA(CAST(o_orderkey % 100 AS STRING)) END AS packet_sha256 FROM orders WHERE o_orderkey % 2 = 1"""
 DECIDED = "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 9 < 4 THEN 'reject' ELSE 'approve' END AS decision FROM orders WHERE o_orderkey % 3 = 0"
 REJECTIONS = "SELECT event_id AS job_id, CASE event_type WHEN 'click' THEN 'duplicate_text' WHEN 'view' THEN 'short_section' ELSE 'privacy' END AS code, event_id % 2 AS repairs FROM events"
-CHECKS = "SELECT user_id AS job_id, event_type AS check_name, value > 1 AS ok FROM events"
+MATRIX = {
+    "items": "SELECT doc_id AS job_id, SHA(CAST(doc_id AS STRING)) AS media_sha256, CASE WHEN doc_id % 12 = 1 THEN 'failed' ELSE 'completed' END AS status FROM documents",
+    "media": "SELECT doc_id AS job_id, SHA(CAST(doc_id + CASE WHEN doc_id % 9 = 2 THEN 1 ELSE 0 END AS STRING)) AS sha256 FROM documents WHERE doc_id % 9 <> 1",
+    "manifests": "SELECT doc_id AS job_id, SHA(CAST(doc_id + CASE WHEN (doc_id % 9 = 2) <> (doc_id % 8 = 2) THEN 1 ELSE 0 END AS STRING)) AS source_sha256 FROM documents WHERE doc_id % 8 <> 1",
+    "notes": """SELECT doc_id AS job_id, concat(CASE WHEN doc_id % 5 = 2 THEN '' ELSE '## Note ' END, coalesce(text, '')) AS text, source AS category, CASE WHEN doc_id % 11 = 1 THEN array('a') WHEN doc_id % 13 = 1 THEN array('a', 'TODO')
+        ELSE array('a', 'b') END AS tags, CASE WHEN doc_id % 6 = 1 THEN 'low' ELSE 'high' END AS mode FROM documents WHERE doc_id % 7 <> 1""",
+    "projections": "SELECT doc_id AS job_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 1",
+}
 TAXONOMY = "SELECT job_id, CASE WHEN tag2 = 'src3' THEN 'Misc' ELSE tag2 END AS category, array(tag1, CASE WHEN job_id % 5 = 0 THEN tag1 WHEN job_id % 7 = 0 THEN 'TODO' ELSE tag2 END) AS tags FROM v_payload"
 OCR_STATE = "SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'needs_review' ELSE 'ok' END AS quality FROM documents"
 JSONS = """SELECT page_id AS job_id, concat('{"title":"', CASE WHEN page_id % 4 = 0 THEN '' ELSE 'page' END, '","kind":"', CASE WHEN page_id % 5 = 0 THEN 'x' ELSE 'page' END, '","tags":["a",', CASE WHEN page_id % 3 = 0 THEN '"a"' ELSE '"b"' END, '],"score":', CAST(page_id % 20 AS STRING), CASE WHEN page_id % 11 = 0 THEN ',"odd":1' ELSE '' END, '}') AS json FROM pages"""
@@ -86,12 +93,18 @@ RULES = [
     {"path": "title", "required": True, "type": "string", "min_length": 1}, {"path": "kind", "enum": ["page"]},
     {"path": "tags", "type": "array", "min_items": 1, "unique_items": True}, {"path": "score", "type": "number", "maximum": 15}, {"path": "lang", "required": True}]
 GATES = ["unresolved_without_pending", "status_mismatch", "long_digits"]
-REQUESTS = """SELECT o_orderkey AS request_id, CAST(o_custkey AS STRING) AS job_ref, concat('k', CAST(o_orderkey % 5000 AS STRING)) AS idempotency_key, SHA(CAST(o_orderkey % 3 AS STRING)) AS request_sha256,
-    CASE WHEN o_orderkey % 41 = 0 THEN 'short' ELSE SHA(CAST(o_orderkey % 5000 % 7 AS STRING)) END AS draft_sha256, CASE WHEN o_orderkey % 43 = 0 THEN '../up' ELSE 'a/b' END AS handle FROM orders"""
-HELD = "SELECT DISTINCT concat('k', CAST(o_orderkey % 5000 AS STRING)) AS idempotency_key, SHA('1') AS request_sha256, SHA(CAST(o_orderkey % 5000 % 7 + CASE WHEN o_orderkey % 5000 % 20 = 0 THEN 1 ELSE 0 END AS STRING)) AS draft_sha256 FROM orders WHERE o_orderkey % 5000 % 4 = 0"
+REQUESTS = """SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 71 = 0 THEN ' ' ELSE CAST(o_custkey % 300 AS STRING) END AS job_ref, concat('k', CAST(o_orderkey % 400 AS STRING)) AS idempotency_key,
+    SHA(CAST(o_orderkey % 3 AS STRING)) AS request_sha256, CASE WHEN o_orderkey % 41 = 0 THEN 'short' ELSE upper(SHA(CAST(o_orderkey % 400 % 7 AS STRING))) END AS draft_sha256, SHA('m') AS media_sha256,
+    CASE WHEN o_orderkey % 43 = 0 THEN 'a/../up' WHEN o_orderkey % 47 = 0 THEN '' ELSE concat('a/', CAST(o_orderkey % 2 AS STRING)) END AS h1, concat('b', chr(92), CAST(o_orderkey % 4 AS STRING)) AS h2,
+    CASE WHEN o_orderkey % 5 = 0 THEN SHA('d') WHEN o_orderkey % 53 = 0 THEN 'bad' END AS s2 FROM orders"""
+HELD = """SELECT DISTINCT concat('k', CAST(o_orderkey % 400 AS STRING)) AS idempotency_key, SHA('1') AS request_sha256, CAST(o_orderkey % 400 % 300 AS STRING) AS job_ref, SHA(CAST(o_orderkey % 400 % 7 AS STRING)) AS draft_sha256,
+    CASE WHEN o_orderkey % 400 % 11 = 0 THEN SHA('n') ELSE SHA('m') END AS media_sha256, CASE WHEN o_orderkey % 400 % 9 = 0 THEN 'accepted' ELSE 'intent' END AS state, 'a/0' AS h1, 'b/0' AS h2,
+    CASE WHEN o_orderkey % 400 % 6 = 0 THEN 'verified' ELSE 'pending' END AS st2 FROM orders WHERE o_orderkey % 400 % 4 <> 1"""
 JOBS = "SELECT CAST(c_custkey AS STRING) AS job_id FROM customer WHERE c_custkey % 50 <> 0"
 EXPECTED = "SELECT saga_id, target_name, expected_sha256, CASE WHEN expected_sha256 = '' THEN SHA(target_name) WHEN saga_id LIKE '%7' THEN SHA('z') ELSE expected_sha256 END AS sha256 FROM v_targets WHERE NOT (saga_id LIKE '%3' AND target_name = 't1')"
 FLAGS = "SELECT CAST(o_orderkey AS STRING) AS saga_id, o_orderkey % 6 AS m FROM orders WHERE o_orderkey % 2 = 0"
+ACCEPTANCES = "SELECT CAST(o_orderkey AS STRING) AS saga_id, o_orderdate + INTERVAL '2' DAY AS accepted_at FROM orders WHERE o_orderkey % 3 <> 0"
+ITEM_STATES = "SELECT CAST(c_custkey AS STRING) AS job_id, 'new' AS status FROM customer WHERE c_custkey % 50 <> 0"
 NEW_REVIEWS = "SELECT user_id AS job_ref, event_type AS candidate_sha256, CASE WHEN user_id % 2 = 0 THEN 'approve' ELSE 'reject' END AS decision, CAST(user_id AS STRING) AS note FROM events WHERE event_id % 50 = 0"
 PUBLISHED = "SELECT CAST(o_orderkey AS STRING) AS key, concat('a/', CAST(o_custkey AS STRING)) AS location, o_orderdate AS first_published_at, o_orderdate AS updated_at FROM orders WHERE o_orderkey % 3 <> 0"
 REPUBLISHED = f"SELECT CAST(o_orderkey AS STRING) AS key, concat('b/', CAST(o_custkey AS STRING)) AS location, TIMESTAMP '{NOW}' AS published_at FROM orders WHERE o_orderkey % 4 <> 0"
@@ -100,20 +113,28 @@ STATUS = "CASE WHEN coalesce(expected_sha256, '') = '' THEN 'planned' WHEN obser
 WANTED = "SELECT concat('item-', substr(SHA(source_id), 1, 20)) AS job_id, CASE WHEN k % 9 = 0 THEN 'lost' ELSE status END AS expected_status FROM v_src WHERE k % 5 = 2 OR k % 10 = 0"
 BATCHES = "SELECT o_orderkey % 40 AS batch_id, job_id FROM (SELECT o_orderkey, concat('item-', substr(SHA(CAST(o_orderkey AS STRING)), 1, 20)) AS job_id FROM orders) b"
 FINISHED = "SELECT DISTINCT o_orderkey % 40 AS batch_id FROM orders WHERE o_orderkey % 40 < 25"
-JOB_FLAGS = """SELECT o_orderkey AS job_id, o_orderstatus = 'F' AS accepted, o_orderkey % 7 = 0 AS drifted, o_orderkey % 11 <> 0 AS currently_collected, o_orderkey % 13 = 0 AS failed, o_orderkey % 2 = 0 AS published,
-    o_orderkey % 3 = 0 AS approved, o_orderkey % 5 = 0 AS has_candidate, o_orderkey % 17 = 0 AS has_packet, o_orderkey % 19 = 0 AS started FROM orders"""
+JOB_FLAGS = """SELECT o_orderkey AS job_id, CASE o_orderkey % 6 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' WHEN 2 THEN 'incomplete' ELSE 'processing' END AS status, o_orderkey % 11 <> 0 AS currently_collected FROM orders"""
+PUBLICATIONS = "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN 'accepted' ELSE 'intent' END AS state, o_orderkey % 5 <> 0 AS targets_verified FROM orders WHERE o_orderkey % 8 <> 1"
+CHECKPOINTS = "SELECT o_orderkey AS job_id, o_orderkey % 13 = 0 AS paused, CASE WHEN o_orderkey % 13 = 0 THEN 'e' END AS error FROM orders WHERE o_orderkey % 9 <> 2"
+ANSWERS = "SELECT o_orderkey AS job_id, o_orderkey % 4 < 2 AS current, o_orderkey % 4 = 0 AS imported FROM orders WHERE o_orderkey % 3 = 0"
+HAVE = {n: f"SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % {k} < 2" for n, k in (("drafts", 7), ("packets", 5), ("analyses", 4), ("media", 3))}
 JOB_BATCHES = "SELECT DISTINCT user_id AS job_id, TIMESTAMP '2024-01-05 00:00:00' AS created_at FROM events"
-STAGED = "SELECT o_custkey % 60 AS batch_id, o_orderkey AS job_id, CASE WHEN o_custkey % 60 < 5 OR o_orderstatus = 'F' THEN 'accepted' WHEN o_custkey % 60 < 20 THEN 'failed' ELSE 'packet' END AS stage FROM orders"
+STAGED = """SELECT o_custkey % 60 AS batch_id, o_orderkey AS job_id, o_orderkey % 97 AS position, o_custkey % 60 < 30 AND o_orderkey % 31 = 0 AS active,
+    CASE WHEN o_custkey % 60 < 5 OR o_orderstatus = 'F' THEN 'accepted' WHEN o_custkey % 60 < 9 AND o_orderkey % 5 = 0 THEN 'failed'
+    ELSE CASE o_orderkey % 6 WHEN 0 THEN 'planned' WHEN 1 THEN 'downloaded' WHEN 2 THEN 'analyzed' WHEN 3 THEN 'packet_ready' WHEN 4 THEN 'semantic_ready' ELSE 'staged' END END AS stage FROM orders"""
+ATTEMPTS = "SELECT job_id, stage, event_id, v.at, CASE WHEN event_id % 2 = 0 THEN 'started' ELSE outcome END AS event, event_id % 5 = 0 AS reused FROM v_stage_events v"
 LEASES = "SELECT event_id AS lease_id, ts AS acquired_at FROM events"
-POOLS = "SELECT event_type AS pool, user_id AS job_id, value > 30 AS active FROM events WHERE event_id % 10 = 0"
+POOLS = "SELECT event_type AS pool, user_id AS job_id, value > 30 AS active FROM events"
 ASSIGNED = "SELECT p_partkey, p_brand, p_size, p_type FROM part"
 DECLARED = "SELECT p_partkey, CASE WHEN p_partkey % 8 = 0 THEN 'b' ELSE p_brand END AS p_brand, p_size + CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END AS p_size, p_type FROM part WHERE p_partkey % 10 <> 0"
+RECORDS = "SELECT source_id AS job_id, CASE WHEN k % 5 = 0 THEN NULL ELSE concat('Title ', source_id) END AS title, collection AS category, k % 3 = 0 AS accepted FROM v_src WHERE k % 7 <> 0"
 BEFORE = "SELECT source_id AS job_id, status FROM v_src WHERE k % 9 <> 0"
 AFTER = "SELECT source_id AS job_id, CASE WHEN k % 4 = 0 THEN 'completed' ELSE status END AS status FROM v_src WHERE k % 8 <> 3"
 TAGGED = "SELECT doc_id AS entry_ref, array(lang, source, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE 'x' END) AS tags FROM documents"
 DATED = "SELECT o_orderkey AS entry_ref, o_orderdate AS added_at FROM orders"
-STEMS = "SELECT p_partkey AS job_id, p_brand AS category, p_type AS stem FROM part"
-NAMED = "SELECT p_partkey AS job_id, p_brand AS category, p_type AS stem, concat(p_type, ' #', CAST(p_partkey AS STRING)) AS name FROM part WHERE p_partkey % 10 = 0"
+STEMS = "SELECT p_partkey AS job_id, p_brand AS category, CASE WHEN p_partkey % 4 = 1 THEN concat(p_type, ' .') WHEN p_partkey % 17 = 2 THEN concat(p_type, ' (3)') ELSE p_type END AS stem FROM part"
+NAMED = """SELECT p_partkey AS job_id, p_brand AS category, CASE WHEN p_partkey % 30 = 0 THEN concat(p_type, ' (', CAST(p_partkey % 7 + 2 AS STRING), ')') WHEN p_partkey % 20 = 0 THEN p_type
+    ELSE concat(p_type, ' #', CAST(p_partkey AS STRING)) END AS name FROM part WHERE p_partkey % 10 = 0"""
 PARTS = """SELECT l_orderkey AS entry_ref, CASE CAST(l_linenumber AS INT) WHEN 1 THEN 'note.md' WHEN 2 THEN 'media.mp4' WHEN 3 THEN 'data.json' ELSE concat('frames/', CAST(l_partkey AS STRING)) END AS rel_path,
     SHA(CAST(l_partkey AS STRING)) AS sha256, CASE WHEN l_partkey % 97 = 0 THEN 'x' ELSE SHA(CAST(l_partkey AS STRING)) END AS expected_sha256 FROM lineitem"""
 REF_KEYS = "SELECT o_orderkey AS entry_ref, SHA(CAST(o_custkey AS STRING)) AS media_sha256 FROM orders"
@@ -146,9 +167,30 @@ def _dict_sources(s, d):
 
 
 def _checks(s, d):
-    flags = sql(s, d, FLAGS)
-    pairs = F.create_map(F.lit("content"), F.col("m") != 0, F.lit("targets"), F.lit(True), F.when(F.col("m") == 2, F.lit("other")).otherwise(F.lit("review")), F.lit(True))
-    return flags.select("saga_id", pairs.alias("checks"))
+    """Acceptance checks: 0 has a failed one, 2 lacks one, 3 has one that is null."""
+    m = F.col("m")
+    pairs = F.create_map(
+        F.lit("sqlite_integrity"), m != 0, F.lit("content"), F.when(m != 3, F.lit(True)), F.when(m == 2, F.lit("other")).otherwise(F.lit("privacy")), F.lit(True))
+    return sql(s, d, FLAGS).select("saga_id", pairs.alias("checks"))
+
+
+def _accepted(s, d):
+    outcomes = ledger.accept(sagas(s, d), _checks(s, d), sql(s, d, ITEM_STATES))
+    held = sagas(s, d).withColumn("superseded_by", F.lit(None).cast("string"))
+    after, _ = ledger.after_acceptance(held, sql(s, d, ITEM_STATES), outcomes, NOW)
+    return after.select("saga_id", "state", "superseded_by").join(outcomes, "saga_id", "left")
+
+
+def _requests(s, d):
+    named = lambda h, sha: F.struct(F.col(h).alias("handle"), sha.alias("sha256"))
+    targets = F.create_map(F.lit("t1"), named("h1", F.lit(None).cast("string")), F.lit("t2"), named("h2", F.col("s2")))
+    return sql(s, d, REQUESTS).withColumn("targets", targets).drop("h1", "h2", "s2")
+
+
+def _held(s, d):
+    named = lambda h, status: F.struct(F.col(h).alias("handle"), status.alias("status"))
+    targets = F.create_map(F.lit("t1"), named("h1", F.lit("pending")), F.lit("t2"), named("h2", F.col("st2")))
+    return sql(s, d, HELD).withColumn("targets", targets)
 
 
 def _violations(s, d):
@@ -228,20 +270,49 @@ TESTS: dict = {
         WHEN u.candidate_sha256 = c.candidate_sha256 THEN 'reused' WHEN u.packet_sha256 <> p.sha256 OR decision IS NOT DISTINCT FROM 'reject' THEN 'replaced' ELSE 'conflict' END AS outcome FROM ({CANDS}) c LEFT JOIN ({PACKETS}) p USING (job_id) LEFT JOIN ({CURRENT}) u USING (job_id) LEFT JOIN ({DECIDED}) r USING (job_id)"""),
     "Q-17": (lambda s, d: quality.current_candidates(sql(s, d, CANDS), sql(s, d, PACKETS)).select("job_id", "candidate_sha256"), f"SELECT c.job_id, candidate_sha256 FROM ({CANDS}) c SEMI JOIN ({PACKETS}) p ON c.job_id = p.job_id AND c.packet_sha256 = p.sha256"),
     "Q-18": (lambda s, d: quality.repair_routes(sql(s, d, REJECTIONS)), f"SELECT job_id, code, CASE WHEN code IN ('duplicate_text', 'short_section') AND repairs = 0 THEN 'repair' ELSE 'regenerate' END AS route FROM ({REJECTIONS}) t"),
-    "Q-19": (lambda s, d: quality.acceptance_matrix(sql(s, d, CHECKS)), f"SELECT job_id, count(*) FILTER (ok) AS passed, count(*) AS checks, bool_and(ok) AS accepted FROM ({CHECKS}) t GROUP BY 1"),
+    "Q-19": (
+        lambda s, d: quality.acceptance_matrix(*[sql(s, d, q) for q in MATRIX.values()], ["## Note", "##"]),
+        """SELECT *, source_hash AND manifest AND structured_note AND high_quality AND real_classification AND privacy AND library AND projection AND registry AS accepted FROM (
+        SELECT doc_id AS job_id, doc_id % 9 NOT IN (1, 2) AS source_hash, doc_id % 9 <> 1 AND doc_id % 8 NOT IN (1, 2) AS manifest, doc_id % 7 <> 1 AND doc_id % 5 <> 2 AS structured_note, doc_id % 7 <> 1 AND doc_id % 6 <> 1 AS high_quality,
+        doc_id % 7 <> 1 AND source IS NOT NULL AND source <> '' AND doc_id % 11 <> 1 AND doc_id % 13 <> 1 AS real_classification,
+        NOT regexp_matches(CASE WHEN doc_id % 7 <> 1 THEN coalesce(text, '') ELSE '' END || chr(10) || CASE WHEN doc_id % 10 <> 1 THEN coalesce(text, '') ELSE '' END, '(?i)\\b(cookie|signature|request[_ -]?url)\\b|\\bitem-[0-9a-f]{20}\\b') AS privacy,
+        doc_id % 7 <> 1 AS library, doc_id % 10 <> 1 AS projection, doc_id % 12 <> 1 AS registry FROM documents) t""",
+    ),
     "L-1": (lambda s, d: ledger.request_hash(targets(s, d)), """SELECT saga_id, count(*) AS targets, SHA('[' || string_agg('["' || target_name || '","' || coalesce(expected_sha256, '') || '"]', ',' ORDER BY target_name) || ']') AS request_sha256 FROM v_targets GROUP BY 1"""),
-    "L-2": (lambda s, d: ledger.begin(sql(s, d, REQUESTS), sql(s, d, HELD), sql(s, d, JOBS)), f"""WITH r AS (SELECT *, row_number() OVER w AS turn, first_value(request_sha256) OVER w AS fr, first_value(draft_sha256) OVER w AS fd FROM ({REQUESTS}) t WINDOW w AS (PARTITION BY idempotency_key ORDER BY request_id)),
-        j AS (SELECT r.*, coalesce(h.request_sha256, CASE WHEN turn > 1 THEN fr END) AS rq, coalesce(h.draft_sha256, CASE WHEN turn > 1 THEN fd END) AS dr, k.job_id FROM r LEFT JOIN ({HELD}) h ON r.idempotency_key = h.idempotency_key LEFT JOIN ({JOBS}) k ON r.job_ref = k.job_id)
-        SELECT request_id, CASE WHEN job_id IS NULL THEN 'unknown_job' WHEN NOT regexp_matches(draft_sha256, '^[0-9a-f]{{64}}$') THEN 'bad_digest' WHEN handle LIKE '../%' THEN 'bad_handle' WHEN rq IS NULL THEN 'new' WHEN dr <> draft_sha256 THEN 'conflict' WHEN rq <> request_sha256 THEN 'retargeted' ELSE 'reused' END AS outcome FROM j"""),
+    "L-2": (
+        lambda s, d: ledger.begin(_requests(s, d), _held(s, d), sql(s, d, JOBS)),
+        f"""WITH q AS (SELECT * REPLACE (lower(draft_sha256) AS draft_sha256, replace(h2, chr(92), '/') AS h2) FROM ({REQUESTS}) t),
+        r AS (SELECT *, row_number() OVER w AS turn, first_value(request_sha256) OVER w AS r1, first_value(job_ref) OVER w AS j1, first_value(draft_sha256) OVER w AS d1, first_value(h1) OVER w AS f1, first_value(h2) OVER w AS f2
+            FROM q WINDOW w AS (PARTITION BY idempotency_key ORDER BY request_id)),
+        j AS (SELECT r.*, k.job_id, h.idempotency_key IS NOT NULL AS held, h.idempotency_key IS NOT NULL OR turn > 1 AS known, coalesce(h.request_sha256, r1) AS rq, coalesce(h.job_ref, j1) AS jr, coalesce(h.draft_sha256, d1) AS dr,
+            coalesce(h.media_sha256, SHA('m')) AS mr, coalesce(h.state, 'intent') AS state, coalesce(h.h1, f1) AS o1, coalesce(h.h2, f2) AS o2, coalesce(h.st2, 'pending') AS st2
+            FROM r LEFT JOIN ({HELD}) h ON r.idempotency_key = h.idempotency_key LEFT JOIN ({JOBS}) k ON r.job_ref = k.job_id)
+        SELECT request_id, CASE WHEN trim(job_ref) = '' THEN 'bad_request' WHEN h1 = '' OR h1 LIKE '%..%' THEN 'bad_handle' WHEN s2 = 'bad' OR draft_sha256 = 'short' THEN 'bad_digest' WHEN job_id IS NULL THEN 'unknown_job'
+        WHEN NOT known THEN 'new' WHEN rq = request_sha256 THEN 'reused' WHEN state = 'intent' AND jr = job_ref AND dr = draft_sha256 AND mr = media_sha256 AND s2 IS NULL AND (h1 <> o1 OR h2 <> o2) AND NOT (h2 <> o2 AND st2 = 'verified')
+        THEN 'retargeted' ELSE 'conflict' END AS outcome FROM j""",
+    ),
     "L-3": (lambda s, d: ledger.seal(targets(s, d), sql(s, d, EXPECTED)), f"""SELECT saga_id, CASE WHEN odd > 0 THEN 'name_mismatch' WHEN other > 0 THEN 'conflict' WHEN op > 0 THEN 'sealed' ELSE 'reused' END AS outcome FROM (SELECT coalesce(t.saga_id, e.saga_id) AS saga_id, count(*) FILTER (t.target_name IS NULL OR e.target_name IS NULL) AS odd,
         count(*) FILTER (nullif(t.expected_sha256, '') <> e.sha256) AS other, count(*) FILTER (nullif(t.expected_sha256, '') IS NULL) AS op FROM v_targets t FULL OUTER JOIN ({EXPECTED}) e ON t.saga_id = e.saga_id AND t.target_name = e.target_name GROUP BY 1) q"""),
     "L-4": (lambda s, d: ledger.reconcile_targets(targets(s, d)).select("saga_id", "target_name", "target_status"), f"SELECT saga_id, target_name, {STATUS} AS target_status FROM v_targets"),
     "L-5": (lambda s, d: ledger.saga_states(sagas(s, d), targets(s, d)), f"""SELECT s.saga_id, CASE WHEN s.state = 'accepted' OR l.saga_id IS NULL THEN s.state WHEN coalesce(good, false) THEN 'published_unaccepted' ELSE 'intent' END AS state FROM v_sagas s LEFT JOIN ({LATEST}) l ON s.saga_id = l.saga_id
         LEFT JOIN (SELECT saga_id, bool_and({STATUS} = 'verified') AS good FROM v_targets GROUP BY 1) g ON s.saga_id = g.saga_id"""),
     "L-6": (lambda s, d: ledger.latest_sagas(sagas(s, d)).select("saga_id", "job_ref", "state"), f"SELECT saga_id, job_ref, state FROM ({LATEST}) l"),
-    "L-7": (lambda s, d: ledger.backfill_superseded(sagas(s, d)), """SELECT * FROM (SELECT saga_id, lead(saga_id) OVER w AS superseded_by, lead(created_at) OVER w AS superseded_at FROM v_sagas WHERE state = 'accepted' WINDOW w AS (PARTITION BY job_ref ORDER BY created_at, saga_id)) t WHERE superseded_by IS NOT NULL"""),
-    "L-8": (lambda s, d: ledger.accept(sagas(s, d), _checks(s, d)), f"""WITH n AS (SELECT job_ref, max(row(created_at, saga_id)) AS top FROM v_sagas WHERE state = 'accepted' GROUP BY 1) SELECT f.saga_id, CASE WHEN s.state IS NULL THEN 'unknown_saga' WHEN s.state = 'accepted' THEN 'already_accepted' WHEN s.state <> 'published_unaccepted' THEN 'not_published'
-        WHEN coalesce(n.top > row(s.created_at, s.saga_id), false) THEN 'superseded' WHEN m = 2 THEN 'missing_checks' WHEN m = 0 THEN 'failed_checks' ELSE 'accepted' END AS outcome FROM ({FLAGS}) f LEFT JOIN v_sagas s ON f.saga_id = s.saga_id LEFT JOIN n ON s.job_ref = n.job_ref"""),
+    "L-7": (
+        lambda s, d: ledger.backfill_superseded(sagas(s, d), sql(s, d, ACCEPTANCES)),
+        f"""SELECT saga_id, superseded_by, since AS superseded_at FROM (SELECT v.saga_id, superseded_at, lead(v.saga_id) OVER w AS superseded_by, lead(coalesce(accepted_at, updated_at)) OVER w AS since
+        FROM v_sagas v LEFT JOIN ({ACCEPTANCES}) a ON v.saga_id = a.saga_id WHERE state = 'accepted' WINDOW w AS (PARTITION BY job_ref ORDER BY created_at, v.saga_id)) t WHERE superseded_by IS NOT NULL AND superseded_at IS NULL""",
+    ),
+    "L-8": (
+        lambda s, d: _accepted(s, d),
+        f"""WITH n AS (SELECT job_ref, max(row(created_at, saga_id)) AS top FROM v_sagas WHERE state = 'accepted' GROUP BY 1),
+        o AS (SELECT f.saga_id, s.job_ref, s.created_at, CASE WHEN s.state IS NULL THEN 'unknown_saga' WHEN s.state = 'accepted' THEN 'already_accepted' WHEN s.state <> 'published_unaccepted' THEN 'not_published'
+            WHEN coalesce(n.top > row(s.created_at, s.saga_id), false) THEN 'superseded' WHEN m = 2 THEN 'missing_checks' WHEN m IN (0, 3) THEN 'failed_checks' WHEN i.job_id IS NULL THEN 'unknown_job' ELSE 'accepted' END AS outcome
+            FROM ({FLAGS}) f LEFT JOIN v_sagas s ON f.saga_id = s.saga_id LEFT JOIN n ON s.job_ref = n.job_ref LEFT JOIN ({ITEM_STATES}) i ON s.job_ref = i.job_id),
+        a AS (SELECT job_ref, max(row(created_at, saga_id)) AS top, arg_max(saga_id, row(created_at, saga_id)) AS id FROM o WHERE outcome = 'accepted' GROUP BY 1)
+        SELECT s.saga_id, outcome, CASE WHEN outcome = 'accepted' THEN 'accepted' ELSE state END AS state,
+        CASE WHEN a.id IS NOT NULL AND a.id <> s.saga_id AND (outcome = 'accepted' OR (state = 'accepted' AND superseded_at IS NULL)) THEN a.id END AS superseded_by
+        FROM v_sagas s LEFT JOIN o ON s.saga_id = o.saga_id LEFT JOIN a ON s.job_ref = a.job_ref""",
+    ),
     "L-9": (lambda s, d: ledger.completed_without_acceptance(sql(s, d, "SELECT collection AS job_id, source_id, status FROM v_src"), sagas(s, d)).select("job_id", "source_id"), "SELECT collection AS job_id, source_id FROM v_src WHERE status = 'completed' AND collection NOT IN (SELECT job_ref FROM v_sagas WHERE state = 'accepted')"),
     "L-10": (lambda s, d: ledger.ledger_status(sagas(s, d), targets(s, d)), f"""SELECT state, count(*) AS jobs FROM ({LATEST}) l GROUP BY 1 UNION ALL SELECT 'drifted', count(DISTINCT job_ref) FROM ({LATEST}) l WHERE state = 'accepted' AND saga_id IN (SELECT saga_id FROM v_targets WHERE {STATUS} <> 'verified')"""),
     "L-11": (lambda s, d: ledger.append_reviews(reviews(s, d), sql(s, d, NEW_REVIEWS)), f"""SELECT n.job_ref, n.candidate_sha256, n.decision, SHA(note) AS note_sha256 FROM ({NEW_REVIEWS}) n LEFT JOIN (SELECT job_ref, candidate_sha256, arg_max(decision, review_id) AS d, arg_max(note_sha256, review_id) AS h FROM v_reviews GROUP BY 1, 2) l
@@ -253,19 +324,44 @@ TESTS: dict = {
     "W-2": (lambda s, d: work.fixed_plan(sql(s, d, f"{WANTED} UNION ALL SELECT concat('item-', substr(SHA(source_id), 1, 20)), status FROM v_src WHERE k % 35 = 2"), items(s, d)), f"""WITH w AS ({WANTED} UNION ALL SELECT concat('item-', substr(SHA(source_id), 1, 20)), status FROM v_src WHERE k % 35 = 2), c AS (SELECT job_id, count(*) AS n, min(expected_status) AS e FROM w GROUP BY 1)
         SELECT c.job_id, CASE WHEN n > 1 THEN 'repeated' WHEN status IS NULL THEN 'missing' WHEN NOT currently_collected THEN 'uncollected' WHEN status <> e THEN 'status_changed' ELSE 'ok' END AS problem FROM c LEFT JOIN v_items i ON c.job_id = i.job_id"""),
     "W-3": (lambda s, d: work.overlap(items(s, d).select("job_id"), work.claimed_jobs(sql(s, d, BATCHES), sql(s, d, FINISHED))), f"SELECT job_id FROM v_items WHERE job_id IN (SELECT job_id FROM ({BATCHES}) b WHERE batch_id NOT IN (SELECT batch_id FROM ({FINISHED}) f))"),
-    "W-4": (lambda s, d: work.job_stages(sql(s, d, JOB_FLAGS)), f"""SELECT job_id, CASE WHEN accepted AND NOT drifted THEN 'accepted' WHEN accepted THEN 'failed' WHEN NOT currently_collected THEN 'failed' WHEN failed THEN 'failed' WHEN published THEN 'published' WHEN approved THEN 'approved' WHEN has_candidate THEN 'in_review'
-        WHEN has_packet THEN 'packet' WHEN started THEN 'started' ELSE 'planned' END AS stage FROM ({JOB_FLAGS}) t"""),
+    "W-4": (
+        lambda s, d: work.job_stages(*[sql(s, d, q) for q in (JOB_FLAGS, PUBLICATIONS, CHECKPOINTS, ANSWERS)], **{n: sql(s, d, q) for n, q in HAVE.items()}),
+        f"""SELECT j.job_id, CASE WHEN done AND coalesce(targets_verified, false) THEN 'accepted' WHEN done OR NOT currently_collected OR coalesce(paused, false) OR status IN ('failed', 'incomplete') THEN 'failed'
+        WHEN imported AND j.job_id % 7 < 2 THEN 'staged' WHEN current THEN 'semantic_ready' WHEN j.job_id % 5 < 2 THEN 'packet_ready' WHEN j.job_id % 4 < 2 THEN 'analyzed' WHEN j.job_id % 3 < 2 THEN 'downloaded' ELSE 'planned' END AS stage,
+        CASE WHEN done AND NOT coalesce(targets_verified, false) THEN 'publication_target_drift' WHEN NOT done AND NOT currently_collected THEN 'job_no_longer_collected' ELSE error END AS error_code
+        FROM (SELECT f.*, p.targets_verified, c.paused, c.error, a.current, a.imported, status = 'completed' AND state IS NOT DISTINCT FROM 'accepted' AS done FROM ({JOB_FLAGS}) f LEFT JOIN ({PUBLICATIONS}) p ON f.job_id = p.job_id
+        LEFT JOIN ({CHECKPOINTS}) c ON f.job_id = c.job_id LEFT JOIN ({ANSWERS}) a ON f.job_id = a.job_id) j""",
+    ),
     "W-5": (lambda s, d: work.job_spans(stage_events(s, d), sql(s, d, JOB_BATCHES)), """SELECT job_id, min(v.at) AS first_at, max(v.at) AS last_at, round((epoch_us(max(v.at)) - epoch_us(min(v.at))) / 1000000.0, 3) AS elapsed_s FROM v_stage_events v WHERE v.at >= TIMESTAMP '2024-01-05 00:00:00' GROUP BY 1"""),
-    "W-6": (lambda s, d: work.batch_rollup(sql(s, d, STAGED)), f"""SELECT *, CASE WHEN accepted = jobs THEN 'complete' WHEN accepted + failed = jobs THEN 'blocked' ELSE 'running' END AS state FROM (SELECT batch_id, count(*) AS jobs, count(*) FILTER (stage = 'accepted') AS accepted, count(*) FILTER (stage = 'failed') AS failed FROM ({STAGED}) s GROUP BY 1) t"""),
-    "W-7": (lambda s, d: work.recommend(sql(s, d, STAGED), sql(s, d, "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 3 = 0"), 2), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, stage ORDER BY job_id) AS place FROM ({STAGED}) s WHERE job_id % 3 <> 0) t WHERE place <= 2"),
-    "W-8": (lambda s, d: work.stage_attempts(stage_events(s, d)), """SELECT job_id, stage, row_number() OVER w AS attempt, v.at, outcome, round((epoch_us(v.at) - epoch_us(lag(v.at) OVER w)) / 1000000.0, 3) AS gap_s, coalesce(lag(outcome) OVER w = 'completed', false) AS reused FROM v_stage_events v WINDOW w AS (PARTITION BY job_id, stage ORDER BY v.at, event_id)"""),
+    "W-6": (lambda s, d: work.batch_rollup(sql(s, d, STAGED)), f"""SELECT *, CASE WHEN accepted = jobs THEN 'complete' WHEN failed > 0 THEN 'blocked' ELSE 'running' END AS state FROM (SELECT batch_id, count(*) AS jobs, count(*) FILTER (stage = 'accepted') AS accepted, count(*) FILTER (stage = 'failed') AS failed FROM ({STAGED}) s GROUP BY 1) t"""),
+    "W-7": (
+        lambda s, d: work.recommend(sql(s, d, STAGED), sql(s, d, "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 4 = 3"), 2),
+        f"""WITH b AS (SELECT DISTINCT batch_id FROM ({STAGED}) t WHERE active), k AS (SELECT *, CASE WHEN stage IN ('planned', 'downloaded', 'analyzed') AND batch_id NOT IN (SELECT batch_id FROM b) THEN 'cpu'
+            WHEN stage = 'packet_ready' AND job_id % 4 <> 3 THEN 'semantic' WHEN stage = 'semantic_ready' THEN 'import' WHEN stage = 'staged' THEN 'publish' WHEN stage = 'failed' THEN 'failed' END AS kind FROM ({STAGED}) t)
+        SELECT batch_id, kind, place, job_id FROM (SELECT *, row_number() OVER (PARTITION BY batch_id, kind ORDER BY position, job_id) AS place FROM k WHERE kind IS NOT NULL) q
+        WHERE CASE WHEN kind IN ('cpu', 'publish') THEN place <= 1 WHEN kind = 'semantic' THEN place <= 2 ELSE true END""",
+    ),
+    "W-8": (
+        lambda s, d: work.stage_attempts(sql(s, d, ATTEMPTS)),
+        f"""WITH m AS (SELECT *, lead(event) OVER w AS ne, lead(q.at) OVER w AS na, lead(reused) OVER w AS nr, lag(event) OVER w AS pe FROM ({ATTEMPTS}) q WINDOW w AS (PARTITION BY job_id, stage ORDER BY q.at, event_id)),
+        a AS (SELECT job_id, stage, event_id, m.at, CASE WHEN event = 'started' THEN m.at END AS started_at, CASE WHEN event <> 'started' THEN m.at WHEN ne <> 'started' THEN na END AS ended_at,
+            CASE WHEN event <> 'started' THEN event WHEN ne <> 'started' THEN ne ELSE 'running' END AS status, coalesce(CASE WHEN event <> 'started' THEN reused WHEN ne <> 'started' THEN nr END, false) AS reused
+            FROM m WHERE event = 'started' OR pe IS DISTINCT FROM 'started')
+        SELECT job_id, stage, row_number() OVER (PARTITION BY job_id, stage ORDER BY a.at, event_id) AS attempt, started_at, ended_at, status, reused,
+        CASE WHEN started_at IS NOT NULL AND ended_at IS NOT NULL THEN round((epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0, 3) END AS duration_s FROM a""",
+    ),
     "W-9": (lambda s, d: work.failure_budget(stage_events(s, d)), """WITH m AS (SELECT *, count(*) FILTER (outcome = 'completed') OVER (PARTITION BY job_id, stage ORDER BY v.at, event_id) AS island, count(*) FILTER (outcome = 'completed') OVER (PARTITION BY job_id, stage) AS last FROM v_stage_events v)
         SELECT job_id, stage, error_code, count(*) AS failures, count(*) >= 2 AS blocked FROM m WHERE outcome = 'failed' AND island = last GROUP BY 1, 2, 3"""),
     "W-10": (lambda s, d: work.stale_leases(sql(s, d, LEASES), F.to_timestamp_ntz(F.lit("2024-01-15 12:00:00"))), f"SELECT * FROM ({LEASES}) l WHERE acquired_at < TIMESTAMP '2024-01-15 10:00:00'"),
-    "W-11": (lambda s, d: work.capacity(sql(s, d, POOLS), 90), f"""SELECT pool, count(*) FILTER (active) AS active, greatest(0, 90 - count(*) FILTER (active)) AS available, (SELECT count(*) FROM (SELECT job_id FROM ({POOLS}) q WHERE active AND q.pool = p.pool GROUP BY job_id HAVING count(*) > 1) z) AS repeated FROM ({POOLS}) p GROUP BY pool"""),
+    "W-11": (lambda s, d: work.capacity(sql(s, d, POOLS), 900), f"""SELECT pool, count(*) FILTER (active) AS active, greatest(0, 900 - count(*) FILTER (active)) AS available, (SELECT count(*) FROM (SELECT job_id FROM ({POOLS}) q WHERE active AND q.pool = p.pool GROUP BY job_id HAVING count(*) > 1) z) AS repeated FROM ({POOLS}) p GROUP BY pool"""),
     "W-12": (lambda s, d: work.assignment_mismatches(sql(s, d, ASSIGNED), sql(s, d, DECLARED), "p_partkey", ["p_brand", "p_size", "p_type"]), """SELECT p_partkey, 'manifest' AS field FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'p_brand' FROM part WHERE p_partkey % 8 = 0 AND p_partkey % 10 <> 0 UNION ALL SELECT p_partkey, 'p_size' FROM part WHERE p_partkey % 9 = 0 AND p_partkey % 10 <> 0"""),
-    "W-13": (lambda s, d: work.run_report(sql(s, d, BEFORE), sql(s, d, AFTER)), f"""SELECT CASE WHEN b.status IS NULL THEN 'new' WHEN a.status IS NULL THEN 'gone' WHEN a.status = 'completed' AND b.status <> 'completed' THEN 'completed_now' WHEN a.status = 'completed' THEN 'completed_before' ELSE 'remaining' END AS outcome, count(*) AS jobs
-        FROM ({BEFORE}) b FULL OUTER JOIN ({AFTER}) a ON b.job_id = a.job_id GROUP BY 1"""),
+    "W-13": (
+        lambda s, d: work.run_report(sql(s, d, BEFORE), sql(s, d, AFTER), sql(s, d, RECORDS)),
+        f"""WITH j AS (SELECT coalesce(b.job_id, a.job_id) AS job_id, CASE WHEN a.status IS NULL THEN 'gone' WHEN a.status = 'completed' AND b.status IS DISTINCT FROM 'completed' THEN 'completed_now'
+        WHEN a.status = 'completed' THEN 'completed_before' WHEN b.status IS NULL THEN 'new' ELSE 'remaining' END AS outcome FROM ({BEFORE}) b FULL OUTER JOIN ({AFTER}) a ON b.job_id = a.job_id)
+        SELECT outcome, j.job_id, coalesce(title, 'untitled') AS title, category, coalesce(accepted, false) AS accepted, 1 AS jobs FROM j LEFT JOIN ({RECORDS}) r ON j.job_id = r.job_id WHERE outcome = 'completed_now'
+        UNION ALL SELECT outcome, NULL, NULL, NULL, NULL, count(*) FROM j GROUP BY 1""",
+    ),
     "B-1": (lambda s, d: catalog.index_all(entries(s, d)), "SELECT * FROM v_entries"),
     "B-2": (lambda s, d: catalog.index_by_category(entries(s, d)), "SELECT category, count(*) AS entries, string_agg(title, '|' ORDER BY title, entry_ref) AS titles FROM v_entries GROUP BY 1"),
     "B-3": (lambda s, d: catalog.index_by_tag(sql(s, d, TAGGED)), f"SELECT tag, count(DISTINCT entry_ref) AS entries, string_agg(CAST(entry_ref AS VARCHAR), ',' ORDER BY entry_ref) AS refs FROM (SELECT DISTINCT entry_ref, unnest(tags) AS tag FROM ({duck(TAGGED)}) t) u GROUP BY 1"),
@@ -273,8 +369,16 @@ TESTS: dict = {
     "B-5": (lambda s, d: sql(s, d, "SELECT page_id, concat(' ', regexp_extract(url, '://(.*)', 1), '. ') AS name FROM pages").select("page_id", safe_component(F.col("name")).alias("name")), r"""SELECT page_id, rtrim(left(regexp_replace(regexp_extract(url, '://(.*)', 1), '[<>:"/\\|?*]', '-', 'g'), 80), ' .') AS name FROM pages"""),
     "B-6": (lambda s, d: catalog.normalize_tags(sql(s, d, TAGGED)).select("entry_ref", F.array_join("tags", ",").alias("tags")), f"""SELECT entry_ref, string_agg(tag, ',' ORDER BY i) AS tags FROM (SELECT entry_ref, i, tag, row_number() OVER (PARTITION BY entry_ref, lower(tag) ORDER BY i) AS r
         FROM (SELECT entry_ref, unnest(tags) AS tag, unnest(range(len(tags))) AS i FROM ({duck(TAGGED)}) t) u) q WHERE r = 1 GROUP BY 1"""),
-    "B-7": (lambda s, d: catalog.assign_names(sql(s, d, STEMS), sql(s, d, NAMED)), f"""WITH h AS (SELECT category, stem, count(*) AS taken FROM ({NAMED}) n GROUP BY 1, 2), f AS (SELECT *, row_number() OVER (PARTITION BY category, stem ORDER BY job_id) AS i FROM ({STEMS}) s WHERE job_id % 10 <> 0)
-        SELECT job_id, category, stem || CASE WHEN i + coalesce(taken, 0) > 1 THEN ' (' || (i + coalesce(taken, 0)) || ')' ELSE '' END AS name FROM f LEFT JOIN h USING (category, stem) UNION ALL SELECT job_id, category, name FROM ({NAMED}) n"""),
+    "B-7": (
+        lambda s, d: catalog.assign_names(sql(s, d, STEMS), sql(s, d, NAMED)),
+        f"""WITH n AS ({NAMED}), f AS (SELECT job_id, category, rtrim(stem, ' .-') AS name FROM ({STEMS}) s WHERE job_id NOT IN (SELECT job_id FROM n)),
+        won AS (SELECT job_id, category, name FROM (SELECT *, row_number() OVER (PARTITION BY category, name ORDER BY job_id) AS turn FROM f) t WHERE turn = 1 AND (category, name) NOT IN (SELECT (category, name) FROM n)),
+        lost AS (SELECT *, row_number() OVER (PARTITION BY category, name ORDER BY job_id) AS r FROM f WHERE job_id NOT IN (SELECT job_id FROM won)),
+        held AS (SELECT DISTINCT category, regexp_extract(name, '^(.*) [(]([0-9]+)[)]$', 1) AS name, TRY_CAST(regexp_extract(name, '^(.*) [(]([0-9]+)[)]$', 2) AS BIGINT) AS n FROM (SELECT category, name FROM n UNION SELECT category, name FROM won) x),
+        free AS (SELECT category, name, k, row_number() OVER (PARTITION BY category, name ORDER BY k) AS r FROM (SELECT DISTINCT category, name FROM lost) l, (SELECT unnest(range(2, 2000)) AS k) g
+            WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.category = l.category AND h.name = l.name AND h.n = g.k))
+        SELECT job_id, category, name || ' (' || k || ')' AS name FROM lost JOIN free USING (category, name, r) UNION ALL SELECT job_id, category, name FROM won UNION ALL SELECT job_id, category, name FROM n""",
+    ),
     "B-9": (lambda s, d: catalog.verify_entries(sql(s, d, "SELECT o_orderkey AS entry_ref FROM orders"), sql(s, d, PARTS), REQUIRED), f"""WITH a AS (SELECT entry_ref, 3 - count(DISTINCT CASE WHEN rel_path IN ('note.md', 'media.mp4', 'data.json') THEN rel_path END) AS missing, count(*) FILTER (sha256 <> expected_sha256) AS changed, count(*) FILTER (rel_path LIKE 'frames/%') AS frames FROM ({PARTS}) p GROUP BY 1)
         SELECT o_orderkey AS entry_ref, CASE WHEN missing IS NULL OR missing > 0 THEN 'missing_artifact' WHEN changed > 0 THEN 'digest_mismatch' WHEN NOT frames BETWEEN 3 AND 8 THEN 'frame_count' ELSE 'ok' END AS problem FROM orders LEFT JOIN a ON o_orderkey = entry_ref"""),
     "B-10": (lambda s, d: _legacy(s, d), f"""WITH a AS (SELECT entry_ref, bool_or(rel_path = 'note.md') AS n, bool_or(rel_path = 'media.mp4') AS m, bool_or(rel_path = 'data.json') AS j FROM ({PARTS}) p GROUP BY 1)

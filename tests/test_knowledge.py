@@ -115,18 +115,49 @@ def test_numbers_must_be_reviewed(spark):
     assert quality.unreviewed_numbers(docs, reviewed).first().numbers == ["3.5%", "8"]
 
 
-def test_ledger_begin_and_accept(spark):
-    digest = "a" * 64
-    requests = [(1, "j", "k1", "r", digest, "p"), (2, "j", "k1", "r", digest, "p"), (3, "j", "k1", "s", digest, "p"), (4, "j", "k1", "r", "b" * 64, "p"), (5, "x", "k2", "r", digest, "p"), (6, "j", "k3", "r", digest, "../p")]
-    df = spark.createDataFrame(requests, "request_id long, job_ref string, idempotency_key string, request_sha256 string, draft_sha256 string, handle string")
-    sagas = spark.createDataFrame([], "idempotency_key string, request_sha256 string, draft_sha256 string")
+def test_ledger_begin(spark):
+    digest, other = "a" * 64, "b" * 64
+    target = "targets map<string, struct<handle:string, sha256:string>>"
+    moved, sealed = {"t": ("q", None)}, {"t": ("q", digest)}
+    requests = [
+        (1, "j", "k1", "r", digest, digest, {"t": ("p", None)}), (2, "j", "k1", "r", digest.upper(), digest, {"t": ("p", None)}), (3, "j", "k1", "s", digest, digest, moved), (4, "j", "k1", "s", other, digest, moved),
+        (5, "x", "k2", "r", digest, digest, moved), (6, "j", "k3", "r", digest, digest, {"t": ("a\\..\\p", None)}), (7, "j", "k4", "r", "short", digest, moved), (8, " ", "k5", "r", digest, digest, moved),
+        (9, "j", "old", "s", digest, digest, moved), (10, "j", "old", "s", digest, digest, sealed), (11, "j", "old", "s", digest, digest, {"t": ("p", None)}), (12, "j", "old", "s", digest, digest, {"u": ("q", None)}),
+        (13, "j", "seen", "s", digest, digest, moved), (14, "j", "done", "s", digest, digest, moved), (15, "j", "k6", "r", digest, digest, {})]
+    df = spark.createDataFrame(requests, "request_id long, job_ref string, idempotency_key string, request_sha256 string, draft_sha256 string, media_sha256 string, " + target)
+    known = [(k, "r", "j", digest, digest, state, {"t": ("p", status)}) for k, state, status in (("old", "intent", "pending"), ("seen", "intent", "verified"), ("done", "accepted", "pending"))]
+    sagas = spark.createDataFrame(known, "idempotency_key string, request_sha256 string, job_ref string, draft_sha256 string, media_sha256 string, state string, targets map<string, struct<handle:string, status:string>>")
     got = dict(map(tuple, ledger.begin(df, sagas, spark.createDataFrame([("j",)], "job_id string")).collect()))
-    assert got == {1: "new", 2: "reused", 3: "retargeted", 4: "conflict", 5: "unknown_job", 6: "bad_handle"}
+    assert got == {
+        1: "new", 2: "reused", 3: "retargeted", 4: "conflict", 5: "unknown_job", 6: "bad_handle", 7: "bad_digest", 8: "bad_request", 9: "retargeted", 10: "conflict", 11: "conflict", 12: "conflict",
+        13: "conflict", 14: "conflict", 15: "bad_request"}
+
+
+def test_acceptance(spark):
+    day = lambda n: f"2024-01-0{n}"
+    states = [("a1", "a", 1, "accepted"), ("a2", "a", 2, "published_unaccepted"), ("a0", "a", 0, "published_unaccepted"), ("b1", "b", 1, "published_unaccepted"), ("c1", "c", 1, "intent"), ("d1", "d", 1, "published_unaccepted"), ("e1", "e", 1, "published_unaccepted")]
+    sagas = spark.createDataFrame([(s, j, day(n + 1), day(n + 1), st, None, None) for s, j, n, st in states], "saga_id string, job_ref string, created_at string, updated_at string, state string, superseded_at string, superseded_by string")
+    sagas = sagas.withColumns({c: F.to_timestamp_ntz(c) for c in ("created_at", "updated_at", "superseded_at")})
+    items = spark.createDataFrame([(j, "new") for j in "abcd"], "job_id string, status string")
+    good = dict.fromkeys(ledger.REQUIRED_CHECKS, True)
+    checks = [("a1", good), ("a2", good), ("a0", good), ("b1", good | {"privacy": None}), ("c1", good), ("d1", {"privacy": True}), ("e1", good), ("zz", good), ("b1", good | {"more": False})]
+    outcomes = ledger.accept(sagas, spark.createDataFrame(checks, "saga_id string, checks map<string, boolean>"), items)
+    assert rows(outcomes, "saga_id", "outcome") == [
+        ("a0", "superseded"), ("a1", "already_accepted"), ("a2", "accepted"), ("b1", "failed_checks"), ("b1", "failed_checks"), ("c1", "not_published"), ("d1", "missing_checks"), ("e1", "unknown_job"), ("zz", "unknown_saga")]
+    after, done = ledger.after_acceptance(sagas, items, outcomes, "2024-02-01 00:00:00")
+    assert [r for r in rows(after, "saga_id", "state", "superseded_by") if r[0] in ("a1", "a2", "a0")] == [("a0", "published_unaccepted", None), ("a1", "accepted", "a2"), ("a2", "accepted", None)]
+    assert rows(done.where("status = 'completed'"), "job_id") == [("a",)]
 
 
 def test_names_do_not_collide(spark):
-    entries = spark.createDataFrame([(1, "c", "t"), (2, "c", "t"), (3, "c", "t"), (4, "d", "t" * 80)], "job_id long, category string, stem string")
-    held = spark.createDataFrame([(2, "c", "t", "t")], "job_id long, category string, stem string, name string")
-    assert rows(catalog.assign_names(entries, held), "job_id", "name") == [(1, "t (2)"), (2, "t"), (3, "t (3)"), (4, "t" * 80)]
+    long = "t" * 75
+    entries = spark.createDataFrame(
+        [(1, "c", "t"), (2, "c", "t"), (3, "c", "t"), (4, "d", "t" * 80), (5, "e", "t"), (6, "e", "t"), (7, "f", "t"), (8, "f", "t (2)"), (9, "f", "t. -"), (10, "g", long + "x"), (11, "g", long + "y"), (12, "g", long + "y"), (13, "g", long + "x")],
+        "job_id long, category string, stem string")
+    held = spark.createDataFrame([(2, "c", "t"), (90, "e", "t (2)"), (91, "h", "t")], "job_id long, category string, name string")
+    got = dict(rows(catalog.assign_names(entries, held), "job_id", "name"))
+    assert [got[i] for i in range(1, 10)] == ["t (2)", "t", "t (3)", "t" * 80, "t", "t (3)", "t", "t (2)", "t (3)"]
+    assert (got[10], got[11]) == (long + "x", long + "y") and {got[12], got[13]} == {long + "y (2)", long + "x (3)"}
+    assert len(set(zip([r.category for r in entries.orderBy("job_id").collect()], [got[i] for i in range(1, 14)], strict=True))) == 13
     tags = spark.createDataFrame([(1, ["A", "a ", "Straße", "STRASSE", ""])], "entry_ref long, tags array<string>")
     assert catalog.normalize_tags(tags).first().tags == ["A", "Straße"]

@@ -20,10 +20,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loomfield.llm.tables import bound_batches
+from loomfield.llm.tables import bound_batches, slices
 
-#: Pieces and pairs that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Pieces, and pairs, that a worker remembers twice over, and characters of the longest piece remembered (some 60 MB in all).
+REMEMBERED, LONGEST = 100_000, 32
 #: Matches handled at a time, whatever the length of a text.
 STEP = 1 << 16
 NEVER = 1 << 62
@@ -44,8 +44,9 @@ class BytePairCodec:
         self.shorter: dict[int, int | None] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.edges: tuple[dict[int, list], dict[int, list]] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[str, int, bytes]] = {}
+        # two generations of each: when the newer one is full it becomes the older one, and what is met again comes back from there
+        self.pairs: list[dict[int, bool]] = [{}, {}]
+        self.pieces: list[dict[str, tuple[str, int, bytes]]] = [{}, {}]
 
     def _next_shorter(self, i: int) -> int | None:
         """The longest token that the bytes of token i begin with, other than itself."""
@@ -86,7 +87,12 @@ class BytePairCodec:
         the pieces that touch it can merge before either merges away from it; at
         equal ranks the merge further left comes first.
         """
-        known = self.pairs.get((left, right))
+        key = left << 32 | right
+        known = self.pairs[0].get(key)
+        if known is None:
+            known = self.pairs[1].get(key)
+            if known is not None:
+                self.pairs[0][key] = known
         if known is None:
             a, b, x, y = self._edge(left, 1), self._edge(right, 0), 0, 0
             known = True
@@ -102,9 +108,9 @@ class BytePairCodec:
                     x += 1
                 else:
                     y += 1
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+            if len(self.pairs[0]) >= REMEMBERED:
+                self.pairs = [{}, self.pairs[0]]
+            self.pairs[0][key] = known
         return known
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -139,21 +145,25 @@ class BytePairCodec:
         return b"".join([self.token[i] for i in ids])
 
     def _digested(self, piece: str) -> tuple[str, int, bytes]:
-        ids = self.encode_piece(piece.encode())
-        if len(self.pieces) >= REMEMBERED:
-            self.pieces.clear()
-        found = self.pieces[piece] = (",".join(map(str, ids)), len(ids), self.decode(ids))
+        found = self.pieces[0].get(piece) or self.pieces[1].get(piece)
+        if found is None:
+            ids = self.encode_piece(piece.encode())
+            found = (",".join(map(str, ids)), len(ids), self.decode(ids))
+        if len(piece) <= LONGEST:
+            if len(self.pieces[0]) >= REMEMBERED:
+                self.pieces = [{}, self.pieces[0]]
+            self.pieces[0][piece] = found
         return found
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by commas, SHA-256 of the bytes decoded from them."""
-        ids_hash, bytes_hash, n, get = hashlib.sha256(), hashlib.sha256(), 0, self.pieces.get
+        ids_hash, bytes_hash, n = hashlib.sha256(), hashlib.sha256(), 0
         matches = self.pattern.finditer(text) if len(text) > STEP else None
         pieces = [m.group() for m in islice(matches, STEP)] if matches else self.pattern.findall(text)
         while pieces:
-            got = list(map(get, pieces))
+            got = list(map(self.pieces[0].get, pieces))
             if None in got:
-                got = [g or get(p) or self._digested(p) for p, g in zip(pieces, got, strict=True)]
+                got = [g or self._digested(p) for p, g in zip(pieces, got, strict=True)]
             ids, sizes, decoded = zip(*got, strict=True)
             ids_hash.update((("," if n else "") + ",".join(ids)).encode())
             bytes_hash.update(b"".join(decoded))
@@ -173,13 +183,18 @@ def codec(path: str, pattern: str) -> BytePairCodec:
 
 
 def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids array<int> and decoded binary of every text (null: empty)."""
+    """doc_id, ids array<int> and decoded binary of every text.
+
+    Defined cases: a null text is empty; repeated rows give repeated rows; a text
+    of any length is encoded whole; an empty table gives no rows; other columns
+    are ignored.
+    """
+    bound_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 1, 256):
                 ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i) for i in ids], pa.binary())], ["doc_id", "ids", "decoded"])
 

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.llm.tables import materialise
+
 #: Turns that share turn div BLOCK are numbered in one window and rendered in one row.
 BLOCK = 256
 
@@ -74,9 +76,11 @@ def prefix_hashes(conversations: DataFrame) -> DataFrame:
 def maximal_conversations(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies of each conversation that no longer one starts with.
 
-    Of equal conversations the smallest conv_id stands for all; n_copies counts them.
+    Of equal conversations the smallest conv_id stands for all; n_copies counts
+    them. Defined cases are those of ``render_conversations``. The hashes are
+    written once, as they are needed for whole conversations and for prefixes.
     """
-    prefixes = prefix_hashes(conversations)
+    prefixes = materialise(prefix_hashes(conversations), "prefixes", True)
     whole = prefixes.where("last").groupBy("p1", "p2", "n").agg(
         F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies")
     )
@@ -88,7 +92,8 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
 def render_conversations(conversations: DataFrame) -> DataFrame:
     """Render every maximal conversation; one row per conversation and block of 256 turn numbers.
 
-    Returns conv_id, part (turn div 256; null turns come last), n_turns, n_copies
+    Returns conv_id, part (turn div 256; null turns come last, all in one part; a
+    conversation is its parts in order), n_turns, n_copies
     and rendered: each turn as ``<|role|>`` line, text, ``<|end|>`` line, in order
     of (turn, role, content). Defined cases: rows with a null conv_id are ignored;
     a null role reads ``unknown``, a null text is empty, a null turn comes last;

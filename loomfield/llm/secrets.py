@@ -233,8 +233,9 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
 
     Spans read kind:start:end in code points, in order of start and kind
     (assign, access, hex, learned). Defined cases: a null text is empty and has no
-    spans; repeated rows are scanned each; without labelled credentials only the
-    base patterns apply; an empty table gives no rows; other columns are ignored.
+    spans; repeated rows are scanned each; texts and tokens of any length are
+    scanned whole; without labelled credentials only the base patterns apply; an
+    empty table gives no rows; other columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(learn_formats(documents))
 

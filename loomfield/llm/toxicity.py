@@ -129,13 +129,13 @@ def fit_chain(documents: DataFrame, labels: DataFrame) -> Chain | None:
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 1, 256):
                 found = word_buckets(_bare(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), *part.columns[2:]], ["doc_id", "buckets", *part.schema.names[2:]])
 
     names = [name for name, _ in CATEGORIES]
-    joined = documents.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").select("doc_id", "text", *names)
+    # an id counts once, with its smallest text, so the sample is bounded whatever ids repeat
+    joined = documents.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text")).select("doc_id", "text", *names)
     bucketed = materialise(joined.mapInArrow(buckets, "doc_id long, buckets array<long>, " + ", ".join(f"{x} int" for x in names)), "labelled")
     known = telling_buckets(bucketed, names)
 
@@ -167,9 +167,10 @@ def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Defined cases: a null or wordless text is judged by the models' constants;
     without labelled documents all probabilities are 0; labels may be null
-    (quality as good, toxic as not) or repeated (the worse counts); repeated
-    documents are judged each; an empty table gives no rows; clashing columns are
-    replaced.
+    (quality as good, toxic as not) or repeated (the worse counts); of labelled
+    rows that repeat an id the smallest text is learned from; repeated documents
+    are judged each; texts of any length are judged whole; a probability of just
+    0.5 is toxic; an empty table gives no rows; clashing columns are replaced.
     """
     bound_batches(documents.sparkSession)
     chain = documents.sparkSession.sparkContext.broadcast(fit_chain(documents, labels))
@@ -177,9 +178,9 @@ def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                text = part.column(part.schema.get_field_index("text"))
+            at = b.schema.get_field_index("text")
+            for part in slices(b, at):
+                text = part.column(at)
                 p = chain.value.predict(word_buckets(_bare(text))) if chain.value else np.zeros((part.num_rows, len(names)))
                 verdict = p[:, [c for c, _ in CATEGORIES].index(DECIDES)] >= THRESHOLD
                 yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(x) for x in p.T], pa.array(verdict)], [*part.schema.names, *names, "is_toxic"])

@@ -9,14 +9,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Patterns of private text and of what log lines must not show.
+#: Patterns of private text, of what log lines and drafts must not show, and what stands for it.
 LINK = r"(?i)https?://\S+"
-SECRET_PAIR = r"(?i)\b(token|cookie|session|password|secret)\s*[=:]\s*[^\s,;]+"
+PRIVATE_WORDS = r"(?i)\b(cookie|session(?:id)?|signature|request[_ -]?url|authorization|chat(?:s|log)?|run\.log|registry)\b"
+ABSOLUTE_PATH = r"(?:[A-Za-z]:\\|/(?:Users|home)/)\S+"
+NOISE_LINE = r"^[|:\-\s]+$"
+DRAFT_WORDS = r"(?i)\b(cookie|sessionid?|signature|request[_ -]?url)\b"
+ID_WORDS = r"(?i)\b(job|source|item)[_ -]?id\b"
 LONG_DIGITS = r"(?<![0-9])[0-9]{15,24}(?![0-9])"
-JOB_NAME = r"\bitem-[0-9a-f]{20}\b"
-PRIVATE_WORDS = r"(?i)\b(cookie|session|token|password|secret)\b"
-ABSOLUTE_PATH = r"(?:/(?:home|root|Users|mnt|tmp)/|[A-Za-z]:\\)\S+"
-MARKDOWN_NOISE = r"[|*_`#>]"
+JOB_NAME = r"(?i)\bitem-[0-9a-f]{20}\b"
+SECRET_PAIR = r"(?i)\b(cookie|session|signature|token)\b\s*[=:]\s*\S+"
+DIGIT_WORD = r"\b[0-9]{15,24}\b"
+NO_PATH, NO_LINK, NO_SECRET, NO_JOB, NO_DIGITS = "[private-path-removed]", "[REDACTED_URL]", "$1=[REDACTED]", "[REDACTED_JOB]", "[REDACTED_ID]"
 #: Characters and names that file systems refuse.
 FORBIDDEN_NAME = r'[<>:"/\\|?*\x00-\x1f]'
 RESERVED_NAMES = ["CON", "PRN", "AUX", "NUL", *(f"COM{n}" for n in range(1, 10)), *(f"LPT{n}" for n in range(1, 10))]
@@ -78,20 +82,26 @@ def parse_time(text: Column) -> Column:
 
 def redact(col: Column) -> Column:
     """Links, key=value secrets, job names and long digit ids give way to tokens."""
-    out = F.regexp_replace(col, LINK, "[link]")
-    out = F.regexp_replace(out, SECRET_PAIR, "$1=[secret]")
-    out = F.regexp_replace(out, JOB_NAME, "[job]")
-    return F.regexp_replace(out, LONG_DIGITS, "[id]")
+    out = F.regexp_replace(col, LINK, NO_LINK)
+    out = F.regexp_replace(out, SECRET_PAIR, NO_SECRET)
+    out = F.regexp_replace(out, JOB_NAME, NO_JOB)
+    return F.regexp_replace(out, DIGIT_WORD, NO_DIGITS)
 
 
 def is_private(col: Column) -> Column:
     return F.regexp_like(col, F.lit(PRIVATE_WORDS)) | F.regexp_like(col, F.lit(LINK))
 
 
+def cleaned_whole(col: Column) -> Column:
+    """One line without absolute paths; null if it is empty, private or nothing but table marks."""
+    text = one_line(col)
+    keep = (text != "") & ~F.regexp_like(text, F.lit(NOISE_LINE)) & ~is_private(text)
+    return F.when(keep, F.regexp_replace(text, ABSOLUTE_PATH, NO_PATH))
+
+
 def cleaned(col: Column, limit: int = 800) -> Column:
-    """One line without markdown noise and absolute paths, cut at ``limit``; null if private or empty."""
-    text = one_line(F.regexp_replace(F.regexp_replace(col, MARKDOWN_NOISE, " "), ABSOLUTE_PATH, "[path]"))
-    return F.when(~is_private(col) & (text != ""), F.left(text, F.lit(limit)))
+    """``cleaned_whole`` cut at ``limit``."""
+    return F.trim(F.left(cleaned_whole(col), F.lit(limit)))
 
 
 @F.pandas_udf(T.StringType())
@@ -100,6 +110,11 @@ def _composed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.str.normalize("NFKC")
 
 
+def similarity_key(col: Column) -> Column:
+    """Composed text without case, digits, a-z and CJK ideographs only."""
+    return F.regexp_replace(fold(_composed(col)), "[^0-9a-z\u4e00-\u9fff]+", "")
+
+
 def safe_component(col: Column, composed: bool = True) -> Column:
     """A name that any file system takes: composed, one line, forbidden characters as -, at most 80 characters."""
     text = _composed(col) if composed else col

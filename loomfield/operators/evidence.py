@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.functions.columns import cleaned, format_time, line_key, redact
+from loomfield.functions.columns import cleaned, cleaned_whole, format_time, line_key, redact
 
 #: Order of sources at equal times.
 SOURCES = ["asr", "ocr", "timeline", "summary"]
-FACT = r"[0-9]|\b[A-Z]{2,}\b"
+#: A digit, or a word of two or more capitals, digits and hyphens.
+FACT = r"(?U)\d|\b[A-Z][A-Z0-9-]{1,}\b"
+#: In a packet: shares of the room for timeline records and for facts, and the sources of facts and of passages in order.
+TIMELINE_SHARE, FACT_SHARE = 0.45, 0.30
+FACT_SOURCES, PASSAGE_SOURCES = ["ocr", "summary", "asr"], ["summary", "asr", "ocr"]
+CLASSES = ["timeline", "facts", "passages"]
 
 
 def clean_records(df: DataFrame, limit: int = 800) -> DataFrame:
     """Records (text) cleaned; private and empty ones are dropped, cut ones flagged (truncated)."""
-    out = df.withColumn("clean", cleaned(F.col("text"), limit + 1)).where("clean IS NOT NULL")
-    return out.withColumns({"truncated": F.length("clean") > limit, "text": F.left("clean", F.lit(limit))}).drop("clean")
+    out = df.withColumn("clean", cleaned_whole(F.col("text"))).where("clean IS NOT NULL")
+    return out.withColumns({"truncated": F.length("clean") > limit, "text": F.trim(F.left("clean", F.lit(limit)))}).drop("clean")
 
 
 def fragment(df: DataFrame, key: str, width: int = 600) -> DataFrame:
     """key, part (from 1 over kept windows), text: windows of ``width`` characters, each cleaned."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(width))
-    windows = df.where("text IS NOT NULL").select(key, F.posexplode(starts).alias("i", "at"), "text")
-    kept = windows.select(key, "i", cleaned(F.expr(f"substring(text, at, {width})")).alias("text")).where("text IS NOT NULL")
+    windows = df.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), 0)).alias("i", "text"))
+    kept = windows.select(key, "i", cleaned(F.col("text")).alias("text")).where("text IS NOT NULL")
     return kept.select(key, F.row_number().over(Window.partitionBy(key).orderBy("i")).cast("long").alias("part"), "text")
 
 
@@ -54,30 +59,52 @@ def evidence_counts(records: DataFrame, omitted: DataFrame) -> DataFrame:
     return counts.join(dropped, "job_id", "full_outer").fillna(0)
 
 
-def pack_chunks(records: DataFrame, max_bytes: int) -> DataFrame:
-    """job_id, chunk (from 1), chunks, first, last, records, bytes, sha256, error: records in order, next-fit.
+def _in_order(rows: DataFrame, keys: list[str], step, schema: str) -> DataFrame:
+    """Rows of each job dealt together, sorted by keys, and passed through a task that keeps what ``step`` needs of one job at a time."""
+    return rows.repartition("job_id").sortWithinPartitions("job_id", *keys).mapInArrow(step, schema)
 
-    A chunk's bytes are those of its texts with a line end each. A record larger
-    than the budget is a chunk of its own with error ``oversize``. The fold runs
-    over the job's sorted array of sizes in the JVM.
-    """
-    rows = records.select("job_id", "i", F.octet_length("text").cast("long").alias("n"), "text")
-    per = rows.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct((F.col("i")).alias("i"), (F.col("n") + 1).alias("n")))).alias("a"))
-    start = F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<i:bigint,c:bigint>>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["used"] + x["n"] <= max_bytes) & (s["c"] > 0)
-        c = F.when(fits, s["c"]).otherwise(s["c"] + 1)
-        used = F.when(fits, s["used"] + x["n"]).otherwise(x["n"])
-        return F.struct(c.alias("c"), used.alias("used"), F.concat(s["out"], F.array(F.struct(x["i"].alias("i"), c.alias("c")))).alias("out"))
+def pack_chunks(records: DataFrame, max_bytes: int, columns: Sequence[str] = ("line", "source", "t", "text")) -> DataFrame:
+    """job_id, chunk (from 1), chunks, first, last, records, bytes, sha256, error: records in order, next-fit by encoded size.
 
-    placed = per.select("job_id", F.explode(F.aggregate("a", start, step)["out"]).alias("p")).select("job_id", "p.i", F.col("p.c").alias("chunk"))
-    joined = rows.join(placed, ["job_id", "i"])
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: F.concat(x["text"], F.lit("\n"))), "")
-    chunks = joined.groupBy("job_id", "chunk").agg(
-        F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("records"), F.sum(F.col("n") + 1).alias("bytes"), F.sha2(body, 256).alias("sha256"))
-    total = F.count(F.lit(1)).over(Window.partitionBy("job_id"))
-    return chunks.withColumns({"chunks": total, "error": F.when(F.col("bytes") > max_bytes, "oversize")})
+    A chunk is the compact JSON of job_ref, chunk_index, chunk_count and its
+    records, with a line end; while chunks are filled, the count is taken to be
+    the number of records. A record that does not fit alone is a chunk of its own
+    with error ``oversize``. Jobs stream through their task in order, so a job of
+    any length needs no room there.
+    """
+    rows = records.select("job_id", "i", F.to_json(F.struct(*[c for c in columns if c in records.columns])).alias("record"))
+    total = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("most"))
+    bare = F.octet_length(_chunk("job_id", F.lit(""), F.col("most"), F.lit("")))  # all but the digits of the index
+    sized = rows.join(total, "job_id").select("job_id", "i", "record", bare.cast("long").alias("bare"), F.octet_length("record").cast("long").alias("n"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, chunk, used = None, 0, 0
+        for b in batches:
+            out = []
+            for this, bare_, n in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if this != job or not chunk:
+                    job, chunk, used = this, 1, bare_ + 1 + n
+                elif used + 1 + n <= max_bytes:
+                    used += 1 + n
+                else:
+                    chunk += 1
+                    used = bare_ + len(str(chunk)) + n
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.int64())], ["job_id", "i", "record", "chunk"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    placed = _in_order(sized, ["i"], place, f"job_id {kinds['job_id']}, i {kinds['i']}, record string, chunk long")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "record"))), lambda x: x["record"]), ",")
+    chunks = placed.groupBy("job_id", "chunk").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count(F.lit(1)).alias("records"), body.alias("body"))
+    chunks = chunks.withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
+    chunks = chunks.withColumn("body", _chunk("job_id", F.col("chunk"), F.col("chunks"), F.col("body"))).withColumn("bytes", F.octet_length("body").cast("long"))
+    return chunks.select("job_id", "chunk", "chunks", "first", "last", "records", "bytes", F.sha2("body", 256).alias("sha256"), F.when(F.col("bytes") > max_bytes, "oversize").alias("error"))
+
+
+def _chunk(job: str, index: Column, count: Column, body: Column) -> Column:
+    """The text of a chunk."""
+    return F.concat(F.lit('{"job_ref":"'), F.col(job).cast("string"), F.lit('","chunk_index":'), index.cast("string"), F.lit(',"chunk_count":'), count.cast("string"), F.lit(',"records":['), body, F.lit("]}\n"))
 
 
 def coverage_ranks(n: int) -> list[int]:
@@ -113,35 +140,77 @@ def fact_records(records: DataFrame) -> DataFrame:
     return records.where(F.regexp_like("text", F.lit(FACT)))
 
 
-def select_within(rows: list[tuple], max_bytes: int) -> list[tuple[int, str]]:
-    """(i, class) of records (i, source, is_fact, visit, bytes) chosen within a budget, in coverage order.
+class Room:
+    """What a packet has taken of the rows that are offered in order of class and place.
+
+    Timeline records take up to 45 % of the room and facts up to 30 %; passages that
+    were not taken before get the rest. A row that does not fit is passed over and
+    the next is tried.
+    """
+
+    def __init__(self, max_bytes: int):
+        self.max_bytes, self.used, self.texts, self.for_facts = max_bytes, 0, set(), None
+
+    def takes(self, kind: str, text: str, n: int) -> bool:
+        if kind == "facts" and self.for_facts is None:
+            self.for_facts = min(self.max_bytes, self.used + int(self.max_bytes * FACT_SHARE))
+        limit = {"timeline": int(self.max_bytes * TIMELINE_SHARE), "facts": self.for_facts}.get(kind, self.max_bytes)
+        if self.used + n > limit or (kind == "passages" and text in self.texts):
+            return False
+        self.used += n
+        self.texts.add(text)
+        return True
+
+
+def evidence_classes(records: DataFrame) -> DataFrame:
+    """job_id, class, place, i, source, text of records (job_id, i, source, text): the lists that a packet is filled from.
 
-    Timeline records take up to 45 % of it, facts up to 30 %, then any other; a
-    record that does not fit is passed over and the next is tried.
+    Records that read alike count once in each list, where they stand first: the
+    timeline in coverage order; facts of screen, summary and speech; passages of
+    summary, speech and screen.
     """
-    chosen: dict[int, str] = {}
-    left = max_bytes
-    classes = (("timeline", 0.45, lambda r: r[1] == "timeline"), ("fact", 0.30, lambda r: r[2]), ("passage", 1.0, lambda r: r[1] != "timeline"))
-    for name, share, of in classes:
-        room = left if share == 1.0 else min(left, int(max_bytes * share))
-        for r in sorted(rows, key=lambda r: (r[3], r[0])):
-            if r[0] not in chosen and of(r) and r[4] <= room:
-                chosen[r[0]] = name
-                room -= r[4]
-                left -= r[4]
-    return sorted(chosen.items())
+    keyed = records.withColumn("k", line_key(F.col("text"))).where("k <> ''").select("job_id", "i", "source", "text", "k")
+
+    def unlike(sources: list[str]) -> DataFrame:
+        rank = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+        first = keyed.where(rank > 0).groupBy("job_id", "k").agg(F.min(F.struct(rank.alias("rank"), "i", "source", "text")).alias("m"))
+        return first.select("job_id", "m.*")
+
+    marks = coverage_order(unlike(["timeline"])).select("job_id", F.lit("timeline").alias("class"), F.struct(F.lit(0).cast("long").alias("rank"), F.col("visit").alias("at")).alias("place"), "i", "source", "text")
+    for name, sources in zip(CLASSES[1:], (FACT_SOURCES, PASSAGE_SOURCES), strict=True):
+        rows = unlike(sources)
+        rows = fact_records(rows) if name == "facts" else rows
+        marks = marks.union(rows.select("job_id", F.lit(name), F.struct(F.col("rank").cast("long").alias("rank"), F.col("i").alias("at")), "i", "source", "text"))
+    return marks
 
 
 def select_evidence(records: DataFrame, max_bytes: int) -> DataFrame:
-    """job_id, i, class of records (job_id, i, source, text, visit) within a byte budget for each job."""
+    """job_id, class, place, i, source, text of records (job_id, i, source, text) that fit into each job's packet.
+
+    A text counts as its JSON string and a comma. Jobs stream through their task in
+    order, which holds the texts taken so far: at most the budget.
+    """
+    lists = evidence_classes(records).withColumns({"n": F.octet_length(_quoted(F.col("text"))).cast("long") + 1, "turn": F.array_position(F.array(*map(F.lit, CLASSES)), F.col("class"))})
+    names = ["job_id", "class", "place", "i", "source", "text"]
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["i", "source", "fact", "visit", "n"]].itertuples(index=False, name=None))
-        picked = select_within(rows, max_bytes)
-        return pd.DataFrame({"job_id": pdf["job_id"].iloc[0], "i": [p[0] for p in picked], "class": [p[1] for p in picked]})
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, room = None, None
+        for b in batches:
+            kept = []
+            for this, kind, text, n in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("job_id", "class", "text", "n")], strict=True):
+                if room is None or this != job:
+                    job, room = this, Room(max_bytes)
+                kept.append(room.takes(kind, text, n))
+            yield b.filter(pa.array(kept, pa.bool_())).select(names)
 
-    slim = records.select("job_id", "i", "source", F.regexp_like("text", F.lit(FACT)).alias("fact"), "visit", (F.octet_length("text") + 1).alias("n"))
-    return slim.groupBy("job_id").applyInPandas(pick, "job_id long, i long, class string")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lists.select(*names).schema)
+    return _in_order(lists, ["turn", "place"], pick, schema)
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
 
 
 def source_coverage(records: DataFrame, selected: DataFrame) -> DataFrame:
@@ -158,12 +227,33 @@ def manifest_facts(manifests: DataFrame, fields: list[str]) -> DataFrame:
     return manifests.select("job_id", F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()).alias("facts"))
 
 
-def build_packets(records: DataFrame) -> DataFrame:
-    """job_id, json, bytes, tokens, sha256: a deterministic packet of a job's records in order."""
-    items = F.array_sort(F.collect_list(F.struct("i", "source", "t", "text")))
-    grouped = records.groupBy("job_id").agg(items.alias("records"))
-    packet = grouped.select("job_id", F.to_json(F.struct("job_id", "records"), {"ignoreNullFields": "false"}).alias("json"))
-    return packet.select("job_id", "json", F.octet_length("json").alias("bytes"), F.ceil(F.length("json") / 4).alias("tokens"), F.sha2("json", 256).alias("sha256"))
+def build_packets(selected: DataFrame, coverage: DataFrame, facts: DataFrame, hashes: DataFrame, frames: DataFrame, max_bytes: int) -> DataFrame:
+    """job_id, json, bytes, tokens, sha256: a deterministic packet of each job in ``facts``; error if it passes the budget.
+
+    selected: job_id, class, place, text; coverage: job_id, source and what
+    ``source_coverage`` counts; facts: job_id, facts (map); hashes: job_id, name,
+    file, size_bytes, sha256; frames: job_id, frame_index, file, timestamp_s,
+    size_bytes, sha256. Fields stand in alphabetical order, lists in theirs.
+    """
+    texts = lambda c: F.transform(F.array_sort(F.filter(F.coalesce("rows", F.array().cast(rows_type)), lambda r: r["class"] == c)), lambda r: r["text"])
+    rows = selected.groupBy("job_id").agg(F.collect_list(F.struct("class", "place", "text")).alias("rows"))
+    rows_type = rows.schema["rows"].dataType.simpleString()
+    stats = ["first_included", "included", "last_included", "total", "truncated"]
+    per = {
+        "source_coverage": coverage.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("source", *stats))).alias("source_coverage")),
+        "source_file_hashes": hashes.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("name", "file", "sha256", "size_bytes"))).alias("source_file_hashes")),
+        "selected_keyframes": frames.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("frame_index", "file", "sha256", "size_bytes", "timestamp_s"))).alias("selected_keyframes")),
+    }
+    j = facts.select("job_id", F.col("facts").alias("manifest_facts")).join(rows, "job_id", "left")
+    for df in per.values():
+        j = j.join(df, "job_id", "left")
+    lists = F.struct(texts("passages").alias("key_passages"), texts("facts").alias("numeric_and_proper_nouns"), texts("timeline").alias("timeline"))
+    fields = [
+        lists.alias("evidence"), F.col("job_id").cast("string").alias("job_ref"), F.struct(F.lit(max_bytes).alias("max_bytes")).alias("limits"), F.map_from_entries(F.array_sort(F.map_entries("manifest_facts"))).alias("manifest_facts"),
+        F.lit(1).alias("schema_version"), "selected_keyframes", "source_coverage", "source_file_hashes"]
+    packet = j.select("job_id", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+    size = F.octet_length("json")
+    return packet.select("job_id", "json", size.alias("bytes"), F.ceil(F.length("json") / 4).alias("tokens"), F.sha2("json", 256).alias("sha256"), F.when(size > max_bytes, "over_budget").alias("error"))
 
 
 def bundle_manifest(chunks: DataFrame, frames: DataFrame) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+from itertools import groupby, tee
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Frames, about, of a block; a task compares two blocks of a job at a time.
 BLOCK = 1024
@@ -45,90 +50,124 @@ def _per_job(frames: DataFrame, function, schema: str) -> DataFrame:
     return frames.groupBy("job_id").applyInPandas(function, schema)
 
 
-def candidates(times: np.ndarray, scores: np.ndarray, duration: float, threshold: float = 0.12, longest: float = 15.0) -> list[tuple[int, str]]:
-    """(index, reason) of sampled frames: the first, the last, scenes, and one at least every coverage interval."""
-    interval = min(longest, max(0.2, duration / 4))
-    out: list[tuple[int, str]] = []
-    covered = -np.inf
-    for i, (t, s) in enumerate(zip(times, scores, strict=True)):
-        reason = "first" if i == 0 else "tail" if i == len(times) - 1 else "scene" if s >= threshold else "coverage" if t - covered >= interval else None
-        if reason is None:
-            continue
-        if reason in ("first", "coverage", "tail"):
-            covered = t
-        if out and times[out[-1][0]] == t:
-            out[-1] = (i, reason)
-        else:
-            out.append((i, reason))
-    return out
+def candidates(rows: Iterable[tuple[float, float, bool]], interval: float, threshold: float = 0.12) -> Iterator[tuple[int, str, bool]]:
+    """(index, reason, replaces) of observations (time, scene score, whether it is the last) that become candidates, in order of time.
 
+    The first and the last are kept, scenes, and those that are due: an interval
+    after the last one that was due, whatever it was kept for. A candidate at the
+    time of the one before takes its place.
+    """
+    covered, before = -interval, None
+    for i, (t, score, last) in enumerate(rows):
+        due, scene = t - covered >= interval, score >= threshold
+        if i == 0 or last or scene or due:
+            yield i, "first" if i == 0 else "tail" if last else "scene_change" if scene else "coverage", before is not None and abs(before - t) < 1e-6
+            before = t
+            covered = t if due else covered
 
-def frame_candidates(frames: DataFrame, threshold: float = 0.12, longest: float = 15.0) -> DataFrame:
-    """job_id, frame_id, t, scene_score, reason of sampled frames (job_id, frame_id, t, scene_score)."""
 
-    def sample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "frame_id"]).reset_index(drop=True)
-        t = pdf["t"].to_numpy()
-        picked = candidates(t, pdf["scene_score"].to_numpy(), float(t[-1] - t[0]), threshold, longest)
-        out = pdf.iloc[[i for i, _ in picked]][["job_id", "frame_id", "t", "scene_score"]].copy()
-        out["reason"] = [r for _, r in picked]
-        return out
+def frame_candidates(frames: DataFrame, threshold: float = 0.12, longest: float = 15.0, step: float = 0.2) -> DataFrame:
+    """job_id, frame_id, t, scene_score, reason of sampled frames (job_id, frame_id, t, scene_score).
 
-    return _per_job(frames.select("job_id", "frame_id", "t", "scene_score"), sample, "job_id long, frame_id long, t double, scene_score double, reason string")
+    The coverage interval is a quarter of the video, between the sampling step and
+    ``longest``. Jobs stream through their task in order of time.
+    """
+    ends = frames.groupBy("job_id").agg(F.max(F.struct("t", "frame_id")).alias("end"))
+    rows = frames.join(ends, "job_id").select(
+        "job_id", "frame_id", "t", "scene_score", F.least(F.lit(longest), F.greatest(F.lit(step), F.col("end.t") / 4)).alias("interval"),
+        (F.struct("t", "frame_id") == F.col("end")).alias("last"))
+    names = ["job_id", "frame_id", "t", "scene_score", "reason"]
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # the candidate that a later one at its time may replace
+        for (_, interval), own in groupby((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)), key=lambda r: (r[0], r[4])):
+            first, second = tee(own)
+            at = -1
+            for i, reason, replaces in candidates(((r[2], r[3], r[5]) for r in first), interval, threshold):
+                while at < i:
+                    row, at = next(second), at + 1
+                if replaces:
+                    held.pop()
+                held.append((*row[:4], reason))
+                if len(held) > 4096:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held[:-1]], schema)
+                    del held[:-1]
+        if held:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in held], schema)
+
+    kinds = {f.name: f.dataType for f in rows.schema}
+    fields = StructType([StructField(n, kinds.get(n, StringType())) for n in names])
+    schema = to_arrow_schema(fields)
+    return rows.repartition("job_id").sortWithinPartitions("job_id", "t", "frame_id").mapInArrow(sample, fields)
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.bitwise_count(a ^ b).sum()) / (64 * len(a))
 
 
-def choose(times: np.ndarray, scores: np.ndarray, signatures: np.ndarray, most: int, apart: float = 0.08, least: int = 3) -> list[tuple[int, str]]:
-    """(index, reason): frames nearest to evenly spread targets and not near-duplicates, ends exempt; then by scene score."""
-    n = len(times)
-    if not n:
-        return []
-    chosen: dict[int, str] = {}
-    targets = np.linspace(times[0], times[-1], min(most, n))
+def _spread(n: int, end: float) -> list[float]:
+    """n evenly spaced times from 0 to ``end``; the middle alone for one."""
+    return [end / 2] if n == 1 else [k * end / (n - 1) for k in range(n)]
+
+
+def choose(times: np.ndarray, scores: np.ndarray, signatures: np.ndarray, interval: float, most: int, apart: float = 0.08) -> list[tuple[int, str | None]]:
+    """(index, reason) of the candidates kept, at most ``most``; no reason for those kept for their scene.
+
+    Slots for coverage, three at least, are as many as intervals cover the video, up
+    to 60 % of ``most``. At each slot's time the nearest candidate (better scenes
+    first) is taken that is no near-duplicate of one taken; the ends are taken as
+    they are. Then the best scenes that are no near-duplicates fill up. If fewer
+    than three were taken, those nearest to even times are added.
+    """
+    n, end = len(times), float(times[-1])
     distinct = lambda i: all(_ratio(signatures[i], signatures[j]) > apart for j in chosen)
-    for k, target in enumerate(targets):
-        end = k in (0, len(targets) - 1)
-        for i in sorted(range(n), key=lambda i: (abs(times[i] - target), i)):
-            if i not in chosen and (end or distinct(i)):
-                chosen[i] = "end" if end else "coverage"
-                break
-            if end:
-                break
-    for i in sorted(range(n), key=lambda i: (-scores[i], i)):
-        if len(chosen) >= most:
-            break
-        if i not in chosen and distinct(i):
-            chosen[i] = "scene"
-    for i in sorted(range(n), key=lambda i: (-scores[i], i)):
-        if len(chosen) >= min(least, n):
-            break
-        chosen.setdefault(i, "fill")
+    least = min(most, 3 if most >= 3 else 2)
+    slots = min(most, max(least, min(math.ceil(end / interval) + 1 if interval > 0 else 1, math.ceil(most * 0.6))))
+    chosen: dict[int, str | None] = {}
+    for k, target in enumerate([0.0] if slots == 1 else _spread(slots, end)):
+        nearest = sorted(range(n), key=lambda i: (abs(times[i] - target), -scores[i], i))
+        if k in (0, slots - 1):
+            i = nearest[0]
+            if k == 0:
+                chosen[i] = "first"
+            elif chosen.get(i) != "first":
+                chosen[i] = "tail"
+        else:
+            i = next((i for i in nearest if i not in chosen and distinct(i)), None)
+            if i is not None:
+                chosen[i] = "coverage"
+    for i in sorted(range(n), key=lambda i: (-scores[i], times[i])):
+        if len(chosen) < most and i not in chosen and distinct(i):
+            chosen[i] = None
+    fewest = min(most, n, 3)
+    for target in _spread(fewest, end):
+        if len(chosen) < fewest and not any(abs(times[i] - target) < 1e-6 for i in chosen):
+            chosen[min((i for i in range(n) if i not in chosen), key=lambda i: (abs(times[i] - target), i))] = "minimum_coverage"
     return sorted(chosen.items())
 
 
-def select_frames(frames: DataFrame, most: int = 40, apart: float = 0.08, least: int = 3) -> DataFrame:
-    """job_id, frame_id, t, reason of the frames kept (job_id, frame_id, t, scene_score, signature)."""
+def select_frames(candidates_: DataFrame, most: int = 40, apart: float = 0.08, longest: float = 15.0, step: float = 0.2) -> DataFrame:
+    """job_id, frame_id, t, reason of the candidates kept (job_id, frame_id, t, scene_score, signature, reason)."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "frame_id"]).reset_index(drop=True)
         signatures = np.array(pdf["signature"].map(lambda s: np.array(s, np.int64).view(np.uint64)).to_list())
-        kept = choose(pdf["t"].to_numpy(), pdf["scene_score"].to_numpy(), signatures, most, apart, least)
-        out = pdf.iloc[[i for i, _ in kept]][["job_id", "frame_id", "t"]].copy()
-        out["reason"] = [r for _, r in kept]
+        times = pdf["t"].to_numpy()
+        kept = choose(times, pdf["scene_score"].to_numpy(), signatures, min(longest, max(step, float(times[-1]) / 4)), most, apart)
+        out = pdf.iloc[[i for i, _ in kept]][["job_id", "frame_id", "t", "reason"]].copy()
+        out["reason"] = [r or own for (_, r), own in zip(kept, out["reason"], strict=True)]
         return out
 
-    return _per_job(frames.select("job_id", "frame_id", "t", "scene_score", "signature"), pick, "job_id long, frame_id long, t double, reason string")
+    return _per_job(candidates_.select("job_id", "frame_id", "t", "scene_score", "signature", "reason"), pick, "job_id long, frame_id long, t double, reason string")
 
 
 def _blocks(frames: DataFrame) -> DataFrame:
-    """job_id, words, blocks, own, frame_id, t, signature, bits: each frame with its block of those of its job and length."""
+    """job_id, words, blocks, own, frame_id, t (if there), signature, bits: each frame with its block of those of its job and length."""
     rows = frames.where("job_id IS NOT NULL AND signature IS NOT NULL").withColumn("words", F.size("signature"))
     sizes = rows.groupBy("job_id", "words").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    own = F.pmod(F.xxhash64("frame_id", "t"), F.col("blocks"))
-    return rows.join(sizes, ["job_id", "words"]).select("job_id", "words", "blocks", own.alias("own"), "frame_id", "t", "signature", "bits")
+    at = [c for c in ("frame_id", "t") if c in frames.columns]
+    own = F.pmod(F.xxhash64(*at), F.col("blocks"))
+    return rows.join(sizes, ["job_id", "words"]).select("job_id", "words", "blocks", own.alias("own"), *at, "signature", "bits")
 
 
 def _differing(x: pa.Table, y: pa.Table) -> np.ndarray:
@@ -180,22 +219,23 @@ def pick_evenly(times: np.ndarray, scores: np.ndarray, k: int) -> list[int]:
     n = len(times)
     if n <= k:
         return list(range(n))
-    span = max(times[-1] - times[0], 1e-9)
+    span = max(times[-1] - times[0], 1.0)
     left = set(range(1, n - 1))
     out = [0] if k == 1 else [0, n - 1]
-    for target in np.linspace(times[0], times[-1], k)[1:-1] if k > 2 else []:
+    for target in [times[0] + span * i / (k - 1) for i in range(1, k - 1)]:
         best = min(left, key=lambda i: (abs(times[i] - target) / span - 0.05 * min(1.0, max(0.0, scores[i])), i))
         left.discard(best)
         out.append(best)
     return sorted(out)
 
 
-def pick_k(frames: DataFrame, k: int) -> DataFrame:
-    """job_id, frame_id, t of k frames of each job."""
+def pick_k(frames: DataFrame, k: int, least: int = 1) -> DataFrame:
+    """job_id, frame_id, t of k frames of each job that has at least ``least``; all of them if there are no more than k."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "frame_id"]).reset_index(drop=True)
-        return pdf.iloc[pick_evenly(pdf["t"].to_numpy(), pdf["scene_score"].to_numpy(), k)][["job_id", "frame_id", "t"]]
+        chosen = pick_evenly(pdf["t"].to_numpy(), pdf["scene_score"].to_numpy(), k) if len(pdf) >= least else []
+        return pdf.iloc[chosen][["job_id", "frame_id", "t"]]
 
     return _per_job(frames.select("job_id", "frame_id", "t", "scene_score"), pick, "job_id long, frame_id long, t double")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -9,9 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Leading bytes (hex, from an offset) of media containers.
-CONTAINERS = [(4, "66747970", "mp4"), (0, "1A45DFA3", "matroska"), (0, "52494646", "riff"), (0, "4F676753", "ogg"), (0, "464C56", "flv")]
-#: Box names that mark protected media.
-PROTECTED_BOXES = [b"pssh", b"sinf", b"schm", b"encv", b"enca"]
+CONTAINERS = [(4, "66747970", "iso-bmff"), (0, "1A45DFA3", "ebml"), (0, "464C56", "flv"), (0, "4F676753", "ogg")]
+#: A file name of 12 bytes at least; transport packets of 188 bytes begin with 47.
+LEAST_NAMED, PACKET, SYNC = 12, 188, "47"
+#: Box names that mark protected media with their least sizes, and the largest media file.
+PROTECTED_BOXES = {b"pssh": 32, b"sinf": 8, b"schm": 20, b"encv": 8, b"enca": 8}
+LARGEST = 1 << 30
+#: The bytes around a box name: its size before, and what follows. The look-ahead finds names that overlap.
+BOX = re.compile(rb"(?s)(.{4})(?=(" + b"|".join(PROTECTED_BOXES) + rb")(.{0,8}))")
 
 
 def inventory_diff(prev: DataFrame, scan: DataFrame) -> DataFrame:
@@ -34,22 +40,32 @@ def inventory_status(inventory: DataFrame) -> DataFrame:
 
 def media_kind(scan: DataFrame) -> DataFrame:
     """Adds kind by the leading bytes of content, null if unknown."""
-    kind = F.lit(None).cast("string")
-    for offset, magic, name in CONTAINERS:
-        lead = F.hex(F.substring("content", offset + 1, len(magic) // 2))
-        kind = F.when(lead == magic, name).otherwise(kind)
+    packets = [F.hex(F.substring("content", n * PACKET + 1, 1)) == SYNC for n in range(3)]
+    kind = F.when(packets[0] & packets[1] & packets[2], "mpeg-ts")
+    for offset, magic, name in reversed(CONTAINERS):
+        lead = F.hex(F.substring("content", offset + 1, len(magic) // 2)) == magic
+        kind = F.when(lead & (F.length("content") >= (LEAST_NAMED if offset else 0)), name).otherwise(kind)
     return scan.withColumn("kind", kind)
 
 
+def _plausible(size: int, name: bytes, rest: bytes) -> bool:
+    """Whether what stands around a box name is a box: a size in range, and the fields that its kind begins with."""
+    if not PROTECTED_BOXES[name] <= size <= LARGEST:
+        return False
+    if name == b"sinf":  # a container, whose first child has a known name
+        return len(rest) == 8 and 8 <= int.from_bytes(rest[:4], "big") <= size - 8 and rest[4:] in (b"frma", b"schm", b"schi")
+    if name in (b"pssh", b"schm"):  # version 0 or 1, and no flags
+        return rest[:4] in (b"\0\0\0\0", b"\1\0\0\0")
+    return len(rest) == 8 and rest[:6] == bytes(6) and rest[6:] != bytes(2)  # a sample entry: reserved bytes and an index
+
+
 def _protected(content: bytes) -> bool:
-    """Whether a protection box with a plausible length before its name occurs."""
-    for box in PROTECTED_BOXES:
-        at = content.find(box)
-        while at >= 0:
-            size = int.from_bytes(content[max(0, at - 4) : at], "big")
-            if at >= 4 and 8 <= size <= len(content) - at + 4:
-                return True
-            at = content.find(box, at + 1)
+    """Whether the header of a protection box occurs."""
+    at = 0
+    while m := BOX.search(content, at):
+        if _plausible(int.from_bytes(m[1], "big"), m[2], m[3]):
+            return True
+        at = m.start() + 1
     return False
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions.columns import JOB_NAME, LINK, LONG_DIGITS, PRIVATE_WORDS, first_failure, fold, one_line, parse_time
+from loomfield.functions.columns import DRAFT_WORDS, ID_WORDS, JOB_NAME, LINK, LONG_DIGITS, first_failure, parse_time, similarity_key
 
 #: Names that say nothing, and states.
 GENERIC_CATEGORIES = ["misc", "other", "unknown", "general", ""]
@@ -15,7 +15,7 @@ PLACEHOLDER_TAGS = ["tag", "todo", "none", "n/a"]
 VERDICTS = ["confirmed", "rejected", "uncertain"]
 REPORT_WORDS = r"(?i)\b(cookie|signature|request[_ -]?url)\b"
 REPAIRABLE = ["duplicate_text", "short_section", "unreviewed_number", "timeline_gap"]
-PRIVACY = [("link", LINK), ("secret_word", PRIVATE_WORDS), ("job_name", JOB_NAME), ("long_digits", LONG_DIGITS)]
+PRIVACY = [("link", LINK), ("secret_word", DRAFT_WORDS), ("id_word", ID_WORDS), ("job_name", JOB_NAME), ("long_digits", LONG_DIGITS)]
 
 
 def _violations(df: DataFrame, *rules: tuple[Column, str, str]) -> DataFrame:
@@ -89,19 +89,23 @@ def quality_link_violations(payloads: DataFrame, coverage: DataFrame) -> DataFra
 
 
 def coverage_violations(df: DataFrame) -> DataFrame:
-    """Topics (job_id, topic, covered, destination) that are empty, repeated, or covered without being published."""
+    """Topics (job_id, topic, covered, destination) that are empty or repeated once normalised, or covered just if not published."""
+    keyed = df.withColumn("k", F.coalesce(similarity_key(F.col("topic")), F.lit("")))
     own = _violations(
-        df, (F.coalesce(one_line(F.col("topic")), F.lit("")) == "", "empty_topic", "coverage"),
-        (F.col("covered") != F.col("destination").eqNullSafe("published"), "destination_mismatch", "coverage"))
-    key = fold(one_line(F.col("topic")))
-    repeated = df.select("job_id", key.alias("k")).where("k <> ''").groupBy("job_id", "k").count().where("count > 1")
+        keyed, (F.col("k") == "", "empty_topic", "coverage"),
+        (F.col("covered") != ~F.col("destination").eqNullSafe("not_published"), "destination_mismatch", "coverage"))
+    repeated = keyed.where("k <> ''").groupBy("job_id", "k").count().where("count > 1")
     return own.union(repeated.select("job_id", F.lit("repeated_topic").alias("code"), F.lit("coverage").alias("path")).distinct())
 
 
 def duplicate_units(units: DataFrame, least: int = 16) -> DataFrame:
-    """job_id, units, times: texts (job_id, text) of at least so many characters that a job has twice once normalised."""
-    keyed = units.select("job_id", fold(F.regexp_replace("text", r"(?U)\s+", "")).alias("k")).where(F.length("k") >= least)
-    return keyed.groupBy("job_id", F.xxhash64("k").alias("h"), "k").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("job_id", "k", "times")
+    """job_id, k, times, sections of texts (job_id, section, text) of at least so many characters that a job has twice once normalised.
+
+    Sections of a job are compared with each other and within themselves.
+    """
+    keyed = units.select("job_id", "section", similarity_key(F.col("text")).alias("k")).where(F.length("k") >= least)
+    named = keyed.groupBy("job_id", F.xxhash64("k").alias("h"), "k").agg(F.count(F.lit(1)).alias("times"), F.array_join(F.array_sort(F.collect_set("section")), ",").alias("sections"))
+    return named.where("times > 1").select("job_id", "k", "times", "sections")
 
 
 def timeline_coverage(points: DataFrame, durations: DataFrame) -> DataFrame:
@@ -223,7 +227,7 @@ def acceptance_matrix(items: DataFrame, media: DataFrame, manifests: DataFrame,
         "high_quality": F.col("mode") == mode,
         "real_classification": (F.coalesce("category", F.lit("")) != "") & ~F.lower("category").isin(GENERIC_CATEGORIES) & (F.size(tags) >= 2)
         & ~F.arrays_overlap(F.transform(tags, lambda t: F.lower(t)), F.array(*map(F.lit, PLACEHOLDER_TAGS))),
-        "privacy": ~F.regexp_like(both, F.lit(REPORT_WORDS)) & ~F.regexp_like(both, F.lit(f"(?i){JOB_NAME}")),
+        "privacy": ~F.regexp_like(both, F.lit(REPORT_WORDS)) & ~F.regexp_like(both, F.lit(JOB_NAME)),
         "library": F.col("note").isNotNull(),
         "projection": F.col("projected").isNotNull(),
         "registry": F.col("status") == "completed",

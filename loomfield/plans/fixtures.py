@@ -48,8 +48,8 @@ VIEWS = {
         CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / 10 AS start_s,
         CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS DOUBLE) / 10 AS end_s,
         CAST((conv_id * 31 + turn * 17) % 100 AS DOUBLE) / 100 AS confidence FROM conversations""",
-    "v_screen": """SELECT conv_id AS job_id, turn AS frame_id, turn % 3 + 1 AS line, CAST(turn * 20 AS DOUBLE) AS t, substr(text, 1, 40) AS text,
-        CAST((conv_id * 13 + turn * 29) % 100 AS DOUBLE) / 100 AS confidence FROM conversations WHERE (conv_id + turn) % 4 <> 0""",
+    "v_screen": """SELECT conv_id AS job_id, turn AS frame_id, turn % 3 + 1 AS line, CAST(turn * 20 AS DOUBLE) AS t, text,
+        CAST((conv_id * 13 + turn * 29) % 100 AS DOUBLE) / 100 AS confidence FROM conversations""",
     "v_timeline": """SELECT user_id AS job_id, CASE event_type WHEN 'click' THEN 'asr' ELSE 'ocr' END AS source, event_id, EPOCH(ts) AS t, EPOCH(ts) + value AS t_end, value / 500.0 AS confidence
         FROM events WHERE event_type IN ('click', 'view')""",
     "v_spoken": "SELECT job_id, event_id AS segment_id, t AS start_s, t_end AS end_s, CAST(event_id AS STRING) AS text, confidence FROM v_timeline WHERE source = 'asr'",

@@ -16,12 +16,12 @@ def _v(name):
 segs, screen, entries, items = _v("v_segments"), _v("v_screen"), _v("v_entries"), _v("v_items")
 sagas, targets, reviews, stage_events, payload = _v("v_sagas"), _v("v_targets"), _v("v_reviews"), _v("v_stage_events"), _v("v_payload")
 
-#: The cleaning of a record in SQL; the documents have no look-around cases, so both engines agree.
-CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace({0}, '[|*_`#>]', ' ', 'g'), '(/(home|root|Users|mnt|tmp)/|[A-Za-z]:\\)\S+', '[path]', 'g'), '\s+', ' ', 'g'))"""
-PRIVATE = r"""(regexp_matches({0}, '(?i)\b(cookie|session|token|password|secret)\b') OR regexp_matches({0}, '(?i)https?://\S+'))"""
+#: The cleaning of a record in SQL; the documents have no words at whose edges the engines differ.
+CLEAN = r"""regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')), '([A-Za-z]:\\|/(Users|home)/)\S+', '[private-path-removed]', 'g')"""
+PRIVATE = r"""(regexp_matches({0}, '(?i)\b(cookie|session(id)?|signature|request[_ -]?url|authorization|chat(s|log)?|run\.log|registry)\b') OR regexp_matches({0}, '(?i)https?://\S+') OR regexp_matches({0}, '^[|:\-\s]+$'))"""
 LINES = """SELECT doc_id, i AS line_no, line FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> ''"""
 EVIDENCE = """SELECT job_id, 'asr' AS source, start_s AS t, NULL AS line, text FROM v_segments UNION ALL SELECT job_id, 'ocr', t, line, text FROM v_screen
-    UNION ALL SELECT job_id, 'timeline', end_s, NULL, role FROM v_segments UNION ALL SELECT job_id, 'summary', NULL, segment_id, substr(text, 1, 60) FROM v_segments WHERE segment_id < 2"""
+    UNION ALL SELECT job_id, 'timeline', end_s, NULL, role FROM v_segments UNION ALL SELECT job_id, 'summary', NULL, segment_id, text FROM v_segments WHERE role = 'assistant'"""
 ORDERED = f"""SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY coalesce(t, 'inf'::DOUBLE), CASE source WHEN 'asr' THEN 1 WHEN 'ocr' THEN 2 WHEN 'timeline' THEN 3 ELSE 4 END, coalesce(line, 0), text) AS i FROM ({EVIDENCE}) e"""
 
 
@@ -29,7 +29,7 @@ def _evidence(s, d):
     asr = sql(s, d, "SELECT job_id, start_s AS t, text FROM v_segments")
     ocr = sql(s, d, "SELECT job_id, t, line, text FROM v_screen")
     marks = sql(s, d, "SELECT job_id, end_s AS t, role AS text FROM v_segments")
-    summary = sql(s, d, "SELECT job_id, segment_id AS line, substr(text, 1, 60) AS text FROM v_segments WHERE segment_id < 2")
+    summary = sql(s, d, "SELECT job_id, segment_id AS line, text FROM v_segments WHERE role = 'assistant'")
     return evidence.evidence_records(asr, ocr, marks, summary)
 
 
@@ -38,14 +38,30 @@ def _lines(s, d):
 
 
 def _picked(s, d):
-    return evidence.select_evidence(evidence.coverage_order(_evidence(s, d)), 1500)
-
-
-PACK = f"""WITH ordered AS ({ORDERED}), r AS (SELECT job_id, i, strlen(text) + 1 AS n, text FROM ordered),
-    p AS (SELECT job_id, i, CAST(1 AS BIGINT) AS chunk, CAST(n AS BIGINT) AS used FROM r WHERE i = 1 UNION ALL
-        SELECT r.job_id, r.i, CASE WHEN p.used + r.n <= 2000 THEN p.chunk ELSE p.chunk + 1 END, CASE WHEN p.used + r.n <= 2000 THEN p.used + r.n ELSE r.n END FROM p JOIN r ON r.job_id = p.job_id AND r.i = p.i + 1),
-    g AS (SELECT p.job_id, p.chunk, min(p.i) AS first, max(p.i) AS last, count(*) AS records, CAST(sum(r.n) AS BIGINT) AS bytes, SHA(string_agg(r.text || chr(10), '' ORDER BY r.i)) AS sha256 FROM p JOIN r USING (job_id, i) GROUP BY 1, 2)
-    SELECT *, count(*) OVER (PARTITION BY job_id) AS chunks, CASE WHEN bytes > 2000 THEN 'oversize' END AS error FROM g"""
+    return evidence.select_evidence(_evidence(s, d), 1500).select("job_id", "class", "i")
+
+
+#: A record as JSON in SQL, its number, and the chunks: BYTES is the budget.
+RECORD = """'{' || concat_ws(',', '"line":' || line, '"source":"' || source || '"', '"t":' || t, '"text":' || CAST(to_json(text) AS VARCHAR)) || '}'"""
+BYTES = 4000
+CHUNK = """'{"job_ref":"' || job_id || '","chunk_index":' || chunk || ',"chunk_count":' || %s || ',"records":[' || %s || ']}' || chr(10)"""
+PACK = f"""WITH ordered AS ({ORDERED}), r AS (SELECT job_id, i, {RECORD} AS record, count(*) OVER (PARTITION BY job_id) AS most FROM ordered),
+    s AS (SELECT *, strlen(record) AS n, strlen({(CHUNK % ("most", "''")).replace("|| chunk ||", "|| '' ||")}) AS bare FROM r),
+    p AS (SELECT job_id, i, CAST(1 AS BIGINT) AS chunk, CAST(bare + 1 + n AS BIGINT) AS used FROM s WHERE i = 1 UNION ALL
+        SELECT s.job_id, s.i, CASE WHEN p.used + 1 + s.n <= {BYTES} THEN p.chunk ELSE p.chunk + 1 END, CASE WHEN p.used + 1 + s.n <= {BYTES} THEN p.used + 1 + s.n ELSE bare + strlen(CAST(p.chunk + 1 AS VARCHAR)) + s.n END
+        FROM p JOIN s ON s.job_id = p.job_id AND s.i = p.i + 1),
+    g AS (SELECT p.job_id, p.chunk, min(p.i) AS first, max(p.i) AS last, count(*) AS records, string_agg(s.record, ',' ORDER BY s.i) AS body FROM p JOIN s USING (job_id, i) GROUP BY 1, 2),
+    h AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS chunks FROM g), w AS (SELECT * REPLACE ({CHUNK % ("chunks", "body")} AS body) FROM h),
+    b AS (SELECT * EXCLUDE (body), strlen(body) AS bytes, SHA(body) AS sha256 FROM w)
+    SELECT *, CASE WHEN bytes > {BYTES} THEN 'oversize' END AS error FROM b"""
+
+#: Coverage order in SQL: the ends, then the middles of the gaps, level by level.
+VISITS = f"""WITH ordered AS ({ORDERED}), c AS (SELECT DISTINCT count(*) AS n FROM ordered GROUP BY job_id),
+    gaps AS (SELECT n, CAST(0 AS BIGINT) AS a, n - 1 AS b, 1 AS level FROM c UNION ALL
+        SELECT n, CASE side WHEN 0 THEN a ELSE (a + b) // 2 END, CASE side WHEN 0 THEN (a + b) // 2 ELSE b END, level + 1 FROM gaps, (VALUES (0), (1)) AS sides(side) WHERE b - a > 1),
+    places AS (SELECT n, (a + b) // 2 AS place, level, a FROM gaps WHERE b - a > 1 UNION ALL SELECT n, 0, -1, 0 FROM c UNION ALL SELECT n, n - 1, 0, 0 FROM c WHERE n > 1),
+    v AS (SELECT n, place, row_number() OVER (PARTITION BY n ORDER BY level, a) - 1 AS visit FROM places)
+    SELECT job_id, i, visit FROM (SELECT *, count(*) OVER (PARTITION BY job_id) AS n FROM ordered) o JOIN v ON o.n = v.n AND o.i = v.place + 1"""
 
 BITS = """SELECT job_id, frame_id, t, list_transform(vec, lambda x: x >= list_sum(vec) / len(vec)) AS b FROM v_frames"""
 
@@ -62,12 +78,40 @@ def _selected(s, d):
     return sql(s, d, "SELECT job_id, t FROM v_frames WHERE frame_id % 3 = 0")
 
 
+#: What the packets of E-12 hold: records by number and source, two files of each job, and frames.
+LISTS = {"timeline": "source = 'timeline'", "facts": "source = 'ocr' AND i % 3 = 1", "passages": "source <> 'timeline' AND i % 3 = 2"}
+HASHES = """SELECT DISTINCT job_id, name, concat(name, '.json') AS file, job_id % 1000 AS size_bytes, SHA(concat(name, CAST(job_id AS STRING))) AS sha256
+    FROM v_segments, (VALUES ('ocr'), ('transcript')) AS files(name)"""
+SHOWN = "SELECT DISTINCT job_id, frame_id AS frame_index, concat('f', CAST(frame_id AS STRING)) AS file, frame_id * 20 AS timestamp_s, frame_id % 7 AS size_bytes, SHA(CAST(frame_id AS STRING)) AS sha256 FROM v_screen"
+
+
+def _listed(s, d):
+    parts = [_evidence(s, d).where(w).select("job_id", F.lit(n).alias("class"), F.col("i").alias("place"), "text") for n, w in LISTS.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+def _facts(s, d):
+    pairs = [F.lit("engine"), F.concat(F.lit("e"), (F.col("job_id") % 3).cast("string")), F.lit("turns"), (F.col("job_id") % 5).cast("string")]
+    return segs(s, d).select("job_id").distinct().select("job_id", F.create_map(*pairs).alias("facts"))
+
+
+SCORED = """SELECT job_id, frame_id, t, CASE WHEN p IS NULL THEN 1.0 ELSE round(list_sum(list_transform(list_zip(vec, p), lambda z: abs(z[1] - z[2]))) / len(vec), 6) END AS scene_score
+        FROM (SELECT *, lag(vec) OVER (PARTITION BY job_id ORDER BY t, frame_id) AS p FROM v_frames) t"""
+#: The candidates and the even choice in SQL, frame by frame and target by target.
+OBSERVED = f"SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, frame_id) AS i, count(*) OVER (PARTITION BY job_id) AS n, least(15.0, greatest(0.2, max(t) OVER (PARTITION BY job_id) / 4)) AS step FROM ({SCORED}) q"
+SAMPLED = f"""WITH o AS ({OBSERVED}), p AS (SELECT job_id, i, CASE WHEN t + step >= step THEN t ELSE -step END AS covered, true AS kept FROM o WHERE i = 1 UNION ALL
+    SELECT o.job_id, o.i, CASE WHEN o.t - p.covered >= o.step THEN o.t ELSE p.covered END, o.i = o.n OR scene_score >= 0.155 OR o.t - p.covered >= o.step FROM p JOIN o ON o.job_id = p.job_id AND o.i = p.i + 1)
+    SELECT o.job_id, frame_id, t, scene_score, CASE WHEN o.i = 1 THEN 'first' WHEN o.i = n THEN 'tail' WHEN scene_score >= 0.155 THEN 'scene_change' ELSE 'coverage' END AS reason FROM o JOIN p USING (job_id, i) WHERE kept"""
+EVENLY = f"""WITH o AS ({OBSERVED}), m AS (SELECT job_id, min(t) AS a, greatest(max(t) - min(t), 1.0) AS span FROM o GROUP BY 1),
+    p AS (SELECT job_id, 1 AS k, [CAST(1 AS BIGINT)] AS chosen FROM m UNION ALL SELECT o.job_id, p.k + 1, list_append(any_value(p.chosen), arg_min(o.i, row(abs(o.t - (a + span * p.k / 7)) / span - 0.05 * least(1.0, greatest(0.0, scene_score)), o.i)))
+        FROM p JOIN o ON o.job_id = p.job_id JOIN m ON m.job_id = p.job_id WHERE p.k < 7 AND o.i > 1 AND o.i < o.n AND NOT list_contains(p.chosen, o.i) GROUP BY o.job_id, p.k)
+    SELECT o.job_id, o.frame_id, o.t FROM o JOIN (SELECT * FROM p WHERE k = 7) p ON o.job_id = p.job_id WHERE n <= 8 OR i = n OR list_contains(chosen, i)"""
 META = "SELECT job_id, max(t) + 2 AS duration_s, count(*) AS sampled FROM v_frames GROUP BY job_id"
 UNITS = "SELECT doc_id AS job_id, text FROM documents"
 REFS = "SELECT page_id AS ref_id, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages WHERE page_id % 2 = 0"
-COVERAGE = """SELECT user_id AS job_id, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE concat('Topic ', CAST(event_id % 40 AS STRING)) END AS topic, event_id % 2 = 0 AS covered,
-    CASE WHEN event_id % 3 = 0 THEN 'published' ELSE 'draft' END AS destination FROM events"""
-FRAME_REFS = """SELECT user_id AS job_id, event_id % 30 AS frame_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 6 END AS step, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'c' END AS caption FROM events WHERE event_id % 7 = 0"""
+COVERAGE = """SELECT user_id AS job_id, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE concat(CASE WHEN event_id % 4 = 0 THEN 'Topic ' ELSE 'TOPIC-' END, CAST(event_id % 40 AS STRING)) END AS topic, event_id % 2 = 0 AS covered,
+    CASE WHEN event_id % 3 = 0 THEN 'summary' ELSE 'not_published' END AS destination FROM events"""
+FRAME_REFS = """SELECT user_id AS job_id, event_id % 30 AS frame_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 6 END AS step, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'c' END AS caption FROM events"""
 KNOWN_FRAMES = "SELECT DISTINCT user_id AS job_id, event_id % 30 AS frame_id FROM events WHERE event_id % 3 <> 0"
 STEPS = "SELECT DISTINCT user_id AS job_id, event_id % 6 AS step FROM events WHERE event_id % 6 < 5"
 LINKS = "SELECT page_id AS ref_id, CASE WHEN page_id % 10 = 0 THEN '../x' WHEN page_id % 15 = 1 THEN '/abs' ELSE concat('p/', CAST(page_id % 200 AS STRING)) END AS target FROM pages"
@@ -199,26 +243,39 @@ def _violations(s, d):
 
 
 TESTS: dict = {
-    "E-1": (lambda s, d: evidence.clean_records(sql(s, d, "SELECT doc_id, text FROM documents")), f"""SELECT doc_id, left(c, 800) AS text, length(c) > 800 AS truncated FROM (SELECT doc_id, {CLEAN.format('text')} AS c FROM documents) t WHERE c <> '' AND NOT {PRIVATE.format('c')}"""),
-    "E-2": (lambda s, d: evidence.fragment(view(s, d, "documents"), "doc_id"), f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part, left(c, 800) AS text FROM (SELECT doc_id, i, {CLEAN.format('substr(text, i * 600 + 1, 600)')} AS c
+    "E-1": (lambda s, d: evidence.clean_records(sql(s, d, "SELECT doc_id, text FROM documents")), f"""SELECT doc_id, trim(left(c, 800)) AS text, length(c) > 800 AS truncated FROM (SELECT doc_id, {CLEAN.format('text')} AS c FROM documents) t WHERE c <> '' AND NOT {PRIVATE.format('c')}"""),
+    "E-2": (lambda s, d: evidence.fragment(view(s, d, "documents"), "doc_id"), f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part, trim(left(c, 800)) AS text FROM (SELECT doc_id, i, {CLEAN.format('substr(text, i * 600 + 1, 600)')} AS c
         FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 600.0) AS BIGINT)))) AS i FROM documents)) t WHERE c <> '' AND NOT {PRIVATE.format('c')}"""),
     "E-3": (lambda s, d: evidence.dedup_lines(_lines(s, d), "doc_id"), f"""SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY line_no) AS r FROM (SELECT *, lower(replace(regexp_replace(line, '[\\s|*_`#>-]+', '', 'g'), 'ß', 'ss')) AS k FROM ({LINES}) l) m WHERE k <> '') q WHERE r = 1"""),
     "E-4": (_evidence, ORDERED),
     "E-5": (lambda s, d: evidence.evidence_counts(_evidence(s, d), sql(s, d, "SELECT job_id, segment_id AS omitted FROM v_segments")), f"""SELECT job_id, coalesce(asr, 0) AS asr, coalesce(ocr, 0) AS ocr, coalesce(timeline, 0) AS timeline, coalesce(summary, 0) AS summary, coalesce(omitted, 0) AS omitted FROM
         (SELECT job_id, count(*) FILTER (source = 'asr') AS asr, count(*) FILTER (source = 'ocr') AS ocr, count(*) FILTER (source = 'timeline') AS timeline, count(*) FILTER (source = 'summary') AS summary FROM ({EVIDENCE}) e GROUP BY 1) a
         FULL OUTER JOIN (SELECT job_id, CAST(sum(segment_id) AS BIGINT) AS omitted FROM v_segments GROUP BY 1) b USING (job_id)"""),
-    "E-6": (lambda s, d: evidence.pack_chunks(_evidence(s, d), 2000), PACK),
-    "E-7": (lambda s, d: evidence.coverage_order(_evidence(s, d)).select("job_id", "i", "visit"), None),
-    "E-8": (lambda s, d: evidence.fact_records(view(s, d, "documents")).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]|(^|[^\p{L}\p{N}_])[A-Z]{2,}($|[^\p{L}\p{N}_])')"),
+    "E-6": (lambda s, d: evidence.pack_chunks(_evidence(s, d), BYTES), PACK),
+    "E-7": (lambda s, d: evidence.coverage_order(_evidence(s, d)).select("job_id", "i", "visit"), VISITS),
+    "E-8": (lambda s, d: evidence.fact_records(view(s, d, "documents")).select("doc_id"), r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\p{Nd}|(^|[^\p{L}\p{N}_])[A-Z]([A-Z0-9-]*[A-Z0-9]($|[^\p{L}\p{N}_])|[A-Z0-9-]*-[\p{L}\p{N}_])')"),
     "E-9": (_picked, None),
     "E-10": (lambda s, d: evidence.source_coverage(_evidence(s, d).withColumn("truncated", F.length("text") > 50), _evidence(s, d).where("i % 3 = 1")), f"""WITH ordered AS ({ORDERED}) SELECT job_id, source, count(*) AS total, count(*) FILTER (i % 3 = 1) AS included, count(*) FILTER (length(text) > 50) AS truncated,
         arg_min(i % 3 = 1, i) AS first_included, arg_max(i % 3 = 1, i) AS last_included FROM ordered GROUP BY 1, 2"""),
     "E-11": (lambda s, d: evidence.manifest_facts(sql(s, d, JSONS), ["title", "kind", "score", "tags"]).select("job_id", F.col("facts")["kind"].alias("kind"), F.col("facts")["score"].alias("score")), f"SELECT job_id, json_extract_string(json, '$.kind') AS kind, json_extract_string(json, '$.score') AS score FROM ({JSONS}) t"),
-    "E-12": (lambda s, d: evidence.build_packets(_evidence(s, d).where("source = 'asr'")).select("job_id", "tokens", "bytes"), None),
-    "E-13": (lambda s, d: evidence.bundle_manifest(evidence.pack_chunks(_evidence(s, d), 2000), screen(s, d)).select("job_id", "chunk_count", "records", "complete"), PACK.replace("SELECT *, count(*) OVER (PARTITION BY job_id) AS chunks, CASE WHEN bytes > 2000 THEN 'oversize' END AS error FROM g",
-        "SELECT job_id, count(*) AS chunk_count, CAST(sum(records) AS BIGINT) AS records, bool_and(bytes <= 2000) AND job_id IN (SELECT job_id FROM v_screen) AS complete FROM g GROUP BY job_id")),
-    "E-14": (lambda s, d: evidence.redacted(sql(s, d, "SELECT doc_id, text FROM documents"), "text"), r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\S+', '[link]', 'g'), '(?i)\b(token|cookie|session|password|secret)\s*[=:]\s*[^\s,;]+', '\1=[secret]', 'g'), '\bitem-[0-9a-f]{20}\b', '[job]', 'g'),
-        '(^|[^0-9])[0-9]{15,24}($|[^0-9])', '\1[id]\2', 'g'), '(^|[^0-9])[0-9]{15,24}($|[^0-9])', '\1[id]\2', 'g') AS text FROM documents"""),
+    "E-12": (
+        lambda s, d: evidence.build_packets(_listed(s, d), evidence.source_coverage(_evidence(s, d).withColumn("truncated", F.length("text") > 50), _evidence(s, d).where("i % 3 = 1")), _facts(s, d), sql(s, d, HASHES), sql(s, d, SHOWN), 40000),
+        f"""WITH ordered AS ({ORDERED}), e AS (SELECT job_id, {', '.join(f"coalesce(string_agg(CAST(to_json(text) AS VARCHAR), ',' ORDER BY i) FILTER ({w}), '') AS {n}" for n, w in LISTS.items())} FROM ordered GROUP BY 1),
+        c AS (SELECT job_id, string_agg('{{"source":"' || source || '","first_included":' || a || ',"included":' || k || ',"last_included":' || z || ',"total":' || n || ',"truncated":' || x || '}}', ',' ORDER BY source) AS c FROM
+            (SELECT job_id, source, count(*) AS n, count(*) FILTER (i % 3 = 1) AS k, count(*) FILTER (length(text) > 50) AS x, arg_min(i % 3 = 1, i) AS a, arg_max(i % 3 = 1, i) AS z FROM ordered GROUP BY 1, 2) q GROUP BY 1),
+        h AS (SELECT job_id, string_agg('{{"name":"' || name || '","file":"' || file || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || '}}', ',' ORDER BY name) AS h FROM ({HASHES}) t GROUP BY 1),
+        f AS (SELECT job_id, string_agg('{{"frame_index":' || frame_index || ',"file":"' || file || '","sha256":"' || sha256 || '","size_bytes":' || size_bytes || ',"timestamp_s":' || timestamp_s || '}}', ',' ORDER BY frame_index) AS f FROM ({SHOWN}) t GROUP BY 1),
+        j AS (SELECT e.job_id, '{{"evidence":{{"key_passages":[' || passages || '],"numeric_and_proper_nouns":[' || facts || '],"timeline":[' || timeline || ']}},"job_ref":"' || e.job_id || '","limits":{{"max_bytes":40000}},"manifest_facts":{{"engine":"e' || e.job_id % 3
+            || '","turns":"' || e.job_id % 5 || '"}},"schema_version":1,"selected_keyframes":' || coalesce('[' || f || ']', 'null') || ',"source_coverage":[' || c || '],"source_file_hashes":[' || h || ']}}' AS json FROM e LEFT JOIN c USING (job_id) LEFT JOIN h USING (job_id) LEFT JOIN f USING (job_id))
+        SELECT job_id, json, strlen(json) AS bytes, CAST(ceil(length(json) / 4.0) AS BIGINT) AS tokens, SHA(json) AS sha256, CASE WHEN strlen(json) > 40000 THEN 'over_budget' END AS error FROM j""",
+    ),
+    "E-13": (
+        lambda s, d: evidence.bundle_manifest(evidence.pack_chunks(_evidence(s, d), BYTES), screen(s, d)).select("job_id", "chunk_count", "records", "complete"),
+        PACK.replace(f"SELECT *, CASE WHEN bytes > {BYTES} THEN 'oversize' END AS error FROM b", f"""SELECT job_id, count(*) AS chunk_count, CAST(sum(records) AS BIGINT) AS records,
+        bool_and(bytes <= {BYTES}) AND job_id IN (SELECT job_id FROM v_screen) AS complete FROM b GROUP BY job_id"""),
+    ),
+    "E-14": (lambda s, d: evidence.redacted(sql(s, d, "SELECT doc_id, text FROM documents"), "text"), r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)https?://\S+', '[REDACTED_URL]', 'g'), '(?i)\b(cookie|session|signature|token)\b\s*[=:]\s*\S+', '\1=[REDACTED]', 'g'),
+        '(?i)\bitem-[0-9a-f]{20}\b', '[REDACTED_JOB]', 'g'), '\b[0-9]{15,24}\b', '[REDACTED_ID]', 'g') AS text FROM documents"""),
     "E-15": (lambda s, d: evidence.extractive_digest(segs(s, d)).select("job_id", "short", "long", F.array_join("leads", "|").alias("leads")), """WITH j AS (SELECT job_id, string_agg(text, ' ' ORDER BY start_s, segment_id, text) AS t, list(text ORDER BY start_s, segment_id, text) AS a FROM v_segments GROUP BY 1)
         SELECT job_id, CASE WHEN length(t) > 140 THEN left(t, 140) || '…' ELSE t END AS short, CASE WHEN length(t) > 600 THEN left(t, 600) || '…' ELSE t END AS long, array_to_string(a[1:5], '|') AS leads FROM j"""),
     "E-16": (lambda s, d: evidence.read_progress(sql(s, d, "SELECT user_id AS job_id, concat('h', CAST(event_id % 20 AS STRING)) AS handle FROM events"), sql(s, d, "SELECT user_id AS job_id, concat('h', CAST(event_id % 20 AS STRING)) AS handle FROM events WHERE value > 60")).select("job_id", "required", "read", F.array_join("missing", ",").alias("missing")),
@@ -226,13 +283,12 @@ TESTS: dict = {
         LEFT JOIN (SELECT DISTINCT user_id AS job_id, concat('h', CAST(event_id % 20 AS STRING)) AS handle FROM events WHERE value > 60) r ON q.job_id = r.job_id AND q.handle = r.handle GROUP BY 1"""),
     "K-1": (lambda s, d: _signed(s, d).select("job_id", "frame_id", F.lpad(F.conv(F.hex(F.col("signature")[0]), 16, 2), 64, "0").alias("bits")), f"SELECT job_id, frame_id, array_to_string(list_transform(b, lambda x: CASE WHEN x THEN '1' ELSE '0' END), '') AS bits FROM ({BITS}) t"),
     "K-2": (lambda s, d: _neighbours(s, d), f"""WITH b AS ({BITS}) SELECT x.job_id, x.frame_id AS a, y.frame_id AS b, round(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0, 6) AS ratio FROM b x JOIN b y ON x.job_id = y.job_id AND y.t = x.t + 5"""),
-    "K-3": (lambda s, d: _scored(s, d).select("job_id", "frame_id", "scene_score"), """SELECT job_id, frame_id, CASE WHEN p IS NULL THEN 1.0 ELSE round(list_sum(list_transform(list_zip(vec, p), lambda z: abs(z[1] - z[2]))) / len(vec), 6) END AS scene_score
-        FROM (SELECT *, lag(vec) OVER (PARTITION BY job_id ORDER BY t, frame_id) AS p FROM v_frames) t"""),
-    "K-4": (lambda s, d: frames.frame_candidates(_scored(s, d)), None),
-    "K-5": (lambda s, d: frames.select_frames(_scored(s, d).join(_signed(s, d).select("job_id", "frame_id", "signature"), ["job_id", "frame_id"]), most=12, apart=0.3).where("reason IN ('end', 'coverage')"), None),
-    "K-6": (lambda s, d: frames.select_frames(_scored(s, d).join(_signed(s, d).select("job_id", "frame_id", "signature"), ["job_id", "frame_id"]), most=12, apart=0.3), None),
+    "K-3": (lambda s, d: _scored(s, d).select("job_id", "frame_id", "scene_score"), f"SELECT job_id, frame_id, scene_score FROM ({SCORED}) q"),
+    "K-4": (lambda s, d: frames.frame_candidates(_scored(s, d), threshold=0.155), SAMPLED),
+    "K-5": (lambda s, d: frames.select_frames(_candidates(s, d), most=12, apart=0.3).where("reason IN ('first', 'tail', 'coverage')"), None),
+    "K-6": (lambda s, d: frames.select_frames(_candidates(s, d), most=12, apart=0.3), None),
     "K-7": (lambda s, d: frames.nearest_distance(_signed(s, d)), f"""WITH b AS ({BITS}) SELECT x.job_id, x.frame_id, CASE WHEN count(y.t) = 0 THEN 1.0 ELSE round(min(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0), 6) END AS nearest FROM b x LEFT JOIN b y ON x.job_id = y.job_id AND y.t < x.t GROUP BY 1, 2"""),
-    "K-8": (lambda s, d: frames.pick_k(_scored(s, d), 8), None),
+    "K-8": (lambda s, d: frames.pick_k(_scored(s, d), 8), EVENLY),
     "K-9": (lambda s, d: frames.frame_coverage(_selected(s, d), sql(s, d, META)), f"""WITH m AS ({META}), s AS (SELECT job_id, t, t - lag(t, 1, 0.0) OVER (PARTITION BY job_id ORDER BY t) AS gap FROM v_frames WHERE frame_id % 3 = 0), p AS (SELECT job_id, count(*) AS n, max(gap) AS gap, min(t) AS lo, max(t) AS hi FROM s GROUP BY 1)
         SELECT job_id, coalesce(n, 0) AS frames, round(greatest(gap, duration_s - hi, 0.0), 3) AS max_gap, round(greatest(0.0, duration_s - hi), 3) AS tail_gap, round(CASE WHEN duration_s > 0 THEN (hi - lo) / duration_s END, 6) AS span_ratio,
         coalesce(greatest(0.0, duration_s - hi) <= 0.5, false) AS reached_end, sampled - coalesce(n, 0) AS omitted FROM m LEFT JOIN p USING (job_id)"""),
@@ -240,30 +296,39 @@ TESTS: dict = {
     "Q-1": (lambda s, d: quality.schema_violations(sql(s, d, JSONS), RULES), """SELECT * FROM (SELECT page_id AS job_id, 'min_length' AS code, 'title' AS path FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'enum', 'kind' FROM pages WHERE page_id % 5 = 0
         UNION ALL SELECT page_id, 'unique_items', 'tags' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'maximum', 'score' FROM pages WHERE page_id % 20 > 15 UNION ALL SELECT page_id, 'required', 'lang' FROM pages
         UNION ALL SELECT page_id, 'unknown_field', 'odd' FROM pages WHERE page_id % 11 = 0) t"""),
-    "Q-2": (lambda s, d: quality.privacy_violations(payload(s, d), "body"), r"""SELECT job_id, code, 'body' AS path FROM (SELECT job_id, body, unnest(['link', 'secret_word', 'job_name', 'long_digits']) AS code FROM v_payload) t WHERE CASE code WHEN 'link' THEN regexp_matches(body, '(?i)https?://\S+')
-        WHEN 'secret_word' THEN regexp_matches(body, '(?i)\b(cookie|session|token|password|secret)\b') WHEN 'job_name' THEN regexp_matches(body, '\bitem-[0-9a-f]{20}\b') ELSE regexp_matches(body, '(^|[^0-9])[0-9]{15,24}($|[^0-9])') END"""),
+    "Q-2": (lambda s, d: quality.privacy_violations(payload(s, d), "body"), r"""SELECT job_id, code, 'body' AS path FROM (SELECT job_id, body, unnest(['link', 'secret_word', 'id_word', 'job_name', 'long_digits']) AS code FROM v_payload) t WHERE CASE code WHEN 'link' THEN regexp_matches(body, '(?i)https?://\S+')
+        WHEN 'secret_word' THEN regexp_matches(body, '(?i)\b(cookie|sessionid?|signature|request[_ -]?url)\b') WHEN 'id_word' THEN regexp_matches(body, '(?i)\b(job|source|item)[_ -]?id\b') WHEN 'job_name' THEN regexp_matches(body, '(?i)\bitem-[0-9a-f]{20}\b')
+        ELSE regexp_matches(body, '(^|[^0-9])[0-9]{15,24}($|[^0-9])') END"""),
     "Q-3": (lambda s, d: quality.taxonomy_violations(sql(s, d, TAXONOMY)), """SELECT job_id, 'generic_category' AS code, 'category' AS path FROM v_payload WHERE tag2 = 'src3' UNION ALL SELECT job_id, 'too_few_tags', 'tags' FROM v_payload WHERE job_id % 5 = 0
         UNION ALL SELECT job_id, 'placeholder_tag', 'tags' FROM v_payload WHERE job_id % 5 <> 0 AND job_id % 7 = 0"""),
     "Q-4": (lambda s, d: quality.review_violations(payload(s, d)), """SELECT job_id, 'unresolved_without_pending' AS code, 'pending' AS path FROM v_payload WHERE unresolved_count > 0 AND pending_count = 0 UNION ALL SELECT job_id, 'pending_without_unresolved', 'unresolved' FROM v_payload WHERE unresolved_count = 0 AND pending_count > 0
         UNION ALL SELECT job_id, 'status_mismatch', 'review_status' FROM v_payload WHERE (review_status = 'needs_review') <> (pending_count > 0)"""),
     "Q-5": (lambda s, d: quality.quality_link_violations(payload(s, d), sql(s, d, OCR_STATE)), "SELECT job_id, 'review_required' AS code, 'review_status' AS path FROM v_payload WHERE job_id % 3 = 0 AND review_status <> 'needs_review'"),
-    "Q-6": (lambda s, d: quality.coverage_violations(sql(s, d, COVERAGE)), f"""SELECT job_id, 'empty_topic' AS code, 'coverage' AS path FROM ({COVERAGE}) a WHERE trim(topic) = '' UNION ALL SELECT job_id, 'destination_mismatch', 'coverage' FROM ({COVERAGE}) b WHERE covered <> (destination = 'published')
-        UNION ALL SELECT DISTINCT job_id, 'repeated_topic', 'coverage' FROM (SELECT job_id, lower(trim(topic)) AS k FROM ({COVERAGE}) c WHERE trim(topic) <> '' GROUP BY 1, 2 HAVING count(*) > 1) q"""),
-    "Q-7": (lambda s, d: quality.duplicate_units(_lines(s, d).select(F.col("doc_id").alias("job_id"), F.col("line").alias("text"))), f"""SELECT doc_id AS job_id, k, count(*) AS times FROM (SELECT doc_id, lower(replace(regexp_replace(line, '\\s+', '', 'g'), 'ß', 'ss')) AS k FROM ({LINES}) l) t WHERE length(k) >= 16 GROUP BY 1, 2 HAVING count(*) > 1"""),
+    "Q-6": (
+        lambda s, d: quality.coverage_violations(sql(s, d, COVERAGE)),
+        f"""WITH c AS (SELECT *, regexp_replace(lower(topic), '[^0-9a-z]+', '', 'g') AS k FROM ({COVERAGE}) a) SELECT job_id, 'empty_topic' AS code, 'coverage' AS path FROM c WHERE k = ''
+        UNION ALL SELECT job_id, 'destination_mismatch', 'coverage' FROM c WHERE covered <> (destination <> 'not_published')
+        UNION ALL SELECT DISTINCT job_id, 'repeated_topic', 'coverage' FROM (SELECT job_id FROM c WHERE k <> '' GROUP BY job_id, k HAVING count(*) > 1) q""",
+    ),
+    "Q-7": (
+        lambda s, d: quality.duplicate_units(_lines(s, d).select(F.col("doc_id").alias("job_id"), F.concat(F.lit("s"), F.col("line_no") % 3).alias("section"), F.col("line").alias("text"))),
+        f"""SELECT doc_id AS job_id, k, count(*) AS times, string_agg(DISTINCT section, ',' ORDER BY section) AS sections FROM (SELECT doc_id, 's' || line_no % 3 AS section, regexp_replace(lower(replace(replace(replace(line, 'ß', 'ss'), 'ª', 'a'), 'º', 'o')), '[^0-9a-z一-鿿]+', '', 'g') AS k FROM ({LINES}) l) t
+        WHERE length(k) >= 16 GROUP BY 1, 2 HAVING count(*) > 1""",
+    ),
     "Q-8": (lambda s, d: quality.timeline_coverage(sql(s, d, "SELECT job_id, start_s AS t FROM v_segments WHERE segment_id > 0"), sql(s, d, "SELECT job_id, max(end_s) AS duration_s FROM v_segments GROUP BY job_id")), """SELECT job_id, min(start_s) <= greatest(30.0, 0.15 * any_value(d)) AS first_ok, bool_or(start_s BETWEEN 0.2 * d AND 0.8 * d) AS middle_ok, max(start_s) >= 0.8 * any_value(d) AS last_ok
         FROM (SELECT *, max(end_s) OVER (PARTITION BY job_id) AS d FROM v_segments) t WHERE segment_id > 0 GROUP BY 1"""),
     "Q-9": (lambda s, d: quality.resolve_related(sql(s, d, REFS), entries(s, d).where("entry_ref % 5 <> 0")), f"""SELECT ref_id, r.title, CASE WHEN n = 1 THEN e END AS entry_ref, CASE WHEN n IS NULL THEN 'unknown_title' WHEN n > 1 THEN 'ambiguous_title' ELSE 'ok' END AS code FROM ({REFS}) r
         LEFT JOIN (SELECT title, count(*) AS n, min(entry_ref) AS e FROM v_entries WHERE entry_ref % 5 <> 0 GROUP BY 1) c ON r.title = c.title"""),
     "Q-10": (lambda s, d: quality.visual_violations(sql(s, d, FRAME_REFS), sql(s, d, KNOWN_FRAMES), sql(s, d, STEPS)), f"""WITH r AS ({FRAME_REFS}), f AS ({KNOWN_FRAMES}), s AS ({STEPS}) SELECT job_id, 'unknown_frame' AS code, 'visuals' AS path FROM r ANTI JOIN f USING (job_id, frame_id) UNION ALL SELECT job_id, 'half_placed', 'visuals' FROM r WHERE (step IS NULL) <> (caption IS NULL)
         UNION ALL SELECT job_id, 'unknown_step', 'visuals' FROM (SELECT * FROM r WHERE step IS NOT NULL) r ANTI JOIN s USING (job_id, step) UNION ALL SELECT job_id, 'repeated_frame', 'visuals' FROM r GROUP BY job_id, frame_id HAVING count(*) > 1"""),
-    "Q-11": (lambda s, d: quality.section_violations(sql(s, d, "SELECT doc_id AS job_id, 'Title' AS title, concat('# ', CASE WHEN doc_id % 3 = 0 THEN 'Other' ELSE 'Title' END, chr(10), '## Summary', chr(10), CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE left(replace(text, chr(10), ' '), 700) END, chr(10), '## Steps', chr(10), 'one two three') AS text FROM documents"), ["Summary", "Steps"]),
-        """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE left(replace(text, chr(10), ' '), 700) END AS s, CASE WHEN doc_id % 3 = 0 THEN 'Other' ELSE 'Title' END AS h FROM documents)
+    "Q-11": (lambda s, d: quality.section_violations(sql(s, d, "SELECT doc_id AS job_id, 'Title' AS title, concat('# ', CASE WHEN doc_id % 3 = 0 THEN 'Other' ELSE 'Title' END, chr(10), '## Summary', chr(10), CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE replace(text, chr(10), ' ') END, chr(10), '## Steps', chr(10), 'one two three') AS text FROM documents"), ["Summary", "Steps"]),
+        """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE replace(text, chr(10), ' ') END AS s, CASE WHEN doc_id % 3 = 0 THEN 'Other' ELSE 'Title' END AS h FROM documents)
         SELECT doc_id AS job_id, 'short_section' AS code, 'Summary' AS path FROM t WHERE length(trim(s)) < 8 UNION ALL SELECT doc_id, 'short_body', '' FROM t WHERE length(h) + length(s) + 38 < 600 UNION ALL SELECT doc_id, 'title_mismatch', 'title' FROM t WHERE h <> 'Title'"""),
     "Q-12": (lambda s, d: quality.number_tokens(view(s, d, "documents"), "doc_id", "text", sql(s, d, "SELECT doc_id, '4' AS token FROM documents")), f"SELECT * FROM ({TOKENS}) t WHERE token <> '4'"),
     "Q-13": (lambda s, d: quality.broken_links(sql(s, d, LINKS), sql(s, d, PATHS)), f"""SELECT * FROM (SELECT ref_id, CASE WHEN target LIKE '/%' OR target LIKE '../%' THEN 'outside_root' WHEN path IS NULL THEN 'missing_target' END AS code FROM ({LINKS}) l LEFT JOIN ({PATHS}) p ON l.target = p.path) t WHERE code IS NOT NULL"""),
     "Q-14": (lambda s, d: quality.draft_verdicts(payload(s, d), _violations(s, d), GATES), r"""SELECT job_id, CASE WHEN unresolved_count > 0 AND pending_count = 0 THEN 'unresolved_without_pending' WHEN (review_status = 'needs_review') <> (pending_count > 0) THEN 'status_mismatch'
-        WHEN regexp_matches(body, '(^|[^0-9])[0-9]{15,24}($|[^0-9])') THEN 'long_digits' WHEN regexp_matches(body, '\bitem-[0-9a-f]{20}\b') THEN 'job_name' WHEN regexp_matches(body, '(?i)https?://\S+') THEN 'link'
-        WHEN unresolved_count = 0 AND pending_count > 0 THEN 'pending_without_unresolved' WHEN regexp_matches(body, '(?i)\b(cookie|session|token|password|secret)\b') THEN 'secret_word' ELSE 'ok' END AS verdict FROM v_payload"""),
+        WHEN regexp_matches(body, '(^|[^0-9])[0-9]{15,24}($|[^0-9])') THEN 'long_digits' WHEN regexp_matches(body, '(?i)\b(job|source|item)[_ -]?id\b') THEN 'id_word' WHEN regexp_matches(body, '(?i)\bitem-[0-9a-f]{20}\b') THEN 'job_name' WHEN regexp_matches(body, '(?i)https?://\S+') THEN 'link'
+        WHEN unresolved_count = 0 AND pending_count > 0 THEN 'pending_without_unresolved' WHEN regexp_matches(body, '(?i)\b(cookie|sessionid?|signature|request[_ -]?url)\b') THEN 'secret_word' ELSE 'ok' END AS verdict FROM v_payload"""),
     "Q-15": (lambda s, d: quality.render_documents(_rendered(s, d), ["Summary"]), """WITH j AS (SELECT job_id, any_value(concat('Conversation ', CAST(job_id AS STRING))) AS title, list(text ORDER BY segment_id) AS a FROM v_segments GROUP BY 1)
         SELECT job_id, '# ' || title || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- ' || array_to_string(a, chr(10) || '- ') || chr(10) || chr(10) || '## Steps' || chr(10) || chr(10) || '1. ' || a[1] || chr(10) || '   > ' || title || chr(10) AS document FROM j"""),
     "Q-16": (lambda s, d: quality.admit_candidates(sql(s, d, CANDS), sql(s, d, PACKETS), sql(s, d, CURRENT), sql(s, d, DECIDED)), f"""SELECT c.job_id, CASE WHEN p.sha256 IS NULL THEN 'unknown_job' WHEN version <> 1 THEN 'bad_version' WHEN c.packet_sha256 <> p.sha256 THEN 'stale_packet' WHEN u.candidate_sha256 IS NULL THEN 'admitted'
@@ -399,6 +464,10 @@ TESTS: dict = {
 }
 
 
+def _candidates(s, d):
+    return frames.frame_candidates(_scored(s, d), threshold=0.155).join(_signed(s, d).select("job_id", "frame_id", "signature"), ["job_id", "frame_id"])
+
+
 def _neighbours(s, d):
     a = _signed(s, d)
     b = a.select("job_id", F.col("frame_id").alias("b"), (F.col("t") - 5).alias("t"), F.col("signature").alias("sb"))

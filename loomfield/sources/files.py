@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 PAGE = "status_code int, items array<struct<id:string,alt_id:string,title:string,author:string,duration_ms:long,width:int,height:int,media_sha256:string>>, cursor string, next_cursor string, has_more boolean, snapshot_id string, page_seq long"
 #: The extensions of media files.
-MEDIA = ["mp4", "mkv", "mov", "webm", "m4v"]
+MEDIA = ["mp4", "mov", "mkv", "webm", "flv"]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -32,8 +32,9 @@ def page_items(pages: DataFrame) -> DataFrame:
 
 
 def scan_media(spark: SparkSession, root: str) -> DataFrame:
-    """media_path, size_bytes, modified_at, content_hash, content of media files under a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + ",".join(MEDIA) + "}").option("recursiveFileLookup", "true").load(root)
+    """media_path, size_bytes, modified_at, content_hash, content of media files under a folder; endings in either case."""
+    endings = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ",".join(MEDIA)).replace("[,,]", ",")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + endings + "}").option("recursiveFileLookup", "true").load(root)
     return files.select(F.col("path").alias("media_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("content_hash"), "content")
 
 
@@ -70,16 +71,20 @@ def discover_entries(spark: SparkSession, root: str, note: str = "note.md", skip
 
 
 def write_version(df: DataFrame, path: str) -> str:
-    """Write a table as a new version and then point to it; readers see the old or the new one."""
+    """Write a table as a new version and then point to it; readers see the old or the new one. Versions are numbered by one writer at a time."""
     version = uuid.uuid4().hex
     df.write.parquet(f"{path}/version={version}")
-    df.sparkSession.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/_pointer")
+    spark, pointer = df.sparkSession, f"{path}/_pointer"
+    place = spark._jvm.org.apache.hadoop.fs.Path(pointer)
+    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    number = (spark.read.parquet(pointer).agg(F.max("number")).first()[0] if known else 0) + 1
+    spark.createDataFrame([(version, number)], "version string, number long").coalesce(1).write.mode("append").parquet(pointer)
     return version
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:
     """The version that was written last."""
-    version = spark.read.parquet(f"{path}/_pointer").orderBy(F.desc("at")).first()["version"]
+    version = spark.read.parquet(f"{path}/_pointer").orderBy(F.desc("number"), F.desc("version")).first()["version"]
     return spark.read.parquet(f"{path}/version={version}")
 
 

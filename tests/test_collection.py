@@ -86,11 +86,28 @@ def test_paged_dumps(spark, tmp_path):
 
 def test_media_files(spark, tmp_path):
     (tmp_path / "x").mkdir()
-    (tmp_path / "x" / "one.mp4").write_bytes(b"\0\0\0\x18ftypmp42" + b"\0" * 12 + b"\0\0\0\x10psshabcdefgh")
-    (tmp_path / "two.mkv").write_bytes(bytes.fromhex("1A45DFA3") + b"data pssh")
-    (tmp_path / "no.txt").write_text("no")
+    head = b"\0\0\0\x18ftypmp42" + b"\0" * 12
+    (tmp_path / "x" / "one.mp4").write_bytes(head + b"\0\0\0\x30pssh\0\0\0\0abcdefgh")
+    (tmp_path / "two.MKV").write_bytes(bytes.fromhex("1A45DFA3") + b"data pssh")
+    (tmp_path / "three.Flv").write_bytes(b"FLV\1")
+    (tmp_path / "no.m4v").write_bytes(head)
     scan = media.media_outcome(media.protected_media(media.media_kind(files.scan_media(spark, str(tmp_path)))).withColumnsRenamed({"size_bytes": "length"}).withColumn("expected_length", F.lit(None).cast("long")))
-    assert rows(scan, "kind", "protected", "outcome") == [("matroska", False, "unsupported_container"), ("mp4", True, "protected")]
+    assert rows(scan, "kind", "protected") == [("ebml", False), ("flv", False), ("iso-bmff", True)]
+
+
+def test_container_and_box_rules(spark):
+    packets = bytes(377 * [0])
+    packets = bytes([0x47 if n in (0, 188, 376) else c for n, c in enumerate(packets)])
+    kinds = [(packets, "mpeg-ts"), (packets[:376], None), (b"\0\0\0\x18ftyp", None), (b"OggS", "ogg"), (b"RIFF" + bytes(20), None), (None, None)]
+    df = spark.createDataFrame([(n, c) for n, (c, _) in enumerate(kinds)], "id long, content binary")
+    assert rows(media.media_kind(df), "id", "kind") == sorted([(n, k) for n, (_, k) in enumerate(kinds)], key=repr)
+    size = lambda n: n.to_bytes(4, "big")
+    boxes = [
+        (size(32) + b"pssh\0\0\0\0", True), (size(31) + b"pssh\0\0\0\0", False), (size(32) + b"pssh\2\0\0\0", False), (size(20) + b"schm\1\0\0\0", True), (size(1 << 31) + b"schm\0\0\0\0", False),
+        (size(8) + b"encv" + bytes(7) + b"\1", True), (size(8) + b"enca" + bytes(8), False), (size(8) + b"enca" + bytes(5) + b"\1\0\1", False), (size(24) + b"sinf" + size(12) + b"frma", True),
+        (size(24) + b"sinf" + size(17) + b"frma", False), (size(24) + b"sinf" + size(12) + b"xxxx", False), (b"pssh" + bytes(8), False), (size(99) + b"encvsinf" + size(33) + b"schi", False), (b"ps" + size(40) + b"pssh" + bytes(4), True)]
+    df = spark.createDataFrame([(n, c) for n, (c, _) in enumerate(boxes)], "id long, content binary")
+    assert rows(media.protected_media(df), "id", "protected") == sorted([(n, p) for n, (_, p) in enumerate(boxes)], key=repr)
 
 
 def test_inventory_keeps_missing_status(spark):
@@ -120,7 +137,7 @@ def test_near_segments_is_inclusive_and_bucketing_changes_nothing(spark):
 def test_column_functions(spark):
     df = spark.createDataFrame([(" ", " b ", 61.5, "01:02.500", "https://x.y token=abc item-0123456789abcdef0123 123456789012345678", " CON.txt")], "a string, b string, s double, c string, log string, name string")
     r = df.select(canonical_id(F.col("a"), F.col("b")), format_time(F.col("s")), parse_time(F.col("c")), redact(F.col("log")), safe_component(F.col("name")), parse_time(F.lit("1:02:03")), parse_time(F.lit("x"))).first()
-    assert tuple(r) == ("b", "01:01.500", 62.5, "[link] token=[secret] [job] [id]", "CON.txt-", 3723.0, None)
+    assert tuple(r) == ("b", "01:01.500", 62.5, "[REDACTED_URL] token=[REDACTED] [REDACTED_JOB] [REDACTED_ID]", "CON.txt-", 3723.0, None)
 
 
 def test_versions_and_front_matter(spark, tmp_path):

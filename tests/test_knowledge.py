@@ -1,6 +1,9 @@
 """Evidence, frames, quality, ledgers and catalog on hand-written rows and against plain specifications."""
 
+import hashlib
+import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -16,21 +19,41 @@ def rows(df, *columns):
 
 
 def test_cleaning_drops_private_records(spark):
-    df = spark.createDataFrame([(1, "see  *this* /home/u/x"), (2, "my token is"), (3, "at https://x.y"), (4, " | "), (5, "a" * 900)], "id long, text string")
+    texts = ["see  *this* /home/u/x", "my token is", "at https://x.y", " | :-- ", "a" * 900, "the Session-log", "chats here", "b" * 799 + "  c", "C:\\dir\\f and /Users/me", "/mnt/x", " ", None, "registryx"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     out = {r.id: (r.text, r.truncated) for r in evidence.clean_records(df).collect()}
-    assert out == {1: ("see this [path]", False), 5: ("a" * 800, True)}
+    assert out == {
+        0: ("see *this* [private-path-removed]", False), 1: ("my token is", False), 4: ("a" * 800, True), 7: ("b" * 799, True), 8: ("[private-path-removed] and [private-path-removed]", False), 9: ("/mnt/x", False), 12: ("registryx", False)}
 
 
 def test_fragments_are_numbered_after_drops(spark):
-    df = spark.createDataFrame([(1, "a" * 10 + "  token   " + "b" * 5)], "id long, text string")
-    assert rows(evidence.fragment(df, "id", 10), "part", "text") == [(1, "a" * 10), (2, "b" * 5)]
+    df = spark.createDataFrame([(1, "a" * 10 + "   cookie " + "b" * 5), (2, "\n\U0001F600x" * 5), (3, ""), (4, None)], "id long, text string")
+    assert rows(evidence.fragment(df, "id", 10), "id", "part", "text") == [(1, 1, "a" * 10), (1, 2, "b" * 5), (2, 1, "\U0001F600x \U0001F600x \U0001F600x \n".strip()), (2, 2, "\U0001F600x \U0001F600x")]
 
 
 def test_chunks_follow_next_fit(spark):
-    texts = ["aaaa", "bbb", "cccccccccccc", "d", "e"]
-    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts, 1)], "job_id long, i long, text string")
-    out = rows(evidence.pack_chunks(df, 9), "chunk", "first", "last", "bytes", "error")
-    assert out == [(1, 1, 2, 9, None), (2, 3, 3, 13, "oversize"), (3, 4, 5, 4, None)]
+    rng = random.Random(1)
+    data = [(job, i, "".join(rng.choice('ab"\\\né日') for _ in range(rng.randint(0, 60)))) for job in ("x", "yy") for i in range(1, 200)]
+    df = spark.createDataFrame(data, "job_id string, i long, text string").repartition(5)
+    for budget in (150, 400, 3000):
+        want = []
+        for job in ("x", "yy"):
+            records = [(i, json.dumps({"text": t}, ensure_ascii=False, separators=(",", ":"))) for j, i, t in data if j == job]
+            whole = lambda k, n, own: json_chunk(job, k, n, own)  # noqa: B023, E731
+            chunks = []
+            for i, r in records:
+                if chunks and len(whole(len(chunks), len(records), [x for _, x in chunks[-1]] + [r]).encode()) <= budget:
+                    chunks[-1].append((i, r))
+                else:
+                    chunks.append([(i, r)])
+            for k, own in enumerate(chunks, 1):
+                body = whole(k, len(chunks), [x for _, x in own]).encode()
+                want.append((job, k, len(chunks), own[0][0], own[-1][0], len(body), hashlib.sha256(body).hexdigest(), "oversize" if len(body) > budget else None))
+        assert rows(evidence.pack_chunks(df, budget), "job_id", "chunk", "chunks", "first", "last", "bytes", "sha256", "error") == sorted(want, key=repr)
+
+
+def json_chunk(job, index, count, records):
+    return f'{{"job_ref":"{job}","chunk_index":{index},"chunk_count":{count},"records":[{",".join(records)}]}}\n'
 
 
 @given(st.integers(0, 300))
@@ -39,14 +62,40 @@ def test_coverage_order_is_a_permutation_from_the_ends(n):
     assert sorted(order) == list(range(n)) and order[:2] == [0, n - 1][: min(n, 2)] if n != 1 else order == [0]
 
 
-@given(st.lists(st.tuples(st.sampled_from(["timeline", "asr"]), st.booleans(), st.integers(1, 60)), max_size=30))
-def test_selection_keeps_the_budget(records):
-    rows_ = [(i, s, f, i, n) for i, (s, f, n) in enumerate(records)]
-    chosen = dict(evidence.select_within(rows_, 100))
-    size = {i: n for i, _, _, _, n in rows_}
-    assert sum(size[i] for i in chosen) <= 100 and sum(size[i] for i, c in chosen.items() if c == "timeline") <= 45
-    left = 100 - sum(size[i] for i in chosen)
-    assert all(n > left for i, s, _, _, n in rows_ if i not in chosen and s != "timeline")
+def plain_evidence(records, max_bytes):
+    """(class, i) that a packet takes of one job's records (i, source, text), list by list."""
+    def unlike(sources):
+        seen, out = set(), []
+        for i, source, text in sorted((r for r in records if r[1] in sources), key=lambda r: (sources.index(r[1]), r[0])):
+            key = re.sub(r"[\s|*_`#>-]+", "", text).casefold()
+            if key and key not in seen:
+                seen.add(key)
+                out.append((i, text))
+        return out
+
+    size = lambda text: len(json.dumps(text, ensure_ascii=False).encode()) + 1
+    chosen, used, texts = [], 0, set()
+    marks = unlike(["timeline"])
+    lists = [("timeline", [marks[k] for k in evidence.coverage_ranks(len(marks))]), ("facts", [r for r in unlike(["ocr", "summary", "asr"]) if re.search(r"\d|\b[A-Z][A-Z0-9-]{1,}\b", r[1])]), ("passages", unlike(["summary", "asr", "ocr"]))]
+    for name, own in lists:
+        limit = {"timeline": int(max_bytes * 0.45), "facts": min(max_bytes, used + int(max_bytes * 0.3))}.get(name, max_bytes)
+        taken = set(texts)
+        for i, text in own:
+            if used + size(text) <= limit and not (name == "passages" and text in taken):
+                chosen.append((name, i))
+                texts.add(text)
+                used += size(text)
+    return chosen
+
+
+def test_selection_equals_the_plain_version(spark):
+    rng = random.Random(7)
+    words = ["alpha", "Beta", "GPU-4", "A-b", "x 9", "quote \"q\"", "é", "A", "-", "same", "SAME"]
+    data = [(job, i, rng.choice(["timeline", "asr", "ocr", "summary"]), " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for job in range(6) for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame(data, "job_id long, i long, source string, text string").repartition(3)
+    for budget in (40, 150, 600, 10**6):
+        want = [(job, *x) for job in range(6) for x in plain_evidence([r[1:] for r in data if r[0] == job], budget)]
+        assert rows(evidence.select_evidence(df, budget), "job_id", "class", "i") == sorted(want, key=repr)
 
 
 @settings(max_examples=50)
@@ -60,9 +109,36 @@ def test_even_picks(times, k):
 def test_frame_choice_avoids_duplicates(spark):
     t = np.arange(6.0)
     signs = np.array([[0], [0], [0], [2**32 - 1], [2**32 - 1], [2**40 - 1]], np.uint64)
-    kept = [i for i, _ in frames.choose(t, np.array([1, 0, 0, 0.9, 0, 0]), signs, 4)]
-    assert kept[0] == 0 and kept[-1] == 5 and not {1, 2} & set(kept)
-    assert [r for _, r in frames.candidates(np.array([0.0, 0.1, 5.0, 5.2, 6.0]), np.array([1, 0.5, 0, 0, 0]), 6.0)] == ["first", "scene", "coverage", "tail"]
+    kept = frames.choose(t, np.array([1, 0, 0, 0.9, 0, 0]), signs, 15.0, 4)
+    assert kept == [(0, "first"), (3, "coverage"), (5, "tail")]
+    same = np.zeros((6, 1), np.uint64)
+    assert frames.choose(t, np.zeros(6), same, 15.0, 4) == [(0, "first"), (2, "minimum_coverage"), (5, "tail")]
+    assert frames.choose(t[:1], np.zeros(1), same[:1], 0.2, 4) == [(0, "first")] and frames.choose(t, np.zeros(6), same, 15.0, 1) == [(0, "first")]
+    many = np.array([[2**k - 1] for k in range(0, 60, 10)], np.uint64)
+    assert [r for _, r in frames.choose(t, np.array([0, 0.1, 0.9, 0.2, 0.8, 0]), many, 15.0, 5)] == ["first", "coverage", None, None, "tail"]
+
+
+def plain_candidates(observations, interval, threshold):
+    """(t, reason) of one video's observations (t, score)."""
+    out, last = [], -interval
+    for n, (t, score) in enumerate(observations):
+        tail, due = n == len(observations) - 1, t - last >= interval
+        if not out or tail or score >= threshold or due:
+            reason = "first" if n == 0 else "tail" if tail else "scene_change" if score >= threshold else "coverage"
+            out = [*(out[:-1] if out and abs(out[-1][0] - t) < 1e-6 else out), (t, reason)]
+            last = t if due else last
+    return out
+
+
+def test_candidates_equal_the_plain_version(spark):
+    rng = random.Random(9)
+    data = [(job, n, round(rng.choice([n * 0.5, n * 0.5, (n - 1) * 0.5]), 3) if n else 0.0, rng.choice([0.0, 0.05, 0.12, 0.5])) for job in range(8) for n in range(rng.randint(1, 90))]
+    df = spark.createDataFrame(data, "job_id long, frame_id long, t double, scene_score double").repartition(3)
+    want = []
+    for job in range(8):
+        own = sorted((t, n, s) for j, n, t, s in data if j == job)
+        want += [(job, *c) for c in plain_candidates([(t, s) for t, _, s in own], min(15.0, max(0.2, own[-1][0] / 4)), 0.12)]
+    assert rows(frames.frame_candidates(df), "job_id", "t", "reason") == sorted(want, key=repr)
 
 
 def test_signatures_match_the_definition(spark):

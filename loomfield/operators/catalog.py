@@ -20,15 +20,16 @@ def index_all(entries: DataFrame) -> DataFrame:
 
 
 def index_by_category(entries: DataFrame) -> DataFrame:
-    """category, entries, titles (sorted, joined by |)."""
-    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "entry_ref"))), lambda x: x["title"]), "|")
-    return entries.groupBy("category").agg(F.count(F.lit(1)).alias("entries"), titles.alias("titles"))
+    """category, place (from 1), title, entry_ref: the entries of each category by title."""
+    place = F.row_number().over(Window.partitionBy("category").orderBy("title", "entry_ref"))
+    return entries.select("category", place.cast("long").alias("place"), "title", "entry_ref")
 
 
 def index_by_tag(entries: DataFrame) -> DataFrame:
-    """tag, entries, refs (sorted) of entries (entry_ref, tags)."""
-    return entries.select("entry_ref", F.explode("tags").alias("tag")).groupBy("tag").agg(
-        F.count_distinct("entry_ref").alias("entries"), F.array_join(F.transform(F.array_sort(F.collect_set("entry_ref")), lambda x: x.cast("string")), ",").alias("refs"))
+    """tag, place (from 1), entry_ref: the entries (entry_ref, tags) of each tag, each once."""
+    tagged = entries.select("entry_ref", F.explode("tags").alias("tag")).distinct()
+    place = F.row_number().over(Window.partitionBy("tag").orderBy("entry_ref"))
+    return tagged.select("tag", place.cast("long").alias("place"), "entry_ref")
 
 
 def recent(entries: DataFrame, k: int = 50) -> DataFrame:

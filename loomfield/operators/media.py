@@ -114,7 +114,7 @@ def media_outcome(scan: DataFrame, limit_bytes: int = 1 << 30) -> DataFrame:
         F.when(F.col("length") > limit_bytes, "too_large").when(F.col("length") == 0, "empty")
         .when(F.col("expected_length").isNotNull() & (F.col("expected_length") != F.col("length")), "length_mismatch")
         .when(F.col("protected"), "protected").when(F.col("kind").isNull(), "bad_signature")
-        .when(F.col("kind") != "mp4", "unsupported_container").otherwise("ok")
+        .when(F.col("kind") != "iso-bmff", "unsupported_container").otherwise("ok")
     )
     return scan.withColumn("outcome", outcome)
 

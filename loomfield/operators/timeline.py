@@ -125,11 +125,11 @@ def near_segments(frames: DataFrame, segments: DataFrame, radius: float = 7.5, w
     return fb.join(sb, on).select("f.job_id", "f.frame_id", "f.t", "s.segment_id", "s.start_s", "s.end_s", "s.text")
 
 
-def frame_digest(frames: DataFrame, lines: DataFrame, segments: DataFrame, radius: float = 7.5) -> DataFrame:
+def frame_digest(frames: DataFrame, lines: DataFrame, segments: DataFrame, radius: float = 7.5, width: float | None = None) -> DataFrame:
     """job_id, frame_id, screen_text, speech, start_s, end_s: what is shown and said around each frame."""
     shown = lines.groupBy("job_id", "frame_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " / ").alias("screen_text"))
-    said = near_segments(frames, segments, radius).groupBy("job_id", "frame_id").agg(
+    said = near_segments(frames, segments, radius, width).groupBy("job_id", "frame_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_s", "segment_id", "text"))), lambda x: x["text"]), " ").alias("speech"),
         F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
     )
@@ -137,11 +137,10 @@ def frame_digest(frames: DataFrame, lines: DataFrame, segments: DataFrame, radiu
     return frames.select(*keys).join(shown, keys, "left").join(said, keys, "left")
 
 
-def uncovered_segments(segments: DataFrame, frames: DataFrame, radius: float = 7.5) -> DataFrame:
-    """Segments that are near no frame."""
-    s, f = segments.alias("s"), frames.alias("f")
-    touch = (F.col("s.start_s") <= F.col("f.t") + radius) & (F.col("s.end_s") >= F.col("f.t") - radius)
-    return s.join(f, (F.col("s.job_id") == F.col("f.job_id")) & touch, "left_anti")
+def uncovered_segments(segments: DataFrame, frames: DataFrame, radius: float = 7.5, width: float | None = None) -> DataFrame:
+    """Segments that are near no frame; ``width`` as in ``near_segments``."""
+    keys = ["job_id", "segment_id"]
+    return segments.join(near_segments(frames, segments, radius, width).select(*keys).distinct(), keys, "left_anti")
 
 
 def overview(segments: DataFrame, lines: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from loomfield.functions.columns import format_time, parse_time
 from loomfield.operators import media, snapshot, timeline
 from loomfield.plans.fixtures import NOW, sql, view
 from loomfield.sources import files
+from loomfield.streaming import pages
 
 CONVERSATION_WORDS = "SELECT conv_id AS job_id, turn AS segment_id, CAST(length(text) % 100 AS DOUBLE) / 100 AS confidence FROM conversations"
 CHUNKS = "SELECT DISTINCT job_id, segment_id % 3 AS chunk, CAST(600 + job_id % 7 AS DOUBLE) AS duration_s FROM v_segments"
@@ -24,7 +25,19 @@ VARIANT_ROWS = """SELECT l_orderkey AS item_id, l_linenumber AS width, CAST(l_qu
 MANIFESTS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 9 = 0 THEN 'v0' ELSE 'v1' END AS version, o_orderkey % 8 <> 0 AS reached_end, SHA(CAST(o_orderkey AS STRING)) AS source_sha256,
     CASE WHEN o_orderkey % 5 = 0 THEN array('ocr') ELSE array('asr', 'ocr', 'timeline') END AS artifacts FROM orders"""
 HASHES_NOW = "SELECT o_orderkey AS job_id, SHA(CAST(o_orderkey + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS STRING)) AS observed_sha256 FROM orders WHERE o_orderkey % 4 <> 0"
-CATALOG_PAGES = "SELECT entry_ref, category, title, CASE WHEN entry_ref % 3 = 0 THEN array('') ELSE array(category, 'page') END AS tags FROM v_entries"
+ARRIVALS = """SELECT l_orderkey % 500 AS snapshot_id,
+    CAST(l_partkey AS STRING) AS page_cursor,
+    l_orderkey * 8 + CAST(l_linenumber AS BIGINT) AS page_seq,
+    CASE WHEN l_partkey % 3 = 0 THEN CAST(l_suppkey % 2 AS STRING) ELSE 'n' END AS next_cursor,
+    true AS has_more"""
+CHAINED = """SELECT CAST(o_custkey AS STRING) AS snapshot_id,
+    o_orderkey AS page_seq,
+    CAST(o_orderkey % 3 AS STRING) AS page_cursor,
+    CAST(o_orderkey * 7 % 3 AS STRING) AS next_cursor,
+    o_orderkey % 5 <> 0 AS has_more"""
+NOTES = """SELECT page_id, html, CASE WHEN page_id % 13 = 2 THEN '_index' ELSE concat('c', CAST(page_id % 4 AS STRING)) END AS category, concat('f', CAST(page_id AS STRING)) AS folder,
+    concat('---', chr(10), CASE WHEN page_id % 11 = 0 THEN ': [' ELSE concat('category: c', chr(10), CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('title: T', CAST(page_id AS STRING), chr(10)) END,
+        CASE WHEN page_id % 5 = 0 THEN 'more: 1' ELSE concat('tags: [', CASE WHEN page_id % 13 = 2 THEN '_index' ELSE concat('c', CAST(page_id % 4 AS STRING)) END, ', page]') END) END, chr(10), '---', chr(10), html) AS text FROM pages"""
 REJECTS = "SELECT user_id AS job_id, event_type AS body, CASE WHEN value > 50 THEN event_type END AS code FROM events"
 
 AUDITED = """SELECT source_id, job_id, alt_id, snapshot_id, last_position, CASE WHEN last_position % 97 = 5 THEN 'lost' ELSE status END AS status FROM v_items"""
@@ -70,15 +83,112 @@ def _variants(s, d):
     return media.rank_variants(grouped.withColumn("plain_url", F.concat(F.lit("https://p/"), F.col("item_id").cast("string")))).select("item_id", F.array_join("urls", ",").alias("urls"))
 
 
+def _ingested(s, d):
+    """Pages that arrive as a stream, stored once; those delivered with different contents are conflicts."""
+    path = files.shared_folder(s)
+    pages.ingest_pages_stream(_stream(s, d, "lineitem", ARRIVALS), path, f"{path}/state").awaitTermination()
+    kinds = [s.read.parquet(f"{path}/{folder}").select("snapshot_id", "page_cursor", F.lit(kind).alias("kind"), "next_cursor") for folder, kind in (("pages", "page"), ("conflicts", "conflict"))]
+    return kinds[0].union(kinds[1])
+
+
+def _chained(s, d):
+    """The outcome of each page of a stream, by the state of its snapshot's chain."""
+    path = files.shared_folder(s)
+    pages.chain_state_stream(_stream(s, d, "orders", CHAINED)).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(pages.CHAIN).parquet(f"{path}/out")
+
+
+def _stream(s, d, name, statement):
+    """A table as a stream; the pattern stands for a table that is one file as well as for a folder."""
+    return s.readStream.schema(view(s, d, name).schema).parquet(f"{d}/{name}.parque[t]").selectExpr(*columns_of(statement))
+
+
+def columns_of(statement):
+    """The column expressions of a SELECT without FROM, one in each line."""
+    return [line.strip().rstrip(",") for line in statement.removeprefix("SELECT").strip().splitlines()]
+
+
+def _shaped(s, d):
+    """Pages with a status and items; some are denied, lack their list, or hold what is no object."""
+    item = F.struct(F.col("page_id").cast("string").alias("id"))
+    items = F.when(F.col("page_id") % 5 != 1, F.array(item, F.when(F.col("page_id") % 3 != 0, item)))
+    status = F.when(F.col("page_id") % 7 == 1, 4).when(F.col("page_id") % 2 == 0, 0)
+    return view(s, d, "pages").select("page_id", status.alias("status_code"), items.alias("items"))
+
+
+def _transcripts(s, d):
+    """A JSON transcript of each conversation, with empty slots."""
+    word = F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), F.lit("w").alias("text"), "confidence")
+    segment = F.struct(F.col("start_s").alias("start"), F.col("end_s").alias("end"), "text", "confidence", F.array(word).alias("words"))
+    ordered = F.array_sort(F.collect_list(F.struct("segment_id", F.when(F.col("segment_id") % 5 != 4, segment).alias("s"))))
+    slots = F.transform(F.transform(ordered, lambda x: F.coalesce(F.to_json(x["s"]), F.lit("null"))), lambda x: x)
+    grouped = segs(s, d).groupBy("job_id").agg(slots.alias("slots"))
+    return grouped.select("job_id", F.concat(F.lit('{"language":"en","segments":['), F.array_join("slots", ","), F.lit("]}")).alias("json"))
+
+
+def _screens(s, d):
+    """A JSON of the screen text of each conversation: frames of two lines."""
+    lines = F.array(F.struct("text", "confidence"), F.struct(F.lit("second").alias("text"), F.lit(None).cast("double").alias("confidence")))
+    frame = F.struct(F.col("frame_id").alias("keyframe_id"), F.col("t").alias("timestamp"), F.concat(F.lit("f"), F.col("frame_id")).alias("file"), lines.alias("lines"))
+    return screen(s, d).groupBy("job_id").agg(F.to_json(F.struct(F.collect_list(frame).alias("frames"))).alias("json"))
+
+
+def _contents(s, d):
+    """Files made of documents: a container's leading bytes, for some a protection box or one that is none, and the text."""
+    doc = F.col("doc_id")
+    packets = ("47" + "00" * 187) * 2 + "47"
+    heads = ["000000186674797069736F6D", "1A45DFA3", "464C56", "4F676753", packets]
+    head = F.lit("")
+    for n, h in enumerate(heads):
+        head = F.when(doc % 7 == n, h).otherwise(head)
+    boxes = F.when(doc % 5 == 1, "0000002070737368" + "01000000" + "AABBCCDD").when(doc % 5 == 2, "0000001F70737368" + "01000000" + "AABBCCDD").otherwise("")
+    content = F.concat(F.unhex(F.concat(head, boxes)), F.coalesce("text", F.lit("")).cast("binary"))
+    out = view(s, d, "documents").select("doc_id", content.alias("content")).withColumn("length", F.length("content").cast("long"))
+    return out.withColumn("expected_length", F.when(doc % 9 == 8, F.col("length") + 1).when(doc % 2 == 0, F.col("length")))
+
+
 TESTS: dict = {
+    "S-2": (
+        lambda s, d: files.classify_pages(_shaped(s, d)).select("page_id", "page_status", F.size("items").alias("items")),
+        """SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'denied' WHEN page_id % 5 = 1 THEN 'invalid' ELSE 'ok' END AS page_status, CASE WHEN page_id % 5 <> 1 THEN CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END END AS items FROM pages""",
+    ),
+    "S-5": (
+        lambda s, d: timeline.flatten_transcript(_transcripts(s, d)).select("job_id", "segment_id", "start_s", "end_s", "text", "confidence", F.size("words").alias("words")),
+        """SELECT job_id, segment_id, start_s, end_s, text, confidence, 1 AS words FROM (SELECT * EXCLUDE (segment_id), segment_id AS turn, row_number() OVER (PARTITION BY job_id ORDER BY segment_id) - 1 AS segment_id FROM v_segments) t
+        WHERE turn % 5 <> 4 AND text IS NOT NULL""",
+    ),
+    "S-6": (
+        lambda s, d: timeline.flatten_screen_text(_screens(s, d)),
+        """SELECT job_id, frame_id, t, 'f' || frame_id AS file, n AS line, CASE n WHEN 1 THEN text ELSE 'second' END AS text, CASE n WHEN 1 THEN confidence END AS confidence FROM v_screen, (VALUES (1), (2)) AS lines(n)""",
+    ),
+    "S-8": (
+        lambda s, d: files.split_front_matter(sql(s, d, NOTES)).select("page_id", F.col("front")["title"].alias("title"), F.col("front")["tags"].alias("tags"), "front_error", "body"),
+        f"""SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 11 <> 0 THEN 'T' || page_id END AS title, CASE WHEN page_id % 5 <> 0 AND page_id % 11 <> 0 THEN '[' || chr(39) || category || chr(39) || ', ' || chr(39) || 'page' || chr(39) || ']' END AS tags,
+        CASE WHEN page_id % 11 = 0 THEN 'malformed' END AS front_error, html AS body FROM ({NOTES}) n""",
+    ),
     "S-3": (lambda s, d: snapshot.project_items(sql(s, d, RAW_ITEMS)), f"""SELECT nullif(trim(id), '') AS source_id, nullif(trim(title), '') AS title, nullif(trim(author), '') AS author,
         round(nullif(duration_ms, 0) / 1000.0, 3) AS duration_s, nullif(width, 0) AS width, nullif(height, 0) AS height FROM ({RAW_ITEMS}) t"""),
     "S-7": (lambda s, d: timeline.document_lines(view(s, d, "documents"), "doc_id", "text"), """SELECT doc_id, i AS line_no, line FROM (
         SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> ''"""),
-    "S-9": (lambda s, d: sql(s, d, CATALOG_PAGES).where("title <> '' AND category <> '' AND array_join(tags, '') <> ''").select("entry_ref", "category", "title"),
-        "SELECT entry_ref, category, title FROM v_entries WHERE title <> '' AND category <> '' AND entry_ref % 3 <> 0"),
+    "S-9": (
+        lambda s, d: files.entries_of(sql(s, d, NOTES)).select("category", "folder", "title", F.array_join("tags", ",").alias("tags")),
+        f"""SELECT category, folder, 'T' || page_id AS title, category || ',page' AS tags FROM ({NOTES}) n WHERE category <> '_index' AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND page_id % 11 <> 0""",
+    ),
     "S-11": (lambda s, d: files.quarantine(sql(s, d, REJECTS), "code", "body")[1],
         f"SELECT job_id, SHA(body) AS sha256, min(code) AS code FROM ({REJECTS}) t WHERE code IS NOT NULL GROUP BY job_id, SHA(body)"),
+    "S-12": (
+        lambda s, d: _ingested(s, d),
+        f"""SELECT snapshot_id, page_cursor, CASE WHEN count(DISTINCT row(next_cursor, has_more)) > 1 THEN 'conflict' ELSE 'page' END AS kind, arg_min(next_cursor, page_seq) AS next_cursor FROM ({ARRIVALS} FROM lineitem) t GROUP BY 1, 2""",
+    ),
+    "S-13": (
+        lambda s, d: _chained(s, d),
+        f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY page_seq) AS i FROM ({CHAINED} FROM orders) t),
+        p AS (SELECT DISTINCT snapshot_id, CAST(0 AS BIGINT) AS i, '' AS outcome, NULL::VARCHAR AS expected, NULL::BOOLEAN AS more FROM o UNION ALL
+            SELECT snapshot_id, i, outcome, CASE WHEN outcome = 'accepted' THEN next_cursor ELSE expected END, CASE WHEN outcome = 'accepted' THEN has_more ELSE more END FROM
+            (SELECT o.*, p.expected, p.more, CASE WHEN p.more IS NULL THEN CASE WHEN page_cursor = '0' THEN 'accepted' ELSE 'bad_start' END WHEN NOT p.more THEN 'after_last_page' WHEN page_cursor = p.expected THEN 'accepted'
+                ELSE 'discontinuity' END AS outcome FROM p JOIN o ON o.snapshot_id = p.snapshot_id AND o.i = p.i + 1) q)
+        SELECT o.snapshot_id, page_seq, outcome FROM p JOIN o USING (snapshot_id, i)""",
+    ),
     "C-1": (lambda s, d: snapshot.canonical_ids(sql(s, d, "SELECT source_id AS item, CASE WHEN k % 4 = 0 THEN ' ' ELSE source_id END AS first_id, CASE WHEN k % 8 = 0 THEN NULL ELSE concat(source_id, ' ') END AS second_id FROM v_src"), "first_id", "second_id").select("item", "id", "id_error"),
         """SELECT item, id, CASE WHEN id IS NULL THEN 'missing_id' END AS id_error FROM (SELECT source_id AS item,
         coalesce(nullif(trim(CASE WHEN k % 4 = 0 THEN ' ' ELSE source_id END), ''), nullif(trim(CASE WHEN k % 8 = 0 THEN NULL ELSE concat(source_id, ' ') END), '')) AS id FROM v_src) t"""),
@@ -148,6 +258,19 @@ TESTS: dict = {
         AND p.modified_ns IS NOT DISTINCT FROM s.modified_ns AND p.content_hash IS NOT DISTINCT FROM s.content_hash THEN 'unchanged' ELSE 'updated' END AS change
         FROM v_inv_prev p FULL OUTER JOIN v_inv_scan s ON p.media_path = s.media_path) t"""),
     "M-2": (lambda s, d: media.inventory_status(view(s, d, "v_inv_prev")), "SELECT status, count(*) AS files FROM v_inv_prev GROUP BY 1"),
+    "M-3": (
+        lambda s, d: media.media_kind(_contents(s, d)).select("doc_id", "kind"),
+        "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'iso-bmff' WHEN 1 THEN 'ebml' WHEN 2 THEN 'flv' WHEN 3 THEN 'ogg' WHEN 4 THEN 'mpeg-ts' END AS kind FROM documents",
+    ),
+    "M-4": (
+        lambda s, d: media.protected_media(_contents(s, d)).select("doc_id", "protected"),
+        "SELECT doc_id, doc_id % 5 = 1 AS protected FROM documents",
+    ),
+    "M-7": (
+        lambda s, d: media.media_outcome(media.protected_media(media.media_kind(_contents(s, d))), 4000).select("doc_id", "outcome"),
+        """SELECT doc_id, CASE WHEN length > 4000 THEN 'too_large' WHEN doc_id % 9 = 8 THEN 'length_mismatch' WHEN doc_id % 5 = 1 THEN 'protected' WHEN doc_id % 7 >= 5 THEN 'bad_signature' WHEN doc_id % 7 > 0 THEN 'unsupported_container' ELSE 'ok' END AS outcome
+        FROM (SELECT doc_id, strlen(coalesce(text, '')) + CASE doc_id % 7 WHEN 4 THEN 377 WHEN 2 THEN 3 WHEN 0 THEN 12 WHEN 1 THEN 4 WHEN 3 THEN 4 ELSE 0 END + CASE doc_id % 5 WHEN 1 THEN 16 WHEN 2 THEN 16 ELSE 0 END AS length FROM documents) t""",
+    ),
     "M-5": (_variants, f"""WITH r AS ({VARIANT_ROWS}), o AS (SELECT item_id, url, least(width, height) AS a, width * height AS b, bitrate FROM r WHERE width > 0 AND height > 0 AND starts_with(url, 'https://')),
         f AS (SELECT item_id, url, row_number() OVER (PARTITION BY item_id ORDER BY a DESC, b DESC, bitrate DESC, url) AS n FROM o), g AS (SELECT item_id, url, min(n) AS n FROM f GROUP BY 1, 2),
         h AS (SELECT item_id, string_agg(url, ',' ORDER BY n) AS u FROM g GROUP BY 1)
@@ -173,10 +296,10 @@ TESTS: dict = {
         UNION ALL SELECT job_id, t, 'ocr', text FROM v_shown) u"""),
     "T-8": (lambda s, d: timeline.near_segments(frames_seen(s, d), spoken(s, d), 3600, width=14400).select("job_id", "frame_id", "segment_id"), """SELECT f.job_id, frame_id, segment_id FROM v_shown f JOIN v_spoken s
         ON f.job_id = s.job_id AND start_s <= f.t + 3600 AND end_s >= f.t - 3600"""),
-    "T-9": (lambda s, d: timeline.frame_digest(screen(s, d), screen(s, d), segs(s, d)), """WITH sh AS (SELECT job_id, frame_id, string_agg(text, ' / ' ORDER BY line, text) AS screen_text FROM v_screen GROUP BY 1, 2),
+    "T-9": (lambda s, d: timeline.frame_digest(screen(s, d), screen(s, d), segs(s, d), width=60.0), """WITH sh AS (SELECT job_id, frame_id, string_agg(text, ' / ' ORDER BY line, text) AS screen_text FROM v_screen GROUP BY 1, 2),
         sa AS (SELECT f.job_id, f.frame_id, string_agg(s.text, ' ' ORDER BY start_s, segment_id) AS speech, min(start_s) AS start_s, max(end_s) AS end_s FROM v_screen f JOIN v_segments s ON f.job_id = s.job_id AND start_s <= f.t + 7.5 AND end_s >= f.t - 7.5 GROUP BY 1, 2)
         SELECT f.job_id, f.frame_id, screen_text, speech, sa.start_s, sa.end_s FROM v_screen f LEFT JOIN sh USING (job_id, frame_id) LEFT JOIN sa USING (job_id, frame_id)"""),
-    "T-10": (lambda s, d: timeline.uncovered_segments(spoken(s, d), frames_seen(s, d), 3600).select("job_id", "segment_id"), """SELECT job_id, segment_id FROM v_spoken s WHERE NOT EXISTS (SELECT 1 FROM v_shown f
+    "T-10": (lambda s, d: timeline.uncovered_segments(spoken(s, d), frames_seen(s, d), 3600, width=14400).select("job_id", "segment_id"), """SELECT job_id, segment_id FROM v_spoken s WHERE NOT EXISTS (SELECT 1 FROM v_shown f
         WHERE f.job_id = s.job_id AND s.start_s <= f.t + 3600 AND s.end_s >= f.t - 3600)"""),
     "T-11": (lambda s, d: timeline.overview(segs(s, d), screen(s, d)), """SELECT job_id, coalesce(segments, 0) AS segments, coalesce(segment_chars, 0) AS segment_chars, coalesce(lines, 0) AS lines, coalesce(frames, 0) AS frames
         FROM (SELECT job_id, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS segment_chars FROM v_segments GROUP BY 1) a FULL OUTER JOIN (SELECT job_id, count(*) AS lines, count(DISTINCT frame_id) AS frames FROM v_screen GROUP BY 1) b USING (job_id)"""),

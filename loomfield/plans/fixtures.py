@@ -125,6 +125,6 @@ def oracle(statement: str) -> str:
     """The statement for DuckDB with the views it needs."""
     views = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needs(statement))
     statement = statement.strip()
-    if views and statement.upper().startswith("WITH "):
-        return translate(f"WITH RECURSIVE {views}, {statement[5:]}", "duckdb")
+    if statement.upper().startswith("WITH "):
+        return translate(f"WITH RECURSIVE {views}{', ' if views else ''}{statement[5:]}", "duckdb")
     return translate(f"WITH {views} {statement}" if views else statement, "duckdb")

@@ -428,8 +428,8 @@ TESTS: dict = {
         UNION ALL SELECT outcome, NULL, NULL, NULL, NULL, count(*) FROM j GROUP BY 1""",
     ),
     "B-1": (lambda s, d: catalog.index_all(entries(s, d)), "SELECT * FROM v_entries"),
-    "B-2": (lambda s, d: catalog.index_by_category(entries(s, d)), "SELECT category, count(*) AS entries, string_agg(title, '|' ORDER BY title, entry_ref) AS titles FROM v_entries GROUP BY 1"),
-    "B-3": (lambda s, d: catalog.index_by_tag(sql(s, d, TAGGED)), f"SELECT tag, count(DISTINCT entry_ref) AS entries, string_agg(CAST(entry_ref AS VARCHAR), ',' ORDER BY entry_ref) AS refs FROM (SELECT DISTINCT entry_ref, unnest(tags) AS tag FROM ({duck(TAGGED)}) t) u GROUP BY 1"),
+    "B-2": (lambda s, d: catalog.index_by_category(entries(s, d)), "SELECT category, row_number() OVER (PARTITION BY category ORDER BY title, entry_ref) AS place, title, entry_ref FROM v_entries"),
+    "B-3": (lambda s, d: catalog.index_by_tag(sql(s, d, TAGGED)), f"SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY entry_ref) AS place, entry_ref FROM (SELECT DISTINCT entry_ref, unnest(tags) AS tag FROM ({duck(TAGGED)}) t) u"),
     "B-4": (lambda s, d: catalog.recent(sql(s, d, DATED)), f"SELECT * FROM ({DATED}) t ORDER BY added_at DESC, entry_ref LIMIT 50"),
     "B-5": (lambda s, d: sql(s, d, "SELECT page_id, concat(' ', regexp_extract(url, '://(.*)', 1), '. ') AS name FROM pages").select("page_id", safe_component(F.col("name")).alias("name")), r"""SELECT page_id, rtrim(left(regexp_replace(regexp_extract(url, '://(.*)', 1), '[<>:"/\\|?*]', '-', 'g'), 80), ' .') AS name FROM pages"""),
     "B-6": (lambda s, d: catalog.normalize_tags(sql(s, d, TAGGED)).select("entry_ref", F.array_join("tags", ",").alias("tags")), f"""SELECT entry_ref, string_agg(tag, ',' ORDER BY i) AS tags FROM (SELECT entry_ref, i, tag, row_number() OVER (PARTITION BY entry_ref, lower(tag) ORDER BY i) AS r

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +16,16 @@ PAGE = "status_code int, items array<struct<id:string,alt_id:string,title:string
 MEDIA = ["mp4", "mov", "mkv", "webm", "flv"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the cluster's shared one; in local mode, as in tests, under a temporary one where none is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{top.rstrip('/')}/loomfield-{uuid.uuid4().hex}"
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page objects of JSON files, one object or an array in each."""
     return spark.read.schema(PAGE).option("multiLine", True).json(path)
@@ -59,17 +71,21 @@ def split_front_matter(docs: DataFrame, col: str = "text") -> DataFrame:
     return parsed.withColumns({"front": F.col("_p.front"), "front_error": F.when(F.col("_p.bad"), "malformed")}).drop("_p")
 
 
-def discover_entries(spark: SparkSession, root: str, note: str = "note.md", skip: str = "_index") -> DataFrame:
-    """category, folder, title, tags of category/folder/note files with a title, a category and tags in their front matter."""
-    files = spark.read.text(f"{root}/*/*/{note}", wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    parts = F.split("path", "/")
-    placed = files.withColumns({"category": F.url_decode(F.element_at(parts, -3)), "folder": F.url_decode(F.element_at(parts, -2))}).where(F.col("category") != skip)
-    front = split_front_matter(placed, "value")
+def entries_of(notes: DataFrame, skip: str = "_index") -> DataFrame:
+    """category, folder, title, tags of notes (category, folder, text) with a title, a category and tags in their front matter."""
+    front = split_front_matter(notes.where(F.col("category") != skip), "text")
     tags = F.transform(F.split(F.regexp_replace(F.col("front")["tags"], r"[\[\]'\"]", ""), ","), lambda t: F.trim(t))
     out = front.select("category", "folder", F.col("front")["title"].alias("title"), F.filter(tags, lambda t: t != "").alias("tags"), F.col("front")["category"].alias("own"))
     return out.where("title IS NOT NULL AND own IS NOT NULL AND size(tags) > 0").drop("own")
 
 
+def discover_entries(spark: SparkSession, root: str, note: str = "note.md", skip: str = "_index") -> DataFrame:
+    """``entries_of`` the category/folder/note files under a folder."""
+    files = spark.read.text(f"{root}/*/*/{note}", wholetext=True).select(F.col("value").alias("text"), F.split("_metadata.file_path", "/").alias("parts"))
+    placed = files.select("text", F.url_decode(F.element_at("parts", -3)).alias("category"), F.url_decode(F.element_at("parts", -2)).alias("folder"))
+    return entries_of(placed, skip)
+
+
 def write_version(df: DataFrame, path: str) -> str:
     """Write a table as a new version and then point to it; readers see the old or the new one. Versions are numbered by one writer at a time."""
     version = uuid.uuid4().hex

@@ -83,6 +83,30 @@ def _variants(s, d):
     return media.rank_variants(grouped.withColumn("plain_url", F.concat(F.lit("https://p/"), F.col("item_id").cast("string")))).select("item_id", F.array_join("urls", ",").alias("urls"))
 
 
+def _dumped(s, d):
+    """Items of pages that were dumped as JSON arrays and read again; every second slot is no object."""
+    item = lambda n: F.struct(F.concat(F.col("page_id"), F.lit(f"/{n}")).alias("id"), (F.col("page_id") * 100 + n).alias("duration_ms"))
+    slots = F.concat(F.lit("["), F.to_json(item(0)), F.lit(",null,"), F.to_json(item(2)), F.lit("]"))
+    snapshot_ = F.concat(F.lit("d"), F.col("page_id") % 8)
+    body = F.concat(
+        F.lit('{"status_code":'), F.when(F.col("page_id") % 7 == 1, "4").otherwise("0"), F.lit(',"items":'), F.when(F.col("page_id") % 5 == 1, "null").otherwise(slots),
+        F.lit(',"snapshot_id":"'), snapshot_, F.lit('","page_seq":'), F.col("page_id").cast("string"), F.lit("}"))
+    rows = view(s, d, "pages").select((F.col("page_id") % 64).alias("part"), F.struct("page_id", body.alias("body")).alias("p"))
+    path = files.shared_folder(s)
+    arrays = rows.groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("p.body")), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("part").text(path)
+    items_ = files.page_items(files.read_pages(s, f"{path}/part=*"))
+    return items_.select("snapshot_id", "seq", (F.col("pos") * 2).alias("pos"), "id", "duration_ms")
+
+
+def _versions(s, d):
+    """The second of two versions of a table."""
+    path, orders = files.shared_folder(s), view(s, d, "orders").select("o_orderkey", "o_orderstatus")
+    files.write_version(orders.where("o_orderkey % 3 = 1"), path)
+    files.write_version(orders.where("o_orderkey % 3 <> 1"), path)
+    return files.read_version(s, path)
+
+
 def _ingested(s, d):
     """Pages that arrive as a stream, stored once; those delivered with different contents are conflicts."""
     path = files.shared_folder(s)
@@ -148,6 +172,14 @@ def _contents(s, d):
 
 
 TESTS: dict = {
+    "S-1": (
+        lambda s, d: _dumped(s, d),
+        """SELECT 'd' || page_id % 8 AS snapshot_id, page_id AS seq, n AS pos, page_id || '/' || n AS id, page_id * 100 + n AS duration_ms FROM pages, (VALUES (0), (2)) AS slots(n) WHERE page_id % 7 <> 1 AND page_id % 5 <> 1""",
+    ),
+    "S-10": (
+        lambda s, d: _versions(s, d),
+        "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 <> 1",
+    ),
     "S-2": (
         lambda s, d: files.classify_pages(_shaped(s, d)).select("page_id", "page_status", F.size("items").alias("items")),
         """SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'denied' WHEN page_id % 5 = 1 THEN 'invalid' ELSE 'ok' END AS page_status, CASE WHEN page_id % 5 <> 1 THEN CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END END AS items FROM pages""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomfield.functions.columns import safe_component
 from loomfield.operators import catalog, evidence, frames, ledger, quality, timeline, work
 from loomfield.plans.fixtures import NOW, sql, view
+from loomfield.sources import files
 
 
 def _v(name):
@@ -444,6 +445,10 @@ TESTS: dict = {
             WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.category = l.category AND h.name = l.name AND h.n = g.k))
         SELECT job_id, category, name || ' (' || k || ')' AS name FROM lost JOIN free USING (category, name, r) UNION ALL SELECT job_id, category, name FROM won UNION ALL SELECT job_id, category, name FROM n""",
     ),
+    "B-8": (
+        lambda s, d: _exported(s, d),
+        "SELECT entry_ref, title, coalesce(nullif(category, ''), '__HIVE_DEFAULT_PARTITION__') AS category FROM v_entries",
+    ),
     "B-9": (lambda s, d: catalog.verify_entries(sql(s, d, "SELECT o_orderkey AS entry_ref FROM orders"), sql(s, d, PARTS), REQUIRED), f"""WITH a AS (SELECT entry_ref, 3 - count(DISTINCT CASE WHEN rel_path IN ('note.md', 'media.mp4', 'data.json') THEN rel_path END) AS missing, count(*) FILTER (sha256 <> expected_sha256) AS changed, count(*) FILTER (rel_path LIKE 'frames/%') AS frames FROM ({PARTS}) p GROUP BY 1)
         SELECT o_orderkey AS entry_ref, CASE WHEN missing IS NULL OR missing > 0 THEN 'missing_artifact' WHEN changed > 0 THEN 'digest_mismatch' WHEN NOT frames BETWEEN 3 AND 8 THEN 'frame_count' ELSE 'ok' END AS problem FROM orders LEFT JOIN a ON o_orderkey = entry_ref"""),
     "B-10": (lambda s, d: _legacy(s, d), f"""WITH a AS (SELECT entry_ref, bool_or(rel_path = 'note.md') AS n, bool_or(rel_path = 'media.mp4') AS m, bool_or(rel_path = 'data.json') AS j FROM ({PARTS}) p GROUP BY 1)
@@ -464,6 +469,14 @@ TESTS: dict = {
 }
 
 
+def _exported(s, d):
+    """The entries that were exported by category, read again."""
+    path = files.shared_folder(s)
+    files.export_entries(entries(s, d).select("entry_ref", "title", "category"), path)
+    back = s.read.schema("entry_ref long, title string, category string").json(path)
+    return back.select("entry_ref", "title", F.coalesce("category", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("category"))
+
+
 def _candidates(s, d):
     return frames.frame_candidates(_scored(s, d), threshold=0.155).join(_signed(s, d).select("job_id", "frame_id", "signature"), ["job_id", "frame_id"])
 

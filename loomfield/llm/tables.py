@@ -37,10 +37,11 @@ def materialise(df: DataFrame, label: str, shuffled: bool = False) -> DataFrame:
 
     The result survives the loss of any executor and is computed once. With
     ``shuffled``, for what an exchange has just dealt, each core writes a few files
-    at most, however many partitions there are.
+    at most, or each task those of four partitions where there are more.
     """
     spark = df.sparkSession
-    df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if shuffled else df
+    if shuffled:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     path = f"{shared_dir(spark)}/loomfield-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -107,32 +106,28 @@ def _chunk(job: str, index: Column, count: Column, body: Column) -> Column:
     return F.concat(F.lit('{"job_ref":"'), F.col(job).cast("string"), F.lit('","chunk_index":'), index.cast("string"), F.lit(',"chunk_count":'), count.cast("string"), F.lit(',"records":['), body, F.lit("]}\n"))
 
 
-def coverage_ranks(n: int) -> list[int]:
-    """The order in which n places are visited: first, last, then midpoints breadth first."""
-    order, gaps = ([0] if n else []) + ([n - 1] if n > 1 else []), [(0, n - 1)]
-    while gaps:
-        following = []
-        for a, b in gaps:
-            if b - a > 1:
-                m = (a + b) // 2
-                order.append(m)
-                following += [(a, m), (m, b)]
-        gaps = following
-    return order
-
-
 def coverage_order(records: DataFrame) -> DataFrame:
-    """Adds visit (from 0): the place of each record (job_id, i) in coverage order, which depends on the count alone."""
-    place = F.row_number().over(Window.partitionBy("job_id").orderBy("i")) - 1
-    counted = records.withColumns({"place": place, "n": F.count(F.lit(1)).over(Window.partitionBy("job_id"))})
+    """Adds visit (from 0): the place of each record (job_id, i) in coverage order, which depends on the count alone.
 
-    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for n in batch["n"]:
-                yield pd.DataFrame({"n": n, "place": coverage_ranks(int(n)), "visit": range(int(n))})
-
-    table = counted.select("n").distinct().mapInPandas(ranks, "n long, place int, visit long")
-    return counted.join(table, ["n", "place"]).drop("place", "n")
+    A record finds the level at which halving the job's range meets its place, and
+    where that range began; visits follow levels, and places within them.
+    """
+    job = Window.partitionBy("job_id")
+    counted = records.withColumns({"place": (F.row_number().over(job.orderBy("i")) - 1).cast("long"), "n": F.count(F.lit(1)).over(job)})
+
+    def halve(s: Column, k: Column) -> Column:
+        middle = F.floor((s["a"] + s["b"]) / 2)
+        met, left = middle == F.col("place"), F.col("place") < middle
+        narrowed = F.struct(
+            F.when(met | left, s["a"]).otherwise(middle).alias("a"), F.when(left, middle).otherwise(s["b"]).alias("b"), F.when(met, k).alias("level"))
+        return F.when(s["level"].isNotNull(), s).otherwise(narrowed)
+
+    start = F.struct(F.lit(0).cast("long").alias("a"), (F.col("n") - 1).alias("b"), F.lit(None).cast("int").alias("level"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(62)), start, halve)
+    level = F.when(F.col("place") == 0, -1).when(F.col("place") == F.col("n") - 1, 0).otherwise(F.col("found.level"))
+    marked = counted.withColumn("found", found).withColumns({"level": level, "begin": F.col("found.a")})
+    visit = F.row_number().over(job.orderBy("level", "begin")) - 1
+    return marked.withColumn("visit", visit.cast("long")).drop("place", "n", "found", "level", "begin")
 
 
 def fact_records(records: DataFrame) -> DataFrame:

@@ -56,12 +56,35 @@ def json_chunk(job, index, count, records):
     return f'{{"job_ref":"{job}","chunk_index":{index},"chunk_count":{count},"records":[{",".join(records)}]}}\n'
 
 
+def coverage_ranks(n: int) -> list[int]:
+    """The order in which n places are visited: first, last, then midpoints breadth first."""
+    order, gaps = ([0] if n else []) + ([n - 1] if n > 1 else []), [(0, n - 1)]
+    while gaps:
+        following = []
+        for a, b in gaps:
+            if b - a > 1:
+                m = (a + b) // 2
+                order.append(m)
+                following += [(a, m), (m, b)]
+        gaps = following
+    return order
+
+
 @given(st.integers(0, 300))
 def test_coverage_order_is_a_permutation_from_the_ends(n):
-    order = evidence.coverage_ranks(n)
+    order = coverage_ranks(n)
     assert sorted(order) == list(range(n)) and order[:2] == [0, n - 1][: min(n, 2)] if n != 1 else order == [0]
 
 
+def test_coverage_order_of_every_count(spark):
+    counts = [*range(1, 40), 64, 65, 127, 1000]
+    df = spark.createDataFrame([(n,) for n in counts], "job_id long").select("job_id", F.explode(F.sequence(F.lit(1), "job_id")).alias("i"))
+    got = {}
+    for r in evidence.coverage_order(df).orderBy("job_id", "visit").collect():
+        got.setdefault(r.job_id, []).append(r.i - 1)
+    assert got == {n: coverage_ranks(n) for n in counts}
+
+
 def plain_evidence(records, max_bytes):
     """(class, i) that a packet takes of one job's records (i, source, text), list by list."""
     def unlike(sources):
@@ -76,7 +99,7 @@ def plain_evidence(records, max_bytes):
     size = lambda text: len(json.dumps(text, ensure_ascii=False).encode()) + 1
     chosen, used, texts = [], 0, set()
     marks = unlike(["timeline"])
-    lists = [("timeline", [marks[k] for k in evidence.coverage_ranks(len(marks))]), ("facts", [r for r in unlike(["ocr", "summary", "asr"]) if re.search(r"\d|\b[A-Z][A-Z0-9-]{1,}\b", r[1])]), ("passages", unlike(["summary", "asr", "ocr"]))]
+    lists = [("timeline", [marks[k] for k in coverage_ranks(len(marks))]), ("facts", [r for r in unlike(["ocr", "summary", "asr"]) if re.search(r"\d|\b[A-Z][A-Z0-9-]{1,}\b", r[1])]), ("passages", unlike(["summary", "asr", "ocr"]))]
     for name, own in lists:
         limit = {"timeline": int(max_bytes * 0.45), "facts": min(max_bytes, used + int(max_bytes * 0.3))}.get(name, max_bytes)
         taken = set(texts)

@@ -214,30 +214,38 @@ def nearest_distance(frames: DataFrame) -> DataFrame:
     return found.groupBy("job_id", "frame_id").agg(F.coalesce(F.round(F.min("ratio"), 6), F.lit(1.0)).alias("nearest"))
 
 
-def pick_evenly(times: np.ndarray, scores: np.ndarray, k: int) -> list[int]:
-    """Indexes of k frames near evenly spaced targets, better scenes preferred, ends forced, none twice."""
-    n = len(times)
-    if n <= k:
-        return list(range(n))
-    span = max(times[-1] - times[0], 1.0)
-    left = set(range(1, n - 1))
-    out = [0] if k == 1 else [0, n - 1]
-    for target in [times[0] + span * i / (k - 1) for i in range(1, k - 1)]:
-        best = min(left, key=lambda i: (abs(times[i] - target) / span - 0.05 * min(1.0, max(0.0, scores[i])), i))
-        left.discard(best)
-        out.append(best)
-    return sorted(out)
-
-
 def pick_k(frames: DataFrame, k: int, least: int = 1) -> DataFrame:
-    """job_id, frame_id, t of k frames of each job that has at least ``least``; all of them if there are no more than k."""
+    """job_id, frame_id, t of k frames of each job that has at least ``least``; all of them if there are no more than k.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "frame_id"]).reset_index(drop=True)
-        chosen = pick_evenly(pdf["t"].to_numpy(), pdf["scene_score"].to_numpy(), k) if len(pdf) >= least else []
-        return pdf.iloc[chosen][["job_id", "frame_id", "t"]]
+    The ends are taken, and for each evenly spaced time between them the frame of
+    the least distance, as a share of the span, less 0.05 of its scene score, that
+    was not taken before. As others take at most k - 3 frames, the k - 2 best of
+    each time are enough to choose from; only they are gathered.
+    """
+    at = F.struct("t", "frame_id")
+    ends = frames.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"), F.max(at).alias("last")).where(F.col("n") >= least)
+    rows = frames.join(ends, "job_id")
+    edge = (at == F.col("first")) | ((at == F.col("last")) & F.lit(k > 1))
+    sure = rows.where((F.col("n") <= k) | edge).select("job_id", "frame_id", "t")
+    if k < 3:
+        return sure
+    span = F.greatest(F.col("last.t") - F.col("first.t"), F.lit(1.0))
+    inner = rows.where((F.col("n") > k) & ~edge).select("job_id", "frame_id", "t", "scene_score", F.col("first.t").alias("begin"), span.alias("span"), F.explode(F.sequence(F.lit(1), F.lit(k - 2))).alias("slot"))
+    scene = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("scene_score", F.lit(0.0))))
+    cost = F.abs(F.col("t") - (F.col("begin") + F.col("span") * F.col("slot") / (k - 1))) / F.col("span") - 0.05 * scene
+    place = F.row_number().over(Window.partitionBy("job_id", "slot").orderBy("cost", "t", "frame_id"))
+    best = inner.withColumn("cost", cost).withColumn("place", place).where(F.col("place") <= k - 2).select("job_id", "slot", "place", "frame_id", "t")
+
+    def choose_each(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: dict = {}
+        for _, own in pdf.sort_values(["slot", "place"]).groupby("slot", sort=True):
+            free = own[[x not in taken for x in zip(own["t"], own["frame_id"], strict=True)]]
+            taken[free["t"].iloc[0], free["frame_id"].iloc[0]] = None
+        return pd.DataFrame([(pdf["job_id"].iloc[0], f, t) for t, f in taken], columns=["job_id", "frame_id", "t"])
 
-    return _per_job(frames.select("job_id", "frame_id", "t", "scene_score"), pick, "job_id long, frame_id long, t double")
+    kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("job_id", "frame_id", "t"))
+    return sure.union(best.groupBy("job_id").applyInPandas(choose_each, schema))
 
 
 def frame_coverage(selected: DataFrame, meta: DataFrame) -> DataFrame:

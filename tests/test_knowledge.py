@@ -121,12 +121,26 @@ def test_selection_equals_the_plain_version(spark):
         assert rows(evidence.select_evidence(df, budget), "job_id", "class", "i") == sorted(want, key=repr)
 
 
-@settings(max_examples=50)
-@given(st.lists(st.floats(0, 100), min_size=1, max_size=40, unique=True), st.integers(1, 10))
-def test_even_picks(times, k):
-    t = np.sort(np.array(times))
-    picked = frames.pick_evenly(t, np.zeros(len(t)), k)
-    assert len(picked) == min(k, len(t)) == len(set(picked)) and picked[0] == 0 and (k == 1 or picked[-1] == len(t) - 1)
+def plain_picks(frames_, k):
+    """Frames (t, frame_id, score) chosen of one job, in order."""
+    own = sorted(frames_)
+    if len(own) <= k:
+        return own
+    span, taken = max(own[-1][0] - own[0][0], 1.0), {0} if k == 1 else {0, len(own) - 1}
+    for n in range(1, k - 1):
+        target = own[0][0] + span * n / (k - 1)
+        taken.add(min((i for i in range(1, len(own) - 1) if i not in taken), key=lambda i: (abs(own[i][0] - target) / span - 0.05 * min(1.0, max(0.0, own[i][2])), i)))
+    return [own[i] for i in sorted(taken)]
+
+
+def test_even_picks_equal_the_plain_version(spark):
+    rng = random.Random(12)
+    data = [(job, n, rng.choice([float(rng.randint(0, 9)), rng.random() * 100, rng.random() / 5]), rng.choice([0.0, 1.0, 3.0, rng.random()])) for job in range(30) for n in range(rng.randint(1, 30))]
+    df = spark.createDataFrame(data, "job_id long, frame_id long, t double, scene_score double").repartition(3)
+    for k in (1, 2, 3, 5, 8):
+        want = [(job, f, t) for job in range(30) for t, f, _ in plain_picks([(t, f, s) for j, f, t, s in data if j == job], k)]
+        assert rows(frames.pick_k(df, k), "job_id", "frame_id", "t") == sorted(want, key=repr)
+    assert {r.job_id for r in frames.pick_k(df, 5, least=10).collect()} == {j for j in range(30) if sum(d[0] == j for d in data) >= 10}
 
 
 def test_frame_choice_avoids_duplicates(spark):

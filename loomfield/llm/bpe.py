@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from loomfield.llm.tables import bound_batches, slices
 
-#: Pieces, and pairs, that a worker remembers twice over, and characters of the longest piece remembered (some 60 MB in all).
-REMEMBERED, LONGEST = 100_000, 32
+#: Pieces, and pairs, that a worker remembers twice over, and characters of the longest piece remembered (some 180 MB in all).
+REMEMBERED, LONGEST = 200_000, 32
 #: Matches handled at a time, whatever the length of a text.
 STEP = 1 << 16
 NEVER = 1 << 62

@@ -18,6 +18,7 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate, groupby
 
 import pyarrow as pa
@@ -34,7 +35,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, as [0-9a-f]+ would take them
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: Other tokens, or what base spans leave of them, are scored if they have at least so many characters.
-TOKEN, CANDIDATE_LEAST = re.compile(r"[A-Za-z0-9+/_.=-]+"), 16
+TOKEN, CANDIDATE_LEAST = r"[A-Za-z0-9+/_.=-]", 16
 #: Labelled strings of each kind, and background tokens, that the automata are fitted on at most (smallest hashes of
 #: all that have at most so many characters; longer ones are scored, not learned).
 SAMPLE, LONGEST_FITTED = 1000, 256
@@ -56,13 +57,16 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
+@lru_cache
+def _long_tokens(least: int) -> re.Pattern:
+    return re.compile(f"{TOKEN}{{{least},}}")
+
+
 def candidates(text: str, taken: list[tuple[int, int, str, str]], least: int = CANDIDATE_LEAST) -> list[tuple[int, int, str]]:
     """(start, end, token) of tokens, and of what base spans leave of tokens, of at least ``least`` characters."""
     out, n, reach = [], 0, 0
     spans = sorted((s, e) for s, _, e, _ in taken)
-    for m in TOKEN.finditer(text):
-        if m.end() - m.start() < least:
-            continue
+    for m in _long_tokens(least).finditer(text):
         while n < len(spans) and spans[n][0] < m.end():
             start = max(m.start(), reach)
             if spans[n][0] - start >= least:

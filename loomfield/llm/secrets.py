@@ -18,11 +18,11 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate, groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm.tables import bound_batches, materialise
@@ -167,8 +167,8 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LON
     """kind, value: of each kind's distinct values of at most ``longest`` characters in all texts, those with the ``size`` smallest hashes.
 
     Equal hashes go by value. Each task keeps its own smallest; then values are
-    counted by ranges of hashes, so that only those up to the range that holds the
-    last one wanted are put in order, and no task gathers a kind.
+    counted by ranges of hashes, and only the range that holds the last one wanted
+    is put in order, so no task gathers a kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +195,21 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LON
     found = documents.select("text").mapInArrow(run, "kind string, value string, h long").distinct()
     found = materialise(found.withColumn("range", F.expr(f"h div {2**32 // RANGES}")), "labelled")
     counts = sorted(map(tuple, found.groupBy("kind", "range").count().collect()))
-    last: dict[str, int] = {}
+    last: dict[str, tuple[int, int]] = {}  # of each kind the range of the last one wanted, and how many of that range are
     for kind, own in groupby(counts, key=lambda c: c[0]):
         ranges = list(own)
-        sums = list(accumulate(n for _, _, n in ranges))
-        last[kind] = ranges[min(bisect_left(sums, size), len(ranges) - 1)][1]
+        sums = [0, *accumulate(n for _, _, n in ranges)]
+        at = min(bisect_left(sums, size, 1), len(ranges)) - 1
+        last[kind] = ranges[at][1], size - sums[at]
     if not last:
         return found.select("kind", "value")
-    near = F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[F.col("kind")]
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
-    return found.where(F.col("range") <= near).withColumn("rank", rank).where(F.col("rank") <= size).select("kind", "value")
+    in_last = reduce(Column.__or__, [(F.col("kind") == k) & (F.col("range") == r) for k, (r, _) in last.items()])
+    keep = F.lit(False)
+    for kind, own in groupby(sorted(map(tuple, found.where(in_last).select("kind", "h", "value").collect())), key=lambda c: c[0]):
+        rows = list(own)
+        _, h, value = rows[min(last[kind][1], len(rows)) - 1]
+        keep = keep | (F.col("kind") == kind) & ((F.col("h") < h) | (F.col("h") == h) & (F.col("value") <= value))
+    return found.where(keep).select("kind", "value")
 
 
 def learn_formats(documents: DataFrame) -> dict[str, Automaton]:

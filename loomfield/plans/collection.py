@@ -16,13 +16,16 @@ CHUNKS = "SELECT DISTINCT job_id, segment_id % 3 AS chunk, CAST(600 + job_id % 7
 CHUNKED = "SELECT job_id, segment_id % 3 AS chunk, segment_id AS i, start_s, end_s, text FROM v_segments"
 RESULTS = "SELECT job_id, segment_id % 3 AS chunk, confidence > 0.3 AS valid FROM v_segments WHERE segment_id < 3"
 SPEECH_DOCS = """SELECT job_id, job_id % 11 <> 0 AS has_audio, CASE job_id % 3 WHEN 0 THEN 'zh' WHEN 1 THEN 'yue' ELSE 'en' END AS language,
-    CASE WHEN job_id % 7 = 0 THEN NULL ELSE CAST(job_id % 10 AS DOUBLE) / 10 END AS language_probability FROM v_segments WHERE segment_id = 0"""
+    CASE WHEN job_id % 7 = 0 THEN NULL ELSE CAST(job_id % 10 AS DOUBLE) / 10 END AS language_probability FROM v_segments WHERE segment_id =
+        0"""
 DURATIONS = "SELECT c_custkey AS job_id, CAST(c_custkey % 100 AS DOUBLE) AS source_s, CAST(c_custkey % 100 AS DOUBLE) * (0.9 + CAST(c_custkey % 20 AS DOUBLE) / 100) AS reported_s FROM customer"
-RAW_ITEMS = """SELECT concat(' ', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey % 5 = 0 THEN '  ' ELSE concat(p_name, ' ') END AS title, p_brand AS author,
+RAW_ITEMS = """SELECT concat(' ', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey % 5 = 0 THEN '  ' ELSE concat(p_name, ' ') END AS
+        title, p_brand AS author,
     p_partkey * 37 % 100000 AS duration_ms, p_size % 10 AS width, p_size % 7 AS height FROM part"""
 VARIANT_ROWS = """SELECT l_orderkey AS item_id, l_linenumber AS width, CAST(l_quantity AS BIGINT) AS height, l_suppkey AS bitrate,
     concat(CASE WHEN l_partkey % 6 = 0 THEN 'http' ELSE 'https' END, '://v/', CAST(l_partkey AS STRING)) AS url FROM lineitem"""
-MANIFESTS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 9 = 0 THEN 'v0' ELSE 'v1' END AS version, o_orderkey % 8 <> 0 AS reached_end, SHA(CAST(o_orderkey AS STRING)) AS source_sha256,
+MANIFESTS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 9 = 0 THEN 'v0' ELSE 'v1' END AS version, o_orderkey % 8 <> 0 AS
+        reached_end, SHA(CAST(o_orderkey AS STRING)) AS source_sha256,
     CASE WHEN o_orderkey % 5 = 0 THEN array('ocr') ELSE array('asr', 'ocr', 'timeline') END AS artifacts FROM orders"""
 HASHES_NOW = "SELECT o_orderkey AS job_id, SHA(CAST(o_orderkey + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS STRING)) AS observed_sha256 FROM orders WHERE o_orderkey % 4 <> 0"
 ARRIVALS = """SELECT l_orderkey % 500 AS snapshot_id,
@@ -35,12 +38,16 @@ CHAINED = """SELECT CAST(o_custkey AS STRING) AS snapshot_id,
     CAST(o_orderkey % 3 AS STRING) AS page_cursor,
     CAST(o_orderkey * 7 % 3 AS STRING) AS next_cursor,
     o_orderkey % 5 <> 0 AS has_more"""
-NOTES = """SELECT page_id, html, CASE WHEN page_id % 13 = 2 THEN '_index' ELSE concat('c', CAST(page_id % 4 AS STRING)) END AS category, concat('f', CAST(page_id AS STRING)) AS folder,
-    concat('---', chr(10), CASE WHEN page_id % 11 = 0 THEN ': [' ELSE concat('category: c', chr(10), CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('title: T', CAST(page_id AS STRING), chr(10)) END,
-        CASE WHEN page_id % 5 = 0 THEN 'more: 1' ELSE concat('tags: [', CASE WHEN page_id % 13 = 2 THEN '_index' ELSE concat('c', CAST(page_id % 4 AS STRING)) END, ', page]') END) END, chr(10), '---', chr(10), html) AS text FROM pages"""
+NOTES = """SELECT page_id, html, CASE WHEN page_id % 13 = 2 THEN '_index' ELSE concat('c', CAST(page_id % 4 AS STRING)) END AS category,
+        concat('f', CAST(page_id AS STRING)) AS folder,
+    concat('---', chr(10), CASE WHEN page_id % 11 = 0 THEN ': [' ELSE concat('category: c', chr(10), CASE WHEN page_id % 3 = 0 THEN '' ELSE
+        concat('title: T', CAST(page_id AS STRING), chr(10)) END,
+        CASE WHEN page_id % 5 = 0 THEN 'more: 1' ELSE concat('tags: [', CASE WHEN page_id % 13 = 2 THEN '_index' ELSE concat('c',
+        CAST(page_id % 4 AS STRING)) END, ', page]') END) END, chr(10), '---', chr(10), html) AS text FROM pages"""
 REJECTS = "SELECT user_id AS job_id, event_type AS body, CASE WHEN value > 50 THEN event_type END AS code FROM events"
 
-AUDITED = """SELECT source_id, job_id, alt_id, snapshot_id, last_position, CASE WHEN last_position % 97 = 5 THEN 'lost' ELSE status END AS status FROM v_items"""
+AUDITED = """SELECT source_id, job_id, alt_id, snapshot_id, last_position, CASE WHEN last_position % 97 = 5 THEN 'lost' ELSE status END AS
+        status FROM v_items"""
 VALID = "SELECT source_id FROM v_items WHERE last_position % 4 <> 1"
 
 RESET = "s.source_id IS NOT NULL AND i.status = 'completed' AND (i.pipeline_version <> 'v1' OR (s.media_sha256 IS NOT NULL AND s.media_sha256 IS DISTINCT FROM i.media_sha256))"
@@ -71,8 +78,10 @@ def _updates(s, d):
     return sql(s, d, UPDATES)
 
 
-UPDATES = """SELECT source_id, CASE k % 8 WHEN 0 THEN 'processing' WHEN 1 THEN 'analyzed' WHEN 2 THEN 'lost' WHEN 3 THEN 'completed' WHEN 4 THEN 'downloaded' WHEN 5 THEN 'incomplete' WHEN 6 THEN 'failed' ELSE NULL END AS new_status,
-    CASE WHEN k % 7 = 1 THEN 'late' END AS new_error, CASE WHEN k % 5 = 1 THEN 'm' END AS new_media_sha256 FROM v_src WHERE k % 3 = 0 OR k % 30 = 1"""
+UPDATES = """SELECT source_id, CASE k % 8 WHEN 0 THEN 'processing' WHEN 1 THEN 'analyzed' WHEN 2 THEN 'lost' WHEN 3 THEN 'completed' WHEN 4
+        THEN 'downloaded' WHEN 5 THEN 'incomplete' WHEN 6 THEN 'failed' ELSE NULL END AS new_status,
+    CASE WHEN k % 7 = 1 THEN 'late' END AS new_error, CASE WHEN k % 5 = 1 THEN 'm' END AS new_media_sha256 FROM v_src WHERE k % 3 = 0 OR k %
+        30 = 1"""
 NEEDS = """SELECT i.*, currently_collected AND NOT (status = 'completed' AND pipeline_version = 'v1' AND o.source_id IS NOT NULL) AS needs
     FROM v_items i LEFT JOIN (SELECT source_id FROM v_observed WHERE observed_sha256 IS NOT NULL) o ON i.source_id = o.source_id"""
 
@@ -174,7 +183,8 @@ def _contents(s, d):
 TESTS: dict = {
     "S-1": (
         lambda s, d: _dumped(s, d),
-        """SELECT 'd' || page_id % 8 AS snapshot_id, page_id AS seq, n AS pos, page_id || '/' || n AS id, page_id * 100 + n AS duration_ms FROM pages, (VALUES (0), (2)) AS slots(n) WHERE page_id % 7 <> 1 AND page_id % 5 <> 1""",
+        """SELECT 'd' || page_id % 8 AS snapshot_id, page_id AS seq, n AS pos, page_id || '/' || n AS id, page_id * 100 + n AS duration_ms
+        FROM pages, (VALUES (0), (2)) AS slots(n) WHERE page_id % 7 <> 1 AND page_id % 5 <> 1""",
     ),
     "S-10": (
         lambda s, d: _versions(s, d),
@@ -182,112 +192,190 @@ TESTS: dict = {
     ),
     "S-2": (
         lambda s, d: files.classify_pages(_shaped(s, d)).select("page_id", "page_status", F.size("items").alias("items")),
-        """SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'denied' WHEN page_id % 5 = 1 THEN 'invalid' ELSE 'ok' END AS page_status, CASE WHEN page_id % 5 <> 1 THEN CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END END AS items FROM pages""",
+        """SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'denied' WHEN page_id % 5 = 1 THEN 'invalid' ELSE 'ok' END AS page_status, CASE
+        WHEN page_id % 5 <> 1 THEN CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END END AS items FROM pages""",
     ),
     "S-5": (
         lambda s, d: timeline.flatten_transcript(_transcripts(s, d)).select("job_id", "segment_id", "start_s", "end_s", "text", "confidence", F.size("words").alias("words")),
-        """SELECT job_id, segment_id, start_s, end_s, text, confidence, 1 AS words FROM (SELECT * EXCLUDE (segment_id), segment_id AS turn, row_number() OVER (PARTITION BY job_id ORDER BY segment_id) - 1 AS segment_id FROM v_segments) t
+        """SELECT job_id, segment_id, start_s, end_s, text, confidence, 1 AS words FROM (SELECT * EXCLUDE (segment_id), segment_id AS turn,
+        row_number() OVER (PARTITION BY job_id ORDER BY segment_id) - 1 AS segment_id FROM v_segments) t
         WHERE turn % 5 <> 4 AND text IS NOT NULL""",
     ),
     "S-6": (
         lambda s, d: timeline.flatten_screen_text(_screens(s, d)),
-        """SELECT job_id, frame_id, t, 'f' || frame_id AS file, n AS line, CASE n WHEN 1 THEN text ELSE 'second' END AS text, CASE n WHEN 1 THEN confidence END AS confidence FROM v_screen, (VALUES (1), (2)) AS lines(n)""",
+        """SELECT job_id, frame_id, t, 'f' || frame_id AS file, n AS line, CASE n WHEN 1 THEN text ELSE 'second' END AS text, CASE n WHEN 1
+        THEN confidence END AS confidence FROM v_screen, (VALUES (1), (2)) AS lines(n)""",
     ),
     "S-8": (
         lambda s, d: files.split_front_matter(sql(s, d, NOTES)).select("page_id", F.col("front")["title"].alias("title"), F.col("front")["tags"].alias("tags"), "front_error", "body"),
-        f"""SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 11 <> 0 THEN 'T' || page_id END AS title, CASE WHEN page_id % 5 <> 0 AND page_id % 11 <> 0 THEN '[' || chr(39) || category || chr(39) || ', ' || chr(39) || 'page' || chr(39) || ']' END AS tags,
+        f"""SELECT page_id, CASE WHEN page_id % 3 <> 0 AND page_id % 11 <> 0 THEN 'T' || page_id END AS title, CASE WHEN page_id % 5 <> 0
+        AND page_id % 11 <> 0 THEN '[' || chr(39) || category || chr(39) || ', ' || chr(39) || 'page' || chr(39) || ']' END AS tags,
         CASE WHEN page_id % 11 = 0 THEN 'malformed' END AS front_error, html AS body FROM ({NOTES}) n""",
     ),
-    "S-3": (lambda s, d: snapshot.project_items(sql(s, d, RAW_ITEMS)), f"""SELECT nullif(trim(id), '') AS source_id, nullif(trim(title), '') AS title, nullif(trim(author), '') AS author,
-        round(nullif(duration_ms, 0) / 1000.0, 3) AS duration_s, nullif(width, 0) AS width, nullif(height, 0) AS height FROM ({RAW_ITEMS}) t"""),
+    "S-3": (lambda s, d: snapshot.project_items(sql(s, d, RAW_ITEMS)), f"""SELECT nullif(trim(id), '') AS source_id, nullif(trim(title), '')
+        AS title, nullif(trim(author), '') AS author,
+        round(nullif(duration_ms, 0) / 1000.0, 3) AS duration_s, nullif(width, 0) AS width, nullif(height, 0) AS height FROM ({RAW_ITEMS})
+        t"""),
     "S-7": (lambda s, d: timeline.document_lines(view(s, d, "documents"), "doc_id", "text"), """SELECT doc_id, i AS line_no, line FROM (
-        SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) WHERE trim(line) <> ''"""),
+        SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM
+        documents)) WHERE trim(line) <> ''"""),
     "S-9": (
         lambda s, d: files.entries_of(sql(s, d, NOTES)).select("category", "folder", "title", F.array_join("tags", ",").alias("tags")),
-        f"""SELECT category, folder, 'T' || page_id AS title, category || ',page' AS tags FROM ({NOTES}) n WHERE category <> '_index' AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND page_id % 11 <> 0""",
+        f"""SELECT category, folder, 'T' || page_id AS title, category || ',page' AS tags FROM ({NOTES}) n WHERE category <> '_index' AND
+        page_id % 3 <> 0 AND page_id % 5 <> 0 AND page_id % 11 <> 0""",
     ),
     "S-11": (lambda s, d: files.quarantine(sql(s, d, REJECTS), "code", "body")[1],
         f"SELECT job_id, SHA(body) AS sha256, min(code) AS code FROM ({REJECTS}) t WHERE code IS NOT NULL GROUP BY job_id, SHA(body)"),
     "S-12": (
         lambda s, d: _ingested(s, d),
-        f"""SELECT snapshot_id, page_cursor, CASE WHEN count(DISTINCT row(next_cursor, has_more)) > 1 THEN 'conflict' ELSE 'page' END AS kind, arg_min(next_cursor, page_seq) AS next_cursor FROM ({ARRIVALS} FROM lineitem) t GROUP BY 1, 2""",
+        f"""SELECT snapshot_id, page_cursor, CASE WHEN count(DISTINCT row(next_cursor, has_more)) > 1 THEN 'conflict' ELSE 'page' END AS
+        kind, arg_min(next_cursor, page_seq) AS next_cursor FROM ({ARRIVALS} FROM lineitem) t GROUP BY 1, 2""",
     ),
     "S-13": (
         lambda s, d: _chained(s, d),
         f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY page_seq) AS i FROM ({CHAINED} FROM orders) t),
-        p AS (SELECT DISTINCT snapshot_id, CAST(0 AS BIGINT) AS i, '' AS outcome, NULL::VARCHAR AS expected, NULL::BOOLEAN AS more FROM o UNION ALL
-            SELECT snapshot_id, i, outcome, CASE WHEN outcome = 'accepted' THEN next_cursor ELSE expected END, CASE WHEN outcome = 'accepted' THEN has_more ELSE more END FROM
-            (SELECT o.*, p.expected, p.more, CASE WHEN p.more IS NULL THEN CASE WHEN page_cursor = '0' THEN 'accepted' ELSE 'bad_start' END WHEN NOT p.more THEN 'after_last_page' WHEN page_cursor = p.expected THEN 'accepted'
+        p AS (SELECT DISTINCT snapshot_id, CAST(0 AS BIGINT) AS i, '' AS outcome, NULL::VARCHAR AS expected, NULL::BOOLEAN AS more FROM o
+        UNION ALL
+            SELECT snapshot_id, i, outcome, CASE WHEN outcome = 'accepted' THEN next_cursor ELSE expected END, CASE WHEN outcome =
+        'accepted' THEN has_more ELSE more END FROM
+            (SELECT o.*, p.expected, p.more, CASE WHEN p.more IS NULL THEN CASE WHEN page_cursor = '0' THEN 'accepted' ELSE 'bad_start' END
+        WHEN NOT p.more THEN 'after_last_page' WHEN page_cursor = p.expected THEN 'accepted'
                 ELSE 'discontinuity' END AS outcome FROM p JOIN o ON o.snapshot_id = p.snapshot_id AND o.i = p.i + 1) q)
         SELECT o.snapshot_id, page_seq, outcome FROM p JOIN o USING (snapshot_id, i)""",
     ),
-    "C-1": (lambda s, d: snapshot.canonical_ids(sql(s, d, "SELECT source_id AS item, CASE WHEN k % 4 = 0 THEN ' ' ELSE source_id END AS first_id, CASE WHEN k % 8 = 0 THEN NULL ELSE concat(source_id, ' ') END AS second_id FROM v_src"), "first_id", "second_id").select("item", "id", "id_error"),
+    "C-1": (
+        lambda s, d: snapshot.canonical_ids(sql(s, d, "SELECT source_id AS item, CASE WHEN k % 4 = 0 THEN ' ' ELSE source_id END AS first_id, CASE WHEN k % 8 = 0 THEN NULL ELSE concat(source_id, ' ') END AS second_id FROM v_src"), "first_id", "second_id").select("item", "id", "id_error"),
         """SELECT item, id, CASE WHEN id IS NULL THEN 'missing_id' END AS id_error FROM (SELECT source_id AS item,
-        coalesce(nullif(trim(CASE WHEN k % 4 = 0 THEN ' ' ELSE source_id END), ''), nullif(trim(CASE WHEN k % 8 = 0 THEN NULL ELSE concat(source_id, ' ') END), '')) AS id FROM v_src) t"""),
-    "C-2": (lambda s, d: snapshot.stable_keys(sql(s, d, "SELECT source_id FROM v_src"), "source_id"), "SELECT source_id, concat('item-', substr(SHA(source_id), 1, 20)) AS job_id FROM v_src"),
-    "C-3": (lambda s, d: snapshot.validate_chain(chain(s, d)), """WITH m AS (SELECT *, lag(next_cursor) OVER w AS expected, lag(has_more) OVER w AS more, row_number() OVER w AS i, lead(page_seq) OVER w IS NULL AS last
+        coalesce(nullif(trim(CASE WHEN k % 4 = 0 THEN ' ' ELSE source_id END), ''), nullif(trim(CASE WHEN k % 8 = 0 THEN NULL ELSE
+        concat(source_id, ' ') END), '')) AS id FROM v_src) t""",
+    ),
+    "C-2": (
+        lambda s, d: snapshot.stable_keys(sql(s, d, "SELECT source_id FROM v_src"), "source_id"),
+        "SELECT source_id, concat('item-', substr(SHA(source_id), 1, 20)) AS job_id FROM v_src",
+    ),
+    "C-3": (lambda s, d: snapshot.validate_chain(chain(s, d)), """WITH m AS (SELECT *, lag(next_cursor) OVER w AS expected, lag(has_more)
+        OVER w AS more, row_number() OVER w AS i, lead(page_seq) OVER w IS NULL AS last
             FROM v_chain WINDOW w AS (PARTITION BY snapshot_id ORDER BY page_seq)),
-        c AS (SELECT snapshot_id, count(*) AS pages, count(DISTINCT page_cursor) AS cursors, min(CASE WHEN i = 1 AND page_cursor IS DISTINCT FROM '0' THEN '1_bad_start' WHEN i > 1 AND NOT more THEN '2_after_last_page'
-            WHEN i > 1 AND page_cursor IS DISTINCT FROM expected THEN '3_discontinuity' WHEN has_more AND next_cursor = page_cursor THEN '4_not_advanced' WHEN last AND has_more THEN '6_incomplete' END) AS code FROM m GROUP BY snapshot_id)
-        SELECT snapshot_id, pages, substr(least(code, CASE WHEN cursors < pages THEN '5_cursor_cycle' END, CASE WHEN pages > 10000 THEN '7_page_limit' END), 3) AS error FROM c"""),
-    "C-4": (lambda s, d: snapshot.assign_positions(view(s, d, "v_page_items")), """SELECT snapshot_id, source_id, row_number() OVER (PARTITION BY snapshot_id ORDER BY seq, pos) AS position FROM (
+        c AS (SELECT snapshot_id, count(*) AS pages, count(DISTINCT page_cursor) AS cursors, min(CASE WHEN i = 1 AND page_cursor IS DISTINCT
+        FROM '0' THEN '1_bad_start' WHEN i > 1 AND NOT more THEN '2_after_last_page'
+            WHEN i > 1 AND page_cursor IS DISTINCT FROM expected THEN '3_discontinuity' WHEN has_more AND next_cursor = page_cursor THEN
+        '4_not_advanced' WHEN last AND has_more THEN '6_incomplete' END) AS code FROM m GROUP BY snapshot_id)
+        SELECT snapshot_id, pages, substr(least(code, CASE WHEN cursors < pages THEN '5_cursor_cycle' END, CASE WHEN pages > 10000 THEN
+        '7_page_limit' END), 3) AS error FROM c"""),
+    "C-4": (lambda s, d: snapshot.assign_positions(view(s, d, "v_page_items")), """SELECT snapshot_id, source_id, row_number() OVER
+        (PARTITION BY snapshot_id ORDER BY seq, pos) AS position FROM (
         SELECT *, row_number() OVER (PARTITION BY snapshot_id, source_id ORDER BY seq, pos) AS r FROM v_page_items) t WHERE r = 1"""),
-    "C-5": (lambda s, d: snapshot.page_conflicts(view(s, d, "v_replays")), """SELECT snapshot_id, page_cursor, count(*) AS deliveries, count(DISTINCT concat(next_cursor, CAST(has_more AS VARCHAR))) AS versions
+    "C-5": (lambda s, d: snapshot.page_conflicts(view(s, d, "v_replays")), """SELECT snapshot_id, page_cursor, count(*) AS deliveries,
+        count(DISTINCT concat(next_cursor, CAST(has_more AS VARCHAR))) AS versions
         FROM v_replays GROUP BY 1, 2 HAVING count(DISTINCT concat(next_cursor, CAST(has_more AS VARCHAR))) > 1"""),
-    "C-6": (lambda s, d: snapshot.snapshot_counts(view(s, d, "v_page_items")), "SELECT snapshot_id, count(*) AS item_count FROM v_page_items GROUP BY 1"),
+    "C-6": (
+        lambda s, d: snapshot.snapshot_counts(view(s, d, "v_page_items")),
+        "SELECT snapshot_id, count(*) AS item_count FROM v_page_items GROUP BY 1",
+    ),
     "C-7": (
         lambda s, d: snapshot.reconcile(items(s, d), seen(s, d), view(s, d, "v_snapshots"), "s2", "v1", NOW),
         f"""SELECT coalesce(i.source_id, s.source_id) AS source_id, coalesce(s.alt_id, i.alt_id) AS alt_id,
-        coalesce(job_id, concat('item-', substr(SHA(s.source_id), 1, 20))) AS job_id, coalesce(first_seen_at, TIMESTAMP '{NOW}') AS first_seen_at,
-        CASE WHEN s.source_id IS NULL THEN last_seen_at ELSE TIMESTAMP '{NOW}' END AS last_seen_at, s.source_id IS NOT NULL AS currently_collected,
-        CASE WHEN s.source_id IS NOT NULL THEN NULL WHEN currently_collected THEN coalesce(uncollected_at, TIMESTAMP '{NOW}') ELSE uncollected_at END AS uncollected_at,
-        coalesce(s.position, last_position) AS last_position, CASE WHEN i.source_id IS NULL OR ({RESET}) THEN 'new' ELSE i.status END AS status,
-        CASE WHEN s.source_id IS NOT NULL THEN 'v1' ELSE pipeline_version END AS pipeline_version, coalesce(s.media_sha256, i.media_sha256) AS media_sha256,
-        CASE WHEN i.source_id IS NULL OR ({RESET}) THEN NULL ELSE error END AS error, coalesce(s.snapshot_id, i.snapshot_id) AS snapshot_id FROM {MERGE}""",
+        coalesce(job_id, concat('item-', substr(SHA(s.source_id), 1, 20))) AS job_id, coalesce(first_seen_at, TIMESTAMP '{NOW}') AS
+        first_seen_at,
+        CASE WHEN s.source_id IS NULL THEN last_seen_at ELSE TIMESTAMP '{NOW}' END AS last_seen_at, s.source_id IS NOT NULL AS
+        currently_collected,
+        CASE WHEN s.source_id IS NOT NULL THEN NULL WHEN currently_collected THEN coalesce(uncollected_at, TIMESTAMP '{NOW}') ELSE
+        uncollected_at END AS uncollected_at,
+        coalesce(s.position, last_position) AS last_position, CASE WHEN i.source_id IS NULL OR ({RESET}) THEN 'new' ELSE i.status END AS
+        status,
+        CASE WHEN s.source_id IS NOT NULL THEN 'v1' ELSE pipeline_version END AS pipeline_version, coalesce(s.media_sha256, i.media_sha256)
+        AS media_sha256,
+        CASE WHEN i.source_id IS NULL OR ({RESET}) THEN NULL ELSE error END AS error, coalesce(s.snapshot_id, i.snapshot_id) AS snapshot_id
+        FROM {MERGE}""",
+    ),
+    "C-8": (lambda s, d: snapshot.diff(items(s, d), seen(s, d), "v1").groupBy("change").agg(F.count(F.lit(1)).alias("n")), f"""SELECT CASE
+        WHEN i.source_id IS NULL THEN 'new' WHEN s.source_id IS NULL THEN CASE WHEN currently_collected THEN 'uncollected' ELSE 'gone' END
+        WHEN {RESET} THEN 'reset' WHEN NOT currently_collected THEN 'recollected' ELSE 'kept' END AS change, count(*) AS n FROM {MERGE}
+        GROUP BY 1"""),
+    "C-9": (
+        lambda s, d: snapshot.completed_only(sql(s, d, "SELECT CASE WHEN k % 2 = 0 THEN 's2' ELSE 's3' END AS snapshot_id, source_id FROM v_src"), view(s, d, "v_snapshots")),
+        "SELECT 's2' AS snapshot_id, source_id FROM v_src WHERE k % 2 = 0",
     ),
-    "C-8": (lambda s, d: snapshot.diff(items(s, d), seen(s, d), "v1").groupBy("change").agg(F.count(F.lit(1)).alias("n")), f"""SELECT CASE WHEN i.source_id IS NULL THEN 'new' WHEN s.source_id IS NULL THEN CASE WHEN currently_collected THEN 'uncollected' ELSE 'gone' END
-        WHEN {RESET} THEN 'reset' WHEN NOT currently_collected THEN 'recollected' ELSE 'kept' END AS change, count(*) AS n FROM {MERGE} GROUP BY 1"""),
-    "C-9": (lambda s, d: snapshot.completed_only(sql(s, d, "SELECT CASE WHEN k % 2 = 0 THEN 's2' ELSE 's3' END AS snapshot_id, source_id FROM v_src"), view(s, d, "v_snapshots")),
-        "SELECT 's2' AS snapshot_id, source_id FROM v_src WHERE k % 2 = 0"),
-    "C-10": (lambda s, d: snapshot.audit_registry(sql(s, d, AUDITED), view(s, d, "v_snapshots")), """SELECT 'bad_status' AS code, source_id AS key FROM v_items WHERE last_position % 97 = 5 UNION ALL SELECT 'repeated_job' AS code, job_id AS key FROM v_items GROUP BY job_id HAVING count(*) > 1
+    "C-10": (lambda s, d: snapshot.audit_registry(sql(s, d, AUDITED), view(s, d, "v_snapshots")), """SELECT 'bad_status' AS code, source_id
+        AS key FROM v_items WHERE last_position % 97 = 5 UNION ALL SELECT 'repeated_job' AS code, job_id AS key FROM v_items GROUP BY job_id
+        HAVING count(*) > 1
         UNION ALL SELECT 'repeated_alt', alt_id FROM v_items WHERE alt_id IS NOT NULL GROUP BY alt_id HAVING count(*) > 1
-        UNION ALL SELECT 'repeated_position', concat(snapshot_id, '/', last_position) FROM v_items GROUP BY snapshot_id, last_position HAVING count(*) > 1
+        UNION ALL SELECT 'repeated_position', concat(snapshot_id, '/', last_position) FROM v_items GROUP BY snapshot_id, last_position
+        HAVING count(*) > 1
         UNION ALL SELECT 'unknown_snapshot', source_id FROM v_items WHERE snapshot_id NOT IN (SELECT snapshot_id FROM v_snapshots)"""),
     "C-11": (lambda s, d: _needs(s, d).select("source_id", "needs"), f"SELECT source_id, needs FROM ({NEEDS}) t"),
-    "C-12": (lambda s, d: snapshot.next_items(_needs(s, d)).select("collection", "source_id", "last_position"), f"""SELECT collection, source_id, last_position FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY last_position, source_id) AS r
+    "C-12": (lambda s, d: snapshot.next_items(_needs(s, d)).select("collection", "source_id", "last_position"), f"""SELECT collection,
+        source_id, last_position FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY last_position, source_id) AS r
         FROM ({NEEDS}) t WHERE needs) q WHERE r = 1"""),
     "C-13": (
         lambda s, d: snapshot.claim_decisions(items(s, d), observed(s, d).select("source_id", "observed_sha256"), sql(s, d, VALID), "v1"),
-        f"""SELECT *, decision NOT IN ('not_collected', 'completed_current') AS process, CASE WHEN decision IN ('not_collected', 'completed_current') THEN NULL
-        WHEN decision IN ('media_missing', 'hash_changed', 'artifacts_invalid') THEN 'incomplete' WHEN decision = 'version_changed' THEN 'new' ELSE 'processing' END AS new_status
-        FROM (SELECT o.source_id, CASE WHEN NOT coalesce(currently_collected, false) THEN 'not_collected' WHEN pipeline_version <> 'v1' THEN 'version_changed'
-        WHEN status = 'completed' THEN CASE WHEN observed_sha256 IS NULL THEN 'media_missing' WHEN media_sha256 <> observed_sha256 THEN 'hash_changed'
-        WHEN a.source_id IS NULL THEN 'artifacts_invalid' ELSE 'completed_current' END WHEN status IN ('failed', 'incomplete') THEN 'retry' ELSE status END AS decision
+        f"""SELECT *, decision NOT IN ('not_collected', 'completed_current') AS process, CASE WHEN decision IN ('not_collected',
+        'completed_current') THEN NULL
+        WHEN decision IN ('media_missing', 'hash_changed', 'artifacts_invalid') THEN 'incomplete' WHEN decision = 'version_changed' THEN
+        'new' ELSE 'processing' END AS new_status
+        FROM (SELECT o.source_id, CASE WHEN NOT coalesce(currently_collected, false) THEN 'not_collected' WHEN pipeline_version <> 'v1' THEN
+        'version_changed'
+        WHEN status = 'completed' THEN CASE WHEN observed_sha256 IS NULL THEN 'media_missing' WHEN media_sha256 <> observed_sha256 THEN
+        'hash_changed'
+        WHEN a.source_id IS NULL THEN 'artifacts_invalid' ELSE 'completed_current' END WHEN status IN ('failed', 'incomplete') THEN 'retry'
+        ELSE status END AS decision
         FROM v_observed o LEFT JOIN v_items i ON i.source_id = o.source_id LEFT JOIN ({VALID}) a ON a.source_id = o.source_id) t""",
     ),
-    "C-14": (lambda s, d: snapshot.select_fixed(sql(s, d, "SELECT source_id FROM v_src WHERE k % 2 = 0"), items(s, d), seen(s, d)), """SELECT w.source_id, CASE WHEN i.source_id IS NULL THEN 'unknown' WHEN s.source_id IS NULL THEN 'not_in_snapshot'
+    "C-14": (
+        lambda s, d: snapshot.select_fixed(sql(s, d, "SELECT source_id FROM v_src WHERE k % 2 = 0"), items(s, d), seen(s, d)),
+        """SELECT
+        w.source_id, CASE WHEN i.source_id IS NULL THEN 'unknown' WHEN s.source_id IS NULL THEN 'not_in_snapshot'
         WHEN NOT currently_collected THEN 'not_collected' WHEN i.status = 'completed' THEN 'already_completed' ELSE 'ok' END AS reason
-        FROM (SELECT source_id FROM v_src WHERE k % 2 = 0) w LEFT JOIN v_items i ON w.source_id = i.source_id LEFT JOIN v_seen s ON w.source_id = s.source_id"""),
-    "C-15": (lambda s, d: snapshot.identity_conflicts(items(s, d).drop("alt_id"), observed(s, d)), """SELECT * FROM (SELECT i.source_id, CASE WHEN o.alt_id <> i.source_id THEN 'alt_id' WHEN i.author <> o.author THEN 'author'
-        WHEN media_sha256 <> observed_sha256 THEN 'hash' END AS conflict FROM v_items i JOIN v_observed o ON i.source_id = o.source_id) t WHERE conflict IS NOT NULL"""),
+        FROM (SELECT source_id FROM v_src WHERE k % 2 = 0) w LEFT JOIN v_items i ON w.source_id = i.source_id LEFT JOIN v_seen s ON
+        w.source_id = s.source_id""",
+    ),
+    "C-15": (lambda s, d: snapshot.identity_conflicts(items(s, d).drop("alt_id"), observed(s, d)), """SELECT * FROM (SELECT i.source_id,
+        CASE WHEN o.alt_id <> i.source_id THEN 'alt_id' WHEN i.author <> o.author THEN 'author'
+        WHEN media_sha256 <> observed_sha256 THEN 'hash' END AS conflict FROM v_items i JOIN v_observed o ON i.source_id = o.source_id) t
+        WHERE conflict IS NOT NULL"""),
     "C-16": (
         lambda s, d: snapshot.apply_status(items(s, d), _updates(s, d))[0].select("source_id", "status", "error", "media_sha256"),
-        f"""SELECT i.source_id, CASE WHEN use THEN new_status ELSE status END AS status, CASE WHEN use THEN new_error ELSE error END AS error,
-        CASE WHEN use THEN coalesce(new_media_sha256, media_sha256) ELSE media_sha256 END AS media_sha256 FROM (SELECT i.*, u.* EXCLUDE (source_id), u.source_id IS NOT NULL AND status <> 'completed' AS use
-        FROM v_items i LEFT JOIN (SELECT * FROM ({UPDATES}) t WHERE new_status IN ('new', 'processing', 'downloaded', 'analyzed', 'failed', 'incomplete')) u ON i.source_id = u.source_id) i""",
+        f"""SELECT i.source_id, CASE WHEN use THEN new_status ELSE status END AS status, CASE WHEN use THEN new_error ELSE error END AS
+        error,
+        CASE WHEN use THEN coalesce(new_media_sha256, media_sha256) ELSE media_sha256 END AS media_sha256 FROM (SELECT i.*, u.* EXCLUDE
+        (source_id), u.source_id IS NOT NULL AND status <> 'completed' AS use
+        FROM v_items i LEFT JOIN (SELECT * FROM ({UPDATES}) t WHERE new_status IN ('new', 'processing', 'downloaded', 'analyzed', 'failed',
+        'incomplete')) u ON i.source_id = u.source_id) i""",
+    ),
+    "C-17": (
+        lambda s, d: snapshot.status_counts(items(s, d)),
+        "SELECT status, count(*) AS items, CAST(sum(CAST(currently_collected AS INT)) AS BIGINT) AS collected FROM v_items GROUP BY ROLLUP(status)",
+    ),
+    "C-18": (
+        lambda s, d: snapshot.position_drift(sql(s, d, "SELECT user_id AS source_id, event_id AS at, CAST(value AS INT) % 3 AS position FROM events")),
+        """SELECT
+        * FROM (SELECT user_id AS source_id, event_id AS at, CAST(trunc(value) AS INT) % 3 AS position,
+        lag(CAST(trunc(value) AS INT) % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) t WHERE before IS NULL OR
+        before <> position""",
+    ),
+    "C-19": (
+        lambda s, d: snapshot.project_state(items(s, d), sql(s, d, "SELECT source_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 2 = 0 THEN 'active' ELSE 'uncollected' END AS stored_state FROM v_src")),
+        """SELECT
+        i.source_id, CASE WHEN currently_collected THEN 'active' ELSE 'uncollected' END AS state FROM v_items i
+        JOIN (SELECT source_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 2 = 0 THEN 'active' ELSE 'uncollected' END AS stored_state FROM
+        v_src) p ON i.source_id = p.source_id
+        WHERE CASE WHEN currently_collected THEN 'active' ELSE 'uncollected' END IS DISTINCT FROM stored_state""",
     ),
-    "C-17": (lambda s, d: snapshot.status_counts(items(s, d)), "SELECT status, count(*) AS items, CAST(sum(CAST(currently_collected AS INT)) AS BIGINT) AS collected FROM v_items GROUP BY ROLLUP(status)"),
-    "C-18": (lambda s, d: snapshot.position_drift(sql(s, d, "SELECT user_id AS source_id, event_id AS at, CAST(value AS INT) % 3 AS position FROM events")), """SELECT * FROM (SELECT user_id AS source_id, event_id AS at, CAST(trunc(value) AS INT) % 3 AS position,
-        lag(CAST(trunc(value) AS INT) % 3) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) t WHERE before IS NULL OR before <> position"""),
-    "C-19": (lambda s, d: snapshot.project_state(items(s, d), sql(s, d, "SELECT source_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 2 = 0 THEN 'active' ELSE 'uncollected' END AS stored_state FROM v_src")), """SELECT i.source_id, CASE WHEN currently_collected THEN 'active' ELSE 'uncollected' END AS state FROM v_items i
-        JOIN (SELECT source_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 2 = 0 THEN 'active' ELSE 'uncollected' END AS stored_state FROM v_src) p ON i.source_id = p.source_id
-        WHERE CASE WHEN currently_collected THEN 'active' ELSE 'uncollected' END IS DISTINCT FROM stored_state"""),
-    "C-20": (lambda s, d: snapshot.unchanged_except(sql(s, d, "SELECT source_id, status FROM v_src"), sql(s, d, "SELECT source_id, CASE WHEN k % 50 = 1 THEN 'moved' ELSE status END AS status FROM v_src WHERE k % 70 <> 2"), "source_id", "1"), """
-        SELECT source_id, status, 'before' AS side FROM (SELECT source_id, status FROM v_src WHERE source_id <> '1' EXCEPT ALL SELECT source_id, CASE WHEN k % 50 = 1 THEN 'moved' ELSE status END FROM v_src WHERE k % 70 <> 2) a
-        UNION ALL SELECT source_id, status, 'after' FROM (SELECT source_id, CASE WHEN k % 50 = 1 THEN 'moved' ELSE status END AS status FROM v_src WHERE k % 70 <> 2 AND source_id <> '1' EXCEPT ALL SELECT source_id, status FROM v_src) b"""),
-    "M-1": (lambda s, d: media.inventory_diff(view(s, d, "v_inv_prev"), view(s, d, "v_inv_scan")), """SELECT coalesce(p.media_path, s.media_path) AS media_path, change, CASE WHEN change IN ('inserted', 'updated') THEN 'new' WHEN change = 'missing' THEN 'missing' ELSE p.status END AS status,
-        coalesce(s.content_hash, p.content_hash) AS content_hash FROM (SELECT p, s, CASE WHEN p.media_path IS NULL THEN 'inserted' WHEN s.media_path IS NULL THEN 'missing' WHEN p.size_bytes IS NOT DISTINCT FROM s.size_bytes
-        AND p.modified_ns IS NOT DISTINCT FROM s.modified_ns AND p.content_hash IS NOT DISTINCT FROM s.content_hash THEN 'unchanged' ELSE 'updated' END AS change
+    "C-20": (
+        lambda s, d: snapshot.unchanged_except(sql(s, d, "SELECT source_id, status FROM v_src"), sql(s, d, "SELECT source_id, CASE WHEN k % 50 = 1 THEN 'moved' ELSE status END AS status FROM v_src WHERE k % 70 <> 2"), "source_id", "1"),
+        """
+        SELECT source_id, status, 'before' AS side FROM (SELECT source_id, status FROM v_src WHERE source_id <> '1' EXCEPT ALL SELECT
+        source_id, CASE WHEN k % 50 = 1 THEN 'moved' ELSE status END FROM v_src WHERE k % 70 <> 2) a
+        UNION ALL SELECT source_id, status, 'after' FROM (SELECT source_id, CASE WHEN k % 50 = 1 THEN 'moved' ELSE status END AS status FROM
+        v_src WHERE k % 70 <> 2 AND source_id <> '1' EXCEPT ALL SELECT source_id, status FROM v_src) b""",
+    ),
+    "M-1": (lambda s, d: media.inventory_diff(view(s, d, "v_inv_prev"), view(s, d, "v_inv_scan")), """SELECT coalesce(p.media_path,
+        s.media_path) AS media_path, change, CASE WHEN change IN ('inserted', 'updated') THEN 'new' WHEN change = 'missing' THEN 'missing'
+        ELSE p.status END AS status,
+        coalesce(s.content_hash, p.content_hash) AS content_hash FROM (SELECT p, s, CASE WHEN p.media_path IS NULL THEN 'inserted' WHEN
+        s.media_path IS NULL THEN 'missing' WHEN p.size_bytes IS NOT DISTINCT FROM s.size_bytes
+        AND p.modified_ns IS NOT DISTINCT FROM s.modified_ns AND p.content_hash IS NOT DISTINCT FROM s.content_hash THEN 'unchanged' ELSE
+        'updated' END AS change
         FROM v_inv_prev p FULL OUTER JOIN v_inv_scan s ON p.media_path = s.media_path) t"""),
     "M-2": (lambda s, d: media.inventory_status(view(s, d, "v_inv_prev")), "SELECT status, count(*) AS files FROM v_inv_prev GROUP BY 1"),
     "M-3": (
@@ -300,43 +388,103 @@ TESTS: dict = {
     ),
     "M-7": (
         lambda s, d: media.media_outcome(media.protected_media(media.media_kind(_contents(s, d))), 4000).select("doc_id", "outcome"),
-        """SELECT doc_id, CASE WHEN length > 4000 THEN 'too_large' WHEN doc_id % 9 = 8 THEN 'length_mismatch' WHEN doc_id % 5 = 1 THEN 'protected' WHEN doc_id % 7 >= 5 THEN 'bad_signature' WHEN doc_id % 7 > 0 THEN 'unsupported_container' ELSE 'ok' END AS outcome
-        FROM (SELECT doc_id, strlen(coalesce(text, '')) + CASE doc_id % 7 WHEN 4 THEN 377 WHEN 2 THEN 3 WHEN 0 THEN 12 WHEN 1 THEN 4 WHEN 3 THEN 4 ELSE 0 END + CASE doc_id % 5 WHEN 1 THEN 16 WHEN 2 THEN 16 ELSE 0 END AS length FROM documents) t""",
+        """SELECT doc_id, CASE WHEN length > 4000 THEN 'too_large' WHEN doc_id % 9 = 8 THEN 'length_mismatch' WHEN doc_id % 5 = 1 THEN
+        'protected' WHEN doc_id % 7 >= 5 THEN 'bad_signature' WHEN doc_id % 7 > 0 THEN 'unsupported_container' ELSE 'ok' END AS outcome
+        FROM (SELECT doc_id, strlen(coalesce(text, '')) + CASE doc_id % 7 WHEN 4 THEN 377 WHEN 2 THEN 3 WHEN 0 THEN 12 WHEN 1 THEN 4 WHEN 3
+        THEN 4 ELSE 0 END + CASE doc_id % 5 WHEN 1 THEN 16 WHEN 2 THEN 16 ELSE 0 END AS length FROM documents) t""",
     ),
-    "M-5": (_variants, f"""WITH r AS ({VARIANT_ROWS}), o AS (SELECT item_id, url, least(width, height) AS a, width * height AS b, bitrate FROM r WHERE width > 0 AND height > 0 AND starts_with(url, 'https://')),
-        f AS (SELECT item_id, url, row_number() OVER (PARTITION BY item_id ORDER BY a DESC, b DESC, bitrate DESC, url) AS n FROM o), g AS (SELECT item_id, url, min(n) AS n FROM f GROUP BY 1, 2),
+    "M-5": (_variants, f"""WITH r AS ({VARIANT_ROWS}), o AS (SELECT item_id, url, least(width, height) AS a, width * height AS b, bitrate
+        FROM r WHERE width > 0 AND height > 0 AND starts_with(url, 'https://')),
+        f AS (SELECT item_id, url, row_number() OVER (PARTITION BY item_id ORDER BY a DESC, b DESC, bitrate DESC, url) AS n FROM o), g AS
+        (SELECT item_id, url, min(n) AS n FROM f GROUP BY 1, 2),
         h AS (SELECT item_id, string_agg(url, ',' ORDER BY n) AS u FROM g GROUP BY 1)
-        SELECT i.item_id, concat_ws(',', u, 'https://p/' || CAST(i.item_id AS VARCHAR)) AS urls FROM (SELECT DISTINCT item_id FROM r) i LEFT JOIN h ON i.item_id = h.item_id"""),
-    "M-6": (lambda s, d: media.allowed_urls(view(s, d, "pages").select("page_id", "url"), ["example.com", "example.org"]).select("page_id", "allowed"), """SELECT page_id, coalesce(regexp_matches(url, '^https://([a-z0-9.-]+[.])?example[.](com|org)(:443)?([/?#]|$)'), false) AS allowed FROM pages"""),
-    "M-8": (lambda s, d: media.tree_digest(view(s, d, "v_artifacts")), "SELECT bundle, count(*) AS files, SHA(string_agg(rel_path || ':' || sha256, chr(10) ORDER BY rel_path || ':' || sha256)) AS digest FROM v_artifacts GROUP BY 1"),
-    "M-9": (lambda s, d: media.verify_inventory(view(s, d, "v_artifacts"), view(s, d, "v_artifacts_now")), """SELECT * FROM (SELECT coalesce(e.bundle, a.bundle) AS bundle, coalesce(e.rel_path, a.rel_path) AS rel_path, CASE WHEN a.rel_path IS NULL THEN 'missing' WHEN e.rel_path IS NULL THEN 'unexpected'
-        WHEN e.size <> a.size THEN 'size' WHEN e.sha256 <> a.sha256 THEN 'sha256' END AS problem FROM v_artifacts e FULL OUTER JOIN v_artifacts_now a ON e.bundle = a.bundle AND e.rel_path = a.rel_path) t WHERE problem IS NOT NULL"""),
-    "M-10": (lambda s, d: media.analysis_current(sql(s, d, MANIFESTS), sql(s, d, HASHES_NOW), "v1", ["asr", "ocr"]), f"""SELECT m.job_id, coalesce(version = 'v1' AND reached_end AND source_sha256 = observed_sha256 AND list_contains(artifacts, 'asr') AND list_contains(artifacts, 'ocr'), false) AS current
+        SELECT i.item_id, concat_ws(',', u, 'https://p/' || CAST(i.item_id AS VARCHAR)) AS urls FROM (SELECT DISTINCT item_id FROM r) i LEFT
+        JOIN h ON i.item_id = h.item_id"""),
+    "M-6": (
+        lambda s, d: media.allowed_urls(view(s, d, "pages").select("page_id", "url"), ["example.com", "example.org"]).select("page_id", "allowed"),
+        """SELECT
+        page_id, coalesce(regexp_matches(url, '^https://([a-z0-9.-]+[.])?example[.](com|org)(:443)?([/?#]|$)'), false) AS allowed FROM
+        pages""",
+    ),
+    "M-8": (
+        lambda s, d: media.tree_digest(view(s, d, "v_artifacts")),
+        "SELECT bundle, count(*) AS files, SHA(string_agg(rel_path || ':' || sha256, chr(10) ORDER BY rel_path || ':' || sha256)) AS digest FROM v_artifacts GROUP BY 1",
+    ),
+    "M-9": (lambda s, d: media.verify_inventory(view(s, d, "v_artifacts"), view(s, d, "v_artifacts_now")), """SELECT * FROM (SELECT
+        coalesce(e.bundle, a.bundle) AS bundle, coalesce(e.rel_path, a.rel_path) AS rel_path, CASE WHEN a.rel_path IS NULL THEN 'missing'
+        WHEN e.rel_path IS NULL THEN 'unexpected'
+        WHEN e.size <> a.size THEN 'size' WHEN e.sha256 <> a.sha256 THEN 'sha256' END AS problem FROM v_artifacts e FULL OUTER JOIN
+        v_artifacts_now a ON e.bundle = a.bundle AND e.rel_path = a.rel_path) t WHERE problem IS NOT NULL"""),
+    "M-10": (lambda s, d: media.analysis_current(sql(s, d, MANIFESTS), sql(s, d, HASHES_NOW), "v1", ["asr", "ocr"]), f"""SELECT m.job_id,
+        coalesce(version = 'v1' AND reached_end AND source_sha256 = observed_sha256 AND list_contains(artifacts, 'asr') AND
+        list_contains(artifacts, 'ocr'), false) AS current
         FROM ({MANIFESTS.replace('array(', 'list_value(')}) m LEFT JOIN ({HASHES_NOW}) h ON m.job_id = h.job_id"""),
-    "M-11": (lambda s, d: media.hash_drift(view(s, d, "v_inv_prev"), view(s, d, "v_inv_scan"), "media_path", "content_hash"), """SELECT coalesce(p.media_path, s.media_path) AS media_path, p.content_hash AS before, s.content_hash AS after
-        FROM v_inv_prev p FULL OUTER JOIN v_inv_scan s ON p.media_path = s.media_path WHERE p.content_hash IS DISTINCT FROM s.content_hash"""),
-    "T-1": (lambda s, d: timeline.segment_confidence(sql(s, d, CONVERSATION_WORDS)), f"SELECT job_id, segment_id, round(avg(confidence), 6) AS confidence FROM ({CONVERSATION_WORDS}) t GROUP BY 1, 2"),
-    "T-2": (lambda s, d: timeline.stitch_chunks(sql(s, d, CHUNKED), sql(s, d, CHUNKS)), f"""WITH c AS (SELECT job_id, chunk, coalesce(sum(duration_s) OVER (PARTITION BY job_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM ({CHUNKS}) t)
-        SELECT g.job_id, row_number() OVER (PARTITION BY g.job_id ORDER BY g.chunk, start_s, i) - 1 AS segment_id, round(start_s + o, 3) AS start_s, round(end_s + o, 3) AS end_s, text FROM ({CHUNKED}) g JOIN c ON g.job_id = c.job_id AND g.chunk = c.chunk"""),
-    "T-3": (lambda s, d: timeline.pending_chunks(sql(s, d, CHUNKS), sql(s, d, RESULTS)), f"SELECT c.* FROM ({CHUNKS}) c WHERE NOT EXISTS (SELECT 1 FROM ({RESULTS}) r WHERE r.valid AND r.job_id = c.job_id AND r.chunk = c.chunk)"),
-    "T-4": (lambda s, d: timeline.duration_check(sql(s, d, DURATIONS)), f"""SELECT job_id, source_s, reported_s, round(reported_s / nullif(source_s, 0), 6) AS ratio, coalesce(reported_s / nullif(source_s, 0) BETWEEN 0.95 AND 1.05, false) AS in_range FROM ({DURATIONS}) t"""),
-    "T-5": (lambda s, d: timeline.speech_quality(sql(s, d, SPEECH_DOCS), segs(s, d)), f"""SELECT t.job_id, coalesce(low, 0) AS low, CASE WHEN NOT has_audio THEN 'not_applicable' WHEN language NOT IN ('zh', 'yue') OR language_probability IS NULL OR language_probability < 0.7 OR low > 0 THEN 'needs_review' ELSE 'ok' END AS quality
-        FROM ({SPEECH_DOCS}) t LEFT JOIN (SELECT job_id, count(*) FILTER (confidence < 0.5) AS low FROM v_segments GROUP BY 1) l ON t.job_id = l.job_id"""),
-    "T-6": (lambda s, d: timeline.screen_quality(segs(s, d), screen(s, d)), """SELECT *, CASE WHEN lines = 0 OR 4 * low > lines THEN 'needs_review' ELSE 'ok' END AS quality FROM (SELECT j.job_id, count(s.job_id) AS lines, count(*) FILTER (s.confidence < 0.5) AS low,
-        count(DISTINCT s.frame_id) AS frames_with_text FROM (SELECT DISTINCT job_id FROM v_segments) j LEFT JOIN v_screen s ON j.job_id = s.job_id GROUP BY 1) t"""),
-    "T-7": (lambda s, d: timeline.timeline(spoken(s, d), frames_seen(s, d)), """SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, source, text) AS i FROM (SELECT job_id, start_s AS t, 'asr' AS source, text FROM v_spoken
+    "M-11": (lambda s, d: media.hash_drift(view(s, d, "v_inv_prev"), view(s, d, "v_inv_scan"), "media_path", "content_hash"), """SELECT
+        coalesce(p.media_path, s.media_path) AS media_path, p.content_hash AS before, s.content_hash AS after
+        FROM v_inv_prev p FULL OUTER JOIN v_inv_scan s ON p.media_path = s.media_path WHERE p.content_hash IS DISTINCT FROM
+        s.content_hash"""),
+    "T-1": (
+        lambda s, d: timeline.segment_confidence(sql(s, d, CONVERSATION_WORDS)),
+        f"SELECT job_id, segment_id, round(avg(confidence), 6) AS confidence FROM ({CONVERSATION_WORDS}) t GROUP BY 1, 2",
+    ),
+    "T-2": (lambda s, d: timeline.stitch_chunks(sql(s, d, CHUNKED), sql(s, d, CHUNKS)), f"""WITH c AS (SELECT job_id, chunk,
+        coalesce(sum(duration_s) OVER (PARTITION BY job_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM
+        ({CHUNKS}) t)
+        SELECT g.job_id, row_number() OVER (PARTITION BY g.job_id ORDER BY g.chunk, start_s, i) - 1 AS segment_id, round(start_s + o, 3) AS
+        start_s, round(end_s + o, 3) AS end_s, text FROM ({CHUNKED}) g JOIN c ON g.job_id = c.job_id AND g.chunk = c.chunk"""),
+    "T-3": (
+        lambda s, d: timeline.pending_chunks(sql(s, d, CHUNKS), sql(s, d, RESULTS)),
+        f"SELECT c.* FROM ({CHUNKS}) c WHERE NOT EXISTS (SELECT 1 FROM ({RESULTS}) r WHERE r.valid AND r.job_id = c.job_id AND r.chunk = c.chunk)",
+    ),
+    "T-4": (lambda s, d: timeline.duration_check(sql(s, d, DURATIONS)), f"""SELECT job_id, source_s, reported_s, round(reported_s /
+        nullif(source_s, 0), 6) AS ratio, coalesce(reported_s / nullif(source_s, 0) BETWEEN 0.95 AND 1.05, false) AS in_range FROM
+        ({DURATIONS}) t"""),
+    "T-5": (lambda s, d: timeline.speech_quality(sql(s, d, SPEECH_DOCS), segs(s, d)), f"""SELECT t.job_id, coalesce(low, 0) AS low, CASE
+        WHEN NOT has_audio THEN 'not_applicable' WHEN language NOT IN ('zh', 'yue') OR language_probability IS NULL OR language_probability
+        < 0.7 OR low > 0 THEN 'needs_review' ELSE 'ok' END AS quality
+        FROM ({SPEECH_DOCS}) t LEFT JOIN (SELECT job_id, count(*) FILTER (confidence < 0.5) AS low FROM v_segments GROUP BY 1) l ON t.job_id
+        = l.job_id"""),
+    "T-6": (lambda s, d: timeline.screen_quality(segs(s, d), screen(s, d)), """SELECT *, CASE WHEN lines = 0 OR 4 * low > lines THEN
+        'needs_review' ELSE 'ok' END AS quality FROM (SELECT j.job_id, count(s.job_id) AS lines, count(*) FILTER (s.confidence < 0.5) AS
+        low,
+        count(DISTINCT s.frame_id) AS frames_with_text FROM (SELECT DISTINCT job_id FROM v_segments) j LEFT JOIN v_screen s ON j.job_id =
+        s.job_id GROUP BY 1) t"""),
+    "T-7": (lambda s, d: timeline.timeline(spoken(s, d), frames_seen(s, d)), """SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t,
+        source, text) AS i FROM (SELECT job_id, start_s AS t, 'asr' AS source, text FROM v_spoken
         UNION ALL SELECT job_id, t, 'ocr', text FROM v_shown) u"""),
-    "T-8": (lambda s, d: timeline.near_segments(frames_seen(s, d), spoken(s, d), 3600, width=14400).select("job_id", "frame_id", "segment_id"), """SELECT f.job_id, frame_id, segment_id FROM v_shown f JOIN v_spoken s
-        ON f.job_id = s.job_id AND start_s <= f.t + 3600 AND end_s >= f.t - 3600"""),
-    "T-9": (lambda s, d: timeline.frame_digest(screen(s, d), screen(s, d), segs(s, d), width=60.0), """WITH sh AS (SELECT job_id, frame_id, string_agg(text, ' / ' ORDER BY line, text) AS screen_text FROM v_screen GROUP BY 1, 2),
-        sa AS (SELECT f.job_id, f.frame_id, string_agg(s.text, ' ' ORDER BY start_s, segment_id) AS speech, min(start_s) AS start_s, max(end_s) AS end_s FROM v_screen f JOIN v_segments s ON f.job_id = s.job_id AND start_s <= f.t + 7.5 AND end_s >= f.t - 7.5 GROUP BY 1, 2)
-        SELECT f.job_id, f.frame_id, screen_text, speech, sa.start_s, sa.end_s FROM v_screen f LEFT JOIN sh USING (job_id, frame_id) LEFT JOIN sa USING (job_id, frame_id)"""),
-    "T-10": (lambda s, d: timeline.uncovered_segments(spoken(s, d), frames_seen(s, d), 3600, width=14400).select("job_id", "segment_id"), """SELECT job_id, segment_id FROM v_spoken s WHERE NOT EXISTS (SELECT 1 FROM v_shown f
-        WHERE f.job_id = s.job_id AND s.start_s <= f.t + 3600 AND s.end_s >= f.t - 3600)"""),
-    "T-11": (lambda s, d: timeline.overview(segs(s, d), screen(s, d)), """SELECT job_id, coalesce(segments, 0) AS segments, coalesce(segment_chars, 0) AS segment_chars, coalesce(lines, 0) AS lines, coalesce(frames, 0) AS frames
-        FROM (SELECT job_id, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS segment_chars FROM v_segments GROUP BY 1) a FULL OUTER JOIN (SELECT job_id, count(*) AS lines, count(DISTINCT frame_id) AS frames FROM v_screen GROUP BY 1) b USING (job_id)"""),
-    "T-12": (lambda s, d: segs(s, d).select("job_id", "segment_id", format_time(F.col("start_s")).alias("shown")).withColumn("back", F.round(parse_time(F.col("shown")), 3)), """SELECT job_id, segment_id, shown, round(start_s, 3) AS back FROM (SELECT job_id, segment_id, start_s, ms,
-        printf('%02d:%02d', ms // 60000, ms // 1000 % 60) || CASE WHEN ms % 1000 > 0 THEN printf('.%03d', ms % 1000) ELSE '' END AS shown FROM (SELECT *, CAST(round(start_s * 1000) AS BIGINT) AS ms FROM v_segments) a) t"""),
-    "T-13": (lambda s, d: timeline.render_tables(segs(s, d).select("job_id", F.col("start_s").alias("t"), "text"), "Transcript"), """WITH f AS (SELECT job_id, start_s AS t, text, CAST(round(start_s * 1000) AS BIGINT) AS ms FROM v_segments)
-        SELECT job_id, '# Transcript' || chr(10) || chr(10) || string_agg('| ' || printf('%02d:%02d', ms // 60000, ms // 1000 % 60) || CASE WHEN ms % 1000 > 0 THEN printf('.%03d', ms % 1000) ELSE '' END || ' | ' || replace(text, '|', '\\|') || ' |', chr(10) ORDER BY t, text) || chr(10) AS document FROM f GROUP BY 1"""),
+    "T-8": (
+        lambda s, d: timeline.near_segments(frames_seen(s, d), spoken(s, d), 3600, width=14400).select("job_id", "frame_id", "segment_id"),
+        """SELECT
+        f.job_id, frame_id, segment_id FROM v_shown f JOIN v_spoken s
+        ON f.job_id = s.job_id AND start_s <= f.t + 3600 AND end_s >= f.t - 3600""",
+    ),
+    "T-9": (lambda s, d: timeline.frame_digest(screen(s, d), screen(s, d), segs(s, d), width=60.0), """WITH sh AS (SELECT job_id, frame_id,
+        string_agg(text, ' / ' ORDER BY line, text) AS screen_text FROM v_screen GROUP BY 1, 2),
+        sa AS (SELECT f.job_id, f.frame_id, string_agg(s.text, ' ' ORDER BY start_s, segment_id) AS speech, min(start_s) AS start_s,
+        max(end_s) AS end_s FROM v_screen f JOIN v_segments s ON f.job_id = s.job_id AND start_s <= f.t + 7.5 AND end_s >= f.t - 7.5 GROUP
+        BY 1, 2)
+        SELECT f.job_id, f.frame_id, screen_text, speech, sa.start_s, sa.end_s FROM v_screen f LEFT JOIN sh USING (job_id, frame_id) LEFT
+        JOIN sa USING (job_id, frame_id)"""),
+    "T-10": (
+        lambda s, d: timeline.uncovered_segments(spoken(s, d), frames_seen(s, d), 3600, width=14400).select("job_id", "segment_id"),
+        """SELECT
+        job_id, segment_id FROM v_spoken s WHERE NOT EXISTS (SELECT 1 FROM v_shown f
+        WHERE f.job_id = s.job_id AND s.start_s <= f.t + 3600 AND s.end_s >= f.t - 3600)""",
+    ),
+    "T-11": (lambda s, d: timeline.overview(segs(s, d), screen(s, d)), """SELECT job_id, coalesce(segments, 0) AS segments,
+        coalesce(segment_chars, 0) AS segment_chars, coalesce(lines, 0) AS lines, coalesce(frames, 0) AS frames
+        FROM (SELECT job_id, count(*) AS segments, CAST(sum(length(text)) AS BIGINT) AS segment_chars FROM v_segments GROUP BY 1) a FULL
+        OUTER JOIN (SELECT job_id, count(*) AS lines, count(DISTINCT frame_id) AS frames FROM v_screen GROUP BY 1) b USING (job_id)"""),
+    "T-12": (
+        lambda s, d: segs(s, d).select("job_id", "segment_id", format_time(F.col("start_s")).alias("shown")).withColumn("back", F.round(parse_time(F.col("shown")), 3)),
+        """SELECT
+        job_id, segment_id, shown, round(start_s, 3) AS back FROM (SELECT job_id, segment_id, start_s, ms,
+        printf('%02d:%02d', ms // 60000, ms // 1000 % 60) || CASE WHEN ms % 1000 > 0 THEN printf('.%03d', ms % 1000) ELSE '' END AS shown
+        FROM (SELECT *, CAST(round(start_s * 1000) AS BIGINT) AS ms FROM v_segments) a) t""",
+    ),
+    "T-13": (lambda s, d: timeline.render_tables(segs(s, d).select("job_id", F.col("start_s").alias("t"), "text"), "Transcript"), """WITH f
+        AS (SELECT job_id, start_s AS t, text, CAST(round(start_s * 1000) AS BIGINT) AS ms FROM v_segments)
+        SELECT job_id, '# Transcript' || chr(10) || chr(10) || string_agg('| ' || printf('%02d:%02d', ms // 60000, ms // 1000 % 60) || CASE
+        WHEN ms % 1000 > 0 THEN printf('.%03d', ms % 1000) ELSE '' END || ' | ' || replace(text, '|', '\\|') || ' |', chr(10) ORDER BY t,
+        text) || chr(10) AS document FROM f GROUP BY 1"""),
 }

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm.components import components
-from loomfield.llm.tables import bound_batches, materialise, slices
+from loomfield.llm.tables import bound_batches, materialise, slices, tidy
 from loomfield.llm.words import U, mix, shingle_sets, word_hashes
 
 #: Sizes of a band reach from its least to this many times that.
@@ -203,7 +203,7 @@ def _survey(documents: DataFrame) -> DataFrame:
         bands = sorted(thin)
         yield pa.RecordBatch.from_arrays([pa.array([2] * len(bands), pa.int32()), *[_long(bands)] * 5], names)
 
-    return documents.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(run, "kind int, a long, b long, c long, d long, t long")
+    return documents.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(tidy(run), "kind int, a long, b long, c long, d long, t long")
 
 
 def _members(documents: DataFrame, common, wide: frozenset[int]) -> DataFrame:
@@ -225,7 +225,7 @@ def _members(documents: DataFrame, common, wide: frozenset[int]) -> DataFrame:
             if vertex:
                 yield pa.RecordBatch.from_arrays([_long(np.concatenate(keys)), _long(np.concatenate(vertex)), pa.array(np.concatenate(size))], ["key", "v", "n"])
 
-    return documents.select("text").mapInArrow(run, "key long, v long, n int")
+    return documents.select("text").mapInArrow(tidy(run), "key long, v long, n int")
 
 
 def _similar_size(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
@@ -316,7 +316,7 @@ def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["v", "fold", "sketch", "shingles"])
 
-    found = _texts_of(documents, ids).mapInArrow(run, "v long, fold binary, sketch binary, shingles binary")
+    found = _texts_of(documents, ids).mapInArrow(tidy(run), "v long, fold binary, sketch binary, shingles binary")
     return materialise(found.dropDuplicates(["v"]), "sets", True)
 
 
@@ -435,7 +435,7 @@ def _classes(documents: DataFrame) -> DataFrame:
     members = _members(documents, spark.sparkContext.broadcast(common), wide)
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = members.repartition(partitions, "key").sortWithinPartitions("key", "n", "v")
-    found = materialise(dealt.mapInArrow(_scan, "kind int, a long, b long, na long, nb long").distinct(), "found", True)
+    found = materialise(dealt.mapInArrow(tidy(_scan), "kind int, a long, b long, na long, nb long").distinct(), "found", True)
     roots = components(_links(documents, reps, found))
     placed = reps.join(roots, "v", "left").select("v", "id", F.coalesce("root", "v").alias("root"))
     placed = materialise(placed, "placed", True)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.tables import bound_batches, materialise
+from loomfield.llm.tables import bound_batches, materialise, tidy
 
 #: Length of a profile.
 PROFILE = 300
@@ -89,7 +89,7 @@ def language_profiles(documents: DataFrame, size: int = PROFILE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
 
     train = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).select("lang", "text")
-    grams = train.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = train.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = [F.desc("n"), F.asc("gram")]
     salted = grams.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(16)))
     for keys in (["lang", "salt"], ["lang"]):
@@ -124,7 +124,7 @@ def with_languages(documents: DataFrame, size: int = PROFILE) -> DataFrame:
         own = langs[at : at + GROUP]
         rows = profiles.where(F.col("lang").between(own[0], own[-1])).toArrow()
         shared = spark.sparkContext.broadcast(Profiles(own, rows, size))
-        judged = judged.mapInArrow(_judge(shared), fields)
+        judged = judged.mapInArrow(tidy(_judge(shared)), fields)
     return judged
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.pre_tokenizers import ByteLevel
 
-from loomfield.llm.tables import bound_batches, slices
+from loomfield.llm.tables import bound_batches, slices, tidy
 
 #: Ids that end each document.
 END_ID = 1
@@ -38,7 +38,7 @@ BLOCK_IDS = 1 << 20
 #: Words that a worker remembers twice over, and bytes of the longest of them (at most about 50 MB).
 REMEMBERED, LONGEST = 100_000, 40
 #: Characters encoded at a time, and documents of a slice.
-WINDOW, STEP = 1 << 21, 512
+WINDOW, STEP = 1 << 20, 512
 
 #: Kinds of characters and word endings in the split pattern, the special tokens of the
 #: vocabulary file, and the characters on which its normalisation is lower-casing alone.
@@ -274,4 +274,4 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048) -> DataFra
         if ids:
             yield close()
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)

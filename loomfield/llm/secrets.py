@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.tables import bound_batches, materialise
+from loomfield.llm.tables import bound_batches, materialise, tidy
 
 #: The base patterns, their kinds in order, and the least lengths of what must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -192,7 +192,7 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LON
         kinds, values, hashes = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(hashes, pa.int64())], ["kind", "value", "h"])
 
-    found = documents.select("text").mapInArrow(run, "kind string, value string, h long").distinct()
+    found = documents.select("text").mapInArrow(tidy(run), "kind string, value string, h long").distinct()
     found = materialise(found.withColumn("range", F.expr(f"h div {2**32 // RANGES}")), "labelled")
     counts = sorted(map(tuple, found.groupBy("kind", "range").count().collect()))
     last: dict[str, tuple[int, int]] = {}  # of each kind the range of the last one wanted, and how many of that range are
@@ -259,7 +259,7 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -285,5 +285,5 @@ def redact_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             at = b.schema.get_field_index("text")
             yield b.set_column(at, b.schema.field(at), pa.array([redact(t.as_py()) for t in b.column(at)], b.schema.field(at).type))
 
-    done = documents.mapInArrow(run, documents.schema)
+    done = documents.mapInArrow(tidy(run), documents.schema)
     return done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else done

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomfield.llm.tables import bound_batches, materialise, slices
+from loomfield.llm.tables import bound_batches, materialise, slices, tidy
 from loomfield.llm.words import mix, word_hashes
 
 #: The chain: each category with the condition on a row of labels that defines it.
@@ -136,7 +136,7 @@ def fit_chain(documents: DataFrame, labels: DataFrame) -> Chain | None:
     names = [name for name, _ in CATEGORIES]
     # an id counts once, with its smallest text, so the sample is bounded whatever ids repeat
     joined = documents.select("doc_id", "text").join(F.broadcast(sampled), "doc_id").groupBy("doc_id", *names).agg(F.min("text").alias("text")).select("doc_id", "text", *names)
-    bucketed = materialise(joined.mapInArrow(buckets, "doc_id long, buckets array<long>, " + ", ".join(f"{x} int" for x in names)), "labelled")
+    bucketed = materialise(joined.mapInArrow(tidy(buckets), "doc_id long, buckets array<long>, " + ", ".join(f"{x} int" for x in names)), "labelled")
     known = telling_buckets(bucketed, names)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")
-            for part in slices(b, at):
+            for part in slices(b, at, 256):
                 text = part.column(at)
                 p = chain.value.predict(word_buckets(_bare(text))) if chain.value else np.zeros((part.num_rows, len(names)))
                 verdict = p[:, [c for c, _ in CATEGORIES].index(DECIDES)] >= THRESHOLD
@@ -187,4 +187,4 @@ def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     plain = documents.drop(*names, "is_toxic")
     fields = [*plain.schema.fields, *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("is_toxic", T.BooleanType())]
-    return plain.mapInArrow(run, T.StructType(fields))
+    return plain.mapInArrow(tidy(run), T.StructType(fields))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomfield.llm import oracles
 from loomfield.llm.ann import nearest_neighbours
@@ -13,7 +14,10 @@ from loomfield.llm.bpe import token_digests
 from loomfield.llm.chat import render_conversations
 from loomfield.llm.jaccard import similar_documents
 from loomfield.llm.langid import predict_languages
+from loomfield.llm.merkle import tamper_check
+from loomfield.llm.negatives import hard_negatives
 from loomfield.llm.packing import pack_documents
+from loomfield.llm.reuse import word_token_digests
 from loomfield.llm.secrets import scan_secrets
 from loomfield.llm.tables import table
 from loomfield.llm.topk import exact_top_k
@@ -82,10 +86,24 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tamper_check(table(spark, sf_dir, "documents"))
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_chat_formatting, op2_url_filters, op3_language_id, op4_exact_top_k, op5_ngram_jaccard, op6_nearest_neighbours, op7_byte_bpe,
-        op8_packing, op9_toxicity, op10_secret_scans,
+        op8_packing, op9_toxicity, op10_secret_scans, op11_hard_negatives, op12_merkle_manifest, op13_chunk_bpe,
     ]
     return {f.__name__: f for f in found}
 

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from loomfield.llm.tables import bound_batches, materialise
 
 
-def valid_vectors(df: DataFrame, zero_ok: bool) -> DataFrame:
-    """vec_id, embedding of the rows that take part: an id, and finite components only."""
+def valid_vectors(df: DataFrame, zero_ok: bool, also: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, embedding and ``also`` of the rows that take part: an id, and finite components only."""
     fine = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     if not zero_ok:
         fine += " AND exists(embedding, x -> x <> 0)"
     bound_batches(df.sparkSession)
-    return df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return df.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *also)
 
 
 def dimension(vectors: DataFrame) -> int:
@@ -40,6 +40,22 @@ def dense(ids: pa.Array, lists: pa.Array, dim: int) -> tuple[np.ndarray, np.ndar
     return ids.to_numpy(zero_copy_only=False), out
 
 
+def floors(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x), which a double holds exactly."""
+    return np.floor(scale * x)
+
+
+def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of two matrices of whole numbers, exact; those beyond a long become the nearest long."""
+    safe = np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)) < 2.0**62  # no sum of some of the terms is longer
+    out = np.zeros(len(a), np.int64)
+    small = safe & (np.abs(a).max(1, initial=0) < 2.0**62) & (np.abs(b).max(1, initial=0) < 2.0**62)
+    out[small] = np.einsum("ij,ij->i", a[small].astype(np.int64), b[small].astype(np.int64))
+    for n in np.flatnonzero(~small):
+        out[n] = min(max(sum(int(x) * int(y) for x, y in zip(a[n], b[n], strict=True)), -(1 << 63)), (1 << 63) - 1)
+    return out
+
+
 def query_blocks(vectors: DataFrame, every: int, dim: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The rows whose id is divisible by ``every``, in blocks of about ``block`` ids by hash; an id counts once, with its smallest vector."""
     wanted = vectors.where(F.col("vec_id") % every == 0)

@@ -9,7 +9,7 @@ from loomfield.functions.columns import format_time, parse_time
 from loomfield.operators import media, snapshot, timeline
 from loomfield.plans.fixtures import NOW, sql, view
 from loomfield.sources import files
-from loomfield.streaming import pages
+from loomfield.streaming import ingest, pages
 
 CONVERSATION_WORDS = "SELECT conv_id AS job_id, turn AS segment_id, CAST(length(text) % 100 AS DOUBLE) / 100 AS confidence FROM conversations"
 CHUNKS = "SELECT DISTINCT job_id, segment_id % 3 AS chunk, CAST(600 + job_id % 7 AS DOUBLE) AS duration_s FROM v_segments"
@@ -28,11 +28,12 @@ MANIFESTS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 9 = 0 THEN 'v
         reached_end, SHA(CAST(o_orderkey AS STRING)) AS source_sha256,
     CASE WHEN o_orderkey % 5 = 0 THEN array('ocr') ELSE array('asr', 'ocr', 'timeline') END AS artifacts FROM orders"""
 HASHES_NOW = "SELECT o_orderkey AS job_id, SHA(CAST(o_orderkey + CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS STRING)) AS observed_sha256 FROM orders WHERE o_orderkey % 4 <> 0"
-ARRIVALS = """SELECT l_orderkey % 500 AS snapshot_id,
-    CAST(l_partkey AS STRING) AS page_cursor,
-    l_orderkey * 8 + CAST(l_linenumber AS BIGINT) AS page_seq,
-    CASE WHEN l_partkey % 3 = 0 THEN CAST(l_suppkey % 2 AS STRING) ELSE 'n' END AS next_cursor,
-    true AS has_more"""
+ARRIVALS = """SELECT o_custkey % 97 AS snapshot_id,
+    CAST(o_orderkey % 300 AS STRING) AS page_cursor,
+    o_orderkey AS page_seq,
+    CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_custkey % 2 AS STRING) ELSE 'n' END AS next_cursor,
+    true AS has_more,
+    array(CAST(o_custkey % 50 AS STRING), CAST(o_orderkey % 1000 AS STRING)) AS items"""
 CHAINED = """SELECT CAST(o_custkey AS STRING) AS snapshot_id,
     o_orderkey AS page_seq,
     CAST(o_orderkey % 3 AS STRING) AS page_cursor,
@@ -117,11 +118,12 @@ def _versions(s, d):
 
 
 def _ingested(s, d):
-    """Pages that arrive as a stream, stored once; those delivered with different contents are conflicts."""
+    """Pages that arrive as a stream: those stored, those that differ from them, and items with their positions."""
     path = files.shared_folder(s)
-    pages.ingest_pages_stream(_stream(s, d, "lineitem", ARRIVALS), path, f"{path}/state").awaitTermination()
-    kinds = [s.read.parquet(f"{path}/{folder}").select("snapshot_id", "page_cursor", F.lit(kind).alias("kind"), "next_cursor") for folder, kind in (("pages", "page"), ("conflicts", "conflict"))]
-    return kinds[0].union(kinds[1])
+    ingest.ingest_pages_stream(_stream(s, d, "orders", ARRIVALS), path, f"{path}/state").awaitTermination()
+    log = s.read.parquet(f"{path}/log").where("kind <> 'item'").select("kind", "snapshot_id", F.col("page_cursor").alias("name"), "page_seq", "next_cursor", F.lit(None).cast("long").alias("position"))
+    items = s.read.parquet(f"{path}/items").select(F.lit("item"), "snapshot_id", "item_id", "page_seq", F.lit(None).cast("string"), "position")
+    return log.union(items)
 
 
 def _chained(s, d):
@@ -228,8 +230,11 @@ TESTS: dict = {
         f"SELECT job_id, SHA(body) AS sha256, min(code) AS code FROM ({REJECTS}) t WHERE code IS NOT NULL GROUP BY job_id, SHA(body)"),
     "S-12": (
         lambda s, d: _ingested(s, d),
-        f"""SELECT snapshot_id, page_cursor, CASE WHEN count(DISTINCT row(next_cursor, has_more)) > 1 THEN 'conflict' ELSE 'page' END AS
-        kind, arg_min(next_cursor, page_seq) AS next_cursor FROM ({ARRIVALS} FROM lineitem) t GROUP BY 1, 2""",
+        f"""WITH t AS ({ARRIVALS.replace("array(", "list_value(")} FROM orders), p AS (SELECT *, row_number() OVER w AS r, first_value(row(next_cursor, has_more)) OVER w AS first FROM t WINDOW w AS (PARTITION BY snapshot_id, page_cursor ORDER BY page_seq)),
+        i AS (SELECT snapshot_id, item, page_seq, place, row_number() OVER (PARTITION BY snapshot_id, item ORDER BY page_seq, place) AS r FROM
+            (SELECT snapshot_id, page_seq, unnest(items) AS item, unnest([0, 1]) AS place FROM p WHERE r = 1) q)
+        SELECT CASE r WHEN 1 THEN 'page' ELSE 'conflict' END AS kind, snapshot_id, page_cursor AS name, page_seq, next_cursor, NULL::BIGINT AS position FROM p WHERE r = 1 OR row(next_cursor, has_more) <> first
+        UNION ALL SELECT 'item', snapshot_id, item, page_seq, NULL, row_number() OVER (PARTITION BY snapshot_id ORDER BY page_seq, place) FROM i WHERE r = 1""",
     ),
     "S-13": (
         lambda s, d: _chained(s, d),

@@ -1,4 +1,4 @@
-"""Streaming ingest of collection pages, and the state of each page chain."""
+"""The state of each chain of collection pages, as a stream."""
 
 from __future__ import annotations
 
@@ -6,43 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.query import StreamingQuery
 
-KEYS = ["snapshot_id", "page_cursor"]
 CHAIN = "snapshot_id string, page_seq long, outcome string"
 
 
-def ingest_pages_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append pages under path/pages; an identical replay adds nothing, a different one goes to path/conflicts.
-
-    A batch is written in a folder of its own, so that a batch that is run again
-    after a failure replaces what it wrote before.
-    """
-
-    def store(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        body = F.struct("next_cursor", "has_more")
-        once = batch.groupBy(*KEYS).agg(F.min_by(F.struct(*[c for c in batch.columns if c not in KEYS]), "page_seq").alias("r"), F.count_distinct(body).alias("versions"))
-        rows = once.select(*KEYS, "r.*", "versions")
-        try:
-            known = spark.read.parquet(f"{path}/pages").where(F.col("batch") != number)
-            known = known.select(*KEYS, F.col("next_cursor").alias("k_next"), F.col("has_more").alias("k_more"), F.lit(True).alias("known"))
-            rows = rows.join(known, KEYS, "left")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = rows.withColumns({"k_next": F.lit(None).cast("string"), "k_more": F.lit(None).cast("boolean"), "known": F.lit(None).cast("boolean")})
-        differs = (F.col("versions") > 1) | (F.col("known") & ~(F.col("next_cursor").eqNullSafe(F.col("k_next")) & F.col("has_more").eqNullSafe(F.col("k_more"))))
-        rows = rows.withColumn("conflict", F.coalesce(differs, F.lit(False))).drop("versions", "k_next", "k_more").persist()
-        rows.where("conflict").drop("known", "conflict").write.mode("overwrite").parquet(f"{path}/conflicts/batch={number}")
-        rows.where("known IS NULL AND NOT conflict").drop("known", "conflict").write.mode("overwrite").parquet(f"{path}/pages/batch={number}")
-        rows.unpersist()
-
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def chain_outcome(state: tuple | None, cursor: str, next_cursor: str | None, has_more: bool) -> tuple[str, tuple | None]:
     """The outcome of a page after the state (expected cursor, more pages), and the state after it."""
     if state is None:

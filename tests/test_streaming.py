@@ -1,27 +1,38 @@
-"""Streaming ingest equals a batch over the same pages."""
+"""Streaming ingest gives one result however the stream is split, and chain state equals a plain fold."""
 
 import json
 
-from loomfield.streaming.pages import chain_outcome, chain_state_stream, ingest_pages_stream
+import pytest
 
-SCHEMA = "snapshot_id string, page_seq long, page_cursor string, next_cursor string, has_more boolean"
+from loomfield.streaming.ingest import ingest_pages_stream
+from loomfield.streaming.pages import chain_outcome, chain_state_stream
+
+SCHEMA = "snapshot_id string, page_seq long, page_cursor string, next_cursor string, has_more boolean, items array<string>"
+COLUMNS = ["snapshot_id", "page_seq", "page_cursor", "next_cursor", "has_more", "items"]
+DELIVERIES = [
+    ("s", 1, "0", "1", True, ["a", " b ", "a"]), ("s", 2, "0", "1", True, ["z"]), ("t", 3, "0", None, False, ["a", None, ""]), ("s", 4, "0", "9", True, ["y"]),
+    ("s", 5, "1", None, False, ["b", "c"]), ("s", 6, "1", None, False, None), (None, 7, "0", "1", True, ["x"]),
+]
+PAGES = [("s", "0", "1", True, 1), ("s", "1", None, False, 5), ("t", "0", None, False, 3)]
+CONFLICTS = [("s", "0", "9", True, 4)]
+ITEMS = [("s", "a", 1), ("s", "b", 2), ("s", "c", 3), ("t", "a", 1)]
 
 
 def put(folder, name, pages):
-    (folder / name).write_text("\n".join(json.dumps(dict(zip(["snapshot_id", "page_seq", "page_cursor", "next_cursor", "has_more"], p, strict=True))) for p in pages))
+    (folder / name).write_text("\n".join(json.dumps(dict(zip(COLUMNS, p, strict=False))) for p in pages))
 
 
-def test_replays_add_nothing_and_conflicts_are_kept_apart(spark, tmp_path):
-    source, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+@pytest.mark.parametrize("cuts", [[], [1, 2, 3, 4, 5, 6], [4], [1, 5]])
+def test_one_result_for_every_split(spark, tmp_path, cuts):
+    source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
-    stream = lambda: spark.readStream.schema(SCHEMA).json(str(source))
-    put(source, "1.json", [("s", 1, "0", "1", True), ("s", 2, "1", None, False)])
-    ingest_pages_stream(stream(), out, check).awaitTermination()
-    put(source, "2.json", [("s", 1, "0", "1", True), ("t", 1, "0", None, False), ("s", 2, "1", "9", True)])
-    ingest_pages_stream(stream(), out, check).awaitTermination()
-    got = spark.read.parquet(out + "/pages")
-    assert sorted((r.snapshot_id, r.page_cursor) for r in got.collect()) == [("s", "0"), ("s", "1"), ("t", "0")]
-    assert [(r.snapshot_id, r.next_cursor) for r in spark.read.parquet(out + "/conflicts").collect()] == [("s", "9")]
+    for n, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(DELIVERIES)], strict=True)):
+        put(source, f"{n}.json", DELIVERIES[a:b])
+        ingest_pages_stream(spark.readStream.schema(SCHEMA).json(str(source)), out, str(tmp_path / "check")).awaitTermination()
+    log = spark.read.parquet(out + "/log").select("kind", "snapshot_id", "page_cursor", "next_cursor", "has_more", "page_seq").collect()
+    assert sorted(tuple(r)[1:] for r in log if r.kind == "page") == PAGES
+    assert [tuple(r)[1:] for r in log if r.kind == "conflict"] == CONFLICTS
+    assert sorted(map(tuple, spark.read.parquet(out + "/items").select("snapshot_id", "item_id", "position").collect())) == ITEMS
 
 
 def test_chain_state(spark, tmp_path):

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 
 #: Bytes that the rolling hash covers, hashed at a time, and of a chunk at least and at most; a cut falls on one of so many places.
 ROLLED, WINDOW = 32, 1 << 18
-LEAST, MOST, ONE_IN = 64, 2048, 256
+LEAST, MOST, ONE_IN = 128, 4096, 512
 U = np.uint64
 _BYTE = np.random.default_rng(20240513).integers(1, 1 << 63, 256, np.uint64) * U(2) + U(1)
 _FACTOR = 0x9E3779B97F4A7C15

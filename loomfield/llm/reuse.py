@@ -30,9 +30,9 @@ BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Chunks whose text a task sends on once only, as it remembers them.
 REMEMBERED = 200_000
 
-PARTS = "row long, doc_id long, part long, k1 long, k2 long, text string, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
+PARTS = "row long, doc_id long, part long, k1 long, k2 long, text string, ids binary, sizes array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NAMES = [f.split()[0] for f in PARTS.split(", ")]
-TYPES = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string()]
+TYPES = [pa.int64()] * 5 + [pa.string(), pa.binary(), pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string()]
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -97,63 +97,50 @@ def _passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (filter_[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
 
 
-def _pieces(data: np.ndarray, offsets: np.ndarray, filter_: np.ndarray) -> list[list[tuple[int, int, tuple[int, int] | None]]]:
-    """Of each text the pieces (begin, end, name): inner parts of repeated chunks, and what lies between them without a name."""
+def _inner(data: np.ndarray, offsets: np.ndarray, filter_: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
+    """Of each text the inner parts (begin, end, and the two halves of the name) of its repeated chunks, in order."""
     cuts = chunk_ends(data, offsets)
     begins = [e for start, own in zip(offsets[:-1].tolist(), cuts, strict=True) for e in [start, *own[:-1]][: len(own)]]
     ends = [e for own in cuts for e in own]
-    keys = chunk_keys(data, begins, ends)
-    places = breaks(data)
+    keys, places = chunk_keys(data, begins, ends), breaks(data)
     first, last = np.searchsorted(places, np.array(begins, np.int64), "right"), np.searchsorted(places, np.array(ends, np.int64), "right") - 1
-    use = _passes(filter_, keys) & (first < last)
-    inner = [(int(places[first[n]]), int(places[last[n]])) if use[n] else None for n in range(len(ends))]
-    out, n = [], 0
-    for start, stop, own in zip(offsets[:-1].tolist(), offsets[1:].tolist(), cuts, strict=True):
-        found, at = [], start
-        for m in range(n, n + len(own)):
-            if inner[m]:
-                a, b = inner[m]
-                found += [(at, a, None)] * (a > at) + [(a, b, (int(keys[m, 0]), int(keys[m, 1])))]
-                at = b
-        if at < stop or not found:
-            found.append((at, stop, None))
-        out.append(found)
-        n += len(own)
-    return out
+    use = np.flatnonzero(_passes(filter_, keys) & (first < last))
+    found = np.c_[places[first[use]], places[last[use]], keys[use]].tolist() if len(use) else []
+    borders = np.searchsorted(use, np.cumsum([0, *map(len, cuts)]))
+    return [[tuple(f) for f in found[a:b]] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
 
 
 def _parted(shared, path: str, whole_ids: bool):
-    """Documents as digests (or with their ids), if they have no repeated chunk, else in pieces; and the text of each repeated chunk."""
+    """Of each document its digests, if it has no repeated chunk; else a row for each one (part, from 0), and one (part -1) with the ids of what lies before, between and after them.
+
+    Beside them stands the text of each repeated chunk. With ``whole_ids`` all documents come as ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sent = codec(path), set()
         for b in batches:
             for part in slices(b, 2, 512):
                 data, offsets = bytes_of(part.column(2))
-                held = data.tobytes()
-                rows, texts = [], []  # texts to encode here, and the rows that wait for their ids
-                for row, doc_id, pieces in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _pieces(data, offsets, shared.value), strict=True):
-                    for n, (a, z, key) in enumerate(pieces):
-                        if key is None:
-                            texts.append(held[a:z].decode())
-                            rows.append([row, doc_id, n if whole_ids or len(pieces) > 1 else None, None, None, None, len(texts) - 1])
-                        else:
-                            rows.append([row, doc_id, n, *key, None, None])
-                            if key not in sent:
-                                if len(sent) >= REMEMBERED:
-                                    sent.clear()
-                                sent.add(key)
-                                rows.append([None, None, None, *key, held[a:z].decode(), None])
-                ids = [np.frombuffer(i, "<u4") for i in own.encode(texts)]
-                for r in rows:
-                    whole = r[2] is None and r[6] is not None
-                    if r[6] is None:
-                        r += [None] * 3
-                    elif whole:
-                        n, a, z = own.digest(ids[r[6]])
-                        r[6:] = [None, n, a.hexdigest(), z.hexdigest()]
-                    else:
-                        r[6:] = [ids[r[6]].astype(own.narrow).tobytes(), None, None, None]
+                held, inner = data.tobytes(), _inner(data, offsets, shared.value)
+                gaps = []  # of each document the texts that are encoded here
+                for found, start, stop in zip(inner, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    gaps.append([held[a:z].decode() for a, z in zip([start, *[f[1] for f in found]], [*[f[0] for f in found], stop], strict=True)])
+                ids = iter(own.encode([t for texts in gaps for t in texts]))
+                rows = []
+                for row, doc_id, found, texts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), inner, gaps, strict=True):
+                    mine = [np.frombuffer(next(ids), "<u4") for _ in texts]
+                    if not found and not whole_ids:
+                        n, a, z = own.digest(mine[0])
+                        rows.append((row, doc_id, None, None, None, None, None, None, n, a.hexdigest(), z.hexdigest()))
+                        continue
+                    rows.append((row, doc_id, -1, None, None, None, np.concatenate(mine).astype(own.narrow).tobytes(), list(map(len, mine)), None, None, None))
+                    for n, (a, z, *key) in enumerate(found):
+                        rows.append((row, None, n, *key, *[None] * 6))
+                        if tuple(key) not in sent:
+                            if len(sent) >= REMEMBERED:
+                                sent.clear()
+                            sent.add(tuple(key))
+                            rows.append((None, None, None, *key, held[a:z].decode(), *[None] * 5))
                 columns = zip(*rows, strict=True) if rows else [()] * len(NAMES)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
 
@@ -172,42 +159,48 @@ def _encoded(path: str):
 
 
 def _pieced(documents: DataFrame, path: str, whole_ids: bool = False) -> tuple[DataFrame, DataFrame]:
-    """What ``_parted`` gives, written; and row, doc_id, part, ids of all pieces, of which those of each row stand together in order."""
+    """What ``_parted`` gives, written; and row, doc_id, part, ids, sizes of its documents in parts, those of each row together in order."""
     spark: SparkSession = documents.sparkSession
     bound_batches(spark)
     named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(repeated_filter(chunk_counts(named)))
     rows = named.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parted = materialise(rows.mapInArrow(tidy(_parted(shared, path, whole_ids)), PARTS), "parts")
+    parted = materialise(rows.mapInArrow(tidy(_parted(shared, path, whole_ids)), PARTS), "parts", codec="zstd")
     texts = parted.where("row IS NULL").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     chunks = texts.mapInArrow(tidy(_encoded(path)), "k1 long, k2 long, ids binary")
-    pieces = parted.where("row IS NOT NULL AND n_tokens IS NULL")
-    again = pieces.where("k1 IS NOT NULL").select("row", "doc_id", "part", "k1", "k2").join(chunks, ["k1", "k2"])
-    both = pieces.where("k1 IS NULL").select("row", "doc_id", "part", "ids").union(again.select("row", "doc_id", "part", "ids"))
+    again = parted.where("row IS NOT NULL AND k1 IS NOT NULL").select("row", "part", "k1", "k2").join(chunks, ["k1", "k2"])
+    between = parted.where("part = -1").select("row", "doc_id", "part", "ids", "sizes")
+    both = between.unionByName(again.select("row", "part", "ids"), allowMissingColumns=True)
     return parted, both.repartition("row").sortWithinPartitions("row", "part")
 
 
+def _in_order(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[int | None, list[np.ndarray], bool]]:
+    """doc_id, the ids of the next stretches of a document, and whether they are its last."""
+    doc, gaps, n = None, None, 0
+    for b in batches:
+        for doc_id, part, ids, sizes in zip(*[b.column(c).to_pylist() for c in (1, 2, 3, 4)], strict=True):
+            own = np.frombuffer(ids, kind)
+            if part < 0:
+                doc, gaps, n = doc_id, np.split(own, np.cumsum(sizes)[:-1]), 1
+                yield doc, [gaps[0]], n == len(gaps)
+            else:
+                n += 1
+                yield doc, [own, gaps[n - 1]], n == len(gaps)
+
+
 def encode_words(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int> and decoded string of every text; cases as for ``word_token_digests``."""
     _, pieces = _pieced(documents, path, True)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row, doc, held = codec(path), None, None, []
-
-        def record() -> pa.RecordBatch:
-            ids = np.concatenate(held) if held else np.zeros(0, "<u4")
-            text = b" ".join(map(own.tokens.__getitem__, ids.tolist())).decode()
-            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), pa.array([text])], ["doc_id", "ids", "decoded"])
-
-        for b in batches:
-            for this, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if this != row and row is not None:
-                    yield record()
-                    held.clear()
-                row, doc = this, doc_id
-                held.append(np.frombuffer(ids, own.narrow))
-        if row is not None:
-            yield record()
+        own, held = codec(path), []
+        for doc, ids, last in _in_order(batches, own.narrow):
+            held += ids
+            if last:
+                whole = np.concatenate(held)
+                held.clear()
+                text = b" ".join(map(own.tokens.__getitem__, whole.tolist())).decode()
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([whole.astype(np.int32)], pa.list_(pa.int32())), pa.array([text])], ["doc_id", "ids", "decoded"])
 
     return pieces.mapInArrow(tidy(join), "doc_id long, ids array<int>, decoded string")
 
@@ -224,17 +217,17 @@ def word_token_digests(documents: DataFrame, path: str) -> DataFrame:
     parted, pieces = _pieced(documents, path)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, row, doc, state = codec(path), None, None, None
-        for b in batches:
-            done = []
-            for this, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if this != row:
-                    if state:
-                        done.append((doc, state[0], state[1].hexdigest(), state[2].hexdigest()))
-                    row, doc, state = this, doc_id, None
-                state = own.digest(np.frombuffer(ids, own.narrow), state)
-            yield _digests(done)
-        yield _digests([(doc, state[0], state[1].hexdigest(), state[2].hexdigest())] if state else [])
+        own, state, done = codec(path), None, []
+        for doc, stretches, last in _in_order(batches, own.narrow):
+            for ids in stretches:
+                state = own.digest(ids, state)
+            if last:
+                done.append((doc, state[0], state[1].hexdigest(), state[2].hexdigest()))
+                state = None
+                if len(done) >= 4096:
+                    yield _digests(done)
+                    done = []
+        yield _digests(done)
 
     whole = parted.where("n_tokens IS NOT NULL").select(*[f.split()[0] for f in DIGESTS.split(", ")])
     return whole.union(pieces.mapInArrow(tidy(join), DIGESTS))

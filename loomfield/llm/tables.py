@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def materialise(df: DataFrame, label: str, shuffled: bool = False) -> DataFrame:
+def materialise(df: DataFrame, label: str, shuffled: bool = False, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again.
 
     The result survives the loss of any executor and is computed once. With
@@ -46,7 +46,7 @@ def materialise(df: DataFrame, label: str, shuffled: bool = False) -> DataFrame:
     if shuffled:
         df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     path = f"{shared_dir(spark)}/loomfield-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out

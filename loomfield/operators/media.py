@@ -80,6 +80,17 @@ def protected_media(scan: DataFrame) -> DataFrame:
     return scan.withColumn("protected", test("content"))
 
 
+def file_facts(ranges: DataFrame) -> DataFrame:
+    """media_path, length, kind, protected of files in overlapping ranges (media_path, size_bytes, offset, content).
+
+    A range is searched by the task that read it; a protection box's header that begins
+    in a range ends within its overlap. The kind is that of the first range, of at
+    least 377 bytes where packets count. No row or group holds a file.
+    """
+    marked = protected_media(media_kind(ranges)).withColumn("kind", F.when(F.col("offset") == 0, F.col("kind")))
+    return marked.groupBy("media_path").agg(F.max("size_bytes").alias("length"), F.max("kind").alias("kind"), F.bool_or("protected").alias("protected"))
+
+
 def rank_variants(items: DataFrame) -> DataFrame:
     """item_id, urls: https links of valid variants, best first, each once; the plain address comes last.
 

@@ -24,38 +24,6 @@ def _violations(df: DataFrame, *rules: tuple[Column, str, str]) -> DataFrame:
     return df.select("job_id", F.explode(F.array_compact(marks)).alias("v")).select("job_id", "v.code", "v.path")
 
 
-def schema_violations(payloads: DataFrame, rules: Sequence[dict]) -> DataFrame:
-    """Broken schema rules of JSON texts (job_id, json).
-
-    A rule has path (a top-level field) and any of required, type (string,
-    array, number), const, enum, min_length, max_length, min_items, max_items,
-    unique_items, pattern, minimum, maximum. Fields without a rule are refused.
-    """
-    conditions = []
-    for r in rules:
-        name = r["path"]
-        raw = F.get_json_object("json", f"$.{name}")
-        items = F.from_json(raw, "array<string>")
-        text = F.length(raw)
-        there = raw.isNotNull()
-        number = raw.try_cast("double")
-        checks = {
-            "required": (~there & F.lit(bool(r.get("required"))), "required"),
-            "type": (there & {"string": F.lit(False), "array": items.isNull(), "number": number.isNull()}[r.get("type", "string")], "type"),
-            "const": (there & (raw != r.get("const", "")), "const"), "enum": (there & ~raw.isin(list(r.get("enum", [""]))), "enum"),
-            "min_length": (text < r.get("min_length", 0), "min_length"), "max_length": (text > r.get("max_length", 0), "max_length"),
-            "min_items": (F.size(items) < r.get("min_items", 0), "min_items"), "max_items": (F.size(items) > r.get("max_items", 0), "max_items"),
-            "unique_items": (F.size(F.array_distinct(items)) < F.size(items), "unique_items"),
-            "pattern": (there & ~F.regexp_like(raw, F.lit(f"^(?:{r.get('pattern', '')})$")), "pattern"),
-            "minimum": (number < r.get("minimum", 0), "minimum"), "maximum": (number > r.get("maximum", 0), "maximum"),
-        }
-        conditions += [(*checks[k], name) for k in checks if k in r]
-    known = F.array(*[F.lit(r["path"]) for r in rules])
-    extra = payloads.select("job_id", F.explode(F.array_except(F.json_object_keys("json"), known)).alias("path")).select("job_id", F.lit("unknown_field").alias("code"), "path")
-    broken = payloads.where("json_object_keys(json) IS NULL").select("job_id", F.lit("not_an_object").alias("code"), F.lit("").alias("path"))
-    return _violations(payloads, *conditions).union(extra).union(broken)
-
-
 def privacy_violations(df: DataFrame, col: str, patterns: Sequence[tuple[str, str]] = PRIVACY) -> DataFrame:
     return _violations(df, *[(F.regexp_like(col, F.lit(p)), code, col) for code, p in patterns])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomfield.functions.columns import format_time, parse_time
 from loomfield.operators import media, snapshot, timeline
 from loomfield.plans.fixtures import NOW, sql, view
-from loomfield.sources import files
+from loomfield.sources import files, media_files
 from loomfield.streaming import ingest, pages
 
 CONVERSATION_WORDS = "SELECT conv_id AS job_id, turn AS segment_id, CAST(length(text) % 100 AS DOUBLE) / 100 AS confidence FROM conversations"
@@ -182,6 +182,27 @@ def _contents(s, d):
     return out.withColumn("expected_length", F.when(doc % 9 == 8, F.col("length") + 1).when(doc % 2 == 0, F.col("length")))
 
 
+#: The same files in SQL.
+CONTENTS = """SELECT doc_id, unhex(CASE doc_id % 7 WHEN 0 THEN '000000186674797069736F6D' WHEN 1 THEN '1A45DFA3' WHEN 2 THEN '464C56' WHEN 3
+        THEN '4F676753' WHEN 4 THEN repeat('47' || repeat('00', 187), 2) || '47' ELSE '' END || CASE doc_id % 5 WHEN 1 THEN
+        '000000207073736801000000AABBCCDD' WHEN 2 THEN '0000001F7073736801000000AABBCCDD' ELSE '' END) || encode(coalesce(text, '')) AS
+        content FROM documents"""
+
+
+def _written_media(s, d, ending):
+    """The folder of the files, written from rows of 1,000 bytes."""
+    root = files.shared_folder(s)
+    cut = _contents(s, d).select(F.concat("doc_id", F.lit("."), F.expr(ending)).alias("name"), "content", F.explode(F.expr("sequence(0, length DIV 1000)")).alias("part"))
+    media_files.write_files(cut.select("name", "part", F.expr("substring(content, part * 1000 + 1, 1000)").alias("content")), root)
+    return root
+
+
+def _facts_of_files(s, d):
+    """What ranges of 300 bytes tell about the files."""
+    facts = media.file_facts(media_files.read_ranges(s, _written_media(s, d, "'mp4'"), 300))
+    return facts.withColumn("doc_id", media_files.named_as("media_path").cast("long"))
+
+
 TESTS: dict = {
     "S-1": (
         lambda s, d: _dumped(s, d),
@@ -197,6 +218,10 @@ TESTS: dict = {
         """SELECT page_id, CASE WHEN page_id % 7 = 1 THEN 'denied' WHEN page_id % 5 = 1 THEN 'invalid' ELSE 'ok' END AS page_status, CASE
         WHEN page_id % 5 <> 1 THEN CASE WHEN page_id % 3 = 0 THEN 1 ELSE 2 END END AS items FROM pages""",
     ),
+    "S-4": (
+        lambda s, d: media_files.scan_media(s, _written_media(s, d, f"CASE WHEN doc_id % 4 = 3 THEN 'txt' WHEN doc_id % 3 = 0 THEN 'MOV' ELSE 'mp4' END")).select(media_files.named_as("media_path").cast("long").alias("doc_id"), "size_bytes", "content_hash"),
+        f"SELECT doc_id, octet_length(content) AS size_bytes, sha256(content) AS content_hash FROM ({CONTENTS}) c WHERE doc_id % 4 <> 3",
+    ),
     "S-5": (
         lambda s, d: timeline.flatten_transcript(_transcripts(s, d)).select("job_id", "segment_id", "start_s", "end_s", "text", "confidence", F.size("words").alias("words")),
         """SELECT job_id, segment_id, start_s, end_s, text, confidence, 1 AS words FROM (SELECT * EXCLUDE (segment_id), segment_id AS turn,
@@ -388,7 +413,7 @@ TESTS: dict = {
         "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'iso-bmff' WHEN 1 THEN 'ebml' WHEN 2 THEN 'flv' WHEN 3 THEN 'ogg' WHEN 4 THEN 'mpeg-ts' END AS kind FROM documents",
     ),
     "M-4": (
-        lambda s, d: media.protected_media(_contents(s, d)).select("doc_id", "protected"),
+        lambda s, d: _facts_of_files(s, d).select("doc_id", "protected"),
         "SELECT doc_id, doc_id % 5 = 1 AS protected FROM documents",
     ),
     "M-7": (

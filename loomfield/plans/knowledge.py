@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomfield.functions.columns import safe_component
-from loomfield.operators import catalog, evidence, frames, ledger, quality, timeline, work
+from loomfield.operators import catalog, evidence, frames, ledger, quality, schema, timeline, work
 from loomfield.plans.fixtures import NOW, sql, view
 from loomfield.sources import files
 
@@ -163,9 +163,31 @@ OCR_STATE = "SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'needs_revie
 JSONS = """SELECT page_id AS job_id, concat('{"title":"', CASE WHEN page_id % 4 = 0 THEN '' ELSE 'page' END, '","kind":"', CASE WHEN page_id
         % 5 = 0 THEN 'x' ELSE 'page' END, '","tags":["a",', CASE WHEN page_id % 3 = 0 THEN '"a"' ELSE '"b"' END, '],"score":', CAST(page_id
         % 20 AS STRING), CASE WHEN page_id % 11 = 0 THEN ',"odd":1' ELSE '' END, '}') AS json FROM pages"""
-RULES = [
-    {"path": "title", "required": True, "type": "string", "min_length": 1}, {"path": "kind", "enum": ["page"]},
-    {"path": "tags", "type": "array", "min_items": 1, "unique_items": True}, {"path": "score", "type": "number", "maximum": 15}, {"path": "lang", "required": True}]
+NESTED = """SELECT page_id AS job_id, concat('{"schema_version":', CASE WHEN page_id % 13 = 0 THEN '1' ELSE '2' END, ',"title":', CASE WHEN
+        page_id % 4 = 0 THEN '7' ELSE '"page"' END, ',"tags":["aa",', CASE WHEN page_id % 3 = 0 THEN '"aa"' WHEN page_id % 7 = 1 THEN '"b"'
+        ELSE '"bb"' END, '],"state":', CASE WHEN page_id % 5 = 0 THEN '"x"' ELSE '"verified"' END, ',"steps":[{"step":', CAST(page_id % 25
+        AS STRING), ',"claim":"', CASE WHEN page_id % 6 = 0 THEN 'c' ELSE 'claim' END, '"},{"step":', CASE WHEN page_id % 9 = 0 THEN '"2"'
+        ELSE '2' END, ',"claim":"claim","at":"', CASE WHEN page_id % 10 = 0 THEN '1:20' ELSE '01:20' END, '"', CASE WHEN page_id % 11 = 0
+        THEN ',"odd":1' ELSE '' END, '}],"review":[{"term":"t","verdict":"', CASE WHEN page_id % 8 = 0 THEN 'maybe' ELSE 'verified' END,
+        '"}', CASE WHEN page_id % 14 = 0 THEN ',{"verdict":"unresolved"}' ELSE '' END, ']}') AS json FROM pages"""
+STEP = {
+    "type": "object", "additionalProperties": False, "required": ["step", "claim"],
+    "properties": {"step": {"type": "integer", "minimum": 1, "maximum": 20}, "claim": {"type": "string", "minLength": 4}, "at": {"type": "string", "pattern": "[0-9]{2}:[0-9]{2}"}}}
+SCHEMA = {
+    "type": "object", "additionalProperties": False, "required": ["schema_version", "title", "tags", "steps", "review"],
+    "properties": {
+        "schema_version": {"const": 2}, "title": {"type": "string", "minLength": 2, "maxLength": 40}, "state": {"enum": ["verified", "needs_review"]},
+        "tags": {"type": "array", "minItems": 2, "uniqueItems": True, "items": {"type": "string", "minLength": 2}},
+        "steps": {"type": "array", "minItems": 1, "maxItems": 3, "items": STEP}, "review": {"type": "array", "items": {"$ref": "#/$defs/row"}}},
+    "$defs": {
+        "row": {"type": "object", "required": ["term", "verdict"], "properties": {"term": {"type": "string", "minLength": 1}, "verdict": {"$ref": "#/$defs/verdict"}}},
+        "verdict": {"enum": ["verified", "unresolved"]}}}
+#: What the texts of NESTED break.
+BROKEN = [
+    ("const", "$.schema_version", "% 13 = 0"), ("type=string", "$.title", "% 4 = 0"), ("uniqueItems", "$.tags", "% 3 = 0"), ("minLength", "$.tags[1]", "% 3 <> 0 AND page_id % 7 = 1"),
+    ("enum", "$.state", "% 5 = 0"), ("minimum", "$.steps[0].step", "% 25 = 0"), ("maximum", "$.steps[0].step", "% 25 > 20"), ("minLength", "$.steps[0].claim", "% 6 = 0"),
+    ("type=integer", "$.steps[1].step", "% 9 = 0"), ("pattern", "$.steps[1].at", "% 10 = 0"), ("additionalProperty", "$.steps[1].odd", "% 11 = 0"), ("enum", "$.review[0].verdict", "% 8 = 0"),
+    ("required", "$.review[1].term", "% 14 = 0")]
 GATES = ["unresolved_without_pending", "status_mismatch", "long_digits"]
 REQUESTS = """SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 71 = 0 THEN ' ' ELSE CAST(o_custkey % 300 AS STRING) END AS job_ref,
         concat('k', CAST(o_orderkey % 400 AS STRING)) AS idempotency_key,
@@ -401,11 +423,10 @@ TESTS: dict = {
     "K-10": (lambda s, d: frames.near_duplicate_frames(_signed(s, d), 0.36), f"""WITH b AS ({BITS}) SELECT * FROM (SELECT x.job_id,
         x.frame_id AS a, y.frame_id AS b, round(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0, 6) AS ratio FROM b x
         JOIN b y ON x.job_id = y.job_id AND x.frame_id < y.frame_id) t WHERE ratio <= 0.36"""),
-    "Q-1": (lambda s, d: quality.schema_violations(sql(s, d, JSONS), RULES), """SELECT * FROM (SELECT page_id AS job_id, 'min_length' AS
-        code, 'title' AS path FROM pages WHERE page_id % 4 = 0 UNION ALL SELECT page_id, 'enum', 'kind' FROM pages WHERE page_id % 5 = 0
-        UNION ALL SELECT page_id, 'unique_items', 'tags' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'maximum', 'score' FROM
-        pages WHERE page_id % 20 > 15 UNION ALL SELECT page_id, 'required', 'lang' FROM pages
-        UNION ALL SELECT page_id, 'unknown_field', 'odd' FROM pages WHERE page_id % 11 = 0) t"""),
+    "Q-1": (
+        lambda s, d: schema.schema_violations(sql(s, d, NESTED), SCHEMA),
+        " UNION ALL ".join(f"SELECT page_id AS job_id, '{code}' AS code, '{path}' AS path FROM pages WHERE page_id {where}" for code, path, where in BROKEN),
+    ),
     "Q-2": (lambda s, d: quality.privacy_violations(payload(s, d), "body"), r"""SELECT job_id, code, 'body' AS path FROM (SELECT job_id,
         body, unnest(['link', 'secret_word', 'id_word', 'job_name', 'long_digits']) AS code FROM v_payload) t WHERE CASE code WHEN 'link'
         THEN regexp_matches(body, '(?i)https?://\S+')

@@ -1,4 +1,4 @@
-"""Files: paged dumps, media folders, documents with front matter, versioned tables and quarantine."""
+"""Files: paged dumps, documents with front matter, versioned tables and quarantine."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGE = "status_code int, items array<struct<id:string,alt_id:string,title:string,author:string,duration_ms:long,width:int,height:int,media_sha256:string>>, cursor string, next_cursor string, has_more boolean, snapshot_id string, page_seq long"
-#: The extensions of media files.
-MEDIA = ["mp4", "mov", "mkv", "webm", "flv"]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,13 +41,6 @@ def page_items(pages: DataFrame) -> DataFrame:
     return rows.select("snapshot_id", "seq", "pos", "item.*")
 
 
-def scan_media(spark: SparkSession, root: str) -> DataFrame:
-    """media_path, size_bytes, modified_at, content_hash, content of media files under a folder; endings in either case."""
-    endings = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ",".join(MEDIA)).replace("[,,]", ",")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{" + endings + "}").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.col("path").alias("media_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), F.sha2("content", 256).alias("content_hash"), "content")
-
-
 def split_front_matter(docs: DataFrame, col: str = "text") -> DataFrame:
     """Adds front (map of top-level keys, values as text), body and front_error (malformed)."""
     import yaml

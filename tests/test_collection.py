@@ -1,12 +1,13 @@
 """Snapshots, media and timelines on hand-written rows."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
 
 from loomfield.functions.columns import canonical_id, format_time, parse_time, redact, safe_component
 from loomfield.operators import media, snapshot, timeline
-from loomfield.sources import files
+from loomfield.sources import files, media_files
 
 ITEM = "source_id string, job_id string, currently_collected boolean, uncollected_at timestamp_ntz, last_position long, status string, pipeline_version string, media_sha256 string"
 
@@ -91,8 +92,27 @@ def test_media_files(spark, tmp_path):
     (tmp_path / "two.MKV").write_bytes(bytes.fromhex("1A45DFA3") + b"data pssh")
     (tmp_path / "three.Flv").write_bytes(b"FLV\1")
     (tmp_path / "no.m4v").write_bytes(head)
-    scan = media.media_outcome(media.protected_media(media.media_kind(files.scan_media(spark, str(tmp_path)))).withColumnsRenamed({"size_bytes": "length"}).withColumn("expected_length", F.lit(None).cast("long")))
-    assert rows(scan, "kind", "protected") == [("ebml", False), ("flv", False), ("iso-bmff", True)]
+    facts = media.media_outcome(media.file_facts(media_files.read_ranges(spark, str(tmp_path), 7)).withColumn("expected_length", F.lit(None).cast("long")))
+    assert rows(facts, "length", "kind", "protected", "outcome") == [(13, "ebml", False, "unsupported_container"), (4, "flv", False, "unsupported_container"), (44, "iso-bmff", True, "protected")]
+    scan = media_files.scan_media(spark, f"file://{tmp_path}")
+    assert rows(scan, media_files.named_as("media_path").alias("n"), "size_bytes", "content_hash") == sorted((f.stem, f.stat().st_size, hashlib.sha256(f.read_bytes()).hexdigest()) for f in tmp_path.rglob("*") if f.suffix.lower() in (".mp4", ".mkv", ".flv"))
+
+
+def test_ranges_cover_files_and_hits_across_borders(spark, tmp_path):
+    content = bytes(range(256)) * 40
+    for name, data in (("a.mp4", content), ("b.mov", b""), ("d/c.webm", content[:100])):
+        cut = [(name, n, data[n * 99 : n * 99 + 99]) for n in range(max(1, -(-len(data) // 99)))]
+        media_files.write_files(spark.createDataFrame(cut[::-1], "name string, part long, content binary").repartition(3), str(tmp_path))
+        assert (tmp_path / name).read_bytes() == data
+    assert sorted(f.name for f in tmp_path.rglob("*.*")) == ["a.mp4", "b.mov", "c.webm"]
+    got = media_files.read_ranges(spark, str(tmp_path), 1000, 19).where("media_path LIKE '%a.mp4'").orderBy("offset").collect()
+    assert [r.offset for r in got] == list(range(0, 10240, 1000)) and b"".join(bytes(r.content[: 1000]) for r in got) == content
+    assert all(bytes(r.content) == content[r.offset : r.offset + 1019] for r in got)
+    box = (32).to_bytes(4, "big") + b"pssh" + bytes(8)
+    for at in range(980, 1002):
+        (tmp_path / f"x{at}.mp4").write_bytes(b"z" * at + box + b"z" * 500)
+    facts = media.file_facts(media_files.read_ranges(spark, str(tmp_path), 1000, 19)).where("media_path LIKE '%/x%'")
+    assert facts.count() == 22 and facts.where("protected").count() == 22
 
 
 def test_container_and_box_rules(spark):

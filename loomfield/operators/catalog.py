@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.columns import NAME_CHARS, first_failure, fold, one_line
+from loomfield.operators.ranks import numbered
 
 SOURCES = ["manifest", "checkpoint", "registry", "fingerprint"]
 #: Characters of a name that its number may take.
@@ -21,15 +22,13 @@ def index_all(entries: DataFrame) -> DataFrame:
 
 def index_by_category(entries: DataFrame) -> DataFrame:
     """category, place (from 1), title, entry_ref: the entries of each category by title."""
-    place = F.row_number().over(Window.partitionBy("category").orderBy("title", "entry_ref"))
-    return entries.select("category", place.cast("long").alias("place"), "title", "entry_ref")
+    return numbered(entries.select("category", "title", "entry_ref"), ["category"], ["title", "entry_ref"], "place")
 
 
 def index_by_tag(entries: DataFrame) -> DataFrame:
     """tag, place (from 1), entry_ref: the entries (entry_ref, tags) of each tag, each once."""
     tagged = entries.select("entry_ref", F.explode("tags").alias("tag")).distinct()
-    place = F.row_number().over(Window.partitionBy("tag").orderBy("entry_ref"))
-    return tagged.select("tag", place.cast("long").alias("place"), "entry_ref")
+    return numbered(tagged.select("tag", "entry_ref"), ["tag"], ["entry_ref"], "place")
 
 
 def recent(entries: DataFrame, k: int = 50) -> DataFrame:
@@ -55,22 +54,20 @@ def assign_names(entries: DataFrame, registered: DataFrame) -> DataFrame:
     end = r"[ .-]+$"
     plain = F.regexp_replace(F.left("stem", F.lit(NAME_CHARS)), end, "")
     fresh = entries.join(registered.select("job_id"), "job_id", "left_anti").withColumn("name", plain)
-    turn = F.row_number().over(Window.partitionBy("category", "name").orderBy("job_id"))
     taken = registered.select("category", "name").distinct()
-    won = fresh.withColumn("turn", turn).where("turn = 1").join(taken, ["category", "name"], "left_anti").select("job_id", "category", "name")
+    won = fresh.groupBy("category", "name").agg(F.min("job_id").alias("job_id")).join(taken, ["category", "name"], "left_anti").select("job_id", "category", "name")
     # stems that are equal once there is room for a number are numbered together
     key = F.regexp_replace(F.left("stem", F.lit(NAME_CHARS - NUMBER_CHARS)), end, "")
     lost = fresh.join(won.select("job_id"), "job_id", "left_anti").withColumn("key", key)
-    order = Window.partitionBy("category", "key").orderBy("job_id")
-    lost = lost.withColumn("r", F.row_number().over(order))
-    numbered = r"^(.*) \(([0-9]{1,9})\)$"
-    names = taken.union(won.select("category", "name")).select("category", F.regexp_extract("name", numbered, 1).alias("stem"), F.regexp_extract("name", numbered, 2).try_cast("int").alias("n"))
-    held = names.where("n >= 2").select("category", key.alias("key"), "n").distinct()
-    ahead = F.col("n") - 1 - F.row_number().over(Window.partitionBy("category", "key").orderBy("n"))
-    held = held.select("category", "key", ahead.alias("r"))
+    lost = numbered(lost, ["category", "key"], ["job_id"], "r")
+    counted = r"^(.*) \(([0-9]{1,9})\)$"
+    names = taken.union(won.select("category", "name")).select("category", F.regexp_extract("name", counted, 1).alias("stem"), F.regexp_extract("name", counted, 2).try_cast("int").alias("n"))
+    held = numbered(names.where("n >= 2").select("category", key.alias("key"), "n").distinct(), ["category", "key"], ["n"], "m")
+    held = held.select("category", "key", (F.col("n") - 1 - F.col("m")).alias("r"))
     line = lost.select("category", "key", "r", F.lit(0).alias("held"), "job_id", "stem").unionByName(held.withColumn("held", F.lit(1)), allowMissingColumns=True)
-    before = F.sum("held").over(Window.partitionBy("category", "key").orderBy("r", "held").rowsBetween(Window.unboundedPreceding, 0))
-    placed = line.withColumn("n", F.col("r") + 1 + before).where("held = 0").withColumn("suffix", F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
+    # a loser's place among losers and held numbers, less its place among losers, is how many held numbers come before
+    placed = numbered(line, ["category", "key"], ["r", "held"], "at").where("held = 0").withColumn("n", F.col("at") + 1)
+    placed = placed.withColumn("suffix", F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
     name = F.concat(F.regexp_replace(F.expr(f"left(stem, {NAME_CHARS} - length(suffix))"), end, ""), F.col("suffix"))
     kept = registered.join(entries.select("job_id"), "job_id", "left_semi").select("job_id", "category", "name")
     return placed.select("job_id", "category", name.alias("name")).union(won).union(kept)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.columns import cleaned, cleaned_whole, format_time, line_key, redact
+from loomfield.operators.ranks import numbered
 
 #: Order of sources at equal times.
 SOURCES = ["asr", "ocr", "timeline", "summary"]
@@ -47,8 +48,7 @@ def evidence_records(asr: DataFrame, ocr: DataFrame, timeline: DataFrame, summar
     for p in parts[1:]:
         both = both.unionByName(p, allowMissingColumns=True)
     rank = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
-    order = Window.partitionBy("job_id").orderBy(F.coalesce("t", F.lit(float("inf"))), rank, F.coalesce("line", F.lit(0)), "text")
-    return both.withColumn("i", F.row_number().over(order).cast("long"))
+    return numbered(both, ["job_id"], [F.coalesce("t", F.lit(float("inf"))), rank, F.coalesce("line", F.lit(0)), "text"])
 
 
 def evidence_counts(records: DataFrame, omitted: DataFrame) -> DataFrame:
@@ -112,8 +112,7 @@ def coverage_order(records: DataFrame) -> DataFrame:
     A record finds the level at which halving the job's range meets its place, and
     where that range began; visits follow levels, and places within them.
     """
-    job = Window.partitionBy("job_id")
-    counted = records.withColumns({"place": (F.row_number().over(job.orderBy("i")) - 1).cast("long"), "n": F.count(F.lit(1)).over(job)})
+    counted = numbered(records, ["job_id"], ["i"], "place", "n").withColumn("place", F.col("place") - 1)
 
     def halve(s: Column, k: Column) -> Column:
         middle = F.floor((s["a"] + s["b"]) / 2)
@@ -126,8 +125,8 @@ def coverage_order(records: DataFrame) -> DataFrame:
     found = F.aggregate(F.sequence(F.lit(1), F.lit(62)), start, halve)
     level = F.when(F.col("place") == 0, -1).when(F.col("place") == F.col("n") - 1, 0).otherwise(F.col("found.level"))
     marked = counted.withColumn("found", found).withColumns({"level": level, "begin": F.col("found.a")})
-    visit = F.row_number().over(job.orderBy("level", "begin")) - 1
-    return marked.withColumn("visit", visit.cast("long")).drop("place", "n", "found", "level", "begin")
+    visited = numbered(marked.drop("place", "n", "found"), ["job_id"], ["level", "begin"], "visit")
+    return visited.withColumn("visit", F.col("visit") - 1).drop("level", "begin")
 
 
 def fact_records(records: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions.columns import format_time
+from loomfield.operators.ranks import numbered
 
 #: The languages that speech recognition handles well.
 SPOKEN = ["zh", "yue"]
@@ -103,7 +104,7 @@ def timeline(segments: DataFrame, lines: DataFrame) -> DataFrame:
     """job_id, i (from 1), t, source, text of both sources by time, source and text."""
     both = segments.select("job_id", F.col("start_s").alias("t"), F.lit("asr").alias("source"), "text").unionByName(
         lines.select("job_id", "t", F.lit("ocr").alias("source"), "text"))
-    return both.withColumn("i", F.row_number().over(Window.partitionBy("job_id").orderBy("t", "source", "text")).cast("long"))
+    return numbered(both, ["job_id"], ["t", "source", "text"])
 
 
 def near_segments(frames: DataFrame, segments: DataFrame, radius: float = 7.5, width: float | None = None) -> DataFrame:

@@ -116,11 +116,12 @@ def similarity_key(col: Column) -> Column:
 
 
 def safe_component(col: Column, composed: bool = True) -> Column:
-    """A name that any file system takes: composed, one line, forbidden characters as -, at most 80 characters."""
+    """A name that any file system takes: composed, one line, forbidden characters as -, none of space, dot and hyphen at its ends, at most 80 characters; null for what is refused.
+
+    Empty and reserved names are refused.
+    """
     text = _composed(col) if composed else col
     text = F.regexp_replace(one_line(text), FORBIDDEN_NAME, "-")
-    text = F.regexp_replace(F.regexp_replace(text, r"^[ .]+", ""), r"[ .]+$", "")
-    text = F.regexp_replace(F.left(text, F.lit(NAME_CHARS)), r"[ .]+$", "")
-    stem = F.upper(F.substring_index(text, ".", 1))
-    text = F.when(stem.isin(RESERVED_NAMES), F.concat(text, F.lit("-"))).otherwise(text)
-    return F.when(text == "", F.lit("untitled")).otherwise(text)
+    whole = F.regexp_replace(F.regexp_replace(text, r"^[ .-]+", ""), r"[ .-]+$", "")
+    cut = F.regexp_replace(F.left(whole, F.lit(NAME_CHARS)), r"[ .-]+$", "")
+    return F.when((whole != "") & ~F.upper(whole).isin(RESERVED_NAMES), cut)

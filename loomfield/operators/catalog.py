@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.functions.columns import NAME_CHARS, first_failure, fold, one_line
+from loomfield.functions.columns import NAME_CHARS, first_failure, fold, safe_component
 from loomfield.operators.ranks import numbered
 
 SOURCES = ["manifest", "checkpoint", "registry", "fingerprint"]
@@ -36,10 +36,12 @@ def recent(entries: DataFrame, k: int = 50) -> DataFrame:
 
 
 def normalize_tags(entries: DataFrame) -> DataFrame:
-    """entry_ref, tags: one line each, the first spelling of each, in order."""
-    rows = entries.select("entry_ref", F.posexplode("tags").alias("i", "tag")).select("entry_ref", "i", one_line(F.col("tag")).alias("tag")).where("tag <> ''")
-    first = rows.groupBy("entry_ref", fold(F.col("tag")).alias("k")).agg(F.min(F.struct("i", "tag")).alias("m"))
-    return first.groupBy("entry_ref").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["tag"]).alias("tags"))
+    """entry_ref, tags, error: tags as safe names, the first spelling of each, in order; unsafe_tag if one is refused, tags_required if there is none."""
+    rows = entries.select("entry_ref", F.posexplode_outer("tags").alias("i", "tag")).withColumn("name", safe_component(F.coalesce("tag", F.lit(""))))
+    first = rows.groupBy("entry_ref", fold(F.col("name")).alias("k")).agg(F.min(F.struct("i", "name")).alias("m"))
+    per = first.groupBy("entry_ref").agg(F.array_sort(F.collect_list("m")).alias("m"))
+    error = first_failure((F.forall("m", lambda m: m["i"].isNull()), "tags_required"), (F.exists("m", lambda m: m["name"].isNull()), "unsafe_tag"))
+    return per.select("entry_ref", F.when(error.isNull(), F.transform("m", lambda m: m["name"])).alias("tags"), error.alias("error"))
 
 
 def assign_names(entries: DataFrame, registered: DataFrame) -> DataFrame:

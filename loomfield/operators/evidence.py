@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.functions.columns import cleaned, cleaned_whole, format_time, line_key, redact
+from loomfield.functions.columns import cleaned, cleaned_whole, format_time, line_key, one_line, redact
 from loomfield.operators.ranks import numbered
 
 #: Order of sources at equal times.
@@ -28,10 +28,14 @@ def clean_records(df: DataFrame, limit: int = 800) -> DataFrame:
 
 
 def fragment(df: DataFrame, key: str, width: int = 600) -> DataFrame:
-    """key, part (from 1 over kept windows), text: windows of ``width`` characters, each cleaned."""
-    windows = df.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), 0)).alias("i", "text"))
-    kept = windows.select(key, "i", cleaned(F.col("text")).alias("text")).where("text IS NOT NULL")
-    return kept.select(key, F.row_number().over(Window.partitionBy(key).orderBy("i")).cast("long").alias("part"), "text")
+    """key, part (from 1 over kept windows), text, omitted: texts as one line, cut into windows of ``width`` characters, each cleaned.
+
+    omitted counts the windows of the text that cleaning drops; a text that has no others is one row without part.
+    """
+    windows = F.regexp_extract_all(one_line(F.col("text")), F.lit(f"(?s).{{1,{width}}}"), 0)
+    found = df.select(key, F.transform(windows, lambda w: cleaned(w)).alias("all")).withColumn("kept", F.array_compact("all"))
+    rows = found.select(key, (F.size("all") - F.size("kept")).alias("omitted"), F.posexplode_outer("kept").alias("i", "text"))
+    return rows.where("text IS NOT NULL OR omitted > 0").select(key, (F.col("i") + 1).cast("long").alias("part"), "text", "omitted")
 
 
 def dedup_lines(lines: DataFrame, key: str) -> DataFrame:
@@ -264,15 +268,24 @@ def redacted(df: DataFrame, col: str) -> DataFrame:
 
 
 def extractive_digest(segments: DataFrame) -> DataFrame:
-    """job_id, short (140), long (600), leads (first 5 texts), timed (first 8), numeric (first 5 with a digit)."""
-    ordered = segments.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "segment_id", "text"))).alias("a"))
+    """job_id, short (140), long (600), leads (first 5 texts), timed (first 8), numeric (first 5 with a digit).
+
+    A longer text ends in an ellipsis within its limit. Only what can count is
+    gathered: the first rows of a job, by their places, and the first characters of each.
+    """
+    rows = segments.select("job_id", "start_s", "segment_id", "text")
+    order, most = ["start_s", "segment_id", "text"], 600
+    first = numbered(rows, ["job_id"], order).where(F.col("i") <= most).withColumn("text", F.when(F.col("i") > 8, F.left("text", F.lit(most + 1))).otherwise(F.col("text")))
+    with_digit = numbered(rows.where(F.regexp_like("text", F.lit("[0-9]"))), ["job_id"], order).where("i <= 5")
+    ordered = first.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("i", "start_s", "text"))).alias("a"))
+    digits = with_digit.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("numeric"))
     joined = F.array_join(F.transform("a", lambda x: x["text"]), " ")
-    cut = lambda n: F.when(F.length("joined") > n, F.concat(F.left("joined", F.lit(n)), F.lit("…"))).otherwise(F.col("joined"))
-    out = ordered.withColumn("joined", joined)
+    cut = lambda n: F.when(F.length("joined") > n, F.concat(F.regexp_replace(F.left("joined", F.lit(n - 1)), r"(?U)\s+$", ""), F.lit("…"))).otherwise(F.col("joined"))
+    out = ordered.withColumn("joined", joined).join(digits, "job_id", "left")
     return out.select(
         "job_id", cut(140).alias("short"), cut(600).alias("long"), F.transform(F.slice("a", 1, 5), lambda x: x["text"]).alias("leads"),
         F.transform(F.slice("a", 1, 8), lambda x: F.concat(format_time(x["start_s"]), F.lit(" "), x["text"])).alias("timed"),
-        F.slice(F.filter(F.transform("a", lambda x: x["text"]), lambda t: F.regexp_like(t, F.lit("[0-9]"))), 1, 5).alias("numeric"))
+        F.coalesce("numeric", F.array().cast("array<string>")).alias("numeric"))
 
 
 def read_progress(required: DataFrame, reads: DataFrame) -> DataFrame:

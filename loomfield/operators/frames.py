@@ -66,15 +66,17 @@ def candidates(rows: Iterable[tuple[float, float, bool]], interval: float, thres
             covered = t if due else covered
 
 
-def frame_candidates(frames: DataFrame, threshold: float = 0.12, longest: float = 15.0, step: float = 0.2) -> DataFrame:
+def frame_candidates(frames: DataFrame, durations: DataFrame, threshold: float = 0.12, longest: float = 15.0, step: float = 0.2) -> DataFrame:
     """job_id, frame_id, t, scene_score, reason of sampled frames (job_id, frame_id, t, scene_score).
 
-    The coverage interval is a quarter of the video, between the sampling step and
-    ``longest``. Jobs stream through their task in order of time.
+    The coverage interval is a quarter of the video (durations: job_id, duration_s;
+    unknown: up to the last frame), between the sampling step and ``longest``. Jobs
+    stream through their task in order of time.
     """
-    ends = frames.groupBy("job_id").agg(F.max(F.struct("t", "frame_id")).alias("end"))
+    ends = frames.groupBy("job_id").agg(F.max(F.struct("t", "frame_id")).alias("end")).join(durations, "job_id", "left")
+    quarter = F.coalesce("duration_s", "end.t") / 4
     rows = frames.join(ends, "job_id").select(
-        "job_id", "frame_id", "t", "scene_score", F.least(F.lit(longest), F.greatest(F.lit(step), F.col("end.t") / 4)).alias("interval"),
+        "job_id", "frame_id", "t", "scene_score", F.least(F.lit(longest), F.greatest(F.lit(step), quarter)).alias("interval"),
         (F.struct("t", "frame_id") == F.col("end")).alias("last"))
     names = ["job_id", "frame_id", "t", "scene_score", "reason"]
 
@@ -249,15 +251,23 @@ def pick_k(frames: DataFrame, k: int, least: int = 1) -> DataFrame:
 
 
 def frame_coverage(selected: DataFrame, meta: DataFrame) -> DataFrame:
-    """job_id, frames, max_gap, tail_gap, span_ratio, reached_end, omitted. meta: job_id, duration_s, sampled."""
+    """job_id, frames, max_gap, tail_gap, span_ratio, reached_end, omitted.
+
+    meta: job_id, duration_s, sampled, and of the scan expected_tail_s,
+    last_decodable_s, tolerance_s: the end was reached if the last frame that could be
+    read lies within the tolerance of the expected one. The span is between 0 and 1,
+    and 1 where there is no duration; a job without frames is one gap.
+    """
     gap = F.col("t") - F.lag("t", 1, 0.0).over(Window.partitionBy("job_id").orderBy("t"))
     per = selected.withColumn("gap", gap).groupBy("job_id").agg(
         F.count(F.lit(1)).alias("frames"), F.max("gap").alias("gap"), F.min("t").alias("first"), F.max("t").alias("last"))
-    tail = F.greatest(F.lit(0.0), F.col("duration_s") - F.col("last"))
+    tail = F.greatest(F.lit(0.0), F.col("duration_s") - F.coalesce("last", F.lit(0.0)))
+    span = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("last") - F.col("first")) / F.col("duration_s")))
     return meta.join(per, "job_id", "left").select(
         "job_id", F.coalesce("frames", F.lit(0)).alias("frames"), F.round(F.greatest(F.col("gap"), tail), 3).alias("max_gap"), F.round(tail, 3).alias("tail_gap"),
-        F.round(F.when(F.col("duration_s") > 0, (F.col("last") - F.col("first")) / F.col("duration_s")), 6).alias("span_ratio"),
-        F.coalesce(tail <= 0.5, F.lit(False)).alias("reached_end"), (F.col("sampled") - F.coalesce("frames", F.lit(0))).alias("omitted"),
+        F.round(F.when(F.coalesce("duration_s", F.lit(0.0)) == 0, 1.0).when(F.col("last").isNull(), 0.0).otherwise(span), 6).alias("span_ratio"),
+        F.coalesce(F.col("expected_tail_s") - F.col("last_decodable_s") <= F.col("tolerance_s"), F.lit(False)).alias("reached_end"),
+        F.greatest(F.lit(0), F.col("sampled") - F.coalesce("frames", F.lit(0))).alias("omitted"),
     )
 
 

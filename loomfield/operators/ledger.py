@@ -62,16 +62,26 @@ def begin(requests: DataFrame, sagas: DataFrame, items: DataFrame) -> DataFrame:
     return r.select("request_id", outcome.alias("outcome"))
 
 
-def seal(targets: DataFrame, expected: DataFrame) -> DataFrame:
-    """saga_id, outcome: sealed, reused, name_mismatch or conflict. expected: saga_id, target_name, sha256."""
+def seal(targets: DataFrame, expected: DataFrame, sagas: DataFrame) -> DataFrame:
+    """saga_id, outcome: sealed, resealed, reused, name_mismatch or conflict.
+
+    targets: saga_id, target_name, expected_sha256, status; expected: saga_id,
+    target_name, sha256; sagas: saga_id, state. Another digest is taken while the
+    saga is an intent and the target not verified, which then starts anew; an
+    accepted saga takes none.
+    """
     t, e = targets.alias("t"), expected.alias("e")
     on = (F.col("t.saga_id") == F.col("e.saga_id")) & (F.col("t.target_name") == F.col("e.target_name"))
-    had = F.nullif(F.col("t.expected_sha256"), F.lit(""))
+    had, verified = F.nullif(F.col("t.expected_sha256"), F.lit("")), F.col("t.status").eqNullSafe("verified")
     j = t.join(e, on, "full_outer").select(
         F.coalesce("t.saga_id", "e.saga_id").alias("saga_id"), (F.col("t.target_name").isNull() | F.col("e.target_name").isNull()).alias("odd"),
-        (had.isNotNull() & (had != F.col("e.sha256"))).alias("other"), had.isNull().alias("open"))
-    outcome = F.when(F.col("odd") > 0, "name_mismatch").when(F.col("other") > 0, "conflict").when(F.col("open") > 0, "sealed").otherwise("reused")
-    return j.groupBy("saga_id").agg(*[F.count_if(c).alias(c) for c in ("odd", "other", "open")]).select("saga_id", outcome.alias("outcome"))
+        (had != F.col("e.sha256")).alias("other"), (verified & (had != F.col("e.sha256"))).alias("fixed"), had.isNull().alias("open"))
+    per = j.groupBy("saga_id").agg(*[F.count_if(c).alias(c) for c in ("odd", "other", "fixed", "open")]).join(sagas.select("saga_id", "state"), "saga_id", "left")
+    accepted, intent = F.col("state").eqNullSafe("accepted"), F.col("state").eqNullSafe("intent")
+    outcome = (
+        F.when(F.col("odd") > 0, "name_mismatch").when(accepted & (F.col("other") + F.col("open") > 0), "conflict").when((F.col("other") > 0) & ~intent, "conflict")
+        .when(F.col("fixed") > 0, "conflict").when(F.col("other") > 0, "resealed").when(F.col("open") > 0, "sealed").otherwise("reused"))
+    return per.select("saga_id", outcome.alias("outcome"))
 
 
 def reconcile_targets(targets: DataFrame) -> DataFrame:

@@ -7,14 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.functions.columns import DRAFT_WORDS, ID_WORDS, JOB_NAME, LINK, LONG_DIGITS, first_failure, parse_time, similarity_key
+from loomfield.functions.columns import DRAFT_WORDS, ID_WORDS, JOB_NAME, LINK, LONG_DIGITS, first_failure, one_line, parse_time, similarity_key
 
 #: Names that say nothing, and states.
 GENERIC_CATEGORIES = ["misc", "other", "unknown", "general", ""]
 PLACEHOLDER_TAGS = ["tag", "todo", "none", "n/a"]
 VERDICTS = ["confirmed", "rejected", "uncertain"]
 REPORT_WORDS = r"(?i)\b(cookie|signature|request[_ -]?url)\b"
-REPAIRABLE = ["duplicate_text", "short_section", "unreviewed_number", "timeline_gap"]
+#: The fields of a candidate.
+CANDIDATE_FIELDS = ["protocol_version", "schema_version", "job_ref", "packet_sha256", "content"]
+#: A link with its label, a time, and a number, which stands apart from letters, digits and _.
+INLINE_LINK = r"!?\[([^\]\n]+)\]\((?:[^()\n]|\([^()\n]*\))*\)"
+TIME_CODE = r"(?U)(?<!\d)(?:\d{1,2}:)?\d{1,2}:\d{2}(?:\.\d+)?(?!\d)"
+NUMBER = r"(?U)(?<![A-Za-z0-9_])\d+(?:\.\d+)?%?(?![A-Za-z0-9_])"
 PRIVACY = [("link", LINK), ("secret_word", DRAFT_WORDS), ("id_word", ID_WORDS), ("job_name", JOB_NAME), ("long_digits", LONG_DIGITS)]
 
 
@@ -29,11 +34,12 @@ def privacy_violations(df: DataFrame, col: str, patterns: Sequence[tuple[str, st
 
 
 def taxonomy_violations(df: DataFrame) -> DataFrame:
-    """A category that is generic, fewer than two distinct tags, placeholder tags (job_id, category, tags)."""
+    """A category that is generic, fewer than two distinct tags, placeholder or blank tags (job_id, category, tags); tags count as one line each."""
+    tags = F.transform("tags", lambda t: F.coalesce(one_line(t), F.lit("")))
     return _violations(
         df, (F.lower(F.trim("category")).isin(GENERIC_CATEGORIES) | F.col("category").isNull(), "generic_category", "category"),
-        (F.size(F.array_distinct("tags")) < 2, "too_few_tags", "tags"),
-        (F.arrays_overlap(F.transform("tags", lambda t: F.lower(t)), F.array(*map(F.lit, PLACEHOLDER_TAGS))), "placeholder_tag", "tags"))
+        (F.size(F.array_distinct(tags)) < 2, "too_few_tags", "tags"),
+        (F.exists(tags, lambda t: (t == "") | F.lower(t).isin(PLACEHOLDER_TAGS)), "placeholder_tag", "tags"))
 
 
 def review_violations(df: DataFrame) -> DataFrame:
@@ -44,10 +50,10 @@ def review_violations(df: DataFrame) -> DataFrame:
         ((F.col("review_status") == "needs_review") != pending, "status_mismatch", "review_status"))
 
 
-def review_row_violations(rows: DataFrame) -> DataFrame:
-    """Review rows (job_id, claim, evidence, verdict) that are incomplete or of unknown verdict."""
+def review_row_violations(rows: DataFrame, verdicts: Sequence[str] = VERDICTS) -> DataFrame:
+    """Review rows (job_id, claim, evidence, verdict) that are incomplete or of none of the verdicts."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    return _violations(rows, (blank("claim") | blank("evidence"), "incomplete_row", "review"), (~F.col("verdict").isin(VERDICTS) | F.col("verdict").isNull(), "bad_verdict", "review"))
+    return _violations(rows, (blank("claim") | blank("evidence"), "incomplete_row", "review"), (~F.col("verdict").isin(list(verdicts)) | F.col("verdict").isNull(), "bad_verdict", "review"))
 
 
 def quality_link_violations(payloads: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -77,8 +83,8 @@ def duplicate_units(units: DataFrame, least: int = 16) -> DataFrame:
 
 
 def timeline_coverage(points: DataFrame, durations: DataFrame) -> DataFrame:
-    """job_id, first_ok, middle_ok, last_ok of points (job_id, t) against durations (job_id, duration_s)."""
-    j = points.join(durations, "job_id")
+    """job_id, first_ok, middle_ok, last_ok of points (job_id, t) against durations (job_id, duration_s); no row where no time is known."""
+    j = points.join(durations.where("duration_s > 0"), "job_id")
     d = F.col("duration_s")
     return j.groupBy("job_id", "duration_s").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.bool_or(F.col("t").between(0.2 * d, 0.8 * d)).alias("middle_ok")).select(
         "job_id", (F.col("lo") <= F.greatest(F.lit(30.0), 0.15 * d)).alias("first_ok"), "middle_ok", (F.col("hi") >= 0.8 * d).alias("last_ok"))
@@ -93,34 +99,39 @@ def resolve_related(refs: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def visual_violations(refs: DataFrame, frames: DataFrame, steps: DataFrame) -> DataFrame:
-    """Frame references (job_id, frame_id, step, caption): unknown, repeated, half placed, or at an unknown step."""
+    """Frame references (job_id, frame_id, step): unknown, repeated, or at an unknown step; and jobs that place some frames and not all."""
     f, s = frames.select("job_id", "frame_id", F.lit(True).alias("known")).distinct(), steps.select("job_id", "step", F.lit(True).alias("placed")).distinct()
     joined = refs.join(f, ["job_id", "frame_id"], "left").join(s, ["job_id", "step"], "left")
     own = _violations(
-        joined, (F.col("known").isNull(), "unknown_frame", "visuals"), (F.col("step").isNull() != F.col("caption").isNull(), "half_placed", "visuals"),
-        (F.col("step").isNotNull() & F.col("placed").isNull(), "unknown_step", "visuals"))
+        joined, (F.col("known").isNull(), "unknown_frame", "visuals"), (F.col("step").isNotNull() & F.col("placed").isNull(), "unknown_step", "visuals"))
     twice = refs.groupBy("job_id", "frame_id").count().where("count > 1").select("job_id", F.lit("repeated_frame").alias("code"), F.lit("visuals").alias("path"))
-    return own.union(twice)
+    placed = refs.groupBy("job_id").agg(F.count("step").alias("placed"), F.count(F.lit(1)).alias("n")).where("placed > 0 AND placed < n")
+    return own.union(twice).union(placed.select("job_id", F.lit("partly_placed").alias("code"), F.lit("visuals").alias("path")))
 
 
 def section_violations(docs: DataFrame, headings: Sequence[str], least: int = 8, body: int = 600) -> DataFrame:
-    """Sections missing or too short, a short body, a first heading unlike the title (job_id, title, text)."""
+    """Sections missing or too short, a short body, no top heading that is the title (job_id, title, text)."""
     sections = [F.length(F.trim(F.regexp_extract("text", rf"(?ms)^## \Q{h}\E[ \t]*$(.*?)(?=^## |\z)", 1), F.lit(" \t\r\n"))) for h in headings]
     rules = [(n < least, "short_section", h) for n, h in zip(sections, headings, strict=True)]
-    first = F.regexp_extract("text", r"(?m)^# (.+)$", 1)
-    return _violations(docs, *rules, (F.length("text") < body, "short_body", ""), (F.trim(first) != F.trim("title"), "title_mismatch", "title"))
+    quoted = F.concat(F.lit(r"\Q"), F.replace("title", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    headed = F.regexp_like("text", F.concat(F.lit(r"(?m)^#\s+"), quoted, F.lit(r"\s*$")))
+    return _violations(docs, *rules, (F.length("text") < body, "short_body", ""), (~headed, "title_mismatch", "title"))
 
 
 def unreviewed_numbers(docs: DataFrame, reviewed: DataFrame, skipped: Sequence[str] = ("Timeline", "Visuals", "Related")) -> DataFrame:
-    """job_id, numbers: numbers of documents (job_id, text) that the reviewed text (job_id, reviewed) does not have."""
+    """job_id, numbers: numbers of documents (job_id, text) that the reviewed text (job_id, reviewed) does not contain.
+
+    What the skipped sections say is left out wherever it stands; of links the label
+    counts; times of day or of a video are no numbers.
+    """
     text = F.col("text")
     for h in skipped:
-        text = F.regexp_replace(text, rf"(?ms)^## \Q{h}\E[ \t]*$.*?(?=^## |\z)", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"\]\([^)]*\)", "]"), r"\b[0-9]+(?::[0-9]{2}){1,2}(?:\.[0-9]+)?\b", "")
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![\w.])[0-9]+(?:[.,][0-9]+)*%?"), 0))
-    joined = docs.join(reviewed, "job_id", "left").withColumn("numbers", numbers)
-    known = F.regexp_extract_all(F.coalesce("reviewed", F.lit("")), F.lit(r"(?<![\w.])[0-9]+(?:[.,][0-9]+)*%?"), 0)
-    return joined.select("job_id", F.array_except("numbers", known).alias("numbers")).where("size(numbers) > 0")
+        said = F.trim(F.regexp_extract("text", rf"(?ms)^## \Q{h}\E\s*$\n(.*?)(?=^## |\z)", 1), F.lit(" \t\r\n"))
+        text = F.when(said != "", F.replace(text, said, F.lit(""))).otherwise(text)
+    text = F.regexp_replace(F.regexp_replace(text, INLINE_LINK, "$1"), TIME_CODE, "")
+    known = F.coalesce("reviewed", F.lit(""))
+    numbers = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBER), 0)), lambda n: ~F.contains(known, n))
+    return docs.join(reviewed, "job_id", "left").select("job_id", numbers.alias("numbers")).where("size(numbers) > 0")
 
 
 def number_tokens(docs: DataFrame, key: str, col: str, reviewed: DataFrame) -> DataFrame:
@@ -151,13 +162,19 @@ def render_documents(payloads: DataFrame, sections: Sequence[str]) -> DataFrame:
     return payloads.select("job_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), *map(part, sections), F.lit("## Steps\n\n"), F.coalesce(steps, F.lit("")), F.lit("\n")).alias("document"))
 
 
-def admit_candidates(cands: DataFrame, packets: DataFrame, current: DataFrame, reviews: DataFrame) -> DataFrame:
-    """job_id, outcome of candidates (job_id, version, packet_sha256, candidate_sha256) against packets, the current candidate and its review."""
+def admit_candidates(cands: DataFrame, packets: DataFrame, current: DataFrame, reviews: DataFrame, fields: Sequence[str] = CANDIDATE_FIELDS, version: int = 1, schema_version: int = 2) -> DataFrame:
+    """job_id, outcome of candidates against packets, the current candidate and its review.
+
+    cands: job_id that was asked for, names of the candidate's fields, and its
+    version, schema_version, job_ref, packet_sha256, candidate_sha256.
+    """
     c = cands.join(packets.select("job_id", F.col("sha256").alias("packet_now")), "job_id", "left")
     c = c.join(current.select("job_id", F.col("candidate_sha256").alias("current_sha256"), F.col("packet_sha256").alias("current_packet")), "job_id", "left")
     c = c.join(reviews.select("job_id", "decision"), "job_id", "left")
     outcome = (
-        F.when(F.col("packet_now").isNull(), "unknown_job").when(F.col("version") != 1, "bad_version").when(F.col("packet_sha256") != F.col("packet_now"), "stale_packet")
+        F.when(F.col("packet_now").isNull(), "unknown_job").when(~F.array_sort("fields").eqNullSafe(F.array(*map(F.lit, sorted(fields)))), "bad_fields")
+        .when(~F.col("version").eqNullSafe(F.lit(version)), "bad_version").when(~F.col("schema_version").eqNullSafe(F.lit(schema_version)), "bad_schema_version")
+        .when(~F.col("job_ref").eqNullSafe(F.col("job_id")), "wrong_job").when(~F.col("packet_sha256").eqNullSafe(F.col("packet_now")), "stale_packet")
         .when(F.col("current_sha256").isNull(), "admitted").when(F.col("current_sha256") == F.col("candidate_sha256"), "reused")
         .when((F.col("current_packet") != F.col("packet_now")) | F.col("decision").eqNullSafe("reject"), "replaced").otherwise("conflict"))
     return c.select("job_id", outcome.alias("outcome"))
@@ -168,10 +185,11 @@ def current_candidates(cands: DataFrame, packets: DataFrame) -> DataFrame:
     return cands.join(packets.select("job_id", F.col("sha256").alias("packet_sha256")), ["job_id", "packet_sha256"], "left_semi")
 
 
-def repair_routes(rejections: DataFrame, repairable: Sequence[str] = REPAIRABLE) -> DataFrame:
-    """job_id, route: one repair of the content if the code allows it and none was tried (repairs), else regenerate."""
-    route = F.when(F.col("code").isin(list(repairable)) & (F.col("repairs") == 0), "repair").otherwise("regenerate")
-    return rejections.select("job_id", "code", route.alias("route"))
+def repair_routes(rejections: DataFrame, repairable: DataFrame) -> DataFrame:
+    """job_id, code, route: one repair of the content if the code allows it (repairable: code) and none was tried (repairs), else regenerate."""
+    marked = rejections.join(repairable.select("code", F.lit(True).alias("may")).distinct(), "code", "left")
+    route = F.when(F.col("may").isNotNull() & (F.col("repairs") == 0), "repair").otherwise("regenerate")
+    return marked.select("job_id", "code", route.alias("route"))
 
 
 def acceptance_matrix(items: DataFrame, media: DataFrame, manifests: DataFrame, notes: DataFrame, projections: DataFrame, sections: Sequence[str], mode: str = "high") -> DataFrame:

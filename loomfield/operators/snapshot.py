@@ -156,10 +156,14 @@ def needs_processing(items: DataFrame, version: str, artifacts: DataFrame) -> Da
     return items.join(there, "source_id", "left").withColumn("needs", F.coalesce("currently_collected", F.lit(False)) & ~done).drop("valid")
 
 
-def next_items(items: DataFrame, k: int = 1) -> DataFrame:
-    """The k items of the lowest position in each collection that need processing (column needs)."""
-    rank = F.row_number().over(Window.partitionBy("collection").orderBy("last_position", "source_id"))
-    return items.where("needs").withColumn("rank", rank).where(F.col("rank") <= k)
+def next_items(items: DataFrame, snapshot_items: DataFrame, snapshots: DataFrame, k: int = 1) -> DataFrame:
+    """snapshot_id, place, source_id, position: of each completed snapshot the k first of its items that need processing.
+
+    items: source_id, needs; snapshot_items: snapshot_id, source_id, position.
+    """
+    seen = completed_only(snapshot_items, snapshots).join(items.where("needs").select("source_id"), "source_id", "left_semi")
+    place = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("position", "source_id"))
+    return seen.withColumn("place", place).where(F.col("place") <= k).select("snapshot_id", "place", "source_id", "position")
 
 
 def claim_decisions(items: DataFrame, observed: DataFrame, artifacts: DataFrame, version: str) -> DataFrame:

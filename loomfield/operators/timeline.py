@@ -15,10 +15,15 @@ SCREEN = "struct<frames:array<struct<keyframe_id:long,timestamp:double,file:stri
 
 
 def flatten_transcript(docs: DataFrame, col: str = "json") -> DataFrame:
-    """job_id, segment_id, start_s, end_s, text, confidence, words of transcript documents; empty slots are dropped."""
-    parsed = docs.select("job_id", F.from_json(col, TRANSCRIPT).alias("d"))
-    rows = parsed.select("job_id", F.posexplode("d.segments").alias("segment_id", "s")).where("s IS NOT NULL AND s.text IS NOT NULL")
-    return rows.select("job_id", F.col("segment_id").cast("long"), F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), "s.text", "s.confidence", "s.words")
+    """job_id, segment_id, start_s, end_s, text, confidence, words of transcript documents; empty slots are dropped, and counted in ``dropped`` of each row.
+
+    A document whose slots are all empty is one row without segment_id.
+    """
+    parsed = docs.select("job_id", F.from_json(col, TRANSCRIPT)["segments"].alias("all"))
+    kept = F.filter(F.transform("all", lambda s, i: F.struct(i.cast("long").alias("i"), s.alias("s"))), lambda x: x["s"]["text"].isNotNull())
+    rows = parsed.withColumn("kept", kept).select("job_id", (F.size("all") - F.size("kept")).alias("dropped"), F.explode_outer("kept").alias("x")).where("x IS NOT NULL OR dropped > 0")
+    fields = [F.col("x.s.start").alias("start_s"), F.col("x.s.end").alias("end_s"), "x.s.text", "x.s.confidence", "x.s.words"]
+    return rows.select("job_id", F.col("x.i").alias("segment_id"), *fields, "dropped")
 
 
 def flatten_screen_text(docs: DataFrame, col: str = "json") -> DataFrame:
@@ -47,11 +52,12 @@ def array_confidence(words: Column) -> Column:
 
 
 def stitch_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
-    """job_id, segment_id, start_s, end_s, text over all chunks of a job.
+    """job_id, segment_id, start_s, end_s, text, and words if there, over all chunks of a job.
 
-    segments: job_id, chunk, i, start_s, end_s, text; chunks: job_id, chunk,
-    duration_s. A chunk starts where those before it end; segments are numbered
-    within their chunk, and chunks add what lies before them.
+    segments: job_id, chunk, i, start_s, end_s, text, and words (an array of start,
+    end, text, confidence); chunks: job_id, chunk, duration_s. A chunk starts where
+    those before it end, and its words move with it; segments are numbered within
+    their chunk, and chunks add what lies before them.
     """
     counts = segments.groupBy("job_id", "chunk").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("job_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,16 +65,22 @@ def stitch_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
         "job_id", "chunk", F.coalesce(F.sum("duration_s").over(w), F.lit(0.0)).alias("offset"), F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(w), F.lit(0)).alias("before")
     )
     inside = segments.withColumn("k", F.row_number().over(Window.partitionBy("job_id", "chunk").orderBy("start_s", "i")) - 1)
+    moved = lambda c: F.round(F.coalesce(c, F.lit(0.0)) + F.col("offset"), 3)
+    words = [shift_words(F.col("words"), F.col("offset")).alias("words")] if "words" in segments.columns else []
     return inside.join(placed, ["job_id", "chunk"]).select(
-        "job_id", (F.col("before") + F.col("k")).alias("segment_id"),
-        F.round(F.col("start_s") + F.col("offset"), 3).alias("start_s"), F.round(F.col("end_s") + F.col("offset"), 3).alias("end_s"), "text",
-    )
+        "job_id", (F.col("before") + F.col("k")).alias("segment_id"), moved("start_s").alias("start_s"), moved("end_s").alias("end_s"), "text", *words)
+
+
+def combined_facts(chunks: DataFrame) -> DataFrame:
+    """job_id, language_probability (the mean over chunks, unknown ones as 0), duration_s (the sum) of chunks (job_id, language_probability, duration_s)."""
+    known = lambda c: F.coalesce(c, F.lit(0.0))
+    return chunks.groupBy("job_id").agg(F.round(F.avg(known("language_probability")), 6).alias("language_probability"), F.round(F.sum(known("duration_s")), 3).alias("duration_s"))
 
 
 def shift_words(words: Column, offset: Column) -> Column:
     """Words of a segment moved by its chunk's offset."""
-    return F.transform(words, lambda w: F.struct(
-        F.round(w["start"] + offset, 3).alias("start"), F.round(w["end"] + offset, 3).alias("end"), w["text"].alias("text"), w["confidence"].alias("confidence")))
+    moved = lambda c: F.round(F.coalesce(c, F.lit(0.0)) + offset, 3)
+    return F.transform(words, lambda w: F.struct(moved(w["start"]).alias("start"), moved(w["end"]).alias("end"), w["text"].alias("text"), w["confidence"].alias("confidence")))
 
 
 def pending_chunks(chunks: DataFrame, results: DataFrame) -> DataFrame:

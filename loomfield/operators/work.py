@@ -56,15 +56,20 @@ def job_stages(items: DataFrame, publications: DataFrame, checkpoints: DataFrame
 
 
 def job_spans(events: DataFrame, batches: DataFrame) -> DataFrame:
-    """job_id, first_at, last_at, elapsed_s of events (job_id, at) not before the job's batch (job_id, created_at)."""
+    """job_id, first_at, last_at, elapsed_s of each job (job_id, created_at) over its events (job_id, at) from then on; without any, its creation and 0."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    per = events.join(batches, "job_id").where("at >= created_at").groupBy("job_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    return per.withColumn("elapsed_s", F.round(F.greatest(F.lit(0.0), (micros("last_at") - micros("first_at")) / 1e6), 3))
+    counted = batches.join(events.select("job_id", "at"), "job_id", "left").withColumn("at", F.when(F.col("at") >= F.col("created_at"), F.col("at")))
+    per = counted.groupBy("job_id", "created_at").agg(F.min("at").alias("a"), F.max("at").alias("z"))
+    spans = per.select("job_id", F.coalesce("a", "created_at").alias("first_at"), F.coalesce("z", "created_at").alias("last_at"))
+    return spans.withColumn("elapsed_s", F.round(F.greatest(F.lit(0.0), (micros("last_at") - micros("first_at")) / 1e6), 3))
 
 
 def batch_rollup(stages: DataFrame) -> DataFrame:
-    """batch_id, jobs, accepted, failed, state: complete, blocked (some job failed) or running."""
-    per = stages.groupBy("batch_id").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("stage") == "accepted").alias("accepted"), F.count_if(F.col("stage") == "failed").alias("failed"))
+    """batch_id, jobs, accepted, failed, by_stage (map of counts, by name), state: complete, blocked (some job failed) or running."""
+    counts = stages.groupBy("batch_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda stage: F.coalesce(F.sum(F.when(F.col("stage") == stage, F.col("n"))), F.lit(0))
+    per = counts.groupBy("batch_id").agg(
+        F.sum("n").alias("jobs"), of("accepted").alias("accepted"), of("failed").alias("failed"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("by_stage"))
     state = F.when(F.col("accepted") == F.col("jobs"), "complete").when(F.col("failed") > 0, "blocked").otherwise("running")
     return per.withColumn("state", state)
 

@@ -12,8 +12,8 @@ from loomfield.sources import files, media_files
 from loomfield.streaming import ingest, pages
 
 CONVERSATION_WORDS = "SELECT conv_id AS job_id, turn AS segment_id, CAST(length(text) % 100 AS DOUBLE) / 100 AS confidence FROM conversations"
-CHUNKS = "SELECT DISTINCT job_id, segment_id % 3 AS chunk, CAST(600 + job_id % 7 AS DOUBLE) AS duration_s FROM v_segments"
-CHUNKED = "SELECT job_id, segment_id % 3 AS chunk, segment_id AS i, start_s, end_s, text FROM v_segments"
+CHUNKS = "SELECT DISTINCT job_id, segment_id % 3 AS chunk, CAST(600 + job_id % 7 AS DOUBLE) AS duration_s, CASE WHEN segment_id % 3 < 2 THEN CAST(job_id % 10 AS DOUBLE) / 10 END AS language_probability FROM v_segments"
+CHUNKED = "SELECT job_id, segment_id % 3 AS chunk, segment_id AS i, CASE WHEN segment_id % 4 > 0 THEN start_s END AS start_s, end_s, text FROM v_segments"
 RESULTS = "SELECT job_id, segment_id % 3 AS chunk, confidence > 0.3 AS valid FROM v_segments WHERE segment_id < 3"
 SPEECH_DOCS = """SELECT job_id, job_id % 11 <> 0 AS has_audio, CASE job_id % 3 WHEN 0 THEN 'zh' WHEN 1 THEN 'yue' ELSE 'en' END AS language,
     CASE WHEN job_id % 7 = 0 THEN NULL ELSE CAST(job_id % 10 AS DOUBLE) / 10 END AS language_probability FROM v_segments WHERE segment_id =
@@ -83,6 +83,8 @@ UPDATES = """SELECT source_id, CASE k % 8 WHEN 0 THEN 'processing' WHEN 1 THEN '
         THEN 'downloaded' WHEN 5 THEN 'incomplete' WHEN 6 THEN 'failed' ELSE NULL END AS new_status,
     CASE WHEN k % 7 = 1 THEN 'late' END AS new_error, CASE WHEN k % 5 = 1 THEN 'm' END AS new_media_sha256 FROM v_src WHERE k % 3 = 0 OR k %
         30 = 1"""
+LISTED = "SELECT o_custkey % 200 AS snapshot_id, CAST(o_orderkey AS STRING) AS source_id, o_orderkey * 7919 % 100003 AS position FROM orders WHERE o_orderkey % 7 <> 0"
+SNAPSHOT_STATES = "SELECT DISTINCT o_custkey % 200 AS snapshot_id, CASE o_custkey % 200 % 4 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'failed' ELSE 'completed' END AS state FROM orders"
 NEEDS = """SELECT i.*, currently_collected AND NOT (status = 'completed' AND pipeline_version = 'v1' AND o.source_id IS NOT NULL) AS needs
     FROM v_items i LEFT JOIN (SELECT source_id FROM v_observed WHERE observed_sha256 IS NOT NULL) o ON i.source_id = o.source_id"""
 
@@ -161,6 +163,14 @@ def _transcripts(s, d):
     return grouped.select("job_id", F.concat(F.lit('{"language":"en","segments":['), F.array_join("slots", ","), F.lit("]}")).alias("json"))
 
 
+def _stitched(s, d):
+    """Segments over all chunks, with the times of their one word, and what is known of the whole."""
+    word = F.struct(F.col("end_s").alias("start"), F.lit(None).cast("double").alias("end"), F.lit("w").alias("text"), F.lit(None).cast("double").alias("confidence"))
+    chunks = sql(s, d, CHUNKS)
+    joined = timeline.stitch_chunks(sql(s, d, CHUNKED).withColumn("words", F.array(word)), chunks).join(timeline.combined_facts(chunks), "job_id")
+    return joined.select("job_id", "segment_id", "start_s", "end_s", "text", F.col("words")[0]["start"].alias("word_start"), F.col("words")[0]["end"].alias("word_end"), "language_probability", "duration_s")
+
+
 def _screens(s, d):
     """A JSON of the screen text of each conversation: frames of two lines."""
     lines = F.array(F.struct("text", "confidence"), F.struct(F.lit("second").alias("text"), F.lit(None).cast("double").alias("confidence")))
@@ -223,10 +233,11 @@ TESTS: dict = {
         f"SELECT doc_id, octet_length(content) AS size_bytes, sha256(content) AS content_hash FROM ({CONTENTS}) c WHERE doc_id % 4 <> 3",
     ),
     "S-5": (
-        lambda s, d: timeline.flatten_transcript(_transcripts(s, d)).select("job_id", "segment_id", "start_s", "end_s", "text", "confidence", F.size("words").alias("words")),
-        """SELECT job_id, segment_id, start_s, end_s, text, confidence, 1 AS words FROM (SELECT * EXCLUDE (segment_id), segment_id AS turn,
-        row_number() OVER (PARTITION BY job_id ORDER BY segment_id) - 1 AS segment_id FROM v_segments) t
-        WHERE turn % 5 <> 4 AND text IS NOT NULL""",
+        lambda s, d: timeline.flatten_transcript(_transcripts(s, d)).select("job_id", "segment_id", "start_s", "end_s", "text", "confidence", F.size("words").alias("words"), "dropped"),
+        """WITH t AS (SELECT * EXCLUDE (segment_id), segment_id % 5 <> 4 AND text IS NOT NULL AS good, row_number() OVER (PARTITION BY job_id ORDER BY segment_id) - 1 AS segment_id FROM v_segments),
+        n AS (SELECT job_id, count(*) FILTER (NOT good) AS dropped, bool_or(good) AS has FROM t GROUP BY 1)
+        SELECT job_id, segment_id, start_s, end_s, text, confidence, 1 AS words, dropped FROM t JOIN n USING (job_id) WHERE good
+        UNION ALL SELECT job_id, NULL, NULL, NULL, NULL, NULL, NULL, dropped FROM n WHERE NOT has""",
     ),
     "S-6": (
         lambda s, d: timeline.flatten_screen_text(_screens(s, d)),
@@ -334,9 +345,9 @@ TESTS: dict = {
         HAVING count(*) > 1
         UNION ALL SELECT 'unknown_snapshot', source_id FROM v_items WHERE snapshot_id NOT IN (SELECT snapshot_id FROM v_snapshots)"""),
     "C-11": (lambda s, d: _needs(s, d).select("source_id", "needs"), f"SELECT source_id, needs FROM ({NEEDS}) t"),
-    "C-12": (lambda s, d: snapshot.next_items(_needs(s, d)).select("collection", "source_id", "last_position"), f"""SELECT collection,
-        source_id, last_position FROM (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY last_position, source_id) AS r
-        FROM ({NEEDS}) t WHERE needs) q WHERE r = 1"""),
+    "C-12": (lambda s, d: snapshot.next_items(_needs(s, d), sql(s, d, LISTED), sql(s, d, SNAPSHOT_STATES), 2), f"""SELECT snapshot_id, place, source_id, position FROM
+        (SELECT l.*, row_number() OVER (PARTITION BY l.snapshot_id ORDER BY position, l.source_id) AS place FROM ({LISTED}) l JOIN ({NEEDS}) t ON l.source_id = t.source_id
+        WHERE needs AND l.snapshot_id IN (SELECT snapshot_id FROM ({SNAPSHOT_STATES}) s WHERE state = 'completed')) q WHERE place <= 2"""),
     "C-13": (
         lambda s, d: snapshot.claim_decisions(items(s, d), observed(s, d).select("source_id", "observed_sha256"), sql(s, d, VALID), "v1"),
         f"""SELECT *, decision NOT IN ('not_collected', 'completed_current') AS process, CASE WHEN decision IN ('not_collected',
@@ -457,11 +468,11 @@ TESTS: dict = {
         lambda s, d: timeline.segment_confidence(sql(s, d, CONVERSATION_WORDS)),
         f"SELECT job_id, segment_id, round(avg(confidence), 6) AS confidence FROM ({CONVERSATION_WORDS}) t GROUP BY 1, 2",
     ),
-    "T-2": (lambda s, d: timeline.stitch_chunks(sql(s, d, CHUNKED), sql(s, d, CHUNKS)), f"""WITH c AS (SELECT job_id, chunk,
+    "T-2": (lambda s, d: _stitched(s, d), f"""WITH c AS (SELECT job_id, chunk,
         coalesce(sum(duration_s) OVER (PARTITION BY job_id ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM
-        ({CHUNKS}) t)
-        SELECT g.job_id, row_number() OVER (PARTITION BY g.job_id ORDER BY g.chunk, start_s, i) - 1 AS segment_id, round(start_s + o, 3) AS
-        start_s, round(end_s + o, 3) AS end_s, text FROM ({CHUNKED}) g JOIN c ON g.job_id = c.job_id AND g.chunk = c.chunk"""),
+        ({CHUNKS}) t), f AS (SELECT job_id, round(sum(coalesce(language_probability, 0)) / count(*), 6) AS language_probability, round(sum(duration_s), 3) AS duration_s FROM ({CHUNKS}) t GROUP BY 1)
+        SELECT g.job_id, row_number() OVER (PARTITION BY g.job_id ORDER BY g.chunk, start_s NULLS FIRST, i) - 1 AS segment_id, round(coalesce(start_s, 0) + o, 3) AS
+        start_s, round(end_s + o, 3) AS end_s, text, round(end_s + o, 3) AS word_start, round(o, 3) AS word_end, language_probability, duration_s FROM ({CHUNKED}) g JOIN c ON g.job_id = c.job_id AND g.chunk = c.chunk JOIN f ON g.job_id = f.job_id"""),
     "T-3": (
         lambda s, d: timeline.pending_chunks(sql(s, d, CHUNKS), sql(s, d, RESULTS)),
         f"SELECT c.* FROM ({CHUNKS}) c WHERE NOT EXISTS (SELECT 1 FROM ({RESULTS}) r WHERE r.valid AND r.job_id = c.job_id AND r.chunk = c.chunk)",

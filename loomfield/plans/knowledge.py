@@ -111,8 +111,10 @@ def _facts(s, d):
 SCORED = """SELECT job_id, frame_id, t, CASE WHEN p IS NULL THEN 1.0 ELSE round(list_sum(list_transform(list_zip(vec, p), lambda z: abs(z[1]
         - z[2]))) / len(vec), 6) END AS scene_score
         FROM (SELECT *, lag(vec) OVER (PARTITION BY job_id ORDER BY t, frame_id) AS p FROM v_frames) t"""
+#: How long videos are; of a third it is not known.
+DURATIONS = "SELECT DISTINCT job_id, CASE WHEN job_id % 3 = 0 THEN 21.0D ELSE 0.4D END AS duration_s FROM v_frames WHERE job_id % 3 < 2"
 #: The candidates and the even choice in SQL, frame by frame and target by target.
-OBSERVED = f"SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, frame_id) AS i, count(*) OVER (PARTITION BY job_id) AS n, least(15.0, greatest(0.2, max(t) OVER (PARTITION BY job_id) / 4)) AS step FROM ({SCORED}) q"
+OBSERVED = f"SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, frame_id) AS i, count(*) OVER (PARTITION BY job_id) AS n, least(15.0, greatest(0.2, CASE WHEN job_id % 3 = 0 THEN 21.0 WHEN job_id % 3 = 1 THEN 0.4 ELSE max(t) OVER (PARTITION BY job_id) END / 4)) AS step FROM ({SCORED}) q"
 SAMPLED = f"""WITH o AS ({OBSERVED}), p AS (SELECT job_id, i, CASE WHEN t + step >= step THEN t ELSE -step END AS covered, true AS kept FROM
         o WHERE i = 1 UNION ALL
     SELECT o.job_id, o.i, CASE WHEN o.t - p.covered >= o.step THEN o.t ELSE p.covered END, o.i = o.n OR scene_score >= 0.155 OR o.t -
@@ -126,27 +128,30 @@ EVENLY = f"""WITH o AS ({OBSERVED}), m AS (SELECT job_id, min(t) AS a, greatest(
         list_contains(p.chosen, o.i) GROUP BY o.job_id, p.k)
     SELECT o.job_id, o.frame_id, o.t FROM o JOIN (SELECT * FROM p WHERE k = 7) p ON o.job_id = p.job_id WHERE n <= 8 OR i = n OR
         list_contains(chosen, i)"""
-META = "SELECT job_id, max(t) + 2 AS duration_s, count(*) AS sampled FROM v_frames GROUP BY job_id"
+META = """SELECT job_id, CASE WHEN job_id = 7 THEN 0.0 WHEN job_id = 8 THEN 9.0 ELSE max(t) + 2 END AS duration_s, count(*) AS sampled, max(t) +
+        2 AS expected_tail_s, max(t) + CAST(job_id % 5 AS DOUBLE) / 2 AS last_decodable_s, 0.5 AS tolerance_s FROM v_frames GROUP BY job_id"""
 UNITS = "SELECT doc_id AS job_id, text FROM documents"
 REFS = "SELECT page_id AS ref_id, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages WHERE page_id % 2 = 0"
 COVERAGE = """SELECT user_id AS job_id, CASE WHEN event_id % 17 = 0 THEN ' ' ELSE concat(CASE WHEN event_id % 4 = 0 THEN 'Topic ' ELSE
         'TOPIC-' END, CAST(event_id % 40 AS STRING)) END AS topic, event_id % 2 = 0 AS covered,
     CASE WHEN event_id % 3 = 0 THEN 'summary' ELSE 'not_published' END AS destination FROM events"""
-FRAME_REFS = """SELECT user_id AS job_id, event_id % 30 AS frame_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 6 END AS step,
-        CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'c' END AS caption FROM events"""
+FRAME_REFS = """SELECT user_id AS job_id, event_id % 30 AS frame_id, CASE WHEN event_id % 4 = 0 AND user_id % 3 = 0 OR user_id % 7 = 1 THEN NULL ELSE event_id % 6 END AS step FROM events"""
 KNOWN_FRAMES = "SELECT DISTINCT user_id AS job_id, event_id % 30 AS frame_id FROM events WHERE event_id % 3 <> 0"
 STEPS = "SELECT DISTINCT user_id AS job_id, event_id % 6 AS step FROM events WHERE event_id % 6 < 5"
 LINKS = "SELECT page_id AS ref_id, CASE WHEN page_id % 10 = 0 THEN '../x' WHEN page_id % 15 = 1 THEN '/abs' ELSE concat('p/', CAST(page_id % 200 AS STRING)) END AS target FROM pages"
 PATHS = "SELECT concat('p/', CAST(page_id AS STRING)) AS path FROM pages WHERE page_id % 3 <> 0"
-TOKENS = r"""SELECT DISTINCT doc_id, token FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS token FROM documents) WHERE
-        regexp_matches(token, '^[0-9]+([.][0-9]+)?$')"""
-CANDS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 10 = 9 THEN 2 ELSE 1 END AS version, SHA(CAST(o_orderkey % 100 AS STRING)) AS
+NUMBERED = """SELECT doc_id AS job_id, concat('# T', chr(10), '## Body', chr(10), coalesce(regexp_replace(text, '[^A-Za-z0-9]+', ' '), ''), chr(10), 'uses 10px and 1,000 or 3.5% at 01:20:05 see ![7](x(99).md)', chr(10),
+        '## Timeline', chr(10), 'planted 55 here', chr(10), '## End', chr(10), 'planted 55 here') AS text FROM documents"""
+REVIEWED = "SELECT doc_id AS job_id, '3.5% and 112' AS reviewed FROM documents WHERE doc_id % 3 <> 0"
+CANDS = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 13 = 0 THEN array('content', 'job_ref') ELSE array('protocol_version', 'schema_version', 'job_ref', 'packet_sha256', 'content') END AS fields,
+        CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 2 END AS schema_version, CASE WHEN o_orderkey % 19 = 0 THEN 0 ELSE o_orderkey END AS job_ref, CASE WHEN o_orderkey % 10 = 9 THEN 2 ELSE 1 END AS version, SHA(CAST(o_orderkey % 100 AS STRING)) AS
         packet_sha256, SHA(CAST(o_custkey AS STRING)) AS candidate_sha256 FROM orders"""
 PACKETS = "SELECT o_orderkey AS job_id, SHA(CAST(o_orderkey % 100 + CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE 0 END AS STRING)) AS sha256 FROM orders WHERE o_orderkey % 21 <> 0"
 CURRENT = """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 1 THEN SHA(CAST(o_custkey AS STRING)) ELSE 'c' END AS candidate_sha256,
         CASE WHEN o_orderkey % 6 = 1 THEN 'p' ELSE SHA(CAST(o_orderkey % 100 AS STRING)) END AS packet_sha256 FROM orders WHERE o_orderkey %
         2 = 1"""
 DECIDED = "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 9 < 4 THEN 'reject' ELSE 'approve' END AS decision FROM orders WHERE o_orderkey % 3 = 0"
+REPAIRABLE = "SELECT DISTINCT CASE event_type WHEN 'click' THEN 'duplicate_text' ELSE 'short_section' END AS code FROM events WHERE event_type IN ('click', 'view')"
 REJECTIONS = "SELECT event_id AS job_id, CASE event_type WHEN 'click' THEN 'duplicate_text' WHEN 'view' THEN 'short_section' ELSE 'privacy' END AS code, event_id % 2 AS repairs FROM events"
 MATRIX = {
     "items": "SELECT doc_id AS job_id, SHA(CAST(doc_id AS STRING)) AS media_sha256, CASE WHEN doc_id % 12 = 1 THEN 'failed' ELSE 'completed' END AS status FROM documents",
@@ -158,7 +163,7 @@ MATRIX = {
         1""",
     "projections": "SELECT doc_id AS job_id, coalesce(text, '') AS text FROM documents WHERE doc_id % 10 <> 1",
 }
-TAXONOMY = "SELECT job_id, CASE WHEN tag2 = 'src3' THEN 'Misc' ELSE tag2 END AS category, array(tag1, CASE WHEN job_id % 5 = 0 THEN tag1 WHEN job_id % 7 = 0 THEN 'TODO' ELSE tag2 END) AS tags FROM v_payload"
+TAXONOMY = "SELECT doc_id AS job_id, CASE WHEN source = 'src3' THEN 'Misc' ELSE source END AS category, array('a', CASE WHEN doc_id % 5 = 0 THEN ' a ' WHEN doc_id % 7 = 0 THEN 'TODO' WHEN doc_id % 7 = 1 THEN ' ' ELSE 'b' END) AS tags FROM documents"
 OCR_STATE = "SELECT doc_id AS job_id, CASE WHEN doc_id % 3 = 0 THEN 'needs_review' ELSE 'ok' END AS quality FROM documents"
 JSONS = """SELECT page_id AS job_id, concat('{"title":"', CASE WHEN page_id % 4 = 0 THEN '' ELSE 'page' END, '","kind":"', CASE WHEN page_id
         % 5 = 0 THEN 'x' ELSE 'page' END, '","tags":["a",', CASE WHEN page_id % 3 = 0 THEN '"a"' ELSE '"b"' END, '],"score":', CAST(page_id
@@ -220,7 +225,7 @@ PUBLICATIONS = "SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 4 = 0 THEN '
 CHECKPOINTS = "SELECT o_orderkey AS job_id, o_orderkey % 13 = 0 AS paused, CASE WHEN o_orderkey % 13 = 0 THEN 'e' END AS error FROM orders WHERE o_orderkey % 9 <> 2"
 ANSWERS = "SELECT o_orderkey AS job_id, o_orderkey % 4 < 2 AS current, o_orderkey % 4 = 0 AS imported FROM orders WHERE o_orderkey % 3 = 0"
 HAVE = {n: f"SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % {k} < 2" for n, k in (("drafts", 7), ("packets", 5), ("analyses", 4), ("media", 3))}
-JOB_BATCHES = "SELECT DISTINCT user_id AS job_id, TIMESTAMP '2024-01-05 00:00:00' AS created_at FROM events"
+JOB_BATCHES = "SELECT DISTINCT user_id AS job_id, CASE WHEN user_id % 5 = 0 THEN TIMESTAMP '2024-06-01 00:00:00' ELSE TIMESTAMP '2024-01-05 00:00:00' END AS created_at FROM events UNION ALL SELECT -1, TIMESTAMP '2024-01-07 00:00:00'"
 STAGED = """SELECT o_custkey % 60 AS batch_id, o_orderkey AS job_id, o_orderkey % 97 AS position, o_custkey % 60 < 30 AND o_orderkey % 31 =
         0 AS active,
     CASE WHEN o_custkey % 60 < 5 OR o_orderstatus = 'F' THEN 'accepted' WHEN o_custkey % 60 < 9 AND o_orderkey % 5 = 0 THEN 'failed'
@@ -235,6 +240,7 @@ RECORDS = "SELECT source_id AS job_id, CASE WHEN k % 5 = 0 THEN NULL ELSE concat
 BEFORE = "SELECT source_id AS job_id, status FROM v_src WHERE k % 9 <> 0"
 AFTER = "SELECT source_id AS job_id, CASE WHEN k % 4 = 0 THEN 'completed' ELSE status END AS status FROM v_src WHERE k % 8 <> 3"
 TAGGED = "SELECT doc_id AS entry_ref, array(lang, source, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE 'x' END) AS tags FROM documents"
+SPELLED = "SELECT doc_id AS entry_ref, CASE WHEN doc_id % 11 = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE array(concat(' ', coalesce(lang, 'x')), concat('.', coalesce(source, 'y'), '-'), CASE doc_id % 7 WHEN 0 THEN 'con' WHEN 1 THEN ' - ' WHEN 2 THEN 'a/b' ELSE upper(coalesce(lang, 'x')) END) END AS tags FROM documents"
 DATED = "SELECT o_orderkey AS entry_ref, o_orderdate AS added_at FROM orders"
 STEMS = "SELECT p_partkey AS job_id, p_brand AS category, CASE WHEN p_partkey % 4 = 1 THEN concat(p_type, ' .') WHEN p_partkey % 17 = 2 THEN concat(p_type, ' (3)') ELSE p_type END AS stem FROM part"
 NAMED = """SELECT p_partkey AS job_id, p_brand AS category, CASE WHEN p_partkey % 30 = 0 THEN concat(p_type, ' (', CAST(p_partkey % 7 + 2 AS
@@ -267,7 +273,7 @@ def _a(s, d, statement):
 
 
 def duck(statement: str) -> str:
-    return statement.replace("array(", "list_value(")
+    return statement.replace("array(", "list_value(").replace("ARRAY<STRING>", "VARCHAR[]")
 
 
 def _dict_sources(s, d):
@@ -310,10 +316,12 @@ TESTS: dict = {
     "E-1": (lambda s, d: evidence.clean_records(sql(s, d, "SELECT doc_id, text FROM documents")), f"""SELECT doc_id, trim(left(c, 800)) AS
         text, length(c) > 800 AS truncated FROM (SELECT doc_id, {CLEAN.format('text')} AS c FROM documents) t WHERE c <> '' AND NOT
         {PRIVATE.format('c')}"""),
-    "E-2": (lambda s, d: evidence.fragment(view(s, d, "documents"), "doc_id"), f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id
-        ORDER BY i) AS part, trim(left(c, 800)) AS text FROM (SELECT doc_id, i, {CLEAN.format('substr(text, i * 600 + 1, 600)')} AS c
-        FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 600.0) AS BIGINT)))) AS i FROM documents)) t WHERE c
-        <> '' AND NOT {PRIVATE.format('c')}"""),
+    "E-2": (lambda s, d: evidence.fragment(view(s, d, "documents"), "doc_id"), f"""WITH l AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS
+        text FROM documents), w AS (SELECT doc_id, i, {CLEAN.format('substr(text, i * 600 + 1, 600)')} AS c FROM (SELECT doc_id, text,
+        unnest(range(0, CAST(ceil(length(text) / 600.0) AS BIGINT))) AS i FROM l)),
+        k AS (SELECT *, c <> '' AND NOT {PRIVATE.format('c')} AS kept FROM w), n AS (SELECT doc_id, count(*) FILTER (NOT kept) AS omitted FROM k GROUP BY 1)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part, trim(left(c, 800)) AS text, omitted FROM k JOIN n USING (doc_id) WHERE kept
+        UNION ALL SELECT doc_id, NULL, NULL, omitted FROM n WHERE omitted > 0 AND doc_id NOT IN (SELECT doc_id FROM k WHERE kept)"""),
     "E-3": (lambda s, d: evidence.dedup_lines(_lines(s, d), "doc_id"), f"""SELECT doc_id, line_no, line FROM (SELECT *, row_number() OVER
         (PARTITION BY doc_id, k ORDER BY line_no) AS r FROM (SELECT *, lower(replace(regexp_replace(line, '[\\s|*_`#>-]+', '', 'g'), 'ß',
         'ss')) AS k FROM ({LINES}) l) m WHERE k <> '') q WHERE r = 1"""),
@@ -380,12 +388,13 @@ TESTS: dict = {
         '(?i)\b(cookie|session|signature|token)\b\s*[=:]\s*\S+', '\1=[REDACTED]', 'g'),
         '(?i)\bitem-[0-9a-f]{20}\b', '[REDACTED_JOB]', 'g'), '\b[0-9]{15,24}\b', '[REDACTED_ID]', 'g') AS text FROM documents"""),
     "E-15": (
-        lambda s, d: evidence.extractive_digest(segs(s, d)).select("job_id", "short", "long", F.array_join("leads", "|").alias("leads")),
+        lambda s, d: evidence.extractive_digest(segs(s, d)).select("job_id", "short", "long", *[F.array_join(c, "|").alias(c) for c in ("leads", "numeric")], F.size("timed").alias("timed")),
         """WITH
         j AS (SELECT job_id, string_agg(text, ' ' ORDER BY start_s, segment_id, text) AS t, list(text ORDER BY start_s, segment_id, text) AS
         a FROM v_segments GROUP BY 1)
-        SELECT job_id, CASE WHEN length(t) > 140 THEN left(t, 140) || '…' ELSE t END AS short, CASE WHEN length(t) > 600 THEN left(t, 600)
-        || '…' ELSE t END AS long, array_to_string(a[1:5], '|') AS leads FROM j""",
+        SELECT job_id, CASE WHEN length(t) > 140 THEN regexp_replace(left(t, 139), '\\s+$', '') || '…' ELSE t END AS short, CASE WHEN
+        length(t) > 600 THEN regexp_replace(left(t, 599), '\\s+$', '') || '…' ELSE t END AS long, array_to_string(a[1:5], '|') AS leads,
+        array_to_string(list_filter(a, lambda x: regexp_matches(x, '[0-9]'))[1:5], '|') AS numeric, least(len(a), 8) AS timed FROM j""",
     ),
     "E-16": (
         lambda s, d: evidence.read_progress(sql(s, d, "SELECT user_id AS job_id, concat('h', CAST(event_id % 20 AS STRING)) AS handle FROM events"), sql(s, d, "SELECT user_id AS job_id, concat('h', CAST(event_id % 20 AS STRING)) AS handle FROM events WHERE value > 60")).select("job_id", "required", "read", F.array_join("missing", ",").alias("missing")),
@@ -406,19 +415,19 @@ TESTS: dict = {
         lambda s, d: _scored(s, d).select("job_id", "frame_id", "scene_score"),
         f"SELECT job_id, frame_id, scene_score FROM ({SCORED}) q",
     ),
-    "K-4": (lambda s, d: frames.frame_candidates(_scored(s, d), threshold=0.155), SAMPLED),
+    "K-4": (lambda s, d: frames.frame_candidates(_scored(s, d), sql(s, d, DURATIONS), threshold=0.155), SAMPLED),
     "K-5": (lambda s, d: frames.select_frames(_candidates(s, d), most=12, apart=0.3).where("reason IN ('first', 'tail', 'coverage')"), None),
     "K-6": (lambda s, d: frames.select_frames(_candidates(s, d), most=12, apart=0.3), None),
     "K-7": (lambda s, d: frames.nearest_distance(_signed(s, d)), f"""WITH b AS ({BITS}) SELECT x.job_id, x.frame_id, CASE WHEN count(y.t) =
         0 THEN 1.0 ELSE round(min(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0), 6) END AS nearest FROM b x LEFT JOIN
         b y ON x.job_id = y.job_id AND y.t < x.t GROUP BY 1, 2"""),
     "K-8": (lambda s, d: frames.pick_k(_scored(s, d), 8), EVENLY),
-    "K-9": (lambda s, d: frames.frame_coverage(_selected(s, d), sql(s, d, META)), f"""WITH m AS ({META}), s AS (SELECT job_id, t, t - lag(t,
-        1, 0.0) OVER (PARTITION BY job_id ORDER BY t) AS gap FROM v_frames WHERE frame_id % 3 = 0), p AS (SELECT job_id, count(*) AS n,
+    "K-9": (lambda s, d: frames.frame_coverage(_selected(s, d).where("job_id <> 9"), sql(s, d, META)), f"""WITH m AS ({META}), s AS (SELECT job_id, t, t - lag(t,
+        1, 0.0) OVER (PARTITION BY job_id ORDER BY t) AS gap FROM v_frames WHERE frame_id % 3 = 0 AND job_id <> 9), p AS (SELECT job_id, count(*) AS n,
         max(gap) AS gap, min(t) AS lo, max(t) AS hi FROM s GROUP BY 1)
-        SELECT job_id, coalesce(n, 0) AS frames, round(greatest(gap, duration_s - hi, 0.0), 3) AS max_gap, round(greatest(0.0, duration_s -
-        hi), 3) AS tail_gap, round(CASE WHEN duration_s > 0 THEN (hi - lo) / duration_s END, 6) AS span_ratio,
-        coalesce(greatest(0.0, duration_s - hi) <= 0.5, false) AS reached_end, sampled - coalesce(n, 0) AS omitted FROM m LEFT JOIN p USING
+        SELECT job_id, coalesce(n, 0) AS frames, round(greatest(gap, duration_s - coalesce(hi, 0), 0.0), 3) AS max_gap, round(greatest(0.0, duration_s -
+        coalesce(hi, 0)), 3) AS tail_gap, round(CASE WHEN duration_s = 0 THEN 1 WHEN n IS NULL THEN 0 ELSE least(1, greatest(0, (hi - lo) / duration_s)) END, 6) AS span_ratio,
+        2 - CAST(job_id % 5 AS DOUBLE) / 2 <= 0.5 AS reached_end, greatest(0, sampled - coalesce(n, 0)) AS omitted FROM m LEFT JOIN p USING
         (job_id)"""),
     "K-10": (lambda s, d: frames.near_duplicate_frames(_signed(s, d), 0.36), f"""WITH b AS ({BITS}) SELECT * FROM (SELECT x.job_id,
         x.frame_id AS a, y.frame_id AS b, round(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0, 6) AS ratio FROM b x
@@ -433,9 +442,9 @@ TESTS: dict = {
         WHEN 'secret_word' THEN regexp_matches(body, '(?i)\b(cookie|sessionid?|signature|request[_ -]?url)\b') WHEN 'id_word' THEN
         regexp_matches(body, '(?i)\b(job|source|item)[_ -]?id\b') WHEN 'job_name' THEN regexp_matches(body, '(?i)\bitem-[0-9a-f]{20}\b')
         ELSE regexp_matches(body, '(^|[^0-9])[0-9]{15,24}($|[^0-9])') END"""),
-    "Q-3": (lambda s, d: quality.taxonomy_violations(sql(s, d, TAXONOMY)), """SELECT job_id, 'generic_category' AS code, 'category' AS path
-        FROM v_payload WHERE tag2 = 'src3' UNION ALL SELECT job_id, 'too_few_tags', 'tags' FROM v_payload WHERE job_id % 5 = 0
-        UNION ALL SELECT job_id, 'placeholder_tag', 'tags' FROM v_payload WHERE job_id % 5 <> 0 AND job_id % 7 = 0"""),
+    "Q-3": (lambda s, d: quality.taxonomy_violations(sql(s, d, TAXONOMY)), """SELECT doc_id AS job_id, 'generic_category' AS code, 'category' AS path
+        FROM documents WHERE source = 'src3' OR source IS NULL UNION ALL SELECT doc_id, 'too_few_tags', 'tags' FROM documents WHERE doc_id % 5 = 0
+        UNION ALL SELECT doc_id, 'placeholder_tag', 'tags' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 7 < 2"""),
     "Q-4": (lambda s, d: quality.review_violations(payload(s, d)), """SELECT job_id, 'unresolved_without_pending' AS code, 'pending' AS path
         FROM v_payload WHERE unresolved_count > 0 AND pending_count = 0 UNION ALL SELECT job_id, 'pending_without_unresolved', 'unresolved'
         FROM v_payload WHERE unresolved_count = 0 AND pending_count > 0
@@ -461,11 +470,11 @@ TESTS: dict = {
         WHERE length(k) >= 16 GROUP BY 1, 2 HAVING count(*) > 1""",
     ),
     "Q-8": (
-        lambda s, d: quality.timeline_coverage(sql(s, d, "SELECT job_id, start_s AS t FROM v_segments WHERE segment_id > 0"), sql(s, d, "SELECT job_id, max(end_s) AS duration_s FROM v_segments GROUP BY job_id")),
+        lambda s, d: quality.timeline_coverage(sql(s, d, "SELECT job_id, start_s AS t FROM v_segments"), sql(s, d, "SELECT job_id, CASE WHEN job_id % 4 = 0 THEN 0.0D ELSE max(end_s) END AS duration_s FROM v_segments GROUP BY job_id")),
         """SELECT
         job_id, min(start_s) <= greatest(30.0, 0.15 * any_value(d)) AS first_ok, bool_or(start_s BETWEEN 0.2 * d AND 0.8 * d) AS middle_ok,
         max(start_s) >= 0.8 * any_value(d) AS last_ok
-        FROM (SELECT *, max(end_s) OVER (PARTITION BY job_id) AS d FROM v_segments) t WHERE segment_id > 0 GROUP BY 1""",
+        FROM (SELECT *, max(end_s) OVER (PARTITION BY job_id) AS d FROM v_segments) t WHERE job_id % 4 <> 0 AND d > 0 GROUP BY 1""",
     ),
     "Q-9": (lambda s, d: quality.resolve_related(sql(s, d, REFS), entries(s, d).where("entry_ref % 5 <> 0")), f"""SELECT ref_id, r.title,
         CASE WHEN n = 1 THEN e END AS entry_ref, CASE WHEN n IS NULL THEN 'unknown_title' WHEN n > 1 THEN 'ambiguous_title' ELSE 'ok' END AS
@@ -474,20 +483,21 @@ TESTS: dict = {
         c.title"""),
     "Q-10": (lambda s, d: quality.visual_violations(sql(s, d, FRAME_REFS), sql(s, d, KNOWN_FRAMES), sql(s, d, STEPS)), f"""WITH r AS
         ({FRAME_REFS}), f AS ({KNOWN_FRAMES}), s AS ({STEPS}) SELECT job_id, 'unknown_frame' AS code, 'visuals' AS path FROM r ANTI JOIN f
-        USING (job_id, frame_id) UNION ALL SELECT job_id, 'half_placed', 'visuals' FROM r WHERE (step IS NULL) <> (caption IS NULL)
-        UNION ALL SELECT job_id, 'unknown_step', 'visuals' FROM (SELECT * FROM r WHERE step IS NOT NULL) r ANTI JOIN s USING (job_id, step)
-        UNION ALL SELECT job_id, 'repeated_frame', 'visuals' FROM r GROUP BY job_id, frame_id HAVING count(*) > 1"""),
+        USING (job_id, frame_id) UNION ALL SELECT job_id, 'unknown_step', 'visuals' FROM (SELECT * FROM r WHERE step IS NOT NULL) r ANTI
+        JOIN s USING (job_id, step)
+        UNION ALL SELECT job_id, 'repeated_frame', 'visuals' FROM r GROUP BY job_id, frame_id HAVING count(*) > 1
+        UNION ALL SELECT job_id, 'partly_placed', 'visuals' FROM r GROUP BY job_id HAVING bool_or(step IS NULL) AND NOT bool_and(step IS NULL)"""),
     "Q-11": (
-        lambda s, d: quality.section_violations(sql(s, d, "SELECT doc_id AS job_id, 'Title' AS title, concat('# ', CASE WHEN doc_id % 3 = 0 THEN 'Other' ELSE 'Title' END, chr(10), '## Summary', chr(10), CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE replace(text, chr(10), ' ') END, chr(10), '## Steps', chr(10), 'one two three') AS text FROM documents"), ["Summary", "Steps"]),
-        """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE replace(text, chr(10), ' ') END AS s, CASE WHEN doc_id % 3 =
-        0 THEN 'Other' ELSE 'Title' END AS h FROM documents)
+        lambda s, d: quality.section_violations(sql(s, d, "SELECT doc_id AS job_id, 'A (b) [c' AS title, concat(CASE WHEN doc_id % 2 = 0 THEN concat('# Other', chr(10)) ELSE '' END, '# ', CASE WHEN doc_id % 3 = 0 THEN 'A (b)' ELSE 'A (b) [c' END, chr(10), '## Summary', chr(10), CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE replace(text, chr(10), ' ') END, chr(10), '## Steps', chr(10), 'one two three') AS text FROM documents"), ["Summary", "Steps"]),
+        """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE replace(text, chr(10), ' ') END AS s, CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN doc_id % 3 =
+        0 THEN 5 ELSE 8 END AS h FROM documents)
         SELECT doc_id AS job_id, 'short_section' AS code, 'Summary' AS path FROM t WHERE length(trim(s)) < 8 UNION ALL SELECT doc_id,
-        'short_body', '' FROM t WHERE length(h) + length(s) + 38 < 600 UNION ALL SELECT doc_id, 'title_mismatch', 'title' FROM t WHERE h <>
-        'Title'""",
+        'short_body', '' FROM t WHERE h + length(s) + 38 < 600 UNION ALL SELECT doc_id, 'title_mismatch', 'title' FROM t WHERE doc_id % 3 = 0""",
     ),
     "Q-12": (
-        lambda s, d: quality.number_tokens(view(s, d, "documents"), "doc_id", "text", sql(s, d, "SELECT doc_id, '4' AS token FROM documents")),
-        f"SELECT * FROM ({TOKENS}) t WHERE token <> '4'",
+        lambda s, d: quality.unreviewed_numbers(sql(s, d, NUMBERED), sql(s, d, REVIEWED)).select("job_id", F.array_join(F.array_sort("numbers"), ",").alias("numbers")),
+        r"""WITH w AS (SELECT doc_id AS job_id, unnest(string_split(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), ' ')) AS n FROM documents UNION ALL SELECT doc_id, unnest(['1', '000', '3.5%', '7']) FROM documents)
+        SELECT job_id, string_agg(n, ',' ORDER BY n) AS numbers FROM (SELECT DISTINCT job_id, n FROM w WHERE regexp_matches(n, '^[0-9][0-9.%]*$') AND NOT (job_id % 3 <> 0 AND contains('3.5% and 112', n))) t GROUP BY 1""",
     ),
     "Q-13": (lambda s, d: quality.broken_links(sql(s, d, LINKS), sql(s, d, PATHS)), f"""SELECT * FROM (SELECT ref_id, CASE WHEN target LIKE
         '/%' OR target LIKE '../%' THEN 'outside_root' WHEN path IS NULL THEN 'missing_target' END AS code FROM ({LINKS}) l LEFT JOIN
@@ -506,17 +516,17 @@ TESTS: dict = {
         '- ') || chr(10) || chr(10) || '## Steps' || chr(10) || chr(10) || '1. ' || a[1] || chr(10) || '   > ' || title || chr(10) AS
         document FROM j"""),
     "Q-16": (lambda s, d: quality.admit_candidates(sql(s, d, CANDS), sql(s, d, PACKETS), sql(s, d, CURRENT), sql(s, d, DECIDED)), f"""SELECT
-        c.job_id, CASE WHEN p.sha256 IS NULL THEN 'unknown_job' WHEN version <> 1 THEN 'bad_version' WHEN c.packet_sha256 <> p.sha256 THEN
+        c.job_id, CASE WHEN p.sha256 IS NULL THEN 'unknown_job' WHEN c.job_id % 13 = 0 THEN 'bad_fields' WHEN version <> 1 THEN 'bad_version' WHEN schema_version <> 2 THEN 'bad_schema_version' WHEN job_ref <> c.job_id THEN 'wrong_job' WHEN c.packet_sha256 <> p.sha256 THEN
         'stale_packet' WHEN u.candidate_sha256 IS NULL THEN 'admitted'
         WHEN u.candidate_sha256 = c.candidate_sha256 THEN 'reused' WHEN u.packet_sha256 <> p.sha256 OR decision IS NOT DISTINCT FROM
-        'reject' THEN 'replaced' ELSE 'conflict' END AS outcome FROM ({CANDS}) c LEFT JOIN ({PACKETS}) p USING (job_id) LEFT JOIN
+        'reject' THEN 'replaced' ELSE 'conflict' END AS outcome FROM ({duck(CANDS)}) c LEFT JOIN ({PACKETS}) p USING (job_id) LEFT JOIN
         ({CURRENT}) u USING (job_id) LEFT JOIN ({DECIDED}) r USING (job_id)"""),
     "Q-17": (
         lambda s, d: quality.current_candidates(sql(s, d, CANDS), sql(s, d, PACKETS)).select("job_id", "candidate_sha256"),
-        f"SELECT c.job_id, candidate_sha256 FROM ({CANDS}) c SEMI JOIN ({PACKETS}) p ON c.job_id = p.job_id AND c.packet_sha256 = p.sha256",
+        f"SELECT c.job_id, candidate_sha256 FROM ({duck(CANDS)}) c SEMI JOIN ({PACKETS}) p ON c.job_id = p.job_id AND c.packet_sha256 = p.sha256",
     ),
     "Q-18": (
-        lambda s, d: quality.repair_routes(sql(s, d, REJECTIONS)),
+        lambda s, d: quality.repair_routes(sql(s, d, REJECTIONS), sql(s, d, REPAIRABLE)),
         f"SELECT job_id, code, CASE WHEN code IN ('duplicate_text', 'short_section') AND repairs = 0 THEN 'repair' ELSE 'regenerate' END AS route FROM ({REJECTIONS}) t",
     ),
     "Q-19": (
@@ -550,11 +560,14 @@ TESTS: dict = {
         = media_sha256 AND s2 IS NULL AND (h1 <> o1 OR h2 <> o2) AND NOT (h2 <> o2 AND st2 = 'verified')
         THEN 'retargeted' ELSE 'conflict' END AS outcome FROM j""",
     ),
-    "L-3": (lambda s, d: ledger.seal(targets(s, d), sql(s, d, EXPECTED)), f"""SELECT saga_id, CASE WHEN odd > 0 THEN 'name_mismatch' WHEN
-        other > 0 THEN 'conflict' WHEN op > 0 THEN 'sealed' ELSE 'reused' END AS outcome FROM (SELECT coalesce(t.saga_id, e.saga_id) AS
+    "L-3": (
+        lambda s, d: ledger.seal(ledger.reconcile_targets(targets(s, d)).withColumnRenamed("target_status", "status"), sql(s, d, EXPECTED), sagas(s, d)),
+        f"""SELECT q.saga_id, CASE WHEN odd > 0 THEN 'name_mismatch' WHEN state = 'accepted' THEN CASE WHEN other + op > 0 THEN 'conflict' ELSE 'reused' END
+        WHEN other > 0 AND (state <> 'intent' OR fixed > 0) THEN 'conflict' WHEN other > 0 THEN 'resealed' WHEN op > 0 THEN 'sealed' ELSE 'reused' END AS outcome FROM (SELECT coalesce(t.saga_id, e.saga_id) AS
         saga_id, count(*) FILTER (t.target_name IS NULL OR e.target_name IS NULL) AS odd,
-        count(*) FILTER (nullif(t.expected_sha256, '') <> e.sha256) AS other, count(*) FILTER (nullif(t.expected_sha256, '') IS NULL) AS op
-        FROM v_targets t FULL OUTER JOIN ({EXPECTED}) e ON t.saga_id = e.saga_id AND t.target_name = e.target_name GROUP BY 1) q"""),
+        count(*) FILTER (nullif(t.expected_sha256, '') <> e.sha256) AS other, count(*) FILTER (nullif(t.expected_sha256, '') <> e.sha256 AND t.observed_sha256 = t.expected_sha256) AS fixed, count(*) FILTER (nullif(t.expected_sha256, '') IS NULL) AS op
+        FROM v_targets t FULL OUTER JOIN ({EXPECTED}) e ON t.saga_id = e.saga_id AND t.target_name = e.target_name GROUP BY 1) q LEFT JOIN v_sagas s ON q.saga_id = s.saga_id""",
+    ),
     "L-4": (
         lambda s, d: ledger.reconcile_targets(targets(s, d)).select("saga_id", "target_name", "target_status"),
         f"SELECT saga_id, target_name, {STATUS} AS target_status FROM v_targets",
@@ -637,12 +650,13 @@ TESTS: dict = {
         'accepted' AS done FROM ({JOB_FLAGS}) f LEFT JOIN ({PUBLICATIONS}) p ON f.job_id = p.job_id
         LEFT JOIN ({CHECKPOINTS}) c ON f.job_id = c.job_id LEFT JOIN ({ANSWERS}) a ON f.job_id = a.job_id) j""",
     ),
-    "W-5": (lambda s, d: work.job_spans(stage_events(s, d), sql(s, d, JOB_BATCHES)), """SELECT job_id, min(v.at) AS first_at, max(v.at) AS
-        last_at, round((epoch_us(max(v.at)) - epoch_us(min(v.at))) / 1000000.0, 3) AS elapsed_s FROM v_stage_events v WHERE v.at >=
-        TIMESTAMP '2024-01-05 00:00:00' GROUP BY 1"""),
-    "W-6": (lambda s, d: work.batch_rollup(sql(s, d, STAGED)), f"""SELECT *, CASE WHEN accepted = jobs THEN 'complete' WHEN failed > 0 THEN
+    "W-5": (lambda s, d: work.job_spans(stage_events(s, d), sql(s, d, JOB_BATCHES)), f"""SELECT *, round((epoch_us(last_at) - epoch_us(first_at)) / 1000000.0, 3) AS elapsed_s FROM
+        (SELECT b.job_id, coalesce(min(v.at), any_value(created_at)) AS first_at, coalesce(max(v.at), any_value(created_at)) AS last_at FROM ({JOB_BATCHES}) b LEFT JOIN
+        v_stage_events v ON b.job_id = v.job_id AND v.at >= created_at GROUP BY 1) t"""),
+    "W-6": (lambda s, d: work.batch_rollup(sql(s, d, STAGED)).withColumn("by_stage", F.array_join(F.transform(F.map_entries("by_stage"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")), f"""SELECT t.*, by_stage, CASE WHEN accepted = jobs THEN 'complete' WHEN failed > 0 THEN
         'blocked' ELSE 'running' END AS state FROM (SELECT batch_id, count(*) AS jobs, count(*) FILTER (stage = 'accepted') AS accepted,
-        count(*) FILTER (stage = 'failed') AS failed FROM ({STAGED}) s GROUP BY 1) t"""),
+        count(*) FILTER (stage = 'failed') AS failed FROM ({STAGED}) s GROUP BY 1) t
+        JOIN (SELECT batch_id, string_agg(stage || ':' || n, ',' ORDER BY stage) AS by_stage FROM (SELECT batch_id, stage, count(*) AS n FROM ({STAGED}) s GROUP BY 1, 2) c GROUP BY 1) u ON t.batch_id = u.batch_id"""),
     "W-7": (
         lambda s, d: work.recommend(sql(s, d, STAGED), sql(s, d, "SELECT o_orderkey AS job_id FROM orders WHERE o_orderkey % 4 = 3"), 2),
         f"""WITH b AS (SELECT DISTINCT batch_id FROM ({STAGED}) t WHERE active), k AS (SELECT *, CASE WHEN stage IN ('planned',
@@ -706,14 +720,15 @@ TESTS: dict = {
     ),
     "B-4": (lambda s, d: catalog.recent(sql(s, d, DATED)), f"SELECT * FROM ({DATED}) t ORDER BY added_at DESC, entry_ref LIMIT 50"),
     "B-5": (
-        lambda s, d: sql(s, d, "SELECT page_id, concat(' ', regexp_extract(url, '://(.*)', 1), '. ') AS name FROM pages").select("page_id", safe_component(F.col("name")).alias("name")),
+        lambda s, d: sql(s, d, "SELECT page_id, CASE WHEN page_id % 9 = 0 THEN ' .-' WHEN page_id % 9 = 1 THEN 'con' WHEN page_id % 9 = 2 THEN 'con.x' ELSE concat(' -', regexp_extract(url, '://(.*)', 1), '/. ') END AS name FROM pages").select("page_id", safe_component(F.col("name")).alias("name")),
         r"""SELECT
-        page_id, rtrim(left(regexp_replace(regexp_extract(url, '://(.*)', 1), '[<>:"/\\|?*]', '-', 'g'), 80), ' .') AS name FROM pages""",
+        page_id, CASE WHEN page_id % 9 = 2 THEN 'con.x' WHEN page_id % 9 > 2 THEN rtrim(left(trim(regexp_replace(regexp_extract(url, '://(.*)', 1), '[<>:"/\\|?*]', '-', 'g'), ' .-'), 80), ' .-') END AS name FROM pages""",
     ),
-    "B-6": (lambda s, d: catalog.normalize_tags(sql(s, d, TAGGED)).select("entry_ref", F.array_join("tags", ",").alias("tags")), f"""SELECT
-        entry_ref, string_agg(tag, ',' ORDER BY i) AS tags FROM (SELECT entry_ref, i, tag, row_number() OVER (PARTITION BY entry_ref,
-        lower(tag) ORDER BY i) AS r
-        FROM (SELECT entry_ref, unnest(tags) AS tag, unnest(range(len(tags))) AS i FROM ({duck(TAGGED)}) t) u) q WHERE r = 1 GROUP BY 1"""),
+    "B-6": (lambda s, d: catalog.normalize_tags(sql(s, d, SPELLED)).select("entry_ref", F.array_join("tags", ",").alias("tags"), "error"), f"""SELECT
+        entry_ref, CASE WHEN bool_and(name <> '' AND upper(name) <> 'CON') THEN string_agg(name, ',' ORDER BY i) FILTER (r = 1) END AS tags, CASE WHEN NOT bool_and(name <> '' AND upper(name) <> 'CON') THEN 'unsafe_tag' END AS error
+        FROM (SELECT *, row_number() OVER (PARTITION BY entry_ref, lower(name) ORDER BY i) AS r
+        FROM (SELECT entry_ref, trim(replace(unnest(tags), '/', '-'), ' .-') AS name, unnest(range(len(tags))) AS i FROM ({duck(SPELLED)}) t) u) q GROUP BY 1
+        UNION ALL SELECT entry_ref, NULL, 'tags_required' FROM ({duck(SPELLED)}) t WHERE len(tags) = 0"""),
     "B-7": (
         lambda s, d: catalog.assign_names(sql(s, d, STEMS), sql(s, d, NAMED)),
         f"""WITH n AS ({NAMED}), f AS (SELECT job_id, category, rtrim(stem, ' .-') AS name FROM ({STEMS}) s WHERE job_id NOT IN (SELECT
@@ -794,7 +809,7 @@ def _exported(s, d):
 
 
 def _candidates(s, d):
-    return frames.frame_candidates(_scored(s, d), threshold=0.155).join(_signed(s, d).select("job_id", "frame_id", "signature"), ["job_id", "frame_id"])
+    return frames.frame_candidates(_scored(s, d), sql(s, d, DURATIONS), threshold=0.155).join(_signed(s, d).select("job_id", "frame_id", "signature"), ["job_id", "frame_id"])
 
 
 def _neighbours(s, d):

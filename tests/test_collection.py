@@ -143,9 +143,28 @@ def test_nested_documents(spark):
     docs = spark.createDataFrame([(1, json.dumps(transcript), json.dumps(screen))], "job_id long, a string, b string")
     segs = timeline.flatten_transcript(docs, "a")
     assert rows(segs.select("text", timeline.array_confidence(F.col("words")).alias("c")), "text", "c") == [("hi", 0.5)]
+    assert rows(segs, "segment_id", "text", "dropped") == [(0, "hi", 1)]
+    empty = spark.createDataFrame([(1, '{"segments":[null,{"start":1}]}'), (2, "{}")], "job_id long, a string")
+    assert rows(timeline.flatten_transcript(empty, "a"), "job_id", "segment_id", "dropped") == [(1, None, 2)]
     assert rows(timeline.flatten_screen_text(docs, "b"), "line", "text") == [(1, "a"), (2, "b")]
 
 
+def test_chunks_are_combined(spark):
+    word = "words array<struct<start:double,end:double,text:string,confidence:double>>"
+    segs = spark.createDataFrame([(1, 0, 0, 1.0, 2.0, "a", []), (1, 1, 0, None, 3.0, "b", [(0.5, None, "w", 0.9)])], f"job_id long, chunk int, i int, start_s double, end_s double, text string, {word}")
+    chunks = spark.createDataFrame([(1, 0, 10.0, 0.5), (1, 1, 20.0, None)], "job_id long, chunk int, duration_s double, language_probability double")
+    got = sorted(map(tuple, timeline.stitch_chunks(segs, chunks).collect()))
+    assert [(*g[:5], [tuple(w) for w in g[5]]) for g in got] == [(1, 0, 1.0, 2.0, "a", []), (1, 1, 10.0, 13.0, "b", [(10.5, 10.0, "w", 0.9)])]
+    assert tuple(timeline.combined_facts(chunks).first()) == (1, 0.25, 30.0)
+
+
+def test_next_items_come_from_completed_snapshots(spark):
+    items = spark.createDataFrame([("a", True), ("b", False), ("c", True), ("d", True)], "source_id string, needs boolean")
+    seen = spark.createDataFrame([("s", "b", 1), ("s", "c", 2), ("s", "a", 3), ("s", "z", 0), ("t", "d", 1)], "snapshot_id string, source_id string, position long")
+    states = spark.createDataFrame([("s", "completed"), ("t", "in_progress")], "snapshot_id string, state string")
+    assert rows(snapshot.next_items(items, seen, states), "snapshot_id", "place", "source_id", "position") == [("s", 1, "c", 2)]
+
+
 def test_near_segments_is_inclusive_and_bucketing_changes_nothing(spark):
     frames = spark.createDataFrame([(1, 1, 10.0), (1, 2, 40.0), (2, 3, 0.0)], "job_id long, frame_id long, t double")
     segs = spark.createDataFrame([(1, 1, 17.5, 20.0, "a"), (1, 2, 17.6, 60.0, "b"), (1, 3, 0.0, 2.5, "c"), (2, 4, 8.0, 9.0, "d")], "job_id long, segment_id long, start_s double, end_s double, text string")
@@ -157,7 +176,9 @@ def test_near_segments_is_inclusive_and_bucketing_changes_nothing(spark):
 def test_column_functions(spark):
     df = spark.createDataFrame([(" ", " b ", 61.5, "01:02.500", "https://x.y token=abc item-0123456789abcdef0123 123456789012345678", " CON.txt")], "a string, b string, s double, c string, log string, name string")
     r = df.select(canonical_id(F.col("a"), F.col("b")), format_time(F.col("s")), parse_time(F.col("c")), redact(F.col("log")), safe_component(F.col("name")), parse_time(F.lit("1:02:03")), parse_time(F.lit("x"))).first()
-    assert tuple(r) == ("b", "01:01.500", 62.5, "[REDACTED_URL] token=[REDACTED] [REDACTED_JOB] [REDACTED_ID]", "CON.txt-", 3723.0, None)
+    assert tuple(r) == ("b", "01:01.500", 62.5, "[REDACTED_URL] token=[REDACTED] [REDACTED_JOB] [REDACTED_ID]", "CON.txt", 3723.0, None)
+    names = spark.createDataFrame([(n, x) for n, x in enumerate(["- a.b -", "con", "..", None, "a" * 79 + " -z", "x/y"])], "n long, name string")
+    assert rows(names.select("n", safe_component(F.col("name")).alias("name")), "n", "name") == [(0, "a.b"), (1, None), (2, None), (3, None), (4, "a" * 79), (5, "x-y")]
 
 
 def test_versions_and_front_matter(spark, tmp_path):

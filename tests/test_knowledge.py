@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomfield.operators import catalog, evidence, frames, ledger, quality
+from loomfield.operators import catalog, evidence, frames, ledger, quality, work
 
 
 def rows(df, *columns):
@@ -26,9 +26,19 @@ def test_cleaning_drops_private_records(spark):
         0: ("see *this* [private-path-removed]", False), 1: ("my token is", False), 4: ("a" * 800, True), 7: ("b" * 799, True), 8: ("[private-path-removed] and [private-path-removed]", False), 9: ("/mnt/x", False), 12: ("registryx", False)}
 
 
-def test_fragments_are_numbered_after_drops(spark):
-    df = spark.createDataFrame([(1, "a" * 10 + "   cookie " + "b" * 5), (2, "\n\U0001F600x" * 5), (3, ""), (4, None)], "id long, text string")
-    assert rows(evidence.fragment(df, "id", 10), "id", "part", "text") == [(1, 1, "a" * 10), (1, 2, "b" * 5), (2, 1, "\U0001F600x \U0001F600x \U0001F600x \n".strip()), (2, 2, "\U0001F600x \U0001F600x")]
+def test_fragments_are_cut_from_one_line(spark):
+    df = spark.createDataFrame([(1, "a" * 10 + "   cookie    " + "b" * 5), (2, "\n\U0001F600x" * 6), (3, ""), (4, None), (5, "cookie"), (6, "a" * 595 + " " * 50 + "b" * 14)], "id long, text string")
+    got = rows(evidence.fragment(df.where("id < 6"), "id", 10), "id", "part", "text", "omitted")
+    assert got == [(1, 1, "a" * 10, 1), (1, 2, "bbb", 1), (2, 1, "\U0001F600x \U0001F600x \U0001F600x \U0001F600", 0), (2, 2, "x \U0001F600x \U0001F600x", 0), (5, None, None, 1)]
+    assert rows(evidence.fragment(df.where("id = 6"), "id"), "part", "text") == [(1, "a" * 595 + " bbbb"), (2, "b" * 10)]
+
+
+def test_digests_keep_their_limits(spark):
+    long = [(1, float(n), n, f"{n} " + "w" * 30) for n in range(700)] + [(2, 0.0, 0, "x" * 140), (3, 0.0, 0, "y" * 141), (4, 0.0, 0, "z" * 138 + "  q"), (5, 0.0, 0, "no digit"), (6, 1.0, 1, "b"), (6, 0.0, 0, "a")]
+    got = {r.job_id: r for r in evidence.extractive_digest(spark.createDataFrame(long, "job_id long, start_s double, segment_id long, text string")).collect()}
+    whole = " ".join(t for j, _, _, t in long if j == 1)
+    assert got[1].short == whole[:139].rstrip() + "…" and got[1].long == whole[:599].rstrip() + "…" and len(got[1].timed) == 8 and got[1].numeric == got[1].leads == [t for _, _, _, t in long[:5]]
+    assert (got[2].short, got[3].short, got[4].short) == ("x" * 140, "y" * 139 + "…", "z" * 138 + "…") and got[5].numeric == [] and got[6].long == "a b"
 
 
 def test_chunks_follow_next_fit(spark):
@@ -175,7 +185,13 @@ def test_candidates_equal_the_plain_version(spark):
     for job in range(8):
         own = sorted((t, n, s) for j, n, t, s in data if j == job)
         want += [(job, *c) for c in plain_candidates([(t, s) for t, _, s in own], min(15.0, max(0.2, own[-1][0] / 4)), 0.12)]
-    assert rows(frames.frame_candidates(df), "job_id", "t", "reason") == sorted(want, key=repr)
+    none = spark.createDataFrame([], "job_id long, duration_s double")
+    assert rows(frames.frame_candidates(df, none), "job_id", "t", "reason") == sorted(want, key=repr)
+    known = spark.createDataFrame([(0, 4.0), (1, 400.0)], none.schema)
+    again = [w for w in want if w[0] > 1]
+    for job, interval in ((0, 1.0), (1, 15.0)):
+        again += [(job, *c) for c in plain_candidates([(t, s) for t, _, s in sorted((t, n, s) for j, n, t, s in data if j == job)], interval, 0.12)]
+    assert rows(frames.frame_candidates(df, known), "job_id", "t", "reason") == sorted(again, key=repr)
 
 
 def test_signatures_match_the_definition(spark):
@@ -215,10 +231,67 @@ def test_large_jobs_meet_in_blocks(spark, monkeypatch, ratio):
 
 
 def test_numbers_must_be_reviewed(spark):
-    text = "# T\n## Body\nuses 12 and 3.5% at 01:20 see [7](x 99)\n## Timeline\n55\n## End\n8"
-    docs = spark.createDataFrame([(1, text)], "job_id long, text string")
-    reviewed = spark.createDataFrame([(1, "12 and 7")], "job_id long, reviewed string")
-    assert quality.unreviewed_numbers(docs, reviewed).first().numbers == ["3.5%", "8"]
+    text = "# T\n## Body\nuses 12 and 3.5% at 01:20 see ![7](x(99).md)\n## Timeline\n55 s\n## End\n8 and 55 s"
+    docs = spark.createDataFrame([(1, text), (2, "10px 1,000 a1 12%5 v2.5"), (3, "12"), (4, None)], "job_id long, text string")
+    reviewed = spark.createDataFrame([(1, "112 and 7"), (3, "x112x")], "job_id long, reviewed string")
+    assert rows(quality.unreviewed_numbers(docs, reviewed), "job_id", "numbers") == [(1, ["3.5%", "8"]), (2, ["1", "000", "12", "5"])]
+
+
+def test_any_top_heading_may_be_the_title(spark):
+    docs = spark.createDataFrame([(1, "A\\E(b", "# x\n#  A\\E(b \ntext"), (2, "A", "# AB"), (3, "A", "## A"), (4, "A", "#\n\nA")], "job_id long, title string, text string")
+    assert rows(quality.section_violations(docs, [], body=0), "job_id", "code") == [(2, "title_mismatch"), (3, "title_mismatch")]
+
+
+def test_frames_are_placed_all_or_none(spark):
+    refs = spark.createDataFrame([(1, 1, 1), (1, 2, None), (2, 1, None), (2, 2, None), (3, 1, 1), (3, 1, 1), (4, 9, 7)], "job_id long, frame_id long, step long")
+    known = spark.createDataFrame([(j, f) for j in range(1, 5) for f in (1, 2)], "job_id long, frame_id long")
+    steps = spark.createDataFrame([(j, 1) for j in range(1, 5)], "job_id long, step long")
+    assert rows(quality.visual_violations(refs, known, steps), "job_id", "code") == [(1, "partly_placed"), (3, "repeated_frame"), (4, "unknown_frame"), (4, "unknown_step")]
+
+
+def test_tags_and_times_without_a_duration(spark):
+    tags = spark.createDataFrame([(1, "x", ["a", " a "]), (2, "x", ["a", "b", " "]), (3, "x", ["a", None]), (4, "x", ["a", "b"])], "job_id long, category string, tags array<string>")
+    assert rows(quality.taxonomy_violations(tags), "job_id", "code") == [(1, "too_few_tags"), (2, "placeholder_tag"), (3, "placeholder_tag")]
+    points = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 5.0)], "job_id long, t double")
+    assert rows(quality.timeline_coverage(points, spark.createDataFrame([(1, 0.0), (2, None), (3, 10.0)], "job_id long, duration_s double")), "job_id", "middle_ok") == [(3, True)]
+
+
+def test_candidates_are_admitted_in_order_of_checks(spark):
+    full = quality.CANDIDATE_FIELDS
+    cases = [(1, full[:-1], 1, 2, 1, "p"), (2, full[::-1], 3, 2, 2, "p"), (3, full, 1, 1, 3, "p"), (4, full, 1, 2, 5, "p"), (5, full, 1, 2, 5, "q"), (6, full, 1, 2, 6, "p"), (7, full, 1, 2, 7, "p")]
+    cands = spark.createDataFrame([(*c, "c") for c in cases], "job_id long, fields array<string>, version int, schema_version int, job_ref long, packet_sha256 string, candidate_sha256 string")
+    packets = spark.createDataFrame([(j, "p") for j in range(1, 7)], "job_id long, sha256 string")
+    none = spark.createDataFrame([], "job_id long, candidate_sha256 string, packet_sha256 string, decision string")
+    got = rows(quality.admit_candidates(cands, packets, none.drop("decision"), none.select("job_id", "decision")), "job_id", "outcome")
+    assert got == [(1, "bad_fields"), (2, "bad_version"), (3, "bad_schema_version"), (4, "wrong_job"), (5, "stale_packet"), (6, "admitted"), (7, "unknown_job")]
+
+
+def test_sealing_follows_the_saga_and_the_target(spark):
+    had = [("i", "t", "a", "pending"), ("v", "t", "a", "verified"), ("p", "t", "a", "pending"), ("o", "t", "", "planned"), ("s", "t", "b", "verified"), ("x", "t", "a", "verified"), ("y", "t", "", "planned"), ("z", "t", "b", "verified"), ("n", "u", "b", "pending")]
+    targets = spark.createDataFrame(had, "saga_id string, target_name string, expected_sha256 string, status string")
+    expected = spark.createDataFrame([(s, "t", "b") for s in "ivposxyzn"], "saga_id string, target_name string, sha256 string")
+    states = spark.createDataFrame([(s, "published_unaccepted" if s == "p" else "accepted" if s in "xyz" else "intent") for s in "ivposxyzn"], "saga_id string, state string")
+    assert dict(rows(ledger.seal(targets, expected, states), "saga_id", "outcome")) == {
+        "i": "resealed", "v": "conflict", "p": "conflict", "o": "sealed", "s": "reused", "x": "conflict", "y": "conflict", "z": "reused", "n": "name_mismatch"}
+
+
+def test_spans_and_counts_of_batches(spark):
+    import datetime as dt
+
+    at = lambda d: dt.datetime(2024, 1, d)
+    events = spark.createDataFrame([(1, at(1)), (1, at(3)), (1, at(4)), (2, at(1))], "job_id long, at timestamp_ntz")
+    batches = spark.createDataFrame([(1, at(2)), (2, at(2)), (3, at(2))], "job_id long, created_at timestamp_ntz")
+    assert rows(work.job_spans(events, batches), "job_id", "first_at", "last_at", "elapsed_s") == [(1, at(3), at(4), 86400.0), (2, at(2), at(2), 0.0), (3, at(2), at(2), 0.0)]
+    stages = spark.createDataFrame([(1, "accepted"), (1, "planned"), (1, "planned"), (2, "accepted")], "batch_id long, stage string")
+    got = {r.batch_id: (r.jobs, r.accepted, r.failed, r.by_stage, r.state) for r in work.batch_rollup(stages).collect()}
+    assert got == {1: (3, 1, 0, {"accepted": 1, "planned": 2}, "running"), 2: (1, 1, 0, {"accepted": 1}, "complete")}
+
+
+def test_coverage_of_odd_durations(spark):
+    selected = spark.createDataFrame([(1, 2.0), (1, 8.0), (2, 1.0), (3, 5.0), (3, 50.0)], "job_id long, t double")
+    meta = spark.createDataFrame([(1, 10.0, 4, 10.0, 9.6, 0.5), (2, 0.0, 1, 1.0, 0.0, 0.5), (3, 9.0, 2, None, 9.0, 0.5), (4, 7.0, 3, 7.0, 7.0, 0.2)], "job_id long, duration_s double, sampled long, expected_tail_s double, last_decodable_s double, tolerance_s double")
+    got = rows(frames.frame_coverage(selected, meta), "job_id", "frames", "max_gap", "tail_gap", "span_ratio", "reached_end", "omitted")
+    assert got == [(1, 2, 6.0, 2.0, 0.6, True, 2), (2, 1, 1.0, 0.0, 1.0, False, 0), (3, 2, 45.0, 0.0, 1.0, False, 0), (4, 0, 7.0, 7.0, 0.0, True, 3)]
 
 
 def test_ledger_begin(spark):
@@ -265,5 +338,6 @@ def test_names_do_not_collide(spark):
     assert [got[i] for i in range(1, 10)] == ["t (2)", "t", "t (3)", "t" * 80, "t", "t (3)", "t", "t (2)", "t (3)"]
     assert (got[10], got[11]) == (long + "x", long + "y") and {got[12], got[13]} == {long + "y (2)", long + "x (3)"}
     assert len(set(zip([r.category for r in entries.orderBy("job_id").collect()], [got[i] for i in range(1, 14)], strict=True))) == 13
-    tags = spark.createDataFrame([(1, ["A", "a ", "Straße", "STRASSE", ""])], "entry_ref long, tags array<string>")
-    assert catalog.normalize_tags(tags).first().tags == ["A", "Straße"]
+    tags = spark.createDataFrame([(1, ["A", "a ", "-Straße.", "STRASSE"]), (2, ["A", " "]), (3, []), (4, None), (5, ["nul", "x"]), (6, ["a/b"])], "entry_ref long, tags array<string>")
+    got = {r.entry_ref: (r.tags, r.error) for r in catalog.normalize_tags(tags).collect()}
+    assert got == {1: (["A", "Straße"], None), 2: (None, "unsafe_tag"), 3: (None, "tags_required"), 4: (None, "tags_required"), 5: (None, "unsafe_tag"), 6: (["a-b"], None)}

@@ -31,8 +31,8 @@ WIDTH = 1
 COSINE = 0.2
 #: Rows of the whole table, at least, that are ranked again exactly for a query.
 RERANK = 200
-#: Queries that one job searches for, that are scored at a time, and pairs whose exact distance is taken at a time.
-QUERY_BLOCK, STEP, PAIRS = 4096, 128, 65_536
+#: Bytes of the queries that one job searches for; queries scored at a time, and pairs whose exact distance is taken at a time.
+QUERY_BYTES, STEP, PAIRS = 2 << 20, 128, 65_536
 
 SCHEMA = "query_id long, key long, near double, score double"
 
@@ -199,7 +199,7 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rer
         # a vector stands for up to k + 1 ids, of which one can be the query's own
         return led.withColumn("place", F.rank().over(of_query.orderBy("score"))).where(F.col("place") <= k + 1).select("query_id", "key", "score")
 
-    found = search_blocks(spark, query_blocks(vectors, every, dim, QUERY_BLOCK), search, "leaders")
+    found = search_blocks(spark, query_blocks(vectors, every, dim, QUERY_BYTES), search, "leaders")
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     each = found.join(distinct.select("key", "vec_ids"), "key").select("query_id", F.explode("vec_ids").alias("vec_id"), "score")

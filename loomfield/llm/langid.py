@@ -73,20 +73,28 @@ def language_profiles(documents: DataFrame, size: int = PROFILE) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, list]] = {}
-        size_of: dict[str, int] = {}
+        size = 0  # n-grams held, of all languages
+
+        def partial() -> Iterator[pa.RecordBatch]:
+            for lang, parts in held.items():
+                codes, counts = _added(*parts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 codes, counts = held.setdefault(lang, ([], []))
                 got = ngram_counts(text.as_py())
                 codes.append(got[0])
                 counts.append(got[1])
-                size_of[lang] = size_of.get(lang, 0) + len(got[0])
-                if size_of[lang] > HELD:
-                    got = _added(codes, counts)
-                    held[lang], size_of[lang] = ([got[0]], [got[1]]), 0
-        for lang, parts in held.items():
-            codes, counts = _added(*parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+                size += len(got[0])
+                if size > HELD:
+                    held.update({own: tuple([x] for x in _added(*parts)) for own, parts in held.items()})
+                    size = sum(len(parts[0][0]) for parts in held.values())
+                    if size > HELD // 2:  # many languages: counts so far go on, and Spark adds them up
+                        yield from partial()
+                        held.clear()
+                        size = 0
+        yield from partial()
 
     train = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).select("lang", "text")
     grams = train.mapInArrow(tidy(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

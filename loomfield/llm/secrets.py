@@ -15,11 +15,10 @@ import hashlib
 import math
 import re
 import zlib
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
-from itertools import accumulate, groupby
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,16 +33,19 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # whole runs, as [0-9a-f]+ would take them
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN_LEAST, ACCESS_LEAST = 8, 16
-#: Other tokens, or what base spans leave of them, are scored if they have at least so many characters.
-TOKEN, CANDIDATE_LEAST = r"[A-Za-z0-9+/_.=-]", 16
+#: Other tokens, or what base spans leave of them, are scored if they have at least so many characters, as the shortest labelled ones have.
+TOKEN, CANDIDATE_LEAST = r"[A-Za-z0-9+/_.=-]", ASSIGN_LEAST
+#: Tokens whose verdict a worker remembers twice over, and characters of the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
 #: Labelled strings of each kind, and background tokens, that the automata are fitted on at most (smallest hashes of
 #: all that have at most so many characters; longer ones are scored, not learned).
 SAMPLE, LONGEST_FITTED = 1000, 256
-#: Ranges of hashes that labelled strings are counted by.
-RANGES = 1 << 12
+#: Hashes are counted by ranges of so many bits, and then by ranges within the one that holds the last one wanted.
+RANGE_BITS = (20, 8, 0)
 #: Confidence of the merge test, and bits per character by which a candidate must be likelier than the background.
 ALPHA, MARGIN = 0.05, 0.5
-FLOOR = 1e-4
+#: Probabilities of what an automaton never saw: hardly possible in a format, merely unusual in other tokens.
+FORMAT_FLOOR, OTHER_FLOOR = 1e-9, 0.05
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -150,25 +152,25 @@ class Automaton:
                 self.next[parent][c] = into
                 self._fold(into, state)
 
-    def bits(self, token: str) -> float:
-        """Log2 likelihood of a token's classes, per character; unseen moves have probability FLOOR."""
+    def bits(self, token: str, floor: float) -> float:
+        """Log2 likelihood of a token's classes, per character; moves that were never seen, and rarer ones, have probability ``floor``."""
         at, total = 0, 0.0
         for c in token:
             if at is not None and c in self.next[at]:
-                total += math.log2(max(FLOOR, self.moves[at][c] / self.seen[at]))
+                total += math.log2(max(floor, self.moves[at][c] / self.seen[at]))
                 at = self.next[at][c]
             else:
-                total, at = total + math.log2(FLOOR), None if at is None else 0
-        stop = FLOOR if at is None else max(FLOOR, self.ends[at] / max(1, self.seen[at]))
+                total, at = total + math.log2(floor), None if at is None else 0
+        stop = floor if at is None else max(floor, self.ends[at] / max(1, self.seen[at]))
         return (total + math.log2(stop)) / (len(token) + 1)
 
 
-def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LONGEST_FITTED) -> DataFrame:
+def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LONGEST_FITTED, least: int = CANDIDATE_LEAST) -> DataFrame:
     """kind, value: of each kind's distinct values of at most ``longest`` characters in all texts, those with the ``size`` smallest hashes.
 
     Equal hashes go by value. Each task keeps its own smallest; then values are
-    counted by ranges of hashes, and only the range that holds the last one wanted
-    is put in order, so no task gathers a kind.
+    counted by ranges of hashes, which are refined around the last one wanted, so
+    no task gathers a kind and what the driver gets does not grow with the tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +183,8 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LON
             for text in b.column(0):
                 t = text.as_py() or ""
                 spans = base_spans(t)
-                for kind, value in [(KINDS[k], v) for _, k, _, v in spans] + [(KINDS[3], v) for _, _, v in candidates(t, spans)]:
-                    if len(value) <= longest:
+                for kind, value in [(KINDS[k], v) for _, k, _, v in spans] + [(KINDS[3], v) for _, _, v in candidates(t, spans, least)]:
+                    if len(value) <= longest and value not in held[kind]:
                         held[kind][value] = zlib.crc32(value.encode())
                         if len(held[kind]) > 4 * size:
                             cut(kind)
@@ -193,43 +195,70 @@ def labelled_sample(documents: DataFrame, size: int = SAMPLE, longest: int = LON
         yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(hashes, pa.int64())], ["kind", "value", "h"])
 
     found = documents.select("text").mapInArrow(tidy(run), "kind string, value string, h long").distinct()
-    found = materialise(found.withColumn("range", F.expr(f"h div {2**32 // RANGES}")), "labelled")
-    counts = sorted(map(tuple, found.groupBy("kind", "range").count().collect()))
-    last: dict[str, tuple[int, int]] = {}  # of each kind the range of the last one wanted, and how many of that range are
-    for kind, own in groupby(counts, key=lambda c: c[0]):
-        ranges = list(own)
-        sums = [0, *accumulate(n for _, _, n in ranges)]
-        at = min(bisect_left(sums, size, 1), len(ranges)) - 1
-        last[kind] = ranges[at][1], size - sums[at]
-    if not last:
-        return found.select("kind", "value")
-    in_last = reduce(Column.__or__, [(F.col("kind") == k) & (F.col("range") == r) for k, (r, _) in last.items()])
+    found = materialise(found, "labelled")
+    within = {k: (0, size) for k in KINDS}  # of each kind the range at hand, and how many of it are wanted
+    bits_before = 32
+    for bits in RANGE_BITS:
+        inside = reduce(Column.__or__, [(F.col("kind") == k) & (F.shiftright("h", bits_before) == r) for k, (r, _) in within.items()])
+        counts = sorted(map(tuple, found.where(inside).groupBy("kind", F.shiftright("h", bits).alias("range")).count().collect()))
+        within = {kind: _range_of_last(list(own), within[kind][1]) for kind, own in groupby(counts, key=lambda c: c[0])}
+        bits_before = bits
+        if not within:
+            return found.select("kind", "value")
     keep = F.lit(False)
-    for kind, own in groupby(sorted(map(tuple, found.where(in_last).select("kind", "h", "value").collect())), key=lambda c: c[0]):
-        rows = list(own)
-        _, h, value = rows[min(last[kind][1], len(rows)) - 1]
-        keep = keep | (F.col("kind") == kind) & ((F.col("h") < h) | (F.col("h") == h) & (F.col("value") <= value))
+    for kind, (h, wanted) in within.items():  # the range is one hash by now
+        last = [r["value"] for r in found.where((F.col("kind") == kind) & (F.col("h") == h)).orderBy("value").limit(wanted).collect()]
+        keep = keep | (F.col("kind") == kind) & ((F.col("h") < h) | (F.col("h") == h) & (F.col("value") <= last[-1]))
     return found.where(keep).select("kind", "value")
 
 
-def learn_formats(documents: DataFrame) -> dict[str, Automaton]:
+def _range_of_last(counts: list[tuple[str, int, int]], wanted: int) -> tuple[int, int]:
+    """The range (of kind, range, count in order) that holds the last one wanted, and how many of it are wanted; the last range if there are fewer."""
+    for n, (_, at, count) in enumerate(counts):
+        if wanted <= count or n + 1 == len(counts):
+            return at, min(wanted, count)
+        wanted -= count
+    raise ValueError("no counts")
+
+
+def learn_formats(documents: DataFrame, size: int = SAMPLE, longest: int = LONGEST_FITTED, least: int = CANDIDATE_LEAST) -> dict[str, Automaton]:
     """An automaton for each kind that occurs, and for the background under ``learned``."""
     bound_batches(documents.sparkSession)
     by_kind = defaultdict(list)
-    for kind, value in sorted(map(tuple, labelled_sample(documents).collect())):
+    for kind, value in sorted(map(tuple, labelled_sample(documents, size, longest, least).collect())):
         by_kind[kind].append(classes(value))
     return {kind: Automaton(values) for kind, values in by_kind.items()}
 
 
-def all_spans(text: str, formats: dict[str, Automaton]) -> list[tuple[int, int, int]]:
+class Scorer:
+    """Whether some format explains a token better than the background; verdicts of short tokens are remembered."""
+
+    def __init__(self, formats: dict[str, Automaton]):
+        self.models, self.rest = [m for k, m in formats.items() if k != KINDS[3]], formats.get(KINDS[3])
+        # two generations: when the newer one is full it becomes the older one, and tokens met again come back from there
+        self.newer: dict[str, bool] = {}
+        self.older: dict[str, bool] = {}
+
+    def __call__(self, token: str) -> bool:
+        known = self.newer.get(token)
+        if known is None:
+            known = self.older.get(token)
+            if known is None:
+                c = classes(token)
+                known = max(m.bits(c, FORMAT_FLOOR) for m in self.models) > self.rest.bits(c, OTHER_FLOOR) + MARGIN
+            if len(token) <= LONGEST_REMEMBERED:
+                if len(self.newer) >= REMEMBERED:
+                    self.older, self.newer = self.newer, {}
+                self.newer[token] = known
+        return known
+
+
+def all_spans(text: str, scorer: Scorer, least: int = CANDIDATE_LEAST) -> list[tuple[int, int, int]]:
     """(start, kind's place, end) of base spans and of candidates that a format explains better than the background."""
     base = base_spans(text)
     out = [(s, k, e) for s, k, e, _ in base]
-    models, rest = [m for k, m in formats.items() if k != KINDS[3]], formats.get(KINDS[3])
-    for start, end, token in candidates(text, base) if models and rest else ():
-        c = classes(token)
-        if max(m.bits(c) for m in models) > rest.bits(c) + MARGIN:
-            out.append((start, 3, end))
+    if scorer.models and scorer.rest:
+        out += [(start, 3, end) for start, end, token in candidates(text, base, least) if scorer(token)]
     return sorted(out)
 
 
@@ -237,22 +266,25 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in spans])
 
 
-def scan_secrets(documents: DataFrame) -> DataFrame:
+def scan_secrets(documents: DataFrame, size: int = SAMPLE, longest: int = LONGEST_FITTED, least: int = CANDIDATE_LEAST) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document.
 
     Spans read kind:start:end in code points, in order of start and kind
-    (assign, access, hex, learned). Defined cases: a null text is empty and has no
+    (assign, access, hex, learned). Formats are learned from at most ``size`` strings
+    of each kind, of at most ``longest`` characters; tokens of at least ``least``
+    characters are scored. Defined cases: a null text is empty and has no
     spans; repeated rows are scanned each; texts and tokens of any length are
     scanned whole; without labelled credentials only the base patterns apply; an
     empty table gives no rows; other columns are ignored.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(learn_formats(documents))
+    shared = documents.sparkSession.sparkContext.broadcast(learn_formats(documents, size, longest, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for b in batches:
             rows = []
             for text in b.column(1):
-                spans = all_spans(text.as_py() or "", shared.value)
+                spans = all_spans(text.as_py() or "", scorer, least)
                 base = [s for s in spans if s[1] < 3]
                 rows.append((*[sum(s[1] == k for s in base) for k in range(3)], hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
@@ -262,17 +294,17 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
-def redact_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redact_secrets(documents: DataFrame, mask: str = "[SECRET]", size: int = SAMPLE, longest: int = LONGEST_FITTED, least: int = CANDIDATE_LEAST) -> DataFrame:
     """Documents with every span replaced by ``mask`` (overlapping spans by one) and n_chars, if there, set anew.
 
-    Defined cases: a null text stays null, an empty one empty; repeated rows are
+    Other parameters are those of ``scan_secrets``. Defined cases: a null text stays null, an empty one empty; repeated rows are
     masked each; a very long text is masked whole; without labelled credentials
     only base spans are masked; an empty table gives no rows; all columns stay.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(learn_formats(documents))
+    shared = documents.sparkSession.sparkContext.broadcast(learn_formats(documents, size, longest, least))
 
-    def redact(text: str | None) -> str | None:
-        spans = all_spans(text, shared.value) if text else []
+    def redact(text: str | None, scorer: Scorer) -> str | None:
+        spans = all_spans(text, scorer, least) if text else []
         out, at = [], 0
         for start, _, end in spans:
             if start >= at:
@@ -281,9 +313,10 @@ def redact_secrets(documents: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         return "".join([*out, text[at:]]) if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
         for b in batches:
             at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array([redact(t.as_py()) for t in b.column(at)], b.schema.field(at).type))
+            yield b.set_column(at, b.schema.field(at), pa.array([redact(t.as_py(), scorer) for t in b.column(at)], b.schema.field(at).type))
 
     done = documents.mapInArrow(tidy(run), documents.schema)
     return done.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType)) if "n_chars" in documents.columns else done

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm.vectors import best, dense, dimension, query_blocks, ranked, search_blocks, valid_vectors
+from loomfield.llm.vectors import best, dense, dimension, exact_products, floors, query_blocks, ranked, search_blocks, valid_vectors
 
 #: Longest vectors that give each query its first k-th score.
 SEEDS = 1024
@@ -28,16 +28,19 @@ LEADING = 16
 STEP = 512
 #: Up to so many dimensions the singular vectors come from the whole Gram matrix, beyond from its product with random columns.
 GRAM_MOST, RANDOM_COLUMNS = 512, 64
-#: Queries that one job searches for; 64 dimensions of 8 bytes make 16 MB to broadcast.
-QUERY_BLOCK = 32_768
 #: Share of |q| * |c| by which bounds in floating point are raised.
 SLACK = 1e-6
 
 SCHEMA = "query_id long, vec_id long, score long"
 
 
-def _integers(x: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(scale * x).astype(np.int64)
+#: Products of vectors whose squares add up to less fit a long; those of longer ones are made one by one.
+NARROW = 2.0**62
+
+
+def _integers(x: np.ndarray, scale: float, narrow: bool = False) -> np.ndarray:
+    """floor(scale * x), as longs if all are known to be ``narrow``."""
+    return floors(x, scale).astype(np.int64) if narrow else floors(x, scale)
 
 
 def _rotation(vectors: DataFrame, dim: int, scale: float) -> np.ndarray:
@@ -70,17 +73,17 @@ def _split(x: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Row-wise exact integer inner products."""
-    return np.einsum("ij,ij->i", q, x)
+    return np.einsum("ij,ij->i", q, x) if q.dtype == np.int64 else exact_products(q, x)
 
 
-def _searcher(block, dim: int, k: int, scale: float):
+def _searcher(block, dim: int, k: int, scale: float, narrow: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q, q_lead, q_len, q_rest, start, v = block.value
         kth = start.copy()
         held = [np.zeros(0, np.int64)] * 3
         for b in batches:
             ids, rows = dense(b.column(0), b.column(1), dim)
-            x = _integers(rows, scale)
+            x = _integers(rows, scale, narrow)
             lead, length, rest = _split(x, v)
             order = np.argsort(-length, kind="stable")
             for at in range(0, len(order), STEP):
@@ -116,8 +119,8 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: flo
     padded with zeros; ties go to the smaller vec_id; of rows that repeat an id,
     the best counts, and as a query the smallest vector; with fewer candidates
     than k all are returned; an empty table gives no rows; other columns are
-    ignored. A vector whose integer components have squares that add up to 2**62 or
-    more would make scores beyond a long, and is refused with OverflowError.
+    ignored. Components of any size take part; a score that is returned and does not
+    fit a long (2**63 - 1 in size counts as such) is an error.
     """
     vectors = valid_vectors(embeddings, zero_ok=True)
     spark, dim = vectors.sparkSession, dimension(vectors)
@@ -125,8 +128,7 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: flo
     if not dim:
         return spark.createDataFrame([], empty)
     largest = vectors.agg(F.max(F.expr(f"aggregate(embedding, 0D, (s, x) -> s + pow(floor({scale}D * x), 2))"))).first()[0]
-    if largest >= 2.0**62:
-        raise OverflowError("a vector's integer components have squares that add up to 2**62 or more")
+    narrow = largest < NARROW
     v = _rotation(vectors, dim, scale)
     longest = vectors.withColumn("squares", F.expr("aggregate(embedding, 0D, (s, x) -> s + x * x)"))
     seeds = longest.orderBy(F.desc("squares"), "vec_id").limit(SEEDS).drop("squares").toArrow().combine_chunks()
@@ -136,16 +138,19 @@ def exact_top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: flo
     ordered = longest.sortWithinPartitions(F.desc("squares")).drop("squares")
 
     def prepared() -> Iterator[tuple]:
-        for qid, rows in query_blocks(vectors, every, dim, QUERY_BLOCK):
-            q = _integers(rows, scale)
+        for qid, rows in query_blocks(vectors, every, dim):
+            q = _integers(rows, scale, narrow)
             lead, length, rest = _split(q, v)
             start = np.full(len(q), -(1 << 63), np.int64)
             for at in range(0, len(q), 4096):
                 scores = np.where(qid[at : at + 4096, None] == s_id, -np.inf, q[at : at + 4096].astype(np.float64) @ s.T)
                 if scores.shape[1] > k:
                     sure = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - SLACK * length[at : at + 4096] * np.sqrt(largest)
-                    start[at : at + 4096] = np.floor(sure)
+                    start[at : at + 4096] = np.floor(np.clip(sure, -(2.0**63), 2.0**63 - 2048))
             yield qid, q, lead, length, rest, start, v
 
-    found = search_blocks(spark, prepared(), lambda block: ordered.mapInArrow(_searcher(block, dim, k, scale), SCHEMA), "products")
-    return spark.createDataFrame([], empty) if found is None else ranked(found, k, largest_first=True)
+    found = search_blocks(spark, prepared(), lambda block: ordered.mapInArrow(_searcher(block, dim, k, scale, narrow), SCHEMA), "products")
+    if found is None:
+        return spark.createDataFrame([], empty)
+    fits = F.when(F.abs(F.col("score").cast("decimal(20,0)")) < 2**63 - 1, F.col("score")).otherwise(F.raise_error(F.lit("a score is beyond a long")))
+    return ranked(found, k, largest_first=True).withColumn("score", fits)

@@ -71,10 +71,12 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: _Rows, y: np.ndarray, features: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of sparse and dense columns by accelerated gradient descent with scaled steps."""
-    n = max(1, len(y))
+    """Weights of sparse and dense columns by accelerated gradient descent with scaled steps; all 0, a probability of a half, from no rows."""
+    n = len(y)
+    if not n:
+        return np.zeros(features), np.zeros(x.dense.shape[1])
     scale = 1 / (np.bincount(x.column, minlength=features) / n * 0.25 + RIDGE + 0.002)
-    spread = 1 / (0.25 * (x.dense**2).mean(0) + RIDGE + 1e-3) if n else np.ones(x.dense.shape[1])
+    spread = 1 / (0.25 * (x.dense**2).mean(0) + RIDGE + 1e-3)
     step = 1 / (x.size.mean() ** 0.5 + x.dense.shape[1] + 1)
     w, v = np.zeros(features), np.zeros(x.dense.shape[1])
     w_old, v_old = w, v
@@ -166,7 +168,8 @@ def with_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """All columns of documents with p_<category> for each category and the verdict is_toxic (p_toxic of 0.5 or more).
 
     Defined cases: a null or wordless text is judged by the models' constants;
-    without labelled documents all probabilities are 0; labels may be null
+    without labelled documents all probabilities are 0; from a single one, or from
+    those of one class, the constants alone tell; labels may be null
     (quality as good, toxic as not) or repeated (the worse counts); of labelled
     rows that repeat an id the smallest text is learned from; repeated documents
     are judged each; texts of any length are judged whole; a probability of just

@@ -95,21 +95,27 @@ def is_listed(keys: Sequence[str], levels: list[tuple[int, int, int, bytes]]) ->
     return out
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and its parent domains, longest first."""
-    labels = host.split(".")
+def suffixes(host: str, most: int) -> list[str]:
+    """The host and its parent domains of at most so many labels, longest first."""
+    labels = host.rsplit(".", most)[-most:]
     return [".".join(labels[i:]) for i in range(len(labels))] if host else []
 
 
-def _universe(hosts: DataFrame) -> DataFrame:
+def _parents(most: int) -> Column:
+    """The same of the column host."""
     labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return hosts.where("host <> ''").select(F.explode(parents).alias("key")).distinct()
+    return F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))
 
 
-def build_cascade(hosts: DataFrame, listed: DataFrame) -> tuple[DataFrame, int]:
-    """Cascades of all shards as a table, and the number of shards. hosts: host (distinct); listed: key."""
-    keys = _universe(hosts).join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").fillna({"listed": False})
+def most_labels(listed: DataFrame) -> int:
+    """Labels of the longest listed key; a longer parent domain cannot be listed, so it is not asked for."""
+    return max(1, listed.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 0)
+
+
+def build_cascade(hosts: DataFrame, listed: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Cascades of all shards as a table, and the number of shards. hosts: host (distinct); listed: key, of at most so many labels."""
+    universe = hosts.where("host <> ''").select(F.explode(_parents(most)).alias("key")).distinct()
+    keys = universe.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").fillna({"listed": False})
     keys = materialise(keys, "urls")
     shards = keys.count() // SHARD_KEYS + 1
 
@@ -122,15 +128,15 @@ def build_cascade(hosts: DataFrame, listed: DataFrame) -> tuple[DataFrame, int]:
     return materialise(dealt.groupBy("shard").applyInPandas(build, FILTERS), "cascade"), shards
 
 
-def _judge(hosts: Sequence[str], levels: dict[int, list], shards: int) -> dict[str, bool]:
+def _judge(hosts: Sequence[str], levels: dict[int, list], shards: int, most: int) -> dict[str, bool]:
     """Whether each host or a parent domain of it is listed."""
-    keys = sorted({s for h in hosts for s in suffixes(h)})
+    keys = sorted({s for h in hosts for s in suffixes(h, most)})
     shard = np.array([zlib.crc32(k.encode()) % shards for k in keys], np.int64)
     listed: set[str] = set()
     for s in np.unique(shard):
         own = [keys[i] for i in np.flatnonzero(shard == s)]
         listed.update(k for k, w in zip(own, is_listed(own, levels.get(int(s), [])), strict=True) if w)
-    return {h: any(s in listed for s in suffixes(h)) for h in hosts}
+    return {h: any(s in listed for s in suffixes(h, most)) for h in hosts}
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -140,13 +146,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: Data
     one, the cascade blocks a url whose host or a parent domain is in ``listed``
     (a table with a string column key). Defined cases: a null url, or one without
     ``://``, has an empty host and path, fits no rule and is allowed; repeated
-    rows are judged each; an empty table or list works; other columns are ignored.
+    rows are judged each; a host of any length costs no more than the labels of the
+    longest listed key; an empty table or list works; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumns({"rule": rule_column(rules, 0), "ruled": rule_column(rules, 1)})
     hosts = parsed.select("host").distinct()
-    cascade, shards = build_cascade(hosts, listed)
+    most = most_labels(listed)
+    cascade, shards = build_cascade(hosts, listed, most)
     if (cascade.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= broadcast_bytes:
         levels: dict[int, list] = {}
         for r in cascade.orderBy("shard", "level").collect():
@@ -156,20 +164,18 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]], listed: Data
         @F.pandas_udf("boolean")
         def listed_host(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield batch.map(_judge(batch.unique(), shared.value, shards)).astype(bool)
+                yield batch.map(_judge(batch.unique(), shared.value, shards, most)).astype(bool)
 
         judged = parsed.withColumn("listed", listed_host("host"))
     else:
-        judged = parsed.join(_listed_hosts(hosts, cascade, shards), "host", "left").fillna({"listed": False})
+        judged = parsed.join(_listed_hosts(hosts, cascade, shards, most), "host", "left").fillna({"listed": False})
     verdict = F.coalesce("ruled", F.when(F.col("listed"), "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
-def _listed_hosts(hosts: DataFrame, cascade: DataFrame, shards: int) -> DataFrame:
+def _listed_hosts(hosts: DataFrame, cascade: DataFrame, shards: int, most: int) -> DataFrame:
     """host, listed (true) where the cascades are too large to broadcast: each meets the keys of its shard only."""
-    labels = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = hosts.where("host <> ''").select("host", F.explode(parents).alias("key"))
+    keyed = hosts.where("host <> ''").select("host", F.explode(_parents(most)).alias("key"))
     keys = keyed.select("key").distinct().withColumn("shard", F.pmod(F.crc32(F.encode("key", "UTF-8")), F.lit(shards)).cast("int"))
 
     def test(keys_pd: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from loomfield.llm.tables import bound_batches, materialise
 
 
+#: Bytes of the queries that one job searches for and that are broadcast.
+BLOCK_BYTES = 16 << 20
+
+
 def valid_vectors(df: DataFrame, zero_ok: bool, also: tuple[str, ...] = ()) -> DataFrame:
     """vec_id, embedding and ``also`` of the rows that take part: an id, and finite components only."""
     fine = "vec_id IS NOT NULL AND embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
@@ -56,9 +60,9 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def query_blocks(vectors: DataFrame, every: int, dim: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows whose id is divisible by ``every``, in blocks of about ``block`` ids by hash; an id counts once, with its smallest vector."""
-    wanted = vectors.where(F.col("vec_id") % every == 0)
+def query_blocks(vectors: DataFrame, every: int, dim: int, size: int = BLOCK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows whose id is divisible by ``every``, in blocks of about ``size`` bytes of doubles by hash; an id counts once, with its smallest vector."""
+    wanted, block = vectors.where(F.col("vec_id") % every == 0), max(1, size // (8 * dim))
     blocks = -(-wanted.count() // block)
     for b in range(blocks):
         mine = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)

@@ -205,7 +205,7 @@ def test_automata_keep_their_counts_and_separate_formats():
                     todo.append(t)
         assert all(sum(model.moves[s].values()) + model.ends[s] == model.seen[s] for s in reached)
         assert all(set(model.moves[s]) == set(model.next[s]) for s in reached)
-    found = lambda made: sum(any(k == 3 for _, k, _ in secrets.all_spans(f"see {made()} there", formats)) for _ in range(50))
+    found = lambda made: sum(any(k == 3 for _, k, _ in secrets.all_spans(f"see {made()} there", secrets.Scorer(formats))) for _ in range(50))
     assert found(lambda: "ASIA" + take(upper + digits, 16)) >= 45
     assert found(lambda: take(digits + "abcdef", 24)) >= 45
     assert found(lambda: take(digits + "ABCDEF", 32)) >= 40
@@ -216,7 +216,8 @@ def test_automata_keep_their_counts_and_separate_formats():
 def test_candidates_are_what_base_spans_leave():
     text = "AKIA" + "B" * 16 + "abcdefghijklmnopqrst x " + "y" * 15 + " " + "z" * 16
     base = secrets.base_spans(text)
-    assert [t for _, _, t in secrets.candidates(text, base)] == ["abcdefghijklmnopqrst", "z" * 16]
+    assert [t for _, _, t in secrets.candidates(text, base)] == ["abcdefghijklmnopqrst", "y" * 15, "z" * 16]
+    assert [t for _, _, t in secrets.candidates(text, base, least=16)] == ["abcdefghijklmnopqrst", "z" * 16]
     assert [t for _, _, t in secrets.candidates(text, base, least=15)] == ["abcdefghijklmnopqrst", "y" * 15, "z" * 16]
     assert all(text[s:e] == t for s, e, t in secrets.candidates(text, base))
 
@@ -336,7 +337,7 @@ def test_pipeline_equals_the_plain_version(spark, small, tmp_path):
     library, want = Tokenizer.from_file(VOCABULARY), {}
     for doc_id, text in single:
         out, at = "", 0
-        for start, _, end in secrets.all_spans(text, formats):
+        for start, _, end in secrets.all_spans(text, secrets.Scorer(formats)):
             if start >= at:
                 out += text[at:start] + "[SECRET]"
             at = max(at, end)

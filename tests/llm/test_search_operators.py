@@ -32,6 +32,8 @@ def test_url_verdicts(spark, limit):
     assert got[2] == ("a.spam.example.org:80", "/x", None, "allow") and got[9] == ("spam.example.org", "", None, "block")
     assert got[3] == ("example.org", "", None, "allow") and got[4][2:] == ("example.com/en/", "block") and got[5][2:] == ("www.example.com/en/", "allow")
     assert got[6] == ("shop.net", "/es/", "net/es/", "block") and got[7][2:] == (None, "allow") and got[8][2:] == ("com/", "allow")
+    long = pages.limit(1).withColumn("url", F.concat(F.lit("x://"), F.repeat(F.lit("a."), 50_000), F.lit("spam.example.org/p")))
+    assert url_filter.filter_urls(long, queries.URL_RULES, listed, limit).first().verdict == "block"
     assert url_filter.filter_urls(pages.limit(0), queries.URL_RULES, listed.limit(0), limit).count() == 0
 
 
@@ -56,8 +58,8 @@ def test_exact_top_k(spark):
     for partitions in (1, 5):
         assert sorted(map(tuple, topk.exact_top_k(df.repartition(partitions), every=20).collect())) == sorted(want)
     assert topk.exact_top_k(df.limit(0)).count() == 0
-    with pytest.raises(OverflowError):
-        topk.exact_top_k(spark.createDataFrame([(0, [1e17]), (1, [1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond a long"):
+        topk.exact_top_k(spark.createDataFrame([(0, [1e17]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
     few = df.where("vec_id IN (0, 1, 2)")
     assert sorted((r.query_id, r.vec_id) for r in topk.exact_top_k(few, every=2).collect()) == [(0, 1), (0, 2), (2, 0), (2, 1)]
 
@@ -75,6 +77,22 @@ def test_exact_top_k_of_large_components_and_many_dimensions(spark):
         assert sorted(map(tuple, topk.exact_top_k(df, every=20).collect())) == sorted(want)
 
 
+def test_exact_top_k_beside_a_huge_vector(spark):
+    """Only scores that are asked for must fit a long, and those of wide vectors are exact."""
+    rows = [(0, [0.0, 1.0]), (1, [1e17, 0.0]), (2, [2.0**31, 3.0]), (20, [2.0**21 + 1, 2.0]), (3, [2.0**20, 2.0**20])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in topk.exact_top_k(df.where("vec_id <> 20"), every=20).collect())
+    assert got == [(0, 1, 0), (0, 2, 3 << 20), (0, 3, 1 << 40)]
+    ints = {i: [int(1024 * x) for x in v] for i, v in rows}
+    want = sorted(((sum(a * b for a, b in zip(ints[20], ints[i], strict=True)), i) for i in (0, 2, 3)), reverse=True)
+    few = topk.exact_top_k(df.where("vec_id <> 1"), k=3, every=20).where("query_id = 20").orderBy("rank")
+    if want[0][0] < 2**63:
+        assert [(r.score, r.vec_id) for r in few.collect()] == want
+    else:
+        with pytest.raises(Exception, match="beyond a long"):
+            few.collect()
+
+
 def test_neighbours_recall_and_scores(spark):
     rows, df = vectors(spark, 1500, 16)
     good = usable(rows, False)

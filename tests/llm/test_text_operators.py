@@ -183,6 +183,15 @@ def test_toxic_documents_are_found(spark):
     assert toxicity.with_toxicity(odd, rough).count() == 3 and toxicity.with_toxicity(odd.limit(0), rough).count() == 0
 
 
+def test_few_labels_and_one_class(spark):
+    docs = spark.createDataFrame([(n, f"word{n % 3} some text") for n in range(9)], "doc_id long, text string")
+    for known in ([(0, 1, 1)], [(0, 1, 0)], [(0, 1, 1), (1, 0, 0)], [(0, 1, 1), (1, 0, 0), (2, 1, 0)], [(n, 1, 0) for n in range(9)]):
+        got = toxicity.with_toxicity(docs, spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()
+        assert len(got) == 9 and all(0 <= p <= 1 for r in got for p in (r.p_low_quality, r.p_toxic)) and all(r.is_toxic == (r.p_toxic >= 0.5) for r in got)
+        if not any(t for *_, t in known):
+            assert not any(r.is_toxic for r in got)
+
+
 def test_chain_feeds_probabilities_forward():
     rng = np.random.default_rng(3)
     y1 = rng.integers(0, 2, 300)
@@ -214,9 +223,9 @@ def test_automata_and_scans(spark):
     formats = {"access": secrets.Automaton([secrets.classes(k) for k in keys]), "learned": secrets.Automaton([secrets.classes(p) for p in prose])}
     other = "ASIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
     text = f"a {prose[0]} b {other} c {keys[0]}"
-    got = [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.all_spans(text, formats)]
+    got = [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.all_spans(text, secrets.Scorer(formats))]
     assert got == [("learned", other), ("access", keys[0])]
-    total = sum(2 ** ((len(w) + 1) * formats["access"].bits(w)) for w in ("", "U", "0"))
+    total = sum(2 ** ((len(w) + 1) * formats["access"].bits(w, 1e-9)) for w in ("", "U", "0"))
     assert 0 <= total <= 1.01
     texts = [None, "", f"x password={'Ab1' * 4} y", f"{keys[1]} and {keys[1]}", "plain words"]
     rows = {r.doc_id: r for r in secrets.scan_secrets(documents(spark, texts)).collect()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from itertools import groupby, tee
 
@@ -45,11 +44,6 @@ def scene_scores(frames: DataFrame, scale: float = 255.0) -> DataFrame:
     return frames.withColumn("before", before).withColumn("scene_score", F.round(score, 6)).drop("before")
 
 
-def _per_job(frames: DataFrame, function, schema: str) -> DataFrame:
-    """Apply an order-dependent selection to each job's candidates (a job is one video, so a group is bounded)."""
-    return frames.groupBy("job_id").applyInPandas(function, schema)
-
-
 def candidates(rows: Iterable[tuple[float, float, bool]], interval: float, threshold: float = 0.12) -> Iterator[tuple[int, str, bool]]:
     """(index, reason, replaces) of observations (time, scene score, whether it is the last) that become candidates, in order of time.
 
@@ -103,66 +97,6 @@ def frame_candidates(frames: DataFrame, durations: DataFrame, threshold: float =
     return rows.repartition("job_id").sortWithinPartitions("job_id", "t", "frame_id").mapInArrow(sample, fields)
 
 
-def _ratio(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.bitwise_count(a ^ b).sum()) / (64 * len(a))
-
-
-def _spread(n: int, end: float) -> list[float]:
-    """n evenly spaced times from 0 to ``end``; the middle alone for one."""
-    return [end / 2] if n == 1 else [k * end / (n - 1) for k in range(n)]
-
-
-def choose(times: np.ndarray, scores: np.ndarray, signatures: np.ndarray, interval: float, most: int, apart: float = 0.08) -> list[tuple[int, str | None]]:
-    """(index, reason) of the candidates kept, at most ``most``; no reason for those kept for their scene.
-
-    Slots for coverage, three at least, are as many as intervals cover the video, up
-    to 60 % of ``most``. At each slot's time the nearest candidate (better scenes
-    first) is taken that is no near-duplicate of one taken; the ends are taken as
-    they are. Then the best scenes that are no near-duplicates fill up. If fewer
-    than three were taken, those nearest to even times are added.
-    """
-    n, end = len(times), float(times[-1])
-    distinct = lambda i: all(_ratio(signatures[i], signatures[j]) > apart for j in chosen)
-    least = min(most, 3 if most >= 3 else 2)
-    slots = min(most, max(least, min(math.ceil(end / interval) + 1 if interval > 0 else 1, math.ceil(most * 0.6))))
-    chosen: dict[int, str | None] = {}
-    for k, target in enumerate([0.0] if slots == 1 else _spread(slots, end)):
-        nearest = sorted(range(n), key=lambda i: (abs(times[i] - target), -scores[i], i))
-        if k in (0, slots - 1):
-            i = nearest[0]
-            if k == 0:
-                chosen[i] = "first"
-            elif chosen.get(i) != "first":
-                chosen[i] = "tail"
-        else:
-            i = next((i for i in nearest if i not in chosen and distinct(i)), None)
-            if i is not None:
-                chosen[i] = "coverage"
-    for i in sorted(range(n), key=lambda i: (-scores[i], times[i])):
-        if len(chosen) < most and i not in chosen and distinct(i):
-            chosen[i] = None
-    fewest = min(most, n, 3)
-    for target in _spread(fewest, end):
-        if len(chosen) < fewest and not any(abs(times[i] - target) < 1e-6 for i in chosen):
-            chosen[min((i for i in range(n) if i not in chosen), key=lambda i: (abs(times[i] - target), i))] = "minimum_coverage"
-    return sorted(chosen.items())
-
-
-def select_frames(candidates_: DataFrame, most: int = 40, apart: float = 0.08, longest: float = 15.0, step: float = 0.2) -> DataFrame:
-    """job_id, frame_id, t, reason of the candidates kept (job_id, frame_id, t, scene_score, signature, reason)."""
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "frame_id"]).reset_index(drop=True)
-        signatures = np.array(pdf["signature"].map(lambda s: np.array(s, np.int64).view(np.uint64)).to_list())
-        times = pdf["t"].to_numpy()
-        kept = choose(times, pdf["scene_score"].to_numpy(), signatures, min(longest, max(step, float(times[-1]) / 4)), most, apart)
-        out = pdf.iloc[[i for i, _ in kept]][["job_id", "frame_id", "t", "reason"]].copy()
-        out["reason"] = [r or own for (_, r), own in zip(kept, out["reason"], strict=True)]
-        return out
-
-    return _per_job(candidates_.select("job_id", "frame_id", "t", "scene_score", "signature", "reason"), pick, "job_id long, frame_id long, t double, reason string")
-
-
 def _blocks(frames: DataFrame) -> DataFrame:
     """job_id, words, blocks, own, frame_id, t (if there), signature, bits: each frame with its block of those of its job and length."""
     rows = frames.where("job_id IS NOT NULL AND signature IS NOT NULL").withColumn("words", F.size("signature"))

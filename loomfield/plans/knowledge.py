@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomfield.functions.columns import safe_component
-from loomfield.operators import catalog, evidence, frames, ledger, quality, schema, timeline, work
+from loomfield.operators import catalog, evidence, frames, ledger, quality, schema, selection, timeline, work
 from loomfield.plans.fixtures import NOW, sql, view
 from loomfield.sources import files
 
@@ -416,8 +416,8 @@ TESTS: dict = {
         f"SELECT job_id, frame_id, scene_score FROM ({SCORED}) q",
     ),
     "K-4": (lambda s, d: frames.frame_candidates(_scored(s, d), sql(s, d, DURATIONS), threshold=0.155), SAMPLED),
-    "K-5": (lambda s, d: frames.select_frames(_candidates(s, d), most=12, apart=0.3).where("reason IN ('first', 'tail', 'coverage')"), None),
-    "K-6": (lambda s, d: frames.select_frames(_candidates(s, d), most=12, apart=0.3), None),
+    "K-5": (lambda s, d: selection.select_frames(_candidates(s, d), sql(s, d, DURATIONS), most=12, apart=0.3).where("reason IN ('first', 'tail', 'coverage')"), None),
+    "K-6": (lambda s, d: selection.select_frames(_candidates(s, d), sql(s, d, DURATIONS), most=12, apart=0.3), None),
     "K-7": (lambda s, d: frames.nearest_distance(_signed(s, d)), f"""WITH b AS ({BITS}) SELECT x.job_id, x.frame_id, CASE WHEN count(y.t) =
         0 THEN 1.0 ELSE round(min(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0), 6) END AS nearest FROM b x LEFT JOIN
         b y ON x.job_id = y.job_id AND y.t < x.t GROUP BY 1, 2"""),
@@ -809,7 +809,7 @@ def _exported(s, d):
 
 
 def _candidates(s, d):
-    return frames.frame_candidates(_scored(s, d), sql(s, d, DURATIONS), threshold=0.155).join(_signed(s, d).select("job_id", "frame_id", "signature"), ["job_id", "frame_id"])
+    return frames.frame_candidates(_scored(s, d), sql(s, d, DURATIONS), threshold=0.155).join(_signed(s, d).select("job_id", "frame_id", "signature", "bits"), ["job_id", "frame_id"])
 
 
 def _neighbours(s, d):

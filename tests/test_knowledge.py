@@ -153,18 +153,6 @@ def test_even_picks_equal_the_plain_version(spark):
     assert {r.job_id for r in frames.pick_k(df, 5, least=10).collect()} == {j for j in range(30) if sum(d[0] == j for d in data) >= 10}
 
 
-def test_frame_choice_avoids_duplicates(spark):
-    t = np.arange(6.0)
-    signs = np.array([[0], [0], [0], [2**32 - 1], [2**32 - 1], [2**40 - 1]], np.uint64)
-    kept = frames.choose(t, np.array([1, 0, 0, 0.9, 0, 0]), signs, 15.0, 4)
-    assert kept == [(0, "first"), (3, "coverage"), (5, "tail")]
-    same = np.zeros((6, 1), np.uint64)
-    assert frames.choose(t, np.zeros(6), same, 15.0, 4) == [(0, "first"), (2, "minimum_coverage"), (5, "tail")]
-    assert frames.choose(t[:1], np.zeros(1), same[:1], 0.2, 4) == [(0, "first")] and frames.choose(t, np.zeros(6), same, 15.0, 1) == [(0, "first")]
-    many = np.array([[2**k - 1] for k in range(0, 60, 10)], np.uint64)
-    assert [r for _, r in frames.choose(t, np.array([0, 0.1, 0.9, 0.2, 0.8, 0]), many, 15.0, 5)] == ["first", "coverage", None, None, "tail"]
-
-
 def plain_candidates(observations, interval, threshold):
     """(t, reason) of one video's observations (t, score)."""
     out, last = [], -interval

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,22 +80,69 @@ def discover_entries(spark: SparkSession, root: str, note: str = "note.md", skip
     return entries_of(placed, skip)
 
 
-def write_version(df: DataFrame, path: str) -> str:
-    """Write a table as a new version and then point to it; readers see the old or the new one. Versions are numbered by one writer at a time."""
-    version = uuid.uuid4().hex
+def _claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file that is not there yet; False if it is. One of several writers succeeds.
+
+    On a local disk the operating system decides; elsewhere the file system of the path,
+    reached through the session's JVM as Python has no interface to it. A
+    store whose create is not exclusive (as plain S3) needs one writer at a time.
+    """
+    parts = urlsplit(path)
+    if parts.scheme in ("", "file"):
+        os.makedirs(os.path.dirname(parts.path), exist_ok=True)
+        try:
+            with open(parts.path, "x") as file:
+                file.write(text)
+        except FileExistsError:
+            return False
+        return True
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    except Exception as e:
+        if "AlreadyExists" in str(e):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def version_log(spark: SparkSession, path: str) -> DataFrame:
+    """number, version of the committed versions of a table; a number whose writer stopped before it was done has none."""
+    try:
+        rows = spark.read.text(f"{path}/_log/*.version", wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "number long, version string")
+    number = F.regexp_extract("_metadata.file_name", r"^([0-9]+)", 1).cast("long")
+    return rows.select(number.alias("number"), F.regexp_extract("value", r"^([0-9a-f]{32})\.$", 1).alias("version")).where("version <> ''")
+
+
+def write_version(df: DataFrame, path: str) -> int:
+    """Write a table as a new version, then commit it under the next free number; the number.
+
+    Rows are written to a folder of their own. A version counts once the file of its
+    number is there, which is created without overwriting: of writers that
+    want the same number one gets it and the others try the next, so any number of them may
+    write at a time, and readers see whole versions only.
+    """
+    spark, version = df.sparkSession, uuid.uuid4().hex
     df.write.parquet(f"{path}/version={version}")
-    spark, pointer = df.sparkSession, f"{path}/_pointer"
-    place = spark._jvm.org.apache.hadoop.fs.Path(pointer)
-    known = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    number = (spark.read.parquet(pointer).agg(F.max("number")).first()[0] if known else 0) + 1
-    spark.createDataFrame([(version, number)], "version string, number long").coalesce(1).write.mode("append").parquet(pointer)
-    return version
-
-
-def read_version(spark: SparkSession, path: str) -> DataFrame:
-    """The version that was written last."""
-    version = spark.read.parquet(f"{path}/_pointer").orderBy(F.desc("number"), F.desc("version")).first()["version"]
-    return spark.read.parquet(f"{path}/version={version}")
+    number = (version_log(spark, path).agg(F.max("number")).first()[0] or 0) + 1
+    while not _claim(spark, f"{path}/_log/{number:020d}.version", f"{version}."):
+        number += 1
+    return number
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The version that was committed last, or the one of a number."""
+    log = version_log(spark, path)
+    found = (log if number is None else log.where(F.col("number") == number)).orderBy(F.desc("number")).first()
+    if found is None:
+        raise FileNotFoundError(f"{path} has no such version")
+    return spark.read.parquet(f"{path}/version={found['version']}")
 
 
 def quarantine(df: DataFrame, code: str, text: str) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomfield.functions.columns import canonical_id, format_time, parse_time, redact, safe_component
@@ -183,9 +185,16 @@ def test_column_functions(spark):
 
 def test_versions_and_front_matter(spark, tmp_path):
     path = str(tmp_path / "t")
-    files.write_version(spark.range(3), path)
-    files.write_version(spark.range(5), path)
-    assert files.read_version(spark, path).count() == 5
+    assert files.write_version(spark.range(3), path) == 1
+    assert files.write_version(spark.range(5), path) == 2
+    assert files.read_version(spark, path).count() == 5 and files.read_version(spark, path, 1).count() == 3
+    with ThreadPoolExecutor(4) as pool:
+        numbers = list(pool.map(lambda n: files.write_version(spark.range(10 + n), path), range(4)))
+    assert sorted(numbers) == [3, 4, 5, 6] and [files.read_version(spark, path, m).count() for m in numbers] == [10, 11, 12, 13]
+    (tmp_path / "t" / "_log" / f"{7:020d}.version").write_text("0123")  # a writer that stopped
+    assert files.read_version(spark, path).count() == 10 + numbers.index(6) and files.write_version(spark.range(1), path) == 8
+    with pytest.raises(FileNotFoundError):
+        files.read_version(spark, str(tmp_path / "none"))
     docs = spark.createDataFrame([(1, "---\ntitle: A\ntags: [x, y]\n---\nbody"), (2, "no block"), (3, "---\n: [\n---\nb")], "id long, text string")
     out = {r.id: r for r in files.split_front_matter(docs).collect()}
     assert out[1].front["title"] == "A" and out[1].body == "body" and out[2].front == {} and out[3].front_error == "malformed"

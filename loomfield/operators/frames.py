@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
-from itertools import groupby, tee
+from itertools import combinations, groupby, tee
 
 import numpy as np
 import pandas as pd
@@ -99,7 +100,7 @@ def frame_candidates(frames: DataFrame, durations: DataFrame, threshold: float =
 
 def _blocks(frames: DataFrame) -> DataFrame:
     """job_id, words, blocks, own, frame_id, t (if there), signature, bits: each frame with its block of those of its job and length."""
-    rows = frames.where("job_id IS NOT NULL AND signature IS NOT NULL").withColumn("words", F.size("signature"))
+    rows = frames.where("job_id IS NOT NULL AND signature IS NOT NULL").withColumn("words", F.coalesce("bits", 64 * F.size("signature")))
     sizes = rows.groupBy("job_id", "words").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     at = [c for c in ("frame_id", "t") if c in frames.columns]
     own = F.pmod(F.xxhash64(*at), F.col("blocks"))
@@ -219,7 +220,7 @@ def near_duplicate_frames(frames: DataFrame, ratio: float) -> DataFrame:
     strips = int(bits * (ratio + 1e-6)) + 1  # the ratio is compared when rounded to six places
     if bits // strips >= 8:
         a = frames.select("job_id", F.col("frame_id").alias("a"), F.col("signature").alias("sa"), "bits")
-        b = frames.select("job_id", F.col("frame_id").alias("b"), F.col("signature").alias("sb"))
+        b = frames.select("job_id", F.col("frame_id").alias("b"), F.col("signature").alias("sb"), "bits")
 
         def strip(s: Column) -> Column:
             """Strips of equal or nearly equal numbers of bits of all words; one over two words has both parts."""
@@ -234,7 +235,7 @@ def near_duplicate_frames(frames: DataFrame, ratio: float) -> DataFrame:
             return F.explode(F.array(*parts))
 
         a, b = a.withColumn("strip", strip(F.col("sa"))), b.withColumn("strip", strip(F.col("sb")))
-        pairs = a.join(b, ["job_id", "strip"]).where("a < b").dropDuplicates(["job_id", "a", "b"])
+        pairs = a.join(b, ["job_id", "bits", "strip"]).where("a < b").dropDuplicates(["job_id", "a", "b"])
         found = hamming_ratio(F.col("sa"), F.col("sb"), F.col("bits"))
         return pairs.select("job_id", "a", "b", F.round(found, 6).alias("ratio")).where(F.col("ratio") <= ratio)
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
@@ -256,3 +257,70 @@ def near_duplicate_frames(frames: DataFrame, ratio: float) -> DataFrame:
     x = rows.select("job_id", "words", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "frame_id", "signature", "bits")
     y = rows.select("job_id", "words", F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("i"), F.col("own").alias("j"), "frame_id", "signature", "bits")
     return _in_pairs(x, y, hits, schema).withColumn("ratio", F.round("ratio", 6)).where(F.col("ratio") <= ratio)
+
+
+#: Flips of a strip, at most, that a signature is looked up under, and strips that a word is cut into.
+MOST_FLIPS, CUTS = 4096, (1, 2, 4, 8)
+#: Share of the classes that a look-up may meet before comparing all of them in blocks costs less.
+WORTH = 0.25
+
+
+def flips(width: int, radius: int) -> list[int]:
+    """All masks of ``width`` bits of which at most ``radius`` are set."""
+    return [sum(1 << b for b in at) for n in range(radius + 1) for at in combinations(range(width), n)]
+
+
+def strip_plan(words: int, most: int) -> tuple[int, int] | None:
+    """(strips of a word, flips of a strip) by which signatures that differ in at most ``most`` bits meet at the least cost; None if comparing all costs less.
+
+    Of ``words`` times the strips one differs in at most its share of the bits.
+    """
+    best = None
+    for cuts in CUTS:
+        width, radius = 64 // cuts, most // (words * cuts)
+        n = sum(math.comb(width, i) for i in range(radius + 1))
+        met = words * cuts * n / 2**width
+        if n <= MOST_FLIPS and met <= WORTH and (best is None or words * cuts * n < best[0]):
+            best = words * cuts * n, cuts, radius
+    return best and best[1:]
+
+
+def _strips(signature: Column, words: int, cuts: int) -> Column:
+    """Rows i, v: the strips of a signature."""
+    width = 64 // cuts
+    word = lambda w: F.coalesce(F.get(signature, F.lit(w)), F.lit(0).cast("long"))
+    part = lambda w, c: word(w) if cuts == 1 else F.shiftrightunsigned(word(w), c * width).bitwiseAND(F.lit((1 << width) - 1))
+    return F.explode(F.array(*[F.struct(F.lit(w * cuts + c).alias("i"), part(w, c).alias("v")) for w in range(words) for c in range(cuts)]))
+
+
+def near_duplicate_classes(frames: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Frames (job_id, frame_id, signature, bits) as classes, and the links between classes of a job.
+
+    members: job_id, frame_id, class_id (the smallest frame with that signature);
+    links: job_id, a, b (classes, a < b), ratio of those whose signatures differ in at
+    most that share of the bits. Copies are one class, so what is compared and
+    returned does not grow with them. Signatures meet where a strip of theirs is the
+    same but for a few bits (``strip_plan``); where the ratio is too large for
+    that, all classes of a job are compared in blocks. Frames without job, id or
+    signature are left out; signatures of different lengths are never linked.
+    """
+    good = frames.where("job_id IS NOT NULL AND frame_id IS NOT NULL AND signature IS NOT NULL")
+    classes = good.groupBy("job_id", "bits", "signature").agg(F.min("frame_id").alias("class_id"))
+    members = good.join(classes, ["job_id", "bits", "signature"]).select("job_id", "frame_id", "class_id")
+    shape = good.agg(F.max("bits"), F.max(F.size("signature"))).first()
+    bits, words = shape[0] or 0, shape[1] or 1
+    plan = strip_plan(words, int(bits * (ratio + 1e-6)))
+    if plan is None:
+        return members, near_duplicate_frames(classes.select("job_id", F.col("class_id").alias("frame_id"), "signature", "bits"), ratio)
+    cuts, radius = plan
+    side = lambda n: classes.select("job_id", "bits", F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"), _strips(F.col("signature"), words, cuts).alias("strip"))
+    a, b = side("a").select("*", "strip.i", "strip.v"), side("b").select("*", "strip.i", F.col("strip.v").alias("own"))
+    b = b.withColumn("v", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(m)) for m in _signed(flips(64 // cuts, radius))])))
+    found = F.round(hamming_ratio(F.col("sa"), F.col("sb"), F.col("bits")), 6)
+    pairs = a.drop("strip").join(b.drop("strip", "own"), ["job_id", "bits", "i", "v"]).where("a < b").withColumn("ratio", found).where(F.col("ratio") <= ratio)
+    return members, pairs.select("job_id", "a", "b", "ratio").dropDuplicates(["job_id", "a", "b"])
+
+
+def _signed(masks: list[int]) -> list[int]:
+    """Masks as longs."""
+    return [m - (1 << 64) if m >> 63 else m for m in masks]

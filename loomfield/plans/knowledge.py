@@ -432,6 +432,13 @@ TESTS: dict = {
     "K-10": (lambda s, d: frames.near_duplicate_frames(_signed(s, d), 0.36), f"""WITH b AS ({BITS}) SELECT * FROM (SELECT x.job_id,
         x.frame_id AS a, y.frame_id AS b, round(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0, 6) AS ratio FROM b x
         JOIN b y ON x.job_id = y.job_id AND x.frame_id < y.frame_id) t WHERE ratio <= 0.36"""),
+    "K-10-classes": (
+        lambda s, d: _classes(s, d),
+        f"""WITH b AS ({BITS} UNION ALL SELECT job_id, frame_id + 1000000, t, b FROM ({BITS}) c), c AS (SELECT job_id, b, min(frame_id) AS id, count(*) AS n FROM b GROUP BY 1, 2)
+        SELECT job_id, id AS a, NULL::BIGINT AS b, n, NULL::DOUBLE AS ratio FROM c UNION ALL
+        SELECT * FROM (SELECT x.job_id, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, NULL::BIGINT AS n, round(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0, 6) AS ratio FROM c x
+        JOIN c y ON x.job_id = y.job_id AND x.id < y.id) t WHERE ratio <= 0.24""",
+    ),
     "Q-1": (
         lambda s, d: schema.schema_violations(sql(s, d, NESTED), SCHEMA),
         " UNION ALL ".join(f"SELECT page_id AS job_id, '{code}' AS code, '{path}' AS path FROM pages WHERE page_id {where}" for code, path, where in BROKEN),
@@ -808,6 +815,14 @@ def _exported(s, d):
     return back.select("entry_ref", "title", F.coalesce("category", F.lit("__HIVE_DEFAULT_PARTITION__")).alias("category"))
 
 
+def _classes(s, d):
+    """The sizes of classes of equal frames, each frame being there twice, and the links between classes."""
+    twice = _signed(s, d).select("job_id", "frame_id", "signature", "bits")
+    members, links = frames.near_duplicate_classes(twice.union(twice.withColumn("frame_id", F.col("frame_id") + 1000000)), 0.24)
+    sizes = members.groupBy("job_id", F.col("class_id").alias("a")).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.select("job_id", "a", F.lit(None).cast("long").alias("b"), "n", F.lit(None).cast("double").alias("ratio")).union(links.select("job_id", "a", "b", F.lit(None).cast("long"), "ratio"))
+
+
 def _candidates(s, d):
     return frames.frame_candidates(_scored(s, d), sql(s, d, DURATIONS), threshold=0.155).join(_signed(s, d).select("job_id", "frame_id", "signature", "bits"), ["job_id", "frame_id"])
 

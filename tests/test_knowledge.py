@@ -225,6 +225,27 @@ def test_numbers_must_be_reviewed(spark):
     assert rows(quality.unreviewed_numbers(docs, reviewed), "job_id", "numbers") == [(1, ["3.5%", "8"]), (2, ["1", "000", "12", "5"])]
 
 
+@pytest.mark.parametrize(("bits", "ratio"), [(64, 0.08), (64, 0.2), (100, 0.1), (64, 0.45)])
+def test_classes_and_links_expand_to_all_pairs(spark, bits, ratio):
+    rng = random.Random(bits)
+    marks = [rng.getrandbits(bits) for _ in range(12)]
+    marks += [m ^ sum(1 << rng.randrange(bits) for _ in range(rng.randint(0, 9))) & (1 << bits) - 1 for m in marks * 6]
+    signed = lambda m: [w - (1 << 64) if w >> 63 else w for w in (m >> 64 * n & (1 << 64) - 1 for n in range(-(-bits // 64)))]
+    data = [(n % 2, n, signed(m), bits) for n, m in enumerate(marks + marks[:20])] + [(0, 900, signed(marks[0])[:1], 60), (None, 901, signed(marks[0]), bits)]
+    df = spark.createDataFrame(data, "job_id long, frame_id long, signature array<long>, bits int").repartition(3)
+    members, links = frames.near_duplicate_classes(df, ratio)
+    of = {}
+    for r in members.collect():
+        of.setdefault((r.job_id, r.class_id), []).append(r.frame_id)
+    got = [(j, *sorted((x, y))) for (j, _), own in of.items() for n, x in enumerate(own) for y in own[n + 1 :]]
+    for r in links.collect():
+        got += [(r.job_id, *sorted((x, y))) for x in of[r.job_id, r.a] for y in of[r.job_id, r.b]]
+    apart = lambda x, y: sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x[2], y[2], strict=True))
+    want = [(x[0], x[1], y[1]) for x in data for y in data if x[0] is not None and x[0] == y[0] and x[1] < y[1] and x[3] == y[3] and round(apart(x, y) / x[3], 6) <= ratio]
+    assert sorted(got) == sorted(want)
+    assert (frames.strip_plan(-(-bits // 64), int(bits * ratio)) is None) == (ratio == 0.45)
+
+
 def test_any_top_heading_may_be_the_title(spark):
     docs = spark.createDataFrame([(1, "A\\E(b", "# x\n#  A\\E(b \ntext"), (2, "A", "# AB"), (3, "A", "## A"), (4, "A", "#\n\nA")], "job_id long, title string, text string")
     assert rows(quality.section_violations(docs, [], body=0), "job_id", "code") == [(2, "title_mismatch"), (3, "title_mismatch")]

@@ -155,11 +155,58 @@ def draft_verdicts(jobs: DataFrame, violations: DataFrame, order: Sequence[str])
     return jobs.select("job_id").join(first, "job_id", "left").select("job_id", F.coalesce("code", F.lit("ok")).alias("verdict"))
 
 
-def render_documents(payloads: DataFrame, sections: Sequence[str]) -> DataFrame:
-    """job_id, document: title, then each section with its list; steps carry their evidence (job_id, title, sections map, steps array)."""
-    part = lambda h: F.concat(F.lit(f"## {h}\n\n"), F.array_join(F.transform(F.coalesce(F.col("sections")[h], F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x)), "\n"), F.lit("\n\n"))
-    steps = F.array_join(F.transform("steps", lambda s, i: F.concat(F.format_string("%d. ", i + 1), s["text"], F.when(s["evidence"].isNotNull(), F.concat(F.lit("\n   > "), s["evidence"])).otherwise(""))), "\n")
-    return payloads.select("job_id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), *map(part, sections), F.lit("## Steps\n\n"), F.coalesce(steps, F.lit("")), F.lit("\n")).alias("document"))
+#: The sections of a document with their headings, and texts for what is not there.
+HEADINGS = {
+    "about": "About", "one_sentence_summary": "In one sentence", "content_summary": "Summary", "core_points": "Core points", "argument_structure": "Steps", "cases_and_data": "Cases and data", "reviews": "Reviewed terms and numbers",
+    "timeline_interpretation": "Timeline", "reusable_knowledge": "Reusable", "action_items": "Actions", "keywords": "Keywords", "related_knowledge": "Related", "visual_evidence": "Visuals", "pending_review": "Pending"}
+ABOUT, NO_RELATED, NO_PENDING, PLACED = "Compiled from speech, screen text, timeline and frames, and checked.", "Nothing related so far.", "Nothing pending.", "Frames stand at their steps:"
+
+
+def render_documents(payloads: DataFrame, headings: dict[str, str] = HEADINGS) -> DataFrame:
+    """job_id, document: front matter, title and fourteen sections of each payload, in one projection.
+
+    A payload has title, primary_category, tags, review_status, one_sentence_summary,
+    the lists content_summary, core_points, reusable_knowledge, action_items,
+    keywords, pending_review, and rows: argument_structure (step, claim, evidence),
+    cases_and_data (claim, evidence), proper_noun_review (term, normalized, evidence,
+    verdict), numeric_review (value, ...), timeline_interpretation (timestamp,
+    explanation), related_knowledge (title, path, reason), visual_evidence (frame,
+    argument_step, claim). Frames stand in the step that they belong to, and in an
+    index. Front matter is YAML, its values in JSON, which is YAML too. Texts count as
+    one line each; null lists and texts are empty.
+    """
+    line = lambda c: F.coalesce(one_line(c), F.lit(""))
+    kinds = {f.name: f.dataType.simpleString() for f in payloads.schema}
+    rows = lambda name: F.coalesce(F.col(name), F.array().cast(kinds[name]))
+    joined = lambda name, f, by="\n": F.array_join(F.transform(rows(name), f), by)
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else line(p) for p in parts])
+    bullets = lambda name: joined(name, lambda x: text("- ", x))
+    reviewed = lambda name, what, key: F.transform(rows(name), lambda r: text(f"- **{what} `", r[key], "`** → `", r["normalized"], "`: ", r["evidence"], " (", r["verdict"], ")"))
+
+    def step(s: Column) -> Column:
+        own = F.filter(rows("visual_evidence"), lambda v: v["argument_step"] == s["step"])
+        shown = F.array_join(F.transform(own, lambda v: text("\n\n![", v["claim"], "](frames/", v["frame"], ")\n\n*", v["claim"], "*")), "")
+        return F.concat(text("### ", s["claim"], "\n\n**Evidence**: ", s["evidence"]), shown)
+
+    placed = F.forall(rows("visual_evidence"), lambda v: v["argument_step"].isNotNull())
+    index = F.when(placed, F.concat(F.lit(PLACED + "\n\n"), joined("visual_evidence", lambda v: text("- **Step ", v["argument_step"].cast("string"), " / ", v["frame"], "**: ", v["claim"])))).otherwise(
+        joined("visual_evidence", lambda v: text("- **", v["frame"], "**: ", v["claim"])))
+    sections = {
+        "about": F.lit(ABOUT), "one_sentence_summary": line(F.col("one_sentence_summary")), "content_summary": joined("content_summary", lambda x: text(x), "\n\n"), "core_points": bullets("core_points"),
+        "argument_structure": joined("argument_structure", step, "\n\n"), "cases_and_data": joined("cases_and_data", lambda c: text("- **Claim**: ", c["claim"], "\n  - **Basis**: ", c["evidence"])),
+        "reviews": F.array_join(F.concat(reviewed("proper_noun_review", "Term", "term"), reviewed("numeric_review", "Number", "value")), "\n"),
+        "timeline_interpretation": joined("timeline_interpretation", lambda t: text("- **", t["timestamp"], "**: ", t["explanation"])), "reusable_knowledge": bullets("reusable_knowledge"), "action_items": bullets("action_items"),
+        "keywords": joined("keywords", lambda x: text(x), ", "),
+        "related_knowledge": F.when(F.size(rows("related_knowledge")) > 0, joined("related_knowledge", lambda r: text("- **[", r["title"], "](", r["path"], ")**: ", r["reason"]))).otherwise(F.lit(NO_RELATED)),
+        "visual_evidence": index, "pending_review": F.when(F.size(rows("pending_review")) > 0, bullets("pending_review")).otherwise(F.lit(NO_PENDING))}
+    keep = {"ignoreNullFields": "false"}
+    whole = lambda value: F.to_json(F.struct(value.alias("x")), keep)
+    quoted = lambda value: F.substr(whole(value), F.lit(6), F.length(whole(value)) - 6)
+    facts = [("schema_version", F.lit("2")), *[(c, quoted(line(F.col(c)))) for c in ("title", "primary_category", "review_status")], ("tags", F.to_json(F.transform(rows("tags"), line)))]
+    facts += [(c, F.to_json(rows(c), keep)) for c in ("proper_noun_review", "numeric_review", "related_knowledge", "visual_evidence", "pending_review")]
+    front = F.concat(F.lit("---\n"), *[p for name, value in facts for p in (F.lit(f"{name}: "), value, F.lit("\n"))], F.lit("---\n\n"))
+    body = [p for name, value in sections.items() for p in (F.lit(f"\n\n## {headings[name]}\n\n"), value)]
+    return payloads.select("job_id", F.concat(front, F.lit("# "), line(F.col("title")), *body, F.lit("\n")).alias("document"))
 
 
 def admit_candidates(cands: DataFrame, packets: DataFrame, current: DataFrame, reviews: DataFrame, fields: Sequence[str] = CANDIDATE_FIELDS, version: int = 1, schema_version: int = 2) -> DataFrame:

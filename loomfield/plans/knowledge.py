@@ -266,6 +266,11 @@ BOUND = "SELECT o_orderkey AS entry_ref FROM orders WHERE o_orderkey % 8 <> 0"
 MOVES = "SELECT concat('item-', substr(SHA(source_id), 1, 20)) AS job_id, CASE WHEN k % 12 = 1 THEN 'old/x' ELSE concat('lib/', source_id) END AS from_path, CASE WHEN k % 13 = 1 THEN concat('lib/', source_id) ELSE concat('new/', source_id) END AS to_path FROM v_src"
 CHECKPOINT = "SELECT p_partkey AS entry_ref, CASE WHEN p_partkey % 20 = 0 THEN '../a' WHEN p_partkey % 30 = 1 THEN '/a' ELSE concat('t/', CAST(p_partkey % 1900 AS STRING)) END AS target_path, CASE WHEN p_partkey % 40 = 3 THEN 'zz' ELSE SHA(p_name) END AS sha256 FROM part"
 REQUIRED = ["note.md", "media.mp4", "data.json"]
+#: The sections of the documents of Q-15 in SQL.
+RENDERED = {
+    "about": f"'{quality.ABOUT}'", "one_sentence_summary": "first", "content_summary": "paras", "core_points": "bullets", "argument_structure": "steps", "cases_and_data": "cases", "reviews": "terms || chr(10) || numbers", "timeline_interpretation": "times",
+    "reusable_knowledge": "bullets", "action_items": "bullets", "keywords": "words", "related_knowledge": f"CASE WHEN job_id % 3 = 0 THEN '{quality.NO_RELATED}' ELSE related END",
+    "visual_evidence": f"CASE WHEN job_id % 4 = 0 THEN '' ELSE '{quality.PLACED}' || chr(10) || chr(10) END || shown", "pending_review": f"CASE WHEN job_id % 2 = 1 THEN bullets ELSE '{quality.NO_PENDING}' END"}
 
 
 def _a(s, d, statement):
@@ -517,11 +522,22 @@ TESTS: dict = {
         regexp_matches(body, '(?i)https?://\S+') THEN 'link'
         WHEN unresolved_count = 0 AND pending_count > 0 THEN 'pending_without_unresolved' WHEN regexp_matches(body,
         '(?i)\b(cookie|sessionid?|signature|request[_ -]?url)\b') THEN 'secret_word' ELSE 'ok' END AS verdict FROM v_payload"""),
-    "Q-15": (lambda s, d: quality.render_documents(_rendered(s, d), ["Summary"]), """WITH j AS (SELECT job_id,
-        any_value(concat('Conversation ', CAST(job_id AS STRING))) AS title, list(text ORDER BY segment_id) AS a FROM v_segments GROUP BY 1)
-        SELECT job_id, '# ' || title || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '- ' || array_to_string(a, chr(10) ||
-        '- ') || chr(10) || chr(10) || '## Steps' || chr(10) || chr(10) || '1. ' || a[1] || chr(10) || '   > ' || title || chr(10) AS
-        document FROM j"""),
+    "Q-15": (lambda s, d: quality.render_documents(_payloads(s, d)), f"""WITH t AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS l, CAST(to_json(text) AS VARCHAR) AS j FROM v_segments),
+        g AS (SELECT job_id, string_agg(l, chr(10) || chr(10) ORDER BY segment_id) AS paras, string_agg('- ' || l, chr(10) ORDER BY segment_id) AS bullets, arg_min(l, segment_id) AS first,
+        string_agg('### ' || role || ' ' || segment_id || chr(10) || chr(10) || '**Evidence**: ' || l || CASE WHEN job_id % 4 = 0 THEN '' ELSE chr(10) || chr(10) || '![' || role || '](frames/f' || segment_id || '.jpg)' || chr(10) || chr(10) || '*' || role || '*' END, chr(10) || chr(10) ORDER BY segment_id) AS steps,
+        string_agg('- **Claim**: ' || role || chr(10) || '  - **Basis**: ' || l, chr(10) ORDER BY segment_id) AS cases,
+        string_agg('- **Term `' || role || '`** → `' || upper(role) || '`: ' || l || ' (verified)', chr(10) ORDER BY segment_id) AS terms, string_agg('- **Number `' || segment_id || '`** → `n`: ' || l || ' (unresolved)', chr(10) ORDER BY segment_id) AS numbers,
+        string_agg('- **00:0' || segment_id % 10 || '**: ' || l, chr(10) ORDER BY segment_id) AS times, string_agg(role, ', ' ORDER BY segment_id) AS words,
+        string_agg('- **[T' || segment_id || '](p/' || segment_id || ')**: ' || l, chr(10) ORDER BY segment_id) AS related,
+        string_agg('- **' || CASE WHEN job_id % 4 = 0 THEN '' ELSE 'Step ' || segment_id + 1 || ' / ' END || 'f' || segment_id || '.jpg**: ' || role, chr(10) ORDER BY segment_id) AS shown,
+        string_agg('{{"term":"' || role || '","normalized":"' || upper(role) || '","evidence":' || j || ',"verdict":"verified"}}', ',' ORDER BY segment_id) AS jt,
+        string_agg('{{"value":"' || segment_id || '","normalized":"n","evidence":' || j || ',"verdict":"unresolved"}}', ',' ORDER BY segment_id) AS jn,
+        string_agg('{{"title":"T' || segment_id || '","path":"p/' || segment_id || '","reason":' || j || '}}', ',' ORDER BY segment_id) AS jr,
+        string_agg('{{"frame":"f' || segment_id || '.jpg","argument_step":' || CASE WHEN job_id % 4 = 0 THEN 'null' ELSE CAST(segment_id + 1 AS VARCHAR) END || ',"claim":"' || role || '"}}', ',' ORDER BY segment_id) AS jv, string_agg(j, ',' ORDER BY segment_id) AS jp
+        FROM t GROUP BY 1)
+        SELECT job_id, '---' || chr(10) || 'schema_version: 2' || chr(10) || 'title: "Conversation ' || job_id || '"' || chr(10) || 'primary_category: "talk"' || chr(10) || 'review_status: "' || CASE WHEN job_id % 2 = 1 THEN 'needs_review' ELSE 'verified' END || '"' || chr(10) || 'tags: ["a","b c"]' || chr(10)
+        || 'proper_noun_review: [' || jt || ']' || chr(10) || 'numeric_review: [' || jn || ']' || chr(10) || 'related_knowledge: [' || CASE WHEN job_id % 3 = 0 THEN '' ELSE jr END || ']' || chr(10) || 'visual_evidence: [' || jv || ']' || chr(10) || 'pending_review: [' || CASE WHEN job_id % 2 = 1 THEN jp ELSE '' END || ']' || chr(10) || '---' || chr(10) || chr(10) || '# Conversation ' || job_id
+        || {" || ".join(f"chr(10) || chr(10) || '## {quality.HEADINGS[h]}' || chr(10) || chr(10) || {x}" for h, x in RENDERED.items())} || chr(10) AS document FROM g"""),
     "Q-16": (lambda s, d: quality.admit_candidates(sql(s, d, CANDS), sql(s, d, PACKETS), sql(s, d, CURRENT), sql(s, d, DECIDED)), f"""SELECT
         c.job_id, CASE WHEN p.sha256 IS NULL THEN 'unknown_job' WHEN c.job_id % 13 = 0 THEN 'bad_fields' WHEN version <> 1 THEN 'bad_version' WHEN schema_version <> 2 THEN 'bad_schema_version' WHEN job_ref <> c.job_id THEN 'wrong_job' WHEN c.packet_sha256 <> p.sha256 THEN
         'stale_packet' WHEN u.candidate_sha256 IS NULL THEN 'admitted'
@@ -834,11 +850,23 @@ def _neighbours(s, d):
     return a.join(b, ["job_id", "t"]).select("job_id", F.col("frame_id").alias("a"), "b", ratio.alias("ratio"))
 
 
-def _rendered(s, d):
-    title = F.concat(F.lit("Conversation "), F.col("job_id").cast("string"))
-    grouped = segs(s, d).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("segment_id", "text"))), lambda x: x["text"]).alias("a"))
-    steps = F.array(F.struct(F.col("a")[0].alias("text"), title.alias("evidence")))
-    return grouped.select("job_id", title.alias("title"), F.create_map(F.lit("Summary"), F.col("a")).alias("sections"), steps.alias("steps"))
+def _payloads(s, d):
+    """A payload of each conversation: its turns are what every section lists."""
+    turns = F.array_sort(F.collect_list(F.struct("segment_id", "role", "text")))
+    rows = segs(s, d).groupBy("job_id").agg(turns.alias("a"))
+    each = lambda **fields: F.transform("a", lambda x: F.struct(*[f(x).alias(n) for n, f in fields.items()]))
+    texts, none = F.transform("a", lambda x: x["text"]), F.array().cast("array<string>")
+    number, said, role = (lambda x: x["segment_id"].cast("string")), (lambda x: x["text"]), (lambda x: x["role"])
+    fixed = lambda v: lambda x: F.lit(v)
+    named = lambda before, after="": lambda x: F.concat(F.lit(before), number(x), F.lit(after))
+    odd, related = F.col("job_id") % 2 == 1, each(title=named("T"), path=named("p/"), reason=said)
+    return rows.select(
+        "job_id", F.concat(F.lit("Conversation "), F.col("job_id")).alias("title"), F.lit("talk").alias("primary_category"), F.array(F.lit(" a"), F.lit("b  c")).alias("tags"), F.when(odd, "needs_review").otherwise("verified").alias("review_status"),
+        F.col("a")[0]["text"].alias("one_sentence_summary"), *[texts.alias(c) for c in ("content_summary", "core_points", "reusable_knowledge", "action_items")], F.transform("a", role).alias("keywords"),
+        each(step=lambda x: x["segment_id"] + 1, claim=lambda x: F.concat(role(x), F.lit("  "), number(x)), evidence=said).alias("argument_structure"), each(claim=role, evidence=said).alias("cases_and_data"),
+        each(term=role, normalized=lambda x: F.upper(role(x)), evidence=said, verdict=fixed("verified")).alias("proper_noun_review"), each(value=number, normalized=fixed("n"), evidence=said, verdict=fixed("unresolved")).alias("numeric_review"),
+        each(timestamp=lambda x: F.concat(F.lit("00:0"), x["segment_id"] % 10), explanation=said).alias("timeline_interpretation"), F.when(F.col("job_id") % 3 != 0, related).alias("related_knowledge"),
+        each(frame=named("f", ".jpg"), argument_step=lambda x: F.when(F.col("job_id") % 4 != 0, x["segment_id"] + 1), claim=role).alias("visual_evidence"), F.when(odd, texts).otherwise(none).alias("pending_review"))
 
 
 def _legacy(s, d):

@@ -128,6 +128,21 @@ EVENLY = f"""WITH o AS ({OBSERVED}), m AS (SELECT job_id, min(t) AS a, greatest(
         list_contains(p.chosen, o.i) GROUP BY o.job_id, p.k)
     SELECT o.job_id, o.frame_id, o.t FROM o JOIN (SELECT * FROM p WHERE k = 7) p ON o.job_id = p.job_id WHERE n <= 8 OR i = n OR
         list_contains(chosen, i)"""
+#: The choice among candidates in SQL, one after the other: 12 frames at most, of which 8 at even times, apart by more than 0.3 of their bits.
+CHOICE = SAMPLED.replace("\n    SELECT o.job_id, frame_id,", ", c0 AS (SELECT o.job_id, frame_id,") + f"""),
+    c1 AS (SELECT c0.*, x.b, row_number() OVER (PARTITION BY c0.job_id ORDER BY c0.t, c0.frame_id) AS i, max(c0.t) OVER (PARTITION BY c0.job_id) AS tail FROM c0 JOIN ({BITS}) x USING (job_id, frame_id)),
+    c2 AS (SELECT *, CASE job_id % 3 WHEN 0 THEN 21.0 WHEN 1 THEN 0.4 ELSE tail END AS video FROM c1),
+    c AS (SELECT *, least(12, greatest(3, least(CAST(ceil(video / least(15.0, greatest(0.2, video / 4))) AS BIGINT) + 1, 8))) AS slots FROM c2
+        JOIN (SELECT x.job_id, x.i, list(y.i) AS near FROM c1 x JOIN c1 y ON x.job_id = y.job_id WHERE len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0 <= 0.3 GROUP BY 1, 2) n USING (job_id, i)),
+    r AS (SELECT job_id, CAST(0 AS BIGINT) AS k, [arg_min(i, row(abs(t), -scene_score, i))] AS chosen FROM c GROUP BY job_id UNION ALL
+        SELECT job_id, k + 1, CASE WHEN pick IS NULL OR list_contains(chosen, pick) THEN chosen ELSE list_append(chosen, pick) END FROM
+        (SELECT r.job_id, r.k, any_value(chosen) AS chosen, CASE WHEN r.k + 1 < any_value(slots) - 1 THEN arg_min(c.i, row(abs(t - (r.k + 1) * tail / (slots - 1)), -scene_score, c.i)) FILTER (NOT list_has_any(near, chosen))
+            WHEN r.k + 1 = any_value(slots) - 1 THEN arg_min(c.i, row(abs(t - tail), -scene_score, c.i))
+            ELSE arg_min(c.i, row(-scene_score, t, c.i)) FILTER (NOT list_has_any(near, chosen) AND len(chosen) < 12) END AS pick
+        FROM r JOIN c ON r.job_id = c.job_id WHERE r.k < 30 GROUP BY r.job_id, r.k) q),
+    e AS (SELECT job_id, arg_min(i, row(abs(t - tail), -scene_score, i)) AS ending, any_value(slots) AS slots FROM c GROUP BY 1)
+    SELECT job_id, frame_id, t, CASE WHEN i = f.chosen[1] THEN 'first' WHEN i = ending THEN 'tail' WHEN list_contains(g.chosen, i) THEN 'coverage' ELSE reason END AS reason
+    FROM c JOIN e USING (job_id) JOIN (SELECT job_id, chosen FROM r WHERE k = 30) f USING (job_id) JOIN r g USING (job_id) WHERE g.k = e.slots - 1 AND list_contains(f.chosen, i)"""
 META = """SELECT job_id, CASE WHEN job_id = 7 THEN 0.0 WHEN job_id = 8 THEN 9.0 ELSE max(t) + 2 END AS duration_s, count(*) AS sampled, max(t) +
         2 AS expected_tail_s, max(t) + CAST(job_id % 5 AS DOUBLE) / 2 AS last_decodable_s, 0.5 AS tolerance_s FROM v_frames GROUP BY job_id"""
 UNITS = "SELECT doc_id AS job_id, text FROM documents"
@@ -421,8 +436,8 @@ TESTS: dict = {
         f"SELECT job_id, frame_id, scene_score FROM ({SCORED}) q",
     ),
     "K-4": (lambda s, d: frames.frame_candidates(_scored(s, d), sql(s, d, DURATIONS), threshold=0.155), SAMPLED),
-    "K-5": (lambda s, d: selection.select_frames(_candidates(s, d), sql(s, d, DURATIONS), most=12, apart=0.3).where("reason IN ('first', 'tail', 'coverage')"), None),
-    "K-6": (lambda s, d: selection.select_frames(_candidates(s, d), sql(s, d, DURATIONS), most=12, apart=0.3), None),
+    "K-5": (lambda s, d: selection.select_frames(_candidates(s, d), sql(s, d, DURATIONS), most=12, apart=0.3).where("reason IN ('first', 'tail', 'coverage')"), f"{CHOICE} AND (i = f.chosen[1] OR i = ending OR list_contains(g.chosen, i) OR reason IN ('first', 'tail', 'coverage'))"),
+    "K-6": (lambda s, d: selection.select_frames(_candidates(s, d), sql(s, d, DURATIONS), most=12, apart=0.3), CHOICE),
     "K-7": (lambda s, d: frames.nearest_distance(_signed(s, d)), f"""WITH b AS ({BITS}) SELECT x.job_id, x.frame_id, CASE WHEN count(y.t) =
         0 THEN 1.0 ELSE round(min(len(list_filter(list_zip(x.b, y.b), lambda z: z[1] <> z[2])) / 64.0), 6) END AS nearest FROM b x LEFT JOIN
         b y ON x.job_id = y.job_id AND y.t < x.t GROUP BY 1, 2"""),

@@ -35,8 +35,8 @@ SENTENCE_CUT, TRUNCATION = 4.0, 12.0
 GRID = 128
 #: Ids, at least, that are packed together; a task closes its sequences after each such block.
 BLOCK_IDS = 1 << 20
-#: Words that a worker remembers twice over, and bytes of the longest of them (at most about 50 MB).
-REMEMBERED, LONGEST = 100_000, 40
+#: Words that a worker remembers twice over, and bytes of the longest of them (at most about 20 MB).
+REMEMBERED, LONGEST = 40_000, 40
 #: Characters encoded at a time, and documents of a slice.
 WINDOW, STEP = 1 << 20, 512
 

@@ -36,7 +36,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 #: Other tokens, or what base spans leave of them, are scored if they have at least so many characters, as the shortest labelled ones have.
 TOKEN, CANDIDATE_LEAST = r"[A-Za-z0-9+/_.=-]", ASSIGN_LEAST
 #: Tokens whose verdict a worker remembers twice over, and characters of the longest of them.
-REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 50_000, 24
 #: Labelled strings of each kind, and background tokens, that the automata are fitted on at most (smallest hashes of
 #: all that have at most so many characters; longer ones are scored, not learned).
 SAMPLE, LONGEST_FITTED = 1000, 256

@@ -63,7 +63,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch that Spark hands to a Python worker, about, and of the slices that operators cut it into.
-BATCH_BYTES, SLICE_BYTES = 4 << 20, 2 << 20
+BATCH_BYTES, SLICE_BYTES = 2 << 20, 1 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

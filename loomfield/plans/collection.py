@@ -14,7 +14,7 @@ from loomfield.streaming import ingest, pages
 CONVERSATION_WORDS = "SELECT conv_id AS job_id, turn AS segment_id, CAST(length(text) % 100 AS DOUBLE) / 100 AS confidence FROM conversations"
 CHUNKS = "SELECT DISTINCT job_id, segment_id % 3 AS chunk, CAST(600 + job_id % 7 AS DOUBLE) AS duration_s, CASE WHEN segment_id % 3 < 2 THEN CAST(job_id % 10 AS DOUBLE) / 10 END AS language_probability FROM v_segments"
 CHUNKED = "SELECT job_id, segment_id % 3 AS chunk, segment_id AS i, CASE WHEN segment_id % 4 > 0 THEN start_s END AS start_s, end_s, text FROM v_segments"
-RESULTS = "SELECT job_id, segment_id % 3 AS chunk, confidence > 0.3 AS valid FROM v_segments WHERE segment_id < 3"
+RESULTS = "SELECT job_id, segment_id % 3 AS chunk, confidence > 0.3 AS valid FROM v_segments"
 SPEECH_DOCS = """SELECT job_id, job_id % 11 <> 0 AS has_audio, CASE job_id % 3 WHEN 0 THEN 'zh' WHEN 1 THEN 'yue' ELSE 'en' END AS language,
     CASE WHEN job_id % 7 = 0 THEN NULL ELSE CAST(job_id % 10 AS DOUBLE) / 10 END AS language_probability FROM v_segments WHERE segment_id =
         0"""

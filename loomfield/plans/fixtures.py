@@ -89,10 +89,10 @@ VIEWS = {
         CASE WHEN event_type IN ('error', 'view') THEN 'failed' ELSE 'completed' END AS outcome, CASE event_type WHEN 'error' THEN 'e1' WHEN
         'view' THEN 'e2' END AS error_code FROM events""",
     "v_entries": "SELECT page_id AS entry_ref, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract(url, '://([^/:?]+)', 1) AS category, url FROM pages",
-    "v_payload": """SELECT d.doc_id AS job_id, d.lang AS tag1, d.source AS tag2, d.text AS body, CASE WHEN l.quality = 1 THEN 'verified'
+    "v_payload": """SELECT d.doc_id AS job_id, d.lang AS tag1, d.source AS tag2, d.text AS body, CASE WHEN coalesce(l.quality, 1) = 1 THEN 'verified'
         ELSE 'needs_review' END AS review_status,
-        l.toxic AS unresolved_count, CASE WHEN l.doc_id % 4 = 0 THEN 0 ELSE l.toxic END AS pending_count FROM documents d JOIN labels l ON
-        d.doc_id = l.doc_id""",
+        coalesce(l.toxic, 0) AS unresolved_count, CASE WHEN d.doc_id % 4 = 0 THEN 0 ELSE coalesce(l.toxic, 0) END AS pending_count FROM documents d
+        LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 }
 
 _CALL = re.compile(r"\b(SHA|EPOCH)\(")

@@ -126,7 +126,10 @@ def _in_pairs(x: DataFrame, y: DataFrame, function, schema: str) -> DataFrame:
 def nearest_distance(frames: DataFrame) -> DataFrame:
     """job_id, frame_id, nearest: smallest Hamming ratio to an earlier frame of the job, 1 for the first.
 
-    Each pair of blocks of a job gives a minimum for each frame of the first.
+    Only the first frame of each signature is compared, with the first ones of the
+    other signatures: a later frame has a copy before it, and the nearest of a first
+    frame is as near as the first frame with that signature. Each pair of blocks of
+    a job gives a minimum for each frame of the first.
     """
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     schema = f"job_id {kinds['job_id']}, frame_id {kinds['frame_id']}, ratio double"
@@ -143,11 +146,14 @@ def nearest_distance(frames: DataFrame) -> DataFrame:
         hit = np.flatnonzero(found < largest)
         return pa.table([x["job_id"].take(hit), x["frame_id"].take(hit), pa.array(found[hit] / bits[hit])], ["job_id", "frame_id", "ratio"])
 
-    rows = _blocks(frames)
+    at = F.struct(F.col("t"), F.col("frame_id"))
+    firsts = frames.where("job_id IS NOT NULL AND signature IS NOT NULL").groupBy("job_id", "bits", "signature").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    copies = frames.join(firsts.where("n > 1"), ["job_id", "bits", "signature"]).where(at > F.col("first")).select("job_id", "frame_id", F.lit(0.0).alias("ratio"))
+    rows = _blocks(firsts.select("job_id", "bits", "signature", "first.frame_id", "first.t"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     x = rows.select("job_id", "words", F.col("own").alias("i"), every.alias("j"), "frame_id", "t", "signature", "bits")
     y = rows.select("job_id", "words", every.alias("i"), F.col("own").alias("j"), "frame_id", "t", "signature")
-    found = frames.select("job_id", "frame_id", F.lit(None).cast("double").alias("ratio")).unionByName(_in_pairs(x, y, minima, schema))
+    found = frames.select("job_id", "frame_id", F.lit(None).cast("double").alias("ratio")).unionByName(_in_pairs(x, y, minima, schema)).unionByName(copies)
     return found.groupBy("job_id", "frame_id").agg(F.coalesce(F.round(F.min("ratio"), 6), F.lit(1.0)).alias("nearest"))
 
 

@@ -1,10 +1,12 @@
 """Streaming ingest gives one result however the stream is split, and chain state equals a plain fold."""
 
+import itertools
 import json
 
 import pytest
+from pyspark.sql import Row
 
-from loomfield.streaming.ingest import ingest_pages_stream
+from loomfield.streaming.ingest import FirstDelivery, FirstSight, ingest_pages_stream
 from loomfield.streaming.pages import chain_outcome, chain_state_stream
 
 SCHEMA = "snapshot_id string, page_seq long, page_cursor string, next_cursor string, has_more boolean, items array<string>"
@@ -22,7 +24,53 @@ def put(folder, name, pages):
     (folder / name).write_text("\n".join(json.dumps(dict(zip(COLUMNS, p, strict=False))) for p in pages))
 
 
-@pytest.mark.parametrize("cuts", [[], [1, 2, 3, 4, 5, 6], [4], [1, 5]])
+class Held:
+    """The state of one key, and a handle to it."""
+
+    def __init__(self):
+        self.value = None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def by_key(rows, key, processor, states):
+    """What a processor yields for the rows of a batch, group by group, with the states of its keys."""
+    groups = {}
+    for r in rows:
+        groups.setdefault(key(r), []).append(r)
+    for k, own in groups.items():
+        p = processor()
+        p.init(states.setdefault(k, Held()))
+        yield from p.handleInputRows(k, iter(own), None)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_processors_give_one_result_for_every_split(order):
+    """All 64 ways to deal the deliveries to batches; within a batch they may come in any order."""
+    given = [Row(**dict(zip([*COLUMNS[:-1], "items_"], d, strict=True))) for d in DELIVERIES if d[0]]
+    for cuts in itertools.product([False, True], repeat=len(given) - 1):
+        batches, first, seen, out, items = [[given[0]]], {}, {}, [], []
+        for cut, r in zip(cuts, given[1:], strict=True):
+            batches += [[]] if cut else []
+            batches[-1].append(r)
+        for batch in batches:
+            log = list(by_key(batch[::order], lambda r: (r.snapshot_id, r.page_cursor), FirstDelivery, first))
+            fresh = list(by_key(log, lambda r: (r.snapshot_id, r.item_id or r.page_cursor, r.kind == "item"), FirstSight, seen))
+            out += [(r.kind, r.snapshot_id, r.page_cursor, r.next_cursor, r.has_more, r.page_seq) for r in fresh if r.kind != "item"]
+            items += sorted((r.snapshot_id, r.page_seq, r.place, r.item_id) for r in fresh if r.kind == "item")
+        assert sorted(r[1:] for r in out if r[0] == "page") == PAGES and [r[1:] for r in out if r[0] == "conflict"] == CONFLICTS
+        places = [(s, x, n) for s in "st" for n, x in enumerate([x for t, _, _, x in items if t == s], 1)]
+        assert places == ITEMS
+
+
+@pytest.mark.parametrize("cuts", [[], [3, 5]])
 def test_one_result_for_every_split(spark, tmp_path, cuts):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()

@@ -537,7 +537,7 @@ TESTS: dict = {
         """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'short' ELSE replace(text, chr(10), ' ') END AS s, CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 0 END + CASE WHEN doc_id % 3 =
         0 THEN 5 ELSE 8 END AS h FROM documents)
         SELECT doc_id AS job_id, 'short_section' AS code, 'Summary' AS path FROM t WHERE length(trim(s)) < 8 UNION ALL SELECT doc_id,
-        'short_body', '' FROM t WHERE h + length(s) + 38 < 600 UNION ALL SELECT doc_id, 'title_mismatch', 'title' FROM t WHERE doc_id % 3 = 0""",
+        'short_body', '' FROM t WHERE h + length(s) + 37 < 600 UNION ALL SELECT doc_id, 'title_mismatch', 'title' FROM t WHERE doc_id % 3 = 0""",
     ),
     "Q-12": (
         lambda s, d: quality.unreviewed_numbers(sql(s, d, NUMBERED), sql(s, d, REVIEWED)).select("job_id", F.array_join(F.array_sort("numbers"), ",").alias("numbers")),

@@ -6,9 +6,12 @@ per subspace. Codewords and codes minimise |r|^2 + (eta - 1) (r.u)^2, where r is
 the residual and u the direction of x: error parallel to x changes large inner
 products most and is penalised. Equal vectors are one row of the index with the smallest
 of their ids. A query makes a table of 16 entries per subspace; tasks add table
-entries over all rows and keep each query's leaders; the leaders of the whole table,
-with all that tie with the last one, are ranked again by the exact distance on the
-original vectors. So the result does not depend on how rows are dealt to tasks.
+entries over all rows. The exact distances, on the original vectors, of a query's
+leaders by code give the farthest that a row may lie to count. The code of a row tells
+its distance but for |r| at most, so it excludes the rows that are farther for certain;
+all others are compared exactly too. So no row is missed, however badly the codebooks
+fit (narrow clusters, far outliers), and the result does not depend on how rows are
+dealt to tasks. Poor codes cost time: they exclude fewer rows.
 """
 
 from __future__ import annotations
@@ -29,12 +32,16 @@ TRAIN_ROWS = 16_384
 WIDTH = 1
 #: Weight of parallel error follows from this threshold on the cosine.
 COSINE = 0.2
-#: Rows of the whole table, at least, that are ranked again exactly for a query.
-RERANK = 200
-#: Bytes of the queries that one job searches for; queries scored at a time, and pairs whose exact distance is taken at a time.
-QUERY_BYTES, STEP, PAIRS = 2 << 20, 128, 65_536
+#: Leaders of a batch by code whose exact distances bound a query's search; rows that a task gives for a query, and all that tie with the last one.
+RERANK, MOST = 200, 11
+#: Bytes of the queries that one job searches for; queries scored at a time, and bytes of the pairs whose exact distance is taken at a time.
+QUERY_BYTES, STEP, PAIR_BYTES = 2 << 20, 128, 16 << 20
+#: Relative error of a sum in single precision, for each of its terms, and of one in double precision; both amply.
+SINGLE, DOUBLE = 2.0**-22, 1e-12
+#: Error of a product too small for single precision, amply.
+TINY = 1e-37
 
-SCHEMA = "query_id long, key long, near double, score double"
+SCHEMA = "query_id long, key long, score double"
 
 
 def _padded(x: np.ndarray, width: int) -> np.ndarray:
@@ -135,51 +142,73 @@ def leading(query: np.ndarray, near: np.ndarray, most: int) -> np.ndarray:
     return order[v >= v[last]]
 
 
-def _searcher(block, books, dim: int, rerank: int):
-    """A task that emits its rows that lead a query by their codes, with that value and the exact distance."""
+def _searcher(block, books, dim: int, rerank: int, most: int = MOST):
+    """A task that emits each query's ``most`` nearest of its rows, with the exact distance, and all that tie with the last one."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = block.value
-        tables = np.einsum("qmw,mcw->mqc", _padded(q, WIDTH), books).astype(np.float32)
+        centre = books.mean(1)  # distances stay as they are when all vectors move, and sums are the more precise
+        moved, centred = _padded(q, WIDTH) - centre, books - centre[:, None]
+        tables = np.einsum("qmw,mcw->mqc", moved, centred).astype(np.float32)
         tables = np.pad(tables, ((0, len(tables) % 2), (0, 0), (0, 0)))
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0)]
-        cut = np.full(len(q), -np.inf, np.float32)
+        long = (moved * moved).sum((1, 2))
+        pairs = max(1, PAIR_BYTES // (8 * dim))
+        starts = range(0, len(q), STEP)
+        held = {at: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] for at in starts}
+        cut = np.full(len(q), np.inf)
+
+        def compare(at: int, chosen: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+            """Take the exact distances of chosen pairs, keep each query's nearest, and lower its cut."""
+            every, place = np.nonzero(chosen)
+            for some in range(0, len(every), pairs):
+                qi, ci = every[some : some + pairs] + at, place[some : some + pairs]
+                exact = np.sqrt(((q[qi] - x[ci]) ** 2).sum(1))
+                near = np.flatnonzero(~(exact > cut[qi]))
+                found = [np.r_[h, n] for h, n in zip(held[at], (qi[near], ids[ci[near]], exact[near]), strict=True)]
+                keep = leading(found[0], -found[2], most)
+                held[at] = [f[keep] for f in found]
+                who, n = np.unique(held[at][0], return_counts=True)
+                cut[who[n >= most]] = held[at][2][(np.cumsum(n) - 1)[n >= most]]
+
         for b in batches:
             if not b.num_rows:
                 continue
             ids, x = dense(b.column(0), b.column(1), dim)
             packed = np.ascontiguousarray(np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(x), -1).T)
-            half = b.column(3).to_numpy().astype(np.float32)
-            for at in range(0, len(q), STEP):
-                near = -np.broadcast_to(half, (len(q[at : at + STEP]), len(x))).copy()
+            codes = np.stack([packed & 15, packed >> 4], 1).reshape(-1, len(x))[: len(books)]
+            decoded = centred[np.arange(len(books))[:, None], codes]
+            own = (_padded(x, WIDTH) - centre).transpose(1, 0, 2)
+            off, length, half = np.sqrt(((own - decoded) ** 2).sum((0, 2))), (decoded**2).sum((0, 2)), (own * own).sum((0, 2)) / 2
+            for at in starts:
+                dot = np.zeros((len(q[at : at + STEP]), len(x)), np.float32)
                 for m, pair in enumerate(packed):  # two codes in a byte, and a table of both
-                    own = tables[2 * m : 2 * m + 2, at : at + STEP]
-                    near += (own[1][:, :, None] + own[0][:, None, :]).reshape(len(near), 256)[:, pair]
+                    two = tables[2 * m : 2 * m + 2, at : at + STEP]
+                    dot += (two[1][:, :, None] + two[0][:, None, :]).reshape(len(dot), 256)[:, pair]
+                size = long[at : at + STEP, None]
+                # the least that the square of the distance from the query to the decoded row can be
+                least = size + length - 2.0 * dot - (len(packed) + 4) * (SINGLE * np.sqrt(size) * np.sqrt(length) + TINY) - DOUBLE * (size + length)
+                least[~np.isfinite(dot)] = -np.inf
+
+                def possible(at: int = at, least: np.ndarray = least) -> np.ndarray:
+                    return ~(least > ((cut[at : at + STEP, None] + off) * (1 + DOUBLE)) ** 2)
+
+                near = dot - half
                 last = len(x) - min(rerank, len(x))
-                least = np.maximum(np.partition(near, last, axis=1)[:, last], cut[at : at + STEP])
-                leaders = np.nonzero(near >= least[:, None])
-                for some in range(0, len(leaders[0]), PAIRS):
-                    qi, ci = leaders[0][some : some + PAIRS], leaders[1][some : some + PAIRS]
-                    exact = np.sqrt(((q[qi + at] - x[ci]) ** 2).sum(1))
-                    held = [np.r_[h, n] for h, n in zip(held, (qi + at, ids[ci], near[qi, ci], exact), strict=True)]
-            keep = leading(held[0], held[2], rerank)
-            held = [h[keep] for h in held]
-            who, n = np.unique(held[0], return_counts=True)
-            full, ends = n >= rerank, np.cumsum(n) - 1
-            cut[who[full]] = held[2][ends[full]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(qid[held[0]], pa.int64()), pa.array(held[1], pa.int64()), pa.array(held[2].astype(np.float64)), pa.array(held[3])], ["query_id", "key", "near", "score"]
-        )
+                leaders = possible() & (near >= np.partition(near, last, axis=1)[:, last, None])
+                compare(at, leaders, ids, x)
+                compare(at, possible() & ~leaders, ids, x)
+        found = [np.concatenate(c) for c in zip(*held.values(), strict=True)] if len(q) else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(qid[found[0]], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2])], ["query_id", "key", "score"])
 
     return search
 
 
 def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found for each query, by Euclidean distance.
+    """query_id, rank, vec_id, score: the k nearest rows of each query, by Euclidean distance.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates all
     rows with another vec_id. The distance is exact (double) on the original
-    vectors. Defined cases: rows with a null id, a null or zero vector or a null,
+    vectors. ``rerank`` changes the cost only. Defined cases: rows with a null id, a null or zero vector or a null,
     NaN or infinite component take no part; shorter vectors count as padded with
     zeros; ties go to the smaller vec_id; of rows that repeat an id the nearest
     counts, and as a query the smallest vector; with fewer candidates than k all
@@ -194,10 +223,9 @@ def nearest_neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, rer
     of_query = Window.partitionBy("query_id")
 
     def search(block) -> DataFrame:
-        found = indexed.mapInArrow(_searcher(block, books, dim, rerank), SCHEMA)
-        led = found.withColumn("place", F.rank().over(of_query.orderBy(F.desc("near")))).where(F.col("place") <= rerank)
         # a vector stands for up to k + 1 ids, of which one can be the query's own
-        return led.withColumn("place", F.rank().over(of_query.orderBy("score"))).where(F.col("place") <= k + 1).select("query_id", "key", "score")
+        found = indexed.mapInArrow(_searcher(block, books, dim, rerank, k + 1), SCHEMA)
+        return found.withColumn("place", F.rank().over(of_query.orderBy("score"))).where(F.col("place") <= k + 1).select("query_id", "key", "score")
 
     found = search_blocks(spark, query_blocks(vectors, every, dim, QUERY_BYTES), search, "leaders")
     if found is None:

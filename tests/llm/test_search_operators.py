@@ -110,6 +110,29 @@ def test_neighbours_recall_and_scores(spark):
     assert hits >= 0.9 * total and ann.nearest_neighbours(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["narrow clusters", "far from the origin", "outliers", "many scales"])
+def test_neighbours_are_the_nearest_where_codes_tell_little(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2400, 12))
+    if kind == "narrow clusters":  # 3 clusters of 800: more rows than leaders share the codes of a cluster
+        x = rng.normal(size=(3, 12))[np.arange(2400) % 3] + 1e-4 * x
+    elif kind == "far from the origin":
+        x += 1e5
+    elif kind == "outliers":
+        x[::40] *= 1e6
+    else:
+        x *= 10.0 ** rng.integers(-6, 3, (2400, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {}
+    for r in ann.nearest_neighbours(df, every=60, rerank=20).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    for q in range(0, 2400, 60):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(2400), far)) if i != q][:10]
+        assert sorted(found[q]) == list(enumerate(want, 1))
+
+
 def test_neighbours_of_a_very_common_vector(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(3000)]

@@ -26,7 +26,7 @@ their folded sketches allow a link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -284,13 +284,13 @@ def _filter_of(ids: DataFrame, bits: int) -> np.ndarray:
     return words
 
 
-def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """text of the documents with the given ids, and of a few others: through a filter in each task, or a join if there are too many ids."""
+def _texts_of(documents: DataFrame, ids: DataFrame) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """Rows, and what a task does first to have text of the documents with the given ids and of a few others: a filter, or nothing after a join if there are too many ids."""
     documents = documents.where("doc_id IS NOT NULL")
     n = ids.count()
     bits = max(1 << 16, 1 << (FILTER_SHARE * n).bit_length())
     if bits > FILTER_MOST:
-        return documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("text")
+        return documents.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("text"), iter
     words = documents.sparkSession.sparkContext.broadcast(_filter_of(ids, bits))
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,21 +302,22 @@ def _texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
             yield b.filter(pa.array(there)).select(["text"])
 
     places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(bits)).alias(f"p{i}") for i in range(2)]
-    return documents.select(*places, "text").mapInArrow(chosen, "text string")
+    return documents.select(*places, "text"), chosen
 
 
 def _sets_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """v, fold, sketch, shingles of the documents with the given ids (and of a few others), once for each vertex."""
+    rows, chosen = _texts_of(documents, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches):
+        for _, sets in _sets(chosen(batches)):  # in one function, as each task has a Python worker for each of a chain
             columns = [
                 _long([identity(s)[0] for s in sets]), pa.array([folded_sketch(s) for s in sets], pa.binary()),
                 pa.array([dense_sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["v", "fold", "sketch", "shingles"])
 
-    found = _texts_of(documents, ids).mapInArrow(tidy(run), "v long, fold binary, sketch binary, shingles binary")
+    found = rows.mapInArrow(tidy(run), "v long, fold binary, sketch binary, shingles binary")
     return materialise(found.dropDuplicates(["v"]), "sets", True)
 
 
@@ -347,8 +348,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield result(b, common, True)
 
     schema = "a long, b long, na long, nb long, linked boolean, low double, high double"
-    possible = materialise(attach(pairs, "sketch").mapInArrow(by_sketch, schema), "sketched", True)
-    exact = attach(possible.where("linked").select("a", "b", "na", "nb"), "shingles").mapInArrow(by_set, schema)
+    possible = materialise(attach(pairs, "sketch").mapInArrow(tidy(by_sketch), schema), "sketched", True)
+    exact = attach(possible.where("linked").select("a", "b", "na", "nb"), "shingles").mapInArrow(tidy(by_set), schema)
     return materialise(exact.union(possible.where("NOT linked")), "verified", True)
 
 

@@ -184,6 +184,20 @@ def test_anisotropic_codes_weigh_parallel_error():
     assert codes.max() < 16 and loss[4.0] < loss[1.0]
 
 
+@pytest.mark.parametrize("most", [jaccard.FILTER_MOST, 0])
+def test_texts_hashed_again_take_one_worker_of_a_task(spark, monkeypatch, most):
+    """Each Python function of a chain has a worker of its own in every task, which lives on."""
+    docs = spark.createDataFrame([(i, f"a b c d e f {i}") for i in range(50)], "doc_id long, text string")
+    ids = docs.where("doc_id < 3").select(F.col("doc_id").alias("id"))
+    monkeypatch.setattr(jaccard, "FILTER_MOST", most)
+    monkeypatch.setattr(jaccard, "materialise", lambda df, *_: df)
+    found = jaccard._sets_of(docs, ids)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert {jaccard.identity(s)[0] for _, own in jaccard._sets(ids.join(docs, ids.id == docs.doc_id).select("text").toArrow().to_batches()) for s in own} <= {r.v for r in found.collect()}
+    assert 3 <= found.count() < 10
+
+
 def sets_of(texts):
     out = {}
     for i, t in texts:

@@ -62,6 +62,34 @@ def test_chunks_follow_next_fit(spark):
         assert rows(evidence.pack_chunks(df, budget), "job_id", "chunk", "chunks", "first", "last", "bytes", "sha256", "error") == sorted(want, key=repr)
 
 
+@pytest.fixture
+def late_broadcasts(spark):
+    """Joins are planned as sort-merge joins; those with a side of at most 16 KB turn into broadcasts once sizes are known, and small partitions stay apart."""
+    new = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "16KB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n, None) for n in new}
+    for n, value in new.items():
+        spark.conf.set(n, value)
+    yield
+    for n, value in before.items():
+        spark.conf.unset(n) if value is None else spark.conf.set(n, value)
+
+
+def test_chunks_of_jobs_after_a_late_broadcast(spark, late_broadcasts):
+    data = [(job, i, "x" * (7 * i * job % 90)) for job in range(20) for i in range(1, 40)]
+    df = spark.createDataFrame(data, "job_id long, i long, text string").repartition(5)
+    want = []
+    for job in range(20):
+        chunks = []
+        for _, i, t in data[39 * job : 39 * job + 39]:
+            record = f'{{"text":"{t}"}}'
+            if chunks and len(json_chunk(job, len(chunks), 39, [*chunks[-1][1], record])) <= 400:
+                chunks[-1][1].append(record)
+            else:
+                chunks.append((i, [record]))
+        want += [(job, k, len(chunks), i, len(own), len(json_chunk(job, k, len(chunks), own))) for k, (i, own) in enumerate(chunks, 1)]
+    assert rows(evidence.pack_chunks(df, 400), "job_id", "chunk", "chunks", "first", "records", "bytes") == sorted(want, key=repr)
+
+
 def json_chunk(job, index, count, records):
     return f'{{"job_ref":"{job}","chunk_index":{index},"chunk_count":{count},"records":[{",".join(records)}]}}\n'
 

@@ -90,6 +90,14 @@ def test_chunks_of_jobs_after_a_late_broadcast(spark, late_broadcasts):
     assert rows(evidence.pack_chunks(df, 400), "job_id", "chunk", "chunks", "first", "records", "bytes") == sorted(want, key=repr)
 
 
+def test_bundles_of_jobs_after_a_late_broadcast(spark, late_broadcasts):
+    data = [(job, i, "x" * (7 * i * job % 90)) for job in range(20) for i in range(1, 40)]
+    df = spark.createDataFrame(data, "job_id long, i long, text string").repartition(5)
+    fit = evidence.pack_chunks(df, 400)  # no record is too long for a chunk
+    got = rows(evidence.bundle_manifest(fit, df.select("job_id", F.col("i").alias("frame_id")).where("job_id < 19")), "job_id", "records", "complete")
+    assert got == sorted([(job, 39, job < 19) for job in range(20)], key=repr)
+
+
 def json_chunk(job, index, count, records):
     return f'{{"job_ref":"{job}","chunk_index":{index},"chunk_count":{count},"records":[{",".join(records)}]}}\n'
 

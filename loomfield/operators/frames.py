@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from loomfield.operators.ranks import written
+
 #: Frames, about, of a block; a task compares two blocks of a job at a time.
 BLOCK = 1024
 
@@ -244,6 +246,11 @@ def near_duplicate_frames(frames: DataFrame, ratio: float) -> DataFrame:
         pairs = a.join(b, ["job_id", "bits", "strip"]).where("a < b").dropDuplicates(["job_id", "a", "b"])
         found = hamming_ratio(F.col("sa"), F.col("sb"), F.col("bits"))
         return pairs.select("job_id", "a", "b", F.round(found, 6).alias("ratio")).where(F.col("ratio") <= ratio)
+    return _near_in_blocks(frames, ratio)
+
+
+def _near_in_blocks(frames: DataFrame, ratio: float) -> DataFrame:
+    """``near_duplicate_frames`` by comparing all frames of a job, two blocks at a time."""
     kinds = {f.name: f.dataType.simpleString() for f in frames.schema}
     schema = f"job_id {kinds['job_id']}, a {kinds['frame_id']}, b {kinds['frame_id']}, ratio double"
 
@@ -269,6 +276,8 @@ def near_duplicate_frames(frames: DataFrame, ratio: float) -> DataFrame:
 MOST_FLIPS, CUTS = 4096, (1, 2, 4, 8)
 #: Share of the classes that a look-up may meet before comparing all of them in blocks costs less.
 WORTH = 0.25
+#: Comparisons in blocks that cost as much as a row of the join by strips.
+ROW_COST = 130
 
 
 def flips(width: int, radius: int) -> list[int]:
@@ -291,6 +300,13 @@ def strip_plan(words: int, most: int) -> tuple[int, int] | None:
     return best and best[1:]
 
 
+def strips_pay(words: int, plan: tuple[int, int], classes: float, squares: float) -> bool:
+    """Whether meeting by a ``strip_plan`` costs less than comparing all in blocks; squares: of the numbers of classes of each job, summed."""
+    cuts, radius = plan
+    looked_up = words * cuts * sum(math.comb(64 // cuts, i) for i in range(radius + 1))
+    return ROW_COST * (looked_up * classes + looked_up / 2 ** (64 // cuts) * squares) < squares / 2
+
+
 def _strips(signature: Column, words: int, cuts: int) -> Column:
     """Rows i, v: the strips of a signature."""
     width = 64 // cuts
@@ -306,24 +322,26 @@ def near_duplicate_classes(frames: DataFrame, ratio: float) -> tuple[DataFrame,
     links: job_id, a, b (classes, a < b), ratio of those whose signatures differ in at
     most that share of the bits. Copies are one class, so what is compared and
     returned does not grow with them. Signatures meet where a strip of theirs is the
-    same but for a few bits (``strip_plan``); where the ratio is too large for
-    that, all classes of a job are compared in blocks. Frames without job, id or
+    same but for a few bits (``strip_plan``); where the ratio is too large or the jobs
+    are too small for that to pay, all classes of a job are compared in blocks. Frames without job, id or
     signature are left out; signatures of different lengths are never linked.
     """
-    good = frames.where("job_id IS NOT NULL AND frame_id IS NOT NULL AND signature IS NOT NULL")
+    good = written(frames.where("job_id IS NOT NULL AND frame_id IS NOT NULL AND signature IS NOT NULL").select("job_id", "frame_id", "signature", "bits"))
     classes = good.groupBy("job_id", "bits", "signature").agg(F.min("frame_id").alias("class_id"))
     members = good.join(classes, ["job_id", "bits", "signature"]).select("job_id", "frame_id", "class_id")
-    shape = good.agg(F.max("bits"), F.max(F.size("signature"))).first()
+    jobs = classes.groupBy("job_id", "bits").agg(F.max(F.size("signature")).alias("words"), F.count(F.lit(1)).cast("double").alias("n"))
+    shape = jobs.agg(F.max("bits"), F.max("words"), F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
     bits, words = shape[0] or 0, shape[1] or 1
     plan = strip_plan(words, int(bits * (ratio + 1e-6)))
-    if plan is None:
-        return members, near_duplicate_frames(classes.select("job_id", F.col("class_id").alias("frame_id"), "signature", "bits"), ratio)
+    if plan is None or not strips_pay(words, plan, shape[2] or 0, shape[3] or 0):
+        return members, _near_in_blocks(classes.select("job_id", F.col("class_id").alias("frame_id"), "signature", "bits"), ratio)
     cuts, radius = plan
     side = lambda n: classes.select("job_id", "bits", F.col("class_id").alias(n), F.col("signature").alias(f"s{n}"), _strips(F.col("signature"), words, cuts).alias("strip"))
     a, b = side("a").select("*", "strip.i", "strip.v"), side("b").select("*", "strip.i", F.col("strip.v").alias("own"))
     b = b.withColumn("v", F.explode(F.array(*[F.col("own").bitwiseXOR(F.lit(m)) for m in _signed(flips(64 // cuts, radius))])))
     found = F.round(hamming_ratio(F.col("sa"), F.col("sb"), F.col("bits")), 6)
-    pairs = a.drop("strip").join(b.drop("strip", "own"), ["job_id", "bits", "i", "v"]).where("a < b").withColumn("ratio", found).where(F.col("ratio") <= ratio)
+    # Spark's estimate leaves out what the flips multiply, so it would broadcast them
+    pairs = a.drop("strip").join(b.drop("strip", "own").hint("merge"), ["job_id", "bits", "i", "v"]).where("a < b").withColumn("ratio", found).where(F.col("ratio") <= ratio)
     return members, pairs.select("job_id", "a", "b", "ratio").dropDuplicates(["job_id", "a", "b"])
 
 

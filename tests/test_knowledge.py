@@ -282,6 +282,19 @@ def test_classes_and_links_expand_to_all_pairs(spark, bits, ratio):
     assert (frames.strip_plan(-(-bits // 64), int(bits * ratio)) is None) == (ratio == 0.45)
 
 
+@pytest.mark.parametrize("cost", [0, 130])
+def test_links_of_classes_broadcast_no_flips(spark, monkeypatch, cost):
+    monkeypatch.setattr(frames, "ROW_COST", cost, raising=False)
+    mask = F.expr("shiftleft(1L, CAST(6 * (id DIV 30) AS INT)) - 1")  # 0, 6, 12 or 18 bits of one of 30 signatures
+    df = spark.range(120).select(F.lit(1).cast("long").alias("job_id"), F.col("id").alias("frame_id"), F.array(F.xxhash64(F.col("id") % 30).bitwiseXOR(mask)).alias("signature"), F.lit(64).alias("bits"))
+    _, links = frames.near_duplicate_classes(df, 0.2)
+    plan = links._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan if cost else "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    kept = {r.frame_id: r.signature[0] & (1 << 64) - 1 for r in df.collect()}
+    want = [(1, a, b, round((x ^ y).bit_count() / 64, 6)) for a, x in kept.items() for b, y in kept.items() if a < b and (x ^ y).bit_count() <= 12]
+    assert rows(links, "job_id", "a", "b", "ratio") == sorted(want, key=repr) and len(want) >= 150
+
+
 def test_any_top_heading_may_be_the_title(spark):
     docs = spark.createDataFrame([(1, "A\\E(b", "# x\n#  A\\E(b \ntext"), (2, "A", "# AB"), (3, "A", "## A"), (4, "A", "#\n\nA")], "job_id long, title string, text string")
     assert rows(quality.section_violations(docs, [], body=0), "job_id", "code") == [(2, "title_mismatch"), (3, "title_mismatch")]

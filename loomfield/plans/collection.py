@@ -200,10 +200,10 @@ CONTENTS = """SELECT doc_id, unhex(CASE doc_id % 7 WHEN 0 THEN '0000001866747970
 
 
 def _written_media(s, d, ending):
-    """The folder of the files, written from rows of 1,000 bytes."""
+    """The folder of the files, written from rows of 1,000 bytes; a folder in it has 1,000 numbers."""
     root = files.shared_folder(s)
-    cut = _contents(s, d).select(F.concat("doc_id", F.lit("."), F.expr(ending)).alias("name"), "content", F.explode(F.expr("sequence(0, length DIV 1000)")).alias("part"))
-    media_files.write_files(cut.select("name", "part", F.expr("substring(content, part * 1000 + 1, 1000)").alias("content")), root)
+    cut = _contents(s, d).select(F.concat(F.expr("doc_id DIV 1000"), F.lit("/"), "doc_id", F.lit("."), F.expr(ending)).alias("name"), "content", F.explode(F.expr("sequence(0, length DIV 1000)")).alias("part"))
+    media_files.write_files(cut.select("name", "part", F.expr("substring(content, part * 1000 + 1, 1000)").alias("content")), root, together=True)
     return root
 
 

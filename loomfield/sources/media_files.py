@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -13,73 +14,56 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from loomfield.operators.ranks import written
+
 #: The extensions of media files.
 MEDIA = ["mp4", "mov", "mkv", "webm", "flv"]
 #: Bytes of a range, those that it shares with the next one, those read by a task about, and those hashed at a time.
 RANGE, OVERLAP, TASK, PIECE = 8 << 20, 19, 64 << 20, 1 << 20
-#: Files of a task at most.
-TASK_FILES = 1000
+#: Files and folders of a task, about.
+TASK_FILES, TASK_FOLDERS = 1000, 16
+LISTED = "media_path string, size_bytes long, modified_ns long, folder boolean"
 RANGES = "media_path string, size_bytes long, modified_ns long, offset long, content binary"
 INVENTORY = "media_path string, size_bytes long, modified_ns long, content_hash string"
 
 
 class Found(NamedTuple):
-    """A range of a file."""
+    """A file."""
 
     path: str
     size: int
     modified_ns: int
-    start: int
-    length: int
 
 
-class Ranges(InputPartition):
+class Files(InputPartition):
     def __init__(self, found: list[Found]):
         super().__init__(0)
         self.found = found
 
 
-def _tasks(root: str, endings: Sequence[str], step: int) -> list[Ranges]:
-    """The ranges of ``step`` bytes (0: whole files) of all media files under a folder, in tasks of about equal size."""
+def _tasks(root: str, endings: Sequence[str]) -> list[Files]:
+    """All media files under a folder, in tasks of about equal size."""
     system, top = fs.FileSystem.from_uri(root)
     tasks, held, files = [], 0, 0
     for info in sorted(system.get_file_info(fs.FileSelector(top, recursive=True)), key=lambda i: i.path):
         if info.type != fs.FileType.File or info.extension.lower() not in endings:
             continue
-        size, at = info.size, 0
-        while at == 0 or at < size:
-            length = min(step, size - at) if step else size
-            if not tasks or held + length > TASK or files >= TASK_FILES:
-                tasks.append(Ranges([]))
-                held, files = 0, 0
-            tasks[-1].found.append(Found(info.path, size, info.mtime_ns, at, length))
-            held, files, at = held + length, files + 1, at + max(1, length)
-    return tasks or [Ranges([])]
-
-
-class RangeReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root, self.endings = options["path"], options.get("endings", ",".join(MEDIA)).split(",")
-        self.step, self.overlap = int(options.get("range", RANGE)), int(options.get("overlap", OVERLAP))
-
-    def partitions(self) -> Sequence[InputPartition]:
-        return _tasks(self.root, self.endings, self.step)
+        if not tasks or held + info.size > TASK or files >= TASK_FILES:
+            tasks.append(Files([]))
+            held, files = 0, 0
+        tasks[-1].found.append(Found(info.path, info.size, info.mtime_ns))
+        held, files = held + info.size, files + 1
+    return tasks or [Files([])]
 
-    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        system, _ = fs.FileSystem.from_uri(self.root)
-        names = [f.split()[0] for f in RANGES.split(", ")]
-        for f in partition.found:
-            with system.open_input_file(f.path) as file:
-                content = file.read_at(f.length + self.overlap, f.start) if f.size else b""
-            columns = [[f.path], [f.size], [f.modified_ns], [f.start], [content]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()], strict=True)], names)
 
+class InventoryReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.root, self.endings = options["path"], options.get("endings", ",".join(MEDIA)).split(",")
 
-class InventoryReader(RangeReader):
     def partitions(self) -> Sequence[InputPartition]:
-        return _tasks(self.root, self.endings, 0)
+        return _tasks(self.root, self.endings)
 
-    def read(self, partition: Ranges) -> Iterator[Row]:
+    def read(self, partition: Files) -> Iterator[Row]:
         system, _ = fs.FileSystem.from_uri(self.root)
         for f in partition.found:
             digest = hashlib.sha256()
@@ -116,21 +100,7 @@ class FileWriter(DataSourceWriter):
         return WriterCommitMessage()
 
 
-class MediaRanges(DataSource):
-    """``media_ranges``: rows of RANGES; a range also has the first bytes of the next one."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "media_ranges"
-
-    def schema(self) -> str:
-        return RANGES
-
-    def reader(self, schema) -> DataSourceReader:
-        return RangeReader(self.options)
-
-
-class MediaInventory(MediaRanges):
+class MediaInventory(DataSource):
     """``media_inventory``: a row of INVENTORY for each file, hashed piece by piece."""
 
     @classmethod
@@ -155,28 +125,79 @@ class MediaFiles(DataSource):
         return FileWriter(self.options)
 
 
-def _load(spark: SparkSession, source: type[DataSource], root: str, **options: int) -> DataFrame:
-    spark.dataSource.register(source)
-    return spark.read.format(source.name()).options(**{k: str(v) for k, v in options.items()}).load(root)
-
-
 def scan_media(spark: SparkSession, root: str) -> DataFrame:
     """media_path, size_bytes, modified_ns, content_hash of the media files under a folder; endings in either case.
 
     A file is hashed by one task, piece by piece, so no row or worker holds it whole.
     """
-    return _load(spark, MediaInventory, root)
+    spark.dataSource.register(MediaInventory)
+    return spark.read.format(MediaInventory.name()).load(root)
 
 
-def read_ranges(spark: SparkSession, root: str, step: int = RANGE, overlap: int = OVERLAP) -> DataFrame:
-    """The media files under a folder as rows of at most ``step`` bytes and ``overlap`` more; an empty file is one row."""
-    return _load(spark, MediaRanges, root, range=step, overlap=overlap)
+def list_media(spark: SparkSession, root: str, endings: Sequence[str] = MEDIA) -> DataFrame:
+    """media_path, size_bytes, modified_ns of the media files under a folder; endings in either case.
+
+    Tasks list the folders of a level, each by one task, and write what they find, so
+    the driver sees no file. The levels run when this is called.
+    """
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
+        for folder in (f for b in batches for f in b.column(0).to_pylist()):
+            found = [i for i in system.get_file_info(fs.FileSelector(folder)) if i.type == fs.FileType.Directory or i.type == fs.FileType.File and i.extension.lower() in endings]
+            for at in range(0, len(found), 4096):
+                rows = [(i.path, i.size or 0, i.mtime_ns or 0, i.type == fs.FileType.Directory) for i in found[at : at + 4096]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["media_path", "size_bytes", "modified_ns", "folder"])
 
+    folders, levels, n = spark.createDataFrame([(fs.FileSystem.from_uri(root)[1],)], "media_path string"), [], 1
+    while n:
+        dealt = folders.repartition(-(-n // TASK_FOLDERS), "media_path")
+        level = written(dealt.mapInArrow(look, LISTED))
+        levels.append(level.where("NOT folder").drop("folder"))
+        folders = level.where("folder").select("media_path")
+        n = folders.count()
+    return reduce(DataFrame.union, levels)
 
-def write_files(chunks: DataFrame, root: str) -> None:
-    """Write rows (name, part, content) as files; the parts of a name stream through one task in their order."""
+
+def read_ranges(spark: SparkSession, root: str, step: int = RANGE, overlap: int = OVERLAP) -> DataFrame:
+    """RANGES of the media files under a folder: rows of at most ``step`` bytes and ``overlap`` more; an empty file is one row.
+
+    Files, and stretches of long ones, are dealt over tasks, which cut them into their ranges.
+    """
+    files, stretch = list_media(spark, root), max(1, TASK // step) * step
+    size, number = files.agg(F.sum("size_bytes"), F.count(F.lit(1))).first()
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size_bytes") - 1, F.lit(0)), F.lit(stretch).cast("long"))
+    dealt = files.withColumn("start", F.explode(starts)).repartition(max(1, -(-(size or 0) // TASK), -(-number // TASK_FILES)), "media_path", "start")
+    names = [f.split()[0] for f in RANGES.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = fs.FileSystem.from_uri(root)
+        rows, held = [], 0
+        for path, size, modified_ns, start in (r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)):
+            with system.open_input_file(path) as file:
+                for at in range(start, max(1, min(start + stretch, size)), step):
+                    content = file.read_at(min(step, size - at) + overlap, at) if size else b""
+                    rows.append((path, size, modified_ns, at, content))
+                    held += len(content)
+                    if held >= PIECE or len(rows) >= 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return dealt.mapInArrow(read, RANGES)
+
+
+def write_files(chunks: DataFrame, root: str, together: bool = False) -> None:
+    """Write rows (name, part, content) as files; the parts of a name stream through one task in their order.
+
+    together: they come one after another already, as when each name's parts are made of one row.
+    """
     chunks.sparkSession.dataSource.register(MediaFiles)
-    rows = chunks.select("name", "part", "content").repartition("name").sortWithinPartitions("name", "part")
+    rows = chunks.select("name", "part", "content")
+    if not together:
+        rows = rows.repartition("name").sortWithinPartitions("name", "part")
     rows.write.format("media_files").mode("append").save(root)
 
 

@@ -117,6 +117,32 @@ def test_ranges_cover_files_and_hits_across_borders(spark, tmp_path):
     assert facts.count() == 22 and facts.where("protected").count() == 22
 
 
+def test_files_are_listed_and_cut_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media_files, "TASK", 64)
+    want = {}
+    for n in range(60):
+        path = tmp_path / f"{n % 4}" / f"{n % 3}" / f"{n}.{('mp4', 'MKV', 'txt')[n % 5 % 3]}" if n % 7 else tmp_path / f"{n}.mov"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(bytes(x % 251 for x in range(n * 9)))
+        if path.suffix != ".txt":
+            want[str(path)] = path.read_bytes()
+    (tmp_path / "none" / "below").mkdir(parents=True)
+    got = media_files.read_ranges(spark, str(tmp_path), 10, 3)
+    plan = got._jdf.queryExecution().toString()
+    assert "BatchScan" not in plan and "MapInArrow" in plan  # a scan's ranges are listed by the driver
+    assert rows(got, "media_path", "size_bytes", "offset", "content") == sorted(((p, len(c), at, c[at : at + 13]) for p, c in want.items() for at in range(0, max(1, len(c)), 10)), key=repr)
+    assert rows(media_files.list_media(spark, str(tmp_path)), "media_path", "size_bytes") == sorted((p, len(c)) for p, c in want.items())
+    assert media_files.read_ranges(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_parts_that_come_together_are_not_dealt(spark, tmp_path):
+    texts = [bytes(x % 251 for x in range(n * 40)) for n in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, whole binary").repartition(4)
+    cut = df.select(F.concat(F.expr("n DIV 10"), F.lit("/"), "n", F.lit(".mp4")).alias("name"), "whole", F.explode(F.expr("sequence(0, length(whole) DIV 100)")).alias("part"))
+    media_files.write_files(cut.select("name", "part", F.expr("substring(whole, part * 100 + 1, 100)").alias("content")), str(tmp_path), together=True)
+    assert {p.relative_to(tmp_path).as_posix(): p.read_bytes() for p in tmp_path.rglob("*.*")} == {f"{n // 10}/{n}.mp4": t for n, t in enumerate(texts)}
+
+
 def test_container_and_box_rules(spark):
     packets = bytes(377 * [0])
     packets = bytes([0x47 if n in (0, 188, 376) else c for n, c in enumerate(packets)])
